@@ -81,3 +81,17 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20):
         stop = max(start + 1, int(np.searchsorted(ends, before + most, "right")))
         yield batch.slice(start, stop - start)
         start = stop
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: dict[int, int], where: Column | None = None) -> DataFrame:
+    """Whole texts (null: empty) with a label: of each label value at most so many rows, those with the smallest
+    hash of their id, so that the same rows are taken however the tables are split. Rows of labels without a label
+    or id are left out, and an id's texts that repeat are taken once."""
+    ids = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).where("doc_id IS NOT NULL")
+    ids = ids if where is None else ids.where(where)
+    parts = [ids.where(F.col("label") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for v, n in most.items()]
+    chosen = parts[0]
+    for part in parts[1:]:
+        chosen = chosen.unionByName(part)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    return rows.join(F.broadcast(chosen.distinct()), "doc_id").dropDuplicates(["doc_id", "label", "text"])  # bounded by `most`
