@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from tidewave.llm.bpe import op5_bpe
+from tidewave.llm.hmm import op8_lm
 from tidewave.llm.quality import op3_quality
 from tidewave.llm.secrets import op6_secrets
 from tidewave.llm.sharding import op1_sharding
 from tidewave.llm.toxicity import op2_toxicity
 from tidewave.llm.warc import OP10_SQL, op10_warc
 
-QUERIES = {q.__name__: q for q in (op1_sharding, op2_toxicity, op3_quality, op5_bpe, op6_secrets, op10_warc)}
+QUERIES = {q.__name__: q for q in (op1_sharding, op2_toxicity, op3_quality, op5_bpe, op6_secrets, op8_lm, op10_warc)}
 
 ORACLES: dict[str, str] = {"op10_warc": OP10_SQL}
