@@ -71,6 +71,12 @@ def utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[at[0] : at[-1]], at - at[0]
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """Sorted distinct values, by sorting: for integers much faster than by hashing."""
+    values = np.sort(values)
+    return values[np.concatenate([[True], values[1:] != values[:-1]])] if len(values) else values
+
+
 def slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20):
     """Parts of a batch with about `most` bytes of text each, and at least one row."""
     texts = batch.column(column)

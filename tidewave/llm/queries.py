@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tidewave.llm.bpe import op5_bpe
+from tidewave.llm.decontaminate import op4_decontamination
 from tidewave.llm.hmm import op8_lm
 from tidewave.llm.minhash import op7_minhash
 from tidewave.llm.quality import op3_quality
@@ -11,6 +12,6 @@ from tidewave.llm.sharding import op1_sharding
 from tidewave.llm.toxicity import op2_toxicity
 from tidewave.llm.warc import OP10_SQL, op10_warc
 
-QUERIES = {q.__name__: q for q in (op1_sharding, op2_toxicity, op3_quality, op5_bpe, op6_secrets, op7_minhash, op8_lm, op10_warc)}
+QUERIES = {q.__name__: q for q in (op1_sharding, op2_toxicity, op3_quality, op4_decontamination, op5_bpe, op6_secrets, op7_minhash, op8_lm, op10_warc)}
 
 ORACLES: dict[str, str] = {"op10_warc": OP10_SQL}

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tidewave.llm.common import LOWER, slices, table, utf8
+from tidewave.llm.common import LOWER, distinct, slices, table, utf8
 
 
 @dataclass(frozen=True)
@@ -172,7 +172,7 @@ class Index:
         pos = np.flatnonzero(found)
         doc = np.searchsorted(at, pos, "right") - 1
         whole = pos + 3 <= at[doc + 1]  # not over a document's end
-        pair = np.unique(found[pos[whole]].astype(np.int64) * self.docs + doc[whole])
+        pair = distinct(found[pos[whole]].astype(np.int64) * self.docs + doc[whole])
         kinds, docs = pair // self.docs, pair % self.docs
         cuts = np.flatnonzero(np.diff(kinds)) + 1
         for part_kind, part in zip(kinds[np.r_[0, cuts]] if len(kinds) else [], np.split(docs, cuts), strict=False):
@@ -185,7 +185,7 @@ class Index:
             return self.postings.get(self.place[query], np.zeros(0, np.int64))
         sets = [self.candidates(q) for q in query[1]]
         if query[0] == "or":
-            return np.unique(np.concatenate(sets))
+            return distinct(np.concatenate(sets))
         sets.sort(key=len)
         out = sets[0]
         for s in sets[1:]:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from tidewave.llm.common import LOWER, SPACES
+from tidewave.llm.common import LOWER, SPACES, distinct
 
 WORDS = 5
 _RNG = np.random.default_rng(20240101)
@@ -67,7 +67,7 @@ def shingles(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, list[np.ndar
     for i in range(n):
         a, b = start[i], start[i + 1]
         if b - a >= WORDS:
-            out.append(np.unique(full[a : b - WORDS + 1]))
+            out.append(distinct(full[a : b - WORDS + 1]))
         elif b > a:
             one = np.full(1, b - a, np.uint64)
             for x in h[a:b]:
