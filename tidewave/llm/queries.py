@@ -9,9 +9,10 @@ from tidewave.llm.minhash import op7_minhash
 from tidewave.llm.quality import op3_quality
 from tidewave.llm.secrets import op6_secrets
 from tidewave.llm.sharding import op1_sharding
+from tidewave.llm.substrings import op9_substrings
 from tidewave.llm.toxicity import op2_toxicity
 from tidewave.llm.warc import OP10_SQL, op10_warc
 
-QUERIES = {q.__name__: q for q in (op1_sharding, op2_toxicity, op3_quality, op4_decontamination, op5_bpe, op6_secrets, op7_minhash, op8_lm, op10_warc)}
+QUERIES = {q.__name__: q for q in (op1_sharding, op2_toxicity, op3_quality, op4_decontamination, op5_bpe, op6_secrets, op7_minhash, op8_lm, op9_substrings, op10_warc)}
 
 ORACLES: dict[str, str] = {"op10_warc": OP10_SQL}
