@@ -195,6 +195,24 @@ class Index:
         return out
 
 
+class Scanner:
+    """Searches blocks of documents by some rules."""
+
+    def __init__(self, rules: tuple[Rule, ...]):
+        self.rules = [(n, r, r.compiled(), trigram_query(r.pattern, r.ignore_case)) for n, r in enumerate(rules)]
+        self.index = Index(sorted(set().union(*(trigrams(q) for *_, q in self.rules))))
+
+    def spans(self, texts: pa.Array) -> list[list[tuple[int, int, int]]]:
+        """(start, rule, end) of each text's matches, sorted."""
+        self.index.build(*utf8(texts))
+        found: list[list] = [[] for _ in range(len(texts))]
+        for n, rule, compiled, query in self.rules:
+            for d in self.index.candidates(query):
+                if text := texts[int(d)].as_py():
+                    found[d] += [(a, n, b) for a, b in rule.spans(text, compiled)]
+        return [sorted(f) for f in found]
+
+
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, *, carry: list[str] = ["doc_id"]) -> DataFrame:  # noqa: B006
     """Finds each rule's leftmost non-overlapping matches in docs.text of every row.
 
@@ -208,21 +226,12 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, *, carry: list[str] =
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "spans array<struct<kind:string,start:bigint,end:bigint>>"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        queries = [(n, r, r.compiled(), trigram_query(r.pattern, r.ignore_case)) for n, r in enumerate(rules)]
-        index = Index(sorted(set().union(*(trigrams(q) for *_, q in queries))))
-        kind_type = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
+        scanner = Scanner(rules)
+        kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
         for whole in batches:
             for batch in slices(whole, "_text"):
-                texts = batch.column("_text")
-                index.build(*utf8(texts))
-                found: list[list] = [[] for _ in range(batch.num_rows)]
-                for n, rule, compiled, query in queries:
-                    for d in index.candidates(query):
-                        text = texts[int(d)].as_py()
-                        if text:
-                            found[d] += [(a, n, b) for a, b in rule.spans(text, compiled)]
-                spans = [[{"kind": rules[n].kind, "start": a, "end": b} for a, n, b in sorted(f)] for f in found]
-                yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(spans, kind_type)], names=[*names, "spans"])
+                spans = [[{"kind": rules[n].kind, "start": a, "end": b} for a, n, b in f] for f in scanner.spans(batch.column("_text"))]
+                yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(spans, kind)], names=[*names, "spans"])
 
     return docs.select(*[f"`{n}`" for n in names], docs["text"].alias("_text")).mapInArrow(run, schema)
 
@@ -238,23 +247,24 @@ def redact(text: str, spans: list[tuple[int, int]], mark: str = "[secret]") -> s
 
 
 def redacted(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[secret]") -> DataFrame:
-    """docs with its columns, secrets in text replaced by the mark; n_chars, where docs has it, is counted again.
+    """docs with all its columns, secrets in text replaced by the mark; n_chars, where docs has it, is counted again.
     Null texts stay null."""
-    from pyspark.sql import functions as F
-
-    spanned = scan(docs, rules, carry=docs.columns)
+    names = docs.columns
+    counted = names.index("n_chars") if "n_chars" in names else -1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, spans = batch.column("text").to_pylist(), batch.column("spans").to_pylist()
-            new = [t if not t or not s else redact(t, [(x["start"], x["end"]) for x in s], mark) for t, s in zip(texts, spans, strict=True)]
-            arrays = [pa.array(new, pa.string()) if n == "text" else batch.column(n) for n in docs.columns]
-            yield pa.RecordBatch.from_arrays(arrays, names=docs.columns)
-
-    out = spanned.mapInArrow(run, docs.schema)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out
+        scanner = Scanner(rules)
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                texts = batch.column("text")
+                new = [t if not t or not s else redact(t, [(a, b) for a, _, b in s], mark) for t, s in zip(texts.to_pylist(), scanner.spans(texts), strict=True)]
+                arrays = list(batch.columns)
+                arrays[names.index("text")] = pa.array(new, texts.type)
+                if counted >= 0:
+                    arrays[counted] = pa.array([None if t is None else len(t) for t in new], arrays[counted].type)
+                yield pa.RecordBatch.from_arrays(arrays, names=names)
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op6_secrets(spark, sf_dir: str) -> DataFrame:
