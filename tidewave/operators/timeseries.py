@@ -134,7 +134,7 @@ def bandpass_filter(series: DataFrame, samplerate: float, freq_min: float, freq_
     if freq_max <= 0:
         out = series.select("channel", "t", "v")
     else:
-        near = F.explode(F.sequence(F.greatest(F.expr(f"(t - {padding}) div {chunk}"), F.lit(0)), F.expr(f"(t + {padding}) div {chunk}")))
+        near = F.explode(F.sequence(F.greatest(F.expr(f"(t - {padding}) div {chunk}"), F.lit(0).cast("long")), F.expr(f"(t + {padding}) div {chunk}")))
 
         def run(pdf: pd.DataFrame) -> pd.DataFrame:
             pdf = pdf.sort_values("t")
@@ -145,7 +145,7 @@ def bandpass_filter(series: DataFrame, samplerate: float, freq_min: float, freq_
             own = pdf[(pdf["t"] >= first) & (pdf["t"] < first + chunk)]
             return pd.DataFrame({"channel": own["channel"], "t": own["t"], "v": y[(own["t"] - first + padding).to_numpy()]})
 
-        out = series.select("channel", F.col("t").cast("long").alias("t"), F.col("v").cast("double").alias("v"), near.cast("long").alias("chunk")).groupBy("channel", "chunk").applyInPandas(run, "channel int, t long, v double")
+        out = series.select("channel", F.col("t").cast("long").alias("t"), F.col("v").cast("double").alias("v"), near.alias("chunk")).groupBy("channel", "chunk").applyInPandas(run, "channel int, t long, v double")
     if subsample > 1:
         out = out.where(F.col("t") % subsample == 0).withColumn("t", F.expr(f"t div {subsample}"))
     return quantize(out, quantize_unit) if quantize_unit > 0 else out
