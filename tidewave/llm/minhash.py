@@ -188,33 +188,36 @@ def near_classes(docs: DataFrame, scheme: Scheme = Scheme()) -> DataFrame:  # no
         several = named.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1").select("key")
         return written(named.join(several, "key"), "minhash-mixed")
 
-    links = written(confirmed(likely(stars), texts, scheme.percent), "minhash-links")
-    labels = written(connected(links), "minhash-labels")
+    def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+        """Labels after further links: a component so far counts as the star of its label."""
+        if not links.limit(1).count():
+            return labels
+        return written(connected(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(links)), "minhash-labels")
+
+    labels = written(connected(confirmed(likely(stars), texts, scheme.percent)), "minhash-labels")
     left = mixed(labels)
 
     large = left.where(F.col("members") > scheme.small)
     rare = written(lone_shingles(large.select("node").distinct().join(texts, "node")), "minhash-lone")
-    if rare.count():
+    if rare.limit(1).count():
         best = large.join(rare, "node", "left").join(classes.select("node", "n"), "node").groupBy("key").agg(F.min_by("node", F.struct((F.coalesce("lone", F.lit(0)) / F.col("n")).alias("share"), "node")).alias("pivot"))
         stars = large.join(best, "key").where("node <> pivot").select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b")).distinct()
-        links = written(links.unionByName(confirmed(likely(stars), texts, scheme.percent)), "minhash-links")
-        labels = written(connected(links), "minhash-labels")
+        labels = joined(labels, written(confirmed(likely(stars), texts, scheme.percent), "minhash-links"))
         left = mixed(labels)
 
-    side = left.join(packed, "node").join(rare, "node", "left").withColumn("lone", F.coalesce("lone", F.lit(0)))
-    blocks = F.ceil(F.col("members") / scheme.block).cast("int")
-    many = side.withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    one = side.withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int"))
-    x, y = many.alias("x"), one.alias("y")
-    most_common = F.least(F.col("x.n") - F.col("x.lone"), F.col("y.n") - F.col("y.lone"))
-    test = (
-        (F.col("x.key") == F.col("y.key")) & (F.col("x.block") == F.col("y.block")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.label") != F.col("y.label"))
-        & (100 * most_common >= scheme.percent * (F.col("x.n") + F.col("y.n") - most_common))
-        & (matches(F.col("x.packed"), F.col("y.packed"), scheme.size) >= scheme.least_matches)
-    )
-    rest = x.join(y, test).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    links = written(links.unionByName(confirmed(rest, texts, scheme.percent)), "minhash-links")
-    labels = written(connected(links), "minhash-labels")
+    if left.limit(1).count():
+        side = left.join(packed, "node").join(rare, "node", "left").withColumn("lone", F.coalesce("lone", F.lit(0)))
+        blocks = F.ceil(F.col("members") / scheme.block).cast("int")
+        x = side.withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).alias("x")
+        y = side.withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int")).alias("y")
+        most_common = F.least(F.col("x.n") - F.col("x.lone"), F.col("y.n") - F.col("y.lone"))
+        test = (
+            (F.col("x.key") == F.col("y.key")) & (F.col("x.block") == F.col("y.block")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.label") != F.col("y.label"))
+            & (100 * most_common >= scheme.percent * (F.col("x.n") + F.col("y.n") - most_common))
+            & (matches(F.col("x.packed"), F.col("y.packed"), scheme.size) >= scheme.least_matches)
+        )
+        rest = x.join(y, test).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+        labels = joined(labels, written(confirmed(rest, texts, scheme.percent), "minhash-links"))
 
     ids = labels.join(classes.select("node", "first_doc"), "node")
     least = ids.groupBy("label").agg(F.min("first_doc").alias("component_id"))
