@@ -49,7 +49,7 @@ def templates(series: DataFrame, events: DataFrame, clip_size: int, *, clusters:
 def densify_labels(means: DataFrame, clip_size: int) -> DataFrame:
     """Adds zero templates for the labels up to the largest that have no events."""
     top = means.agg(F.coalesce(F.max("label"), F.lit(0)).alias("k"))
-    labels = top.where("k > 0").select(F.explode(F.sequence(F.lit(1), F.col("k"))).cast("int").alias("label"))
+    labels = top.where("k > 0").select(F.explode(F.sequence(F.lit(1), F.col("k").cast("int"))).alias("label"))
     grid = labels.crossJoin(means.select("channel").distinct()).withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(clip_size - 1))))
     return grid.join(means, ["label", "channel", "t"], "left").select("label", "channel", "t", F.coalesce("v", F.lit(0.0)).alias("v"))
 

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from tidewave.operators import events as ev
 from tidewave.operators import matching as mt
 from tidewave.operators import metrics as me
+from tidewave.operators import sorting as so
+from tidewave.operators import synthesis as sy
 from tidewave.operators import templates as tp
 from tidewave.operators import timeseries as ts
 from tidewave.plans.views import MINUTES, WEEK, clips, firings, firings2, geom, sql, timeseries
@@ -365,3 +367,63 @@ def accuracy_counts(spark, d):
 SELECT label, CAST(coalesce(k1, (SELECT max(label) FROM firings) + row_number() OVER (PARTITION BY k1 IS NULL ORDER BY label)) AS INT) AS linked_label, coalesce(k.n, 0) / n2.n AS score FROM n2 LEFT JOIN k ON k2 = label""")
 def link_labels(spark, d):
     return mt.link_labels(firings(spark, d), firings2(spark, d))
+
+
+@query("geom", oracle="SELECT a.channel AS m, b.channel AS channel FROM geom a JOIN geom b ON (a.x - b.x) ** 2 + (a.y - b.y) ** 2 <= 4.0")
+def neighbourhoods(spark, d):
+    return so.neighbourhoods(geom(spark, d), 2.0)
+
+
+@query("timeseries", oracle="SELECT a AS channel, t, round(sum(v * (CASE WHEN a = channel THEN 1.0 ELSE -0.2 END)), 6) AS v FROM timeseries, (SELECT unnest([1, 2, 3, 4, 5])::INT AS a) GROUP BY a, t")
+def apply_matrix(spark, d):
+    w = spark.createDataFrame([(a, b, 1.0 if a == b else -0.2) for a in range(1, 6) for b in range(1, 6)], "m1 int, m2 int, w double")
+    return rounded(ts.apply_matrix(timeseries(spark, d), w), "v")
+
+
+@query("clips", oracle="""WITH m AS (SELECT label, channel, t, avg(v) AS v FROM clips GROUP BY ALL), p AS (SELECT label, channel, arg_max(v, (abs(v), -t)) AS p FROM m GROUP BY ALL), c AS (SELECT DISTINCT label, CAST(label % 4 + 1 AS INT) AS m FROM m),
+  x AS (SELECT a.label AS k1, b.label AS k2, p11.p AS p11, p12.p AS p12, p21.p AS p21, p22.p AS p22 FROM c a JOIN c b ON a.m <> b.m JOIN p p11 ON p11.label = a.label AND p11.channel = a.m JOIN p p12 ON p12.label = a.label AND p12.channel = b.m
+  JOIN p p21 ON p21.label = b.label AND p21.channel = a.m JOIN p p22 ON p22.label = b.label AND p22.channel = b.m)
+SELECT k1, k2 FROM x WHERE p11 * p12 > 0 AND least(abs(p11), abs(p12)) > 0.3 * greatest(abs(p11), abs(p12)) AND p21 * p22 > 0 AND least(abs(p21), abs(p22)) > 0.3 * greatest(abs(p21), abs(p22))
+  AND p11 * p21 > 0 AND least(abs(p11), abs(p21)) > 0.3 * greatest(abs(p11), abs(p21)) AND p12 * p22 > 0 AND least(abs(p12), abs(p22)) > 0.3 * greatest(abs(p12), abs(p22))""")
+def merge_candidates(spark, d):
+    means = clip_templates(spark, d)
+    return so.merge_candidates(means, means.select("label", (F.col("label") % 4 + 1).cast("int").alias("m")).distinct())
+
+
+@query()
+def pair_overlap(spark, d):
+    points = so.clip_features(clips(spark, d)).select(F.col("clip_id").alias("id"), "label", "f")
+    pairs = me.pairs_to_compare(clip_templates(spark, d)).where("k1 < k2")
+    return rounded(me.pair_overlap(points, pairs), "overlap")
+
+
+@query()
+def bandpass_filter(spark, d):
+    return rounded(ts.bandpass_filter(timeseries(spark, d), 1.0, 0.01, 0.2, 0.05, chunk=10_000, padding=1_000), "v")
+
+
+@query()
+def whiten(spark, d):
+    return rounded(ts.whiten(timeseries(spark, d), MINUTES), "v")
+
+
+@query()
+def fit_stage(spark, d):
+    return so.fit_stage(timeseries(spark, d), minute_events(spark, d), minute_templates(spark, d), CLIP)
+
+
+@query()
+def sort_events(spark, d):
+    return so.sort_events(ts.whiten(timeseries(spark, d), MINUTES), geom(spark, d), clip_size=20, detect_threshold=3.0, detect_interval=30)
+
+
+@query()
+def isolation_metrics(spark, d):
+    return so.isolation_metrics(timeseries(spark, d), minute_events(spark, d), CLIP, length=MINUTES, most=100)
+
+
+@query()
+def synthesize_timeseries(spark, d):
+    waves = sy.random_waveforms(spark, channels=5, size=60, units=8, upsample=3)
+    events = firings(spark, d).where("time < 60000").select("event_id", "channel", F.col("time").cast("double").alias("time"), "label")
+    return rounded(sy.synthesize_timeseries(spark, waves, events, channels=5, length=60_000, size=60, upsample=3), "v")
