@@ -17,7 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewave.llm.common import LOWER, fold, slices, table, written
@@ -46,18 +46,27 @@ class Shape:
 
 
 @dataclass
-class Model:
+class Vocabulary:
     shape: Shape
-    start: np.ndarray  # by state
-    move: np.ndarray  # by state and next state
-    emit: np.ndarray  # by state and symbol
     tokens: int  # N: training tokens
     kinds: int  # V: distinct training tokens
     ends: int  # count of the end
+    own_counts: np.ndarray  # of words that are symbols of their own
     class_tokens: np.ndarray  # by class: training tokens and distinct words
     class_kinds: np.ndarray
     counts: DataFrame  # word, c: all training words
-    head: object  # broadcast: word -> (symbol, count)
+    head: object  # broadcast: place of a word, and by place its symbol and the log10 of its count plus ALPHA
+
+    @property
+    def below(self) -> float:
+        return self.tokens + ALPHA * (self.kinds + 1)
+
+
+@dataclass
+class Model:
+    start: np.ndarray  # by state
+    move: np.ndarray  # by state and next state
+    emit: np.ndarray  # by state and symbol
 
 
 def count_words(rows: DataFrame) -> DataFrame:
@@ -103,7 +112,7 @@ class Sequences:
     def forward(self, start: np.ndarray, move: np.ndarray, emit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(emission of each place, scaled forward likelihoods, scales); the product of a text's scales is its likelihood."""
         e = emit.T[self.symbols]
-        alpha, scale, base = e.copy(), np.empty(len(e)), self.base
+        alpha, scale, base = e.copy(), np.empty(len(e), e.dtype), self.base
         for t in range(self.most):
             a = alpha[base[t] : base[t + 1]]
             a *= start if t == 0 else alpha[base[t - 1] : base[t - 1] + len(a)] @ move
@@ -115,7 +124,7 @@ class Sequences:
     def log10(self, scale: np.ndarray) -> np.ndarray:
         """By text, as first given."""
         out = np.zeros(len(self.order))
-        out[self.order] = np.bincount(self.rank, np.log10(scale)[self.place], minlength=len(self.order)) if len(scale) else 0
+        out[self.order] = np.bincount(self.rank, np.log10(scale)[self.place], minlength=len(self.order)) if len(scale) else 0.0
         return out
 
     def expected(self, start: np.ndarray, move: np.ndarray, emit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -123,7 +132,7 @@ class Sequences:
         k, base = len(start), self.base
         e, alpha, scale = self.forward(start, move, emit)
         moves = np.zeros((k, k))
-        gamma, beta = alpha.copy(), np.ones((0, k))
+        gamma, beta = alpha.copy(), np.ones((0, k), e.dtype)
         for t in range(self.most - 1, -1, -1):
             n = base[t + 1] - base[t]
             if t + 1 < self.most:
@@ -131,9 +140,9 @@ class Sequences:
                 eb = e[after] * beta / scale[after, None]
                 a = alpha[base[t] : base[t] + len(eb)]
                 moves += a.T @ eb
-                beta = np.concatenate([eb @ move.T, np.ones((n - len(eb), k))])
+                beta = np.concatenate([eb @ move.T, np.ones((n - len(eb), k), e.dtype)])
             else:
-                beta = np.ones((n, k))
+                beta = np.ones((n, k), e.dtype)
             gamma[base[t] : base[t + 1]] *= beta
         symbols = np.stack([np.bincount(self.symbols, gamma[:, s], minlength=emit.shape[1]) for s in range(k)])
         return gamma[: base[1]].sum(0) if self.most else np.zeros(k), moves * move, symbols
@@ -144,33 +153,97 @@ def symbol_of(shape: Shape, word: bytes) -> int:
     return 1 + shape.own + zlib.crc32(word) % shape.classes
 
 
-def sequence(words: list[bytes], shape: Shape, head: dict) -> np.ndarray:
-    return np.array([s[0] if (s := head.get(w)) else symbol_of(shape, w) for w in words] + [END], np.int64)
-
-
-def train(docs: DataFrame, shape: Shape = Shape(), rounds: int = 4, stay: float = 0.9, seed: int = 7) -> Model:  # noqa: B008
-    """Learns from all rows of docs. Word counts, and in each of `rounds` rounds the Baum-Welch counts, are
-    summed over all partitions; a partition sends a table of states by symbols, whatever its size."""
+def learn_words(docs: DataFrame, shape: Shape = Shape()) -> Vocabulary:  # noqa: B008
+    """Counts the words of all rows of docs."""
     spark = docs.sparkSession
-    rows = docs.select("text")
-    counts = written(count_words(rows), "lm-counts")
-    ends = rows.count()
+    counts = written(count_words(docs), "lm-counts")
+    ends = docs.count()
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     top = counts.orderBy(F.desc("c"), "word").limit(shape.head).collect()  # bounded by shape.head
-    head = {r["word"].encode(): (i + 1 if i < shape.own else symbol_of(shape, r["word"].encode()), r["c"]) for i, r in enumerate(top)}
-    own = [r["word"] for r in top[: shape.own]]
-    shared = spark.sparkContext.broadcast(head)
-
+    words = [r["word"].encode() for r in top]
+    c = np.array([r["c"] for r in top], np.float64)
+    symbols = np.array([i + 1 if i < shape.own else symbol_of(shape, w) for i, w in enumerate(words)], np.uint16)
+    head = spark.sparkContext.broadcast(({w: i for i, w in enumerate(words)}, symbols, np.log10(c + ALPHA)))
     class_tokens, class_kinds = np.zeros(shape.classes), np.zeros(shape.classes)
-    lone = counts.join(F.broadcast(spark.createDataFrame([(w,) for w in own], "word string")), "word", "left_anti")
-    for r in lone.groupBy((F.crc32(F.col("word").cast("binary")) % shape.classes).cast("int").alias("k")).agg(F.sum("c").alias("c"), F.count("*").alias("v")).collect():
+    own = spark.createDataFrame([(r["word"],) for r in top[: shape.own]], "word string")
+    others = counts.join(F.broadcast(own), "word", "left_anti").groupBy((F.crc32(F.col("word").cast("binary")) % shape.classes).cast("int").alias("k"))
+    for r in others.agg(F.sum("c").alias("c"), F.count("*").alias("v")).collect():
         class_tokens[r["k"]], class_kinds[r["k"]] = r["c"], r["v"]
+    return Vocabulary(shape, total["n"] + ends, total["v"] + (1 if ends else 0), ends, c[: shape.own], class_tokens, class_kinds, counts, head)
 
+
+def prepare(docs: DataFrame, words: Vocabulary, carry: list[str]) -> DataFrame:
+    """The columns in carry and, for each row of docs, its symbols (two bytes each), n_tokens, head_known (tokens with a
+    count that tasks hold), head_log (sum of their log10 counts plus ALPHA), class_log (what of it is of words
+    in classes, less the log10 size of the class of each such token) and tail (the other words)."""
+    shape, shared, ends = words.shape, words.head, words.ends
+    class_below = words.class_tokens + ALPHA * (words.class_kinds + 1)
+    fields = [f for f in docs.schema.fields if f.name in carry]
+    names = [f.name for f in fields]
+    made = "symbols binary, n_tokens long, head_known long, head_log double, class_log double, tail array<struct<word:string,n:int>>"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places, symbol, log = shared.value
+        symbol, log = np.append(symbol, np.uint16(0)), np.append(log, 0.0)  # the last place: not held
+        missing, get, class_log = len(places), places.get, np.log10(class_below)
+        tail_type = pa.list_(pa.struct([("word", pa.string()), ("n", pa.int32())]))
+        for whole in batches:
+            for batch in slices(whole, "_text", 3 << 20):
+                texts = [words_of(t.as_py()) for t in batch.column("_text")]
+                n = len(texts)
+                flat = [w for t in texts for w in t]
+                count = np.array([len(t) for t in texts])
+                at = np.fromiter((get(w, missing) for w in flat), np.int64, len(flat))
+                doc = np.repeat(np.arange(n), count)
+                sym, known = symbol[at], at < missing
+                rest = np.flatnonzero(~known)
+                sym[rest] = [symbol_of(shape, flat[i]) for i in rest]
+                classed = sym > shape.own
+                head_log = np.bincount(doc, log[at], minlength=n) + math.log10(ends + ALPHA)
+                in_class = np.bincount(doc[classed], log[at[classed]] - class_log[sym[classed].astype(np.int64) - 1 - shape.own], minlength=n)
+                tails: list[Counter] = [Counter() for _ in range(n)]
+                for i, d in zip(rest.tolist(), doc[rest].tolist(), strict=True):
+                    tails[d][flat[i]] += 1
+                edge = np.concatenate([[0], np.cumsum(count)])
+                end = np.zeros(1, np.uint16).tobytes()
+                arrays = [
+                    pa.array([sym[edge[i] : edge[i + 1]].tobytes() + end for i in range(n)], pa.binary()),
+                    pa.array(count + 1, pa.int64()),
+                    pa.array(np.bincount(doc[known], minlength=n) + (ends > 0), pa.int64()),
+                    pa.array(head_log),
+                    pa.array(in_class),
+                    pa.array([[{"word": w.decode(), "n": c} for w, c in t.items()] for t in tails], tail_type),
+                ]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *arrays], names=[*names, "symbols", "n_tokens", "head_known", "head_log", "class_log", "tail"])
+
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), made])
+    return docs.select(*[f"`{c}`" for c in names], docs["text"].alias("_text")).mapInArrow(run, schema)
+
+
+def alike(items: Iterator[tuple[object, np.ndarray]], most: int = 400_000) -> Iterator[list[tuple[object, np.ndarray]]]:
+    """Groups (key, sequence) pairs so that the lengths in a group are alike, for a step of the recursion costs as much
+    for one text as for many; a group has about `most` symbols, or is one longer sequence."""
+    held: dict[int, list] = {}
+    size: Counter = Counter()
+    for item in items:
+        k = len(item[1]).bit_length() if len(item[1]) > 255 else 8
+        held.setdefault(k, []).append(item)
+        size[k] += len(item[1])
+        if size[k] > most:
+            yield held.pop(k)
+            size[k] = 0
+    yield from held.values()
+
+
+def train(rows: DataFrame, words: Vocabulary, rounds: int = 4, stay: float = 0.9, seed: int = 7) -> Model:
+    """Baum-Welch over all of rows, as of prepare(). In each round every partition sends its counts of first states,
+    moves and symbols by state, a table of a size that doesn't depend on the data; Spark sums them."""
+    shape = words.shape
     k, m = shape.states, shape.symbols
     unigram = np.full(m, ALPHA)
-    unigram[END] += ends
-    unigram[1 : 1 + len(own)] += [r["c"] for r in top[: shape.own]]
-    unigram[1 + shape.own :] += class_tokens
+    unigram[END] += words.ends
+    unigram[1 : 1 + len(words.own_counts)] += words.own_counts
+    unigram[1 + shape.own :] += words.class_tokens
     unigram /= unigram.sum()
     rng = np.random.default_rng(seed)
     emit = unigram * rng.gamma(2.0, size=(k, m))
@@ -178,20 +251,19 @@ def train(docs: DataFrame, shape: Shape = Shape(), rounds: int = 4, stay: float
     move = np.full((k, k), (1 - stay) / k) + stay * np.eye(k)  # long stays let a few rounds tell the states apart
     start = np.full(k, 1 / k)
     for _ in range(rounds):
-        params = start, move, emit
+        params = tuple(x.astype(np.float32) for x in (start, move, emit))
 
         def expect(batches: Iterator[pa.RecordBatch], params=params) -> Iterator[pa.RecordBatch]:
-            words = shared.value
             first, moves, symbols = np.zeros(k), np.zeros((k, k)), np.zeros((k, m))
-            for whole in batches:
-                for batch in slices(whole, "text", 3 << 20):
-                    found = Sequences([sequence(words_of(t.as_py()), shape, words) for t in batch.column("text")]).expected(*params)
-                    first, moves, symbols = first + found[0], moves + found[1], symbols + found[2]
+            texts = ((None, np.frombuffer(s.as_py(), np.uint16)) for b in batches for s in b.column("symbols"))
+            for group in alike(texts):
+                found = Sequences([s for _, s in group]).expected(*params)
+                first, moves, symbols = first + found[0], moves + found[1], symbols + found[2]
             stacked = np.concatenate([first[:, None], moves.T, symbols], 1)  # by state: start, moves into it, symbols
             used = np.flatnonzero(stacked.any(0))
             yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), *(pa.array(stacked[s, used]) for s in range(k))], names=["at", *(f"s{s}" for s in range(k))])
 
-        summed = rows.mapInArrow(expect, "at int, " + ", ".join(f"s{s} double" for s in range(k)))
+        summed = rows.select("symbols").mapInArrow(expect, "at int, " + ", ".join(f"s{s} double" for s in range(k)))
         summed = summed.groupBy("at").agg(*[F.sum(f"s{s}").alias(f"s{s}") for s in range(k)])
         got = np.zeros((k, 1 + k + m))
         for r in summed.collect():  # one row a symbol
@@ -201,73 +273,48 @@ def train(docs: DataFrame, shape: Shape = Shape(), rounds: int = 4, stay: float
         move /= move.sum(1, keepdims=True)
         emit = got[:, 1 + k :] + m * ALPHA * unigram  # each symbol stays possible in each state
         emit /= emit.sum(1, keepdims=True)
-    return Model(shape, start, move, emit, total["n"] + ends, total["v"] + (1 if ends else 0), ends, class_tokens, class_kinds, counts, shared)
+    return Model(start, move, emit)
 
 
-def score(docs: DataFrame, model: Model, carry: list[str] = ["doc_id"]) -> DataFrame:  # noqa: B006
-    """Scores the whole text of every row of docs.
+def score_documents(docs: DataFrame, training: Column, *, carry: list[str] = ["doc_id"], shape: Shape = Shape(), rounds: int = 4) -> DataFrame:  # noqa: B006, B008
+    """Learns from the rows of docs where `training` holds and scores the whole text of every row.
 
-    Returns the columns in carry, n_tokens, n_known (tokens that training had), base_score (log10 probability by
-    single tokens) and score (that by the model). A null text is an empty one, which has one token, the end.
-    Rows that repeat are scored each for itself; an empty table gives no rows; columns not carried are
-    ignored. Words that tasks don't hold are counted by text and joined with the corpus counts.
+    Returns the columns in carry, n_tokens, n_known (tokens that training had), train_tokens, base_score (log10
+    probability by single tokens) and score (that by the model). A null text is an empty one, which has one
+    token, the end. Rows that repeat count and are scored each for itself; without training rows every token is as
+    likely as the next; an empty table gives no rows; columns not carried are ignored. Words whose counts
+    tasks don't hold are counted by text and joined with the corpus counts.
     """
-    shape, params, shared = model.shape, (model.start, model.move, model.emit), model.head
-    below = model.tokens + ALPHA * (model.kinds + 1)
-    class_below = (model.class_tokens + ALPHA * (model.class_kinds + 1)).tolist()
-    ends = model.ends
-    fields = [f for f in docs.schema.fields if f.name in carry]
-    names = [f.name for f in fields]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "n_tokens long, head_known long, head_base double, head_score double, tail array<struct<word:string,n:int>>"])
+    words = learn_words(docs.where(training).select("text"), shape)
+    rows = prepare(docs.withColumn("_training", training), words, [*carry, "_training"])
+    rows = written(rows.withColumn("_row", F.monotonically_increasing_id()), "lm-texts")
+    model = train(rows.where("_training"), words, rounds)
+    params = model.start, model.move, model.emit
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head = shared.value
-        end_base, log_below = math.log10((ends + ALPHA) / below), math.log10(below)
-        class_log = [math.log10(b) for b in class_below]
-        tail_type = pa.list_(pa.struct([("word", pa.string()), ("n", pa.int32())]))
-        for whole in batches:
-            for batch in slices(whole, "_text", 3 << 20):
-                texts = [words_of(t.as_py()) for t in batch.column("_text")]
-                found = Sequences([sequence(w, shape, head) for w in texts])
-                chain = found.log10(found.forward(*params)[2])
-                known, base, within, tail = [], [], [], []
-                for words in texts:
-                    n_known, b, s, rest = int(ends > 0), end_base, 0.0, []
-                    for w, n in Counter(words).items():
-                        if got := head.get(w):
-                            n_known += n
-                            log = math.log10(got[1] + ALPHA)
-                            b += n * (log - log_below)
-                            if got[0] > shape.own:
-                                s += n * (log - class_log[got[0] - 1 - shape.own])
-                        else:
-                            rest.append({"word": w.decode(), "n": n})
-                            b -= n * log_below
-                            s -= n * class_log[zlib.crc32(w) % shape.classes]
-                    known.append(n_known)
-                    base.append(b)
-                    within.append(s)
-                    tail.append(rest)
-                arrays = [pa.array([len(w) + 1 for w in texts], pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(chain + np.array(within), pa.float64()), pa.array(tail, tail_type)]
-                yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *arrays], names=[*names, "n_tokens", "head_known", "head_base", "head_score", "tail"])
-
-    rows = docs.select(*[f"`{n}`" for n in names], docs["text"].alias("_text")).mapInArrow(run, schema)
-    rows = written(rows.withColumn("row", F.monotonically_increasing_id()), "lm-scores")
-    # a rare word's factor is the same in both scores: its count plus ALPHA, above what is already taken off
-    tail = rows.select("row", F.explode("tail").alias("t")).select("row", "t.word", "t.n").join(model.counts, "word", "left")
+        texts = ((r.as_py(), np.frombuffer(s.as_py(), np.uint16)) for b in batches for r, s in zip(b.column("_row"), b.column("symbols"), strict=True))
+        for group in alike(texts):
+            found = Sequences([s for _, s in group])
+            yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in group], pa.int64()), pa.array(found.log10(found.forward(*params)[2]))], names=["_row", "chain"])
+
+    chain = rows.select("_row", "symbols").mapInArrow(run, "_row long, chain double")
+    # a rare word's factor is the same in both scores: its count plus ALPHA, over what is already taken off
+    tail = rows.select("_row", F.explode("tail").alias("t")).select("_row", "t.word", "t.n").join(words.counts, "word", "left")
     c = F.coalesce("c", F.lit(0))
-    tail = tail.groupBy("row").agg(F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("tail_known"), F.sum(F.col("n") * F.log10(c + F.lit(ALPHA))).alias("tail_log"))
+    tail = tail.groupBy("_row").agg(F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("tail_known"), F.sum(F.col("n") * F.log10(c + F.lit(ALPHA))).alias("tail_log"))
     more = lambda x: F.coalesce(x, F.lit(0))
-    return rows.join(tail, "row", "left").select(
-        *[f"`{n}`" for n in names],
+    return rows.drop("symbols", "tail").join(chain, "_row").join(tail, "_row", "left").select(
+        *[f"`{n}`" for n in carry],
         "n_tokens",
         (F.col("head_known") + more("tail_known")).cast("long").alias("n_known"),
-        (F.col("head_base") + more("tail_log")).alias("base_score"),
-        (F.col("head_score") + more("tail_log")).alias("score"),
+        F.lit(words.tokens).cast("long").alias("train_tokens"),
+        (F.col("head_log") + more("tail_log") - F.col("n_tokens") * F.lit(math.log10(words.below))).alias("base_score"),
+        (F.col("chain") + F.col("class_log") + more("tail_log")).alias("score"),
     )
 
 
 def op8_lm(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = train(docs.where(fold("doc_id", 10) != 0))
-    return score(docs, model).select("doc_id", (fold("doc_id", 10) == 0).alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    held_out = fold("doc_id", 10) == 0
+    out = score_documents(docs.select("doc_id", "text", held_out.alias("held_out")), ~F.col("held_out"), carry=["doc_id", "held_out"])
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
