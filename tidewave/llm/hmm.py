@@ -210,8 +210,8 @@ def prepare(docs: DataFrame, words: Vocabulary, carry: list[str]) -> DataFrame:
                     pa.array([sym[edge[i] : edge[i + 1]].tobytes() + end for i in range(n)], pa.binary()),
                     pa.array(count + 1, pa.int64()),
                     pa.array(np.bincount(doc[known], minlength=n) + (ends > 0), pa.int64()),
-                    pa.array(head_log),
-                    pa.array(in_class),
+                    pa.array(head_log, pa.float64()),
+                    pa.array(in_class.astype(np.float64)),
                     pa.array([[{"word": w.decode(), "n": c} for w, c in t.items()] for t in tails], tail_type),
                 ]
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *arrays], names=[*names, "symbols", "n_tokens", "head_known", "head_log", "class_log", "tail"])
