@@ -134,3 +134,22 @@ def test_neighbourhood_of_radius_zero_is_the_channel(spark):
     geom = spark.createDataFrame([(c, float(c), 0.0) for c in (1, 2, 3)], "channel int, x double, y double")
     assert sorted((r["m"], r["channel"]) for r in sorting.neighbourhoods(geom, 0).collect()) == [(1, 1), (2, 2), (3, 3)]
     assert sorting.neighbourhoods(geom, -1).count() == 9
+
+
+def test_segments_share_labels(spark):
+    from tidewave.operators.segments import combine_firing_segments
+
+    shapes = {"a": [0, 5, 9, 5, 0], "b": [0, -8, 0, 8, 0], "c": [7, 7, 7, 7, 7]}
+
+    def segment(plan):
+        values, rows = np.zeros(40 * len(plan) * 3 + 40), []
+        for i, (shape, label) in enumerate(plan * 3):
+            at = 40 * (i + 1)
+            values[at - 2 : at + 3] = shapes[shape]
+            rows.append((at, label))
+        return series(spark, [values]), firings(spark, rows).drop("amplitude"), len(values)
+
+    parts = [segment([("a", 1), ("b", 2)]), segment([("b", 1), ("a", 2), ("c", 3)])]
+    out = combine_firing_segments(*map(list, zip(*parts, strict=True)), clip_size=5, edge=10).orderBy("time").collect()
+    assert [r["label"] for r in out] == [1, 2] * 3 + [2, 1, 3] * 3
+    assert out[6]["time"] == parts[0][2] + 40
