@@ -68,3 +68,14 @@ def shard_by_bytes(docs: DataFrame, shards: int = 40, overhead: int = 16, partit
 
 def op1_sharding(spark, sf_dir: str) -> DataFrame:
     return shard_by_bytes(table(spark, sf_dir, "documents"))
+
+#: The same with a table-driven crc32 and sums over one order of all rows.
+OP1_SQL = """
+WITH tab AS (SELECT list(list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, i) ORDER BY i) AS t FROM range(256) r(i)),
+d AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 16 AS size, hex(encode(coalesce(text, ''))) AS h FROM documents),
+b AS (SELECT doc_id, size, list_transform(range(0, len(h) // 2), lambda i: CAST('0x' || substr(h, 2 * i + 1, 2) AS BIGINT)) AS bytes FROM d),
+x AS (SELECT doc_id, size, xor(4294967295, list_reduce(bytes, lambda c, x: xor(c // 256, t[CAST(xor(c % 256, x) AS INT) + 1]), 4294967295::BIGINT)) AS text_crc32 FROM b, tab),
+o AS (SELECT *, sum(size) OVER (ORDER BY doc_id, text_crc32, size ROWS UNBOUNDED PRECEDING) AS upto, sum(size) OVER () AS total FROM x),
+s AS (SELECT *, CAST(least(39, (2 * upto - size) * 40 // (2 * total)) AS INT) AS shard FROM o)
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY upto) - 1 AS slot, CAST(NULL AS INT) AS grown_shard FROM s
+"""
