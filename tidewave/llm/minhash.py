@@ -170,7 +170,7 @@ def near_classes(docs: DataFrame, scheme: Scheme = Scheme()) -> DataFrame:  # no
     classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "minhash-classes")
     packed = classes.select("node", "packed", "n")
 
-    spread = classes.select("node", F.explode("bands").alias("key"))
+    spread = classes.select("node", F.posexplode("bands").alias("band", "key"))
     buckets = spread.groupBy("key").agg(F.min("node").alias("pivot"), F.count("*").alias("members")).where("members > 1")
     members = written(spread.join(buckets, "key"), "minhash-members")
     stars = members.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
@@ -184,7 +184,7 @@ def near_classes(docs: DataFrame, scheme: Scheme = Scheme()) -> DataFrame:  # no
 
     def mixed(labels: DataFrame) -> DataFrame:
         """Members of buckets that hold several components."""
-        named = members.select("key", "node", "members").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        named = members.select("key", "band", "node", "members").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         several = named.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1").select("key")
         return written(named.join(several, "key"), "minhash-mixed")
 
@@ -206,7 +206,7 @@ def near_classes(docs: DataFrame, scheme: Scheme = Scheme()) -> DataFrame:  # no
         left = mixed(labels)
 
     if left.limit(1).count():
-        side = left.join(packed, "node").join(rare, "node", "left").withColumn("lone", F.coalesce("lone", F.lit(0)))
+        side = left.join(classes.select("node", "packed", "n", "bands"), "node").join(rare, "node", "left").withColumn("lone", F.coalesce("lone", F.lit(0)))
         blocks = F.ceil(F.col("members") / scheme.block).cast("int")
         x = side.withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).alias("x")
         y = side.withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int")).alias("y")
@@ -215,6 +215,7 @@ def near_classes(docs: DataFrame, scheme: Scheme = Scheme()) -> DataFrame:  # no
             (F.col("x.key") == F.col("y.key")) & (F.col("x.block") == F.col("y.block")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.label") != F.col("y.label"))
             & (100 * most_common >= scheme.percent * (F.col("x.n") + F.col("y.n") - most_common))
             & (matches(F.col("x.packed"), F.col("y.packed"), scheme.size) >= scheme.least_matches)
+            & ~F.arrays_overlap(F.slice("x.bands", F.lit(1), F.col("x.band")), F.slice("y.bands", F.lit(1), F.col("y.band")))  # it meets in no earlier band
         )
         rest = x.join(y, test).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
         labels = joined(labels, written(confirmed(rest, texts, scheme.percent), "minhash-links"))
