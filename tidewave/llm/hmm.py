@@ -159,7 +159,14 @@ def learn_words(docs: DataFrame, shape: Shape = Shape()) -> Vocabulary:  # noqa:
     counts = written(count_words(docs), "lm-counts")
     ends = docs.count()
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    top = counts.orderBy(F.desc("c"), "word").limit(shape.head).collect()  # bounded by shape.head
+    # the most frequent words, down to a count above which there are shape.head at most
+    size = F.floor(16 * F.log2("c")).cast("int")
+    least, room = 1 << 20, shape.head
+    for r in sorted(counts.groupBy(size.alias("b")).agg(F.count("*").alias("n")).collect(), key=lambda r: -r["b"]):
+        if (room := room - r["n"]) < 0:
+            break
+        least = r["b"]
+    top = sorted(counts.where(size >= least).collect(), key=lambda r: (-r["c"], r["word"]))
     words = [r["word"].encode() for r in top]
     c = np.array([r["c"] for r in top], np.float64)
     symbols = np.array([i + 1 if i < shape.own else symbol_of(shape, w) for i, w in enumerate(words)], np.uint16)
