@@ -229,19 +229,33 @@ def near_classes(docs: DataFrame, scheme: Scheme = Scheme()) -> DataFrame:  # no
     return found.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))
 
 
-def lone_shingles(texts: DataFrame) -> DataFrame:
-    """node, lone: how many of its shingles no other of these texts (node, deflated) has."""
+def lone_shingles(texts: DataFrame, most: int = 500_000) -> DataFrame:
+    """node, lone: how many of its shingles no other of these texts (node, deflated) has. A task counts shingles over the
+    texts that it reads, about `most` shingles at a time, before they are shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets: list[np.ndarray] = []
+        nodes: list[np.ndarray] = []
+
+        def counted() -> pa.RecordBatch:
+            shingle, first, n = np.unique(np.concatenate(sets), return_index=True, return_counts=True)
+            of = np.concatenate(nodes)[first]
+            sets.clear(), nodes.clear()
+            return pa.RecordBatch.from_arrays([pa.array(of), pa.array(shingle.view(np.int64)), pa.array(n.astype(np.int64))], names=["node", "shingle", "n"])
+
         for whole in batches:
             for start in range(0, whole.num_rows, 256):
                 batch = whole.slice(start, 256)
-                sets = sets_of(batch.column("deflated"))
-                nodes = np.repeat(batch.column("node").to_numpy(), [len(s) for s in sets])
-                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(np.concatenate(sets).view(np.int64), pa.int64())], names=["node", "shingle"])
-
-    each = texts.select("node", "deflated").mapInArrow(run, "node long, shingle long")
-    single = each.groupBy("shingle").agg(F.count("*").alias("n"), F.min("node").alias("node")).where("n = 1")
+                found = sets_of(batch.column("deflated"))
+                sets += found
+                nodes.append(np.repeat(batch.column("node").to_numpy(), [len(s) for s in found]))
+                if sum(map(len, nodes)) > most:
+                    yield counted()
+        if sets:
+            yield counted()
+
+    each = texts.select("node", "deflated").mapInArrow(run, "node long, shingle long, n long")
+    single = each.groupBy("shingle").agg(F.sum("n").alias("n"), F.min("node").alias("node")).where("n = 1")
     return single.groupBy("node").agg(F.count("*").alias("lone"))
 
 
