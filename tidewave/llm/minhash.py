@@ -28,6 +28,8 @@ class Scheme:
     percent: int = 80
     bands: int = 32
     rows: int = 4
+    #: Minima that no band uses: they only make the estimate of similarity from packed values more exact.
+    extra: int = 128
     #: Candidates are dropped whose estimate lies so many standard deviations under the least similarity.
     deviations: float = 5.0
     #: Up to so many members, all pairs of a bucket that aren't known to belong together are compared at once.
@@ -36,7 +38,7 @@ class Scheme:
 
     @property
     def size(self) -> int:
-        return self.bands * self.rows
+        return self.bands * self.rows + self.extra
 
     @property
     def least_matches(self) -> int:
@@ -63,7 +65,7 @@ class Hasher:
 
     def bands(self, minima: np.ndarray) -> np.ndarray:
         key = self.band.copy()
-        for column in minima.reshape(self.scheme.bands, self.scheme.rows).T.astype(np.uint64):
+        for column in minima[: self.scheme.bands * self.scheme.rows].reshape(self.scheme.bands, self.scheme.rows).T.astype(np.uint64):
             key = mix(key * np.uint64(0x9E3779B97F4A7C15) + column)
         return key.view(np.int64)
 
