@@ -36,9 +36,6 @@ class Columns:
             Path(self.folder, name).unlink(missing_ok=True)
 
 
-_LOW = np.int64((1 << 32) - 1)
-
-
 def build(strings: list[bytes], store: Columns | None = None, watch: int = 0) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     """(transform, common prefixes, repeated) of the strings.
 
@@ -55,11 +52,13 @@ def build(strings: list[bytes], store: Columns | None = None, watch: int = 0) ->
         return np.zeros(0, np.uint16), np.zeros(0, np.int32), []
     length = np.array([len(s) for s in strings])
     most = int(length.max())
-    column = np.zeros((most + 1, n), np.int64)  # column[t]: the symbol before each suffix of length t
+    kind, bits = (np.int32, 22) if length.sum() + n < 1 << 22 else (np.int64, 40)  # symbols above, places below
+    low_bits = kind((1 << bits) - 1)
+    column = np.zeros((most + 1, n), kind)  # column[t]: the symbol before each suffix of length t
     for i, s in enumerate(strings):
-        column[: len(s), i] = np.frombuffer(s, np.uint8)[::-1].astype(np.int64) + 1
-    column <<= np.int64(32)
-    first = column[0] | np.arange(n)
+        column[: len(s), i] = np.frombuffer(s, np.uint8)[::-1].astype(kind) + kind(1)
+    column <<= kind(bits)
+    first = column[0] | np.arange(n, dtype=kind)
     who = np.argsort(first)  # strings that go on, and the index of each one's last entry
     rank = np.arange(n)
     store.write("symbols", first[who])
@@ -69,16 +68,16 @@ def build(strings: list[bytes], store: Columns | None = None, watch: int = 0) ->
         who, rank = who[going], rank[going]
         if not len(who):
             break
-        entries, common = store.read("symbols", np.int64), store.read("common", np.int32)
+        entries, common = store.read("symbols", kind), store.read("common", np.int32)
         here = entries[rank]
         before, after = entries[np.maximum(rank - 1, 0)], entries[np.minimum(rank + 1, len(entries) - 1)]
-        same = (rank > 0) & (before >> 32 == here >> 32)
-        same_after = (rank + 1 < len(entries)) & (after >> 32 == here >> 32)
-        place = here & _LOW
-        up = np.where(same, least(common, (before & _LOW) + 1, place + 1, same) + 1, 0)
-        down = np.where(same_after, least(common, place + 1, (after & _LOW) + 1, same_after) + 1, 0)
+        same = (rank > 0) & (before >> bits == here >> bits)
+        same_after = (rank + 1 < len(entries)) & (after >> bits == here >> bits)
+        place = here & low_bits
+        up = np.where(same, least(common, (before & low_bits) + 1, place + 1, same) + 1, 0)
+        down = np.where(same_after, least(common, place + 1, (after & low_bits) + 1, same_after) + 1, 0)
         # suffixes of no symbols come first, then the others as their first symbols stand in the transform
-        at = n + rank - np.searchsorted(entries, np.int64(1) << 32)  # ascending, as rank is
+        at = (n + rank - np.searchsorted(entries, kind(1) << kind(bits))).astype(kind)  # ascending, as rank is
         old = np.ones(len(entries) + len(at), bool)
         old[at] = False
         grown = np.empty(len(old), np.int32)
@@ -86,22 +85,22 @@ def build(strings: list[bytes], store: Columns | None = None, watch: int = 0) ->
         follows = at + 1 < len(grown)
         grown[at[follows] + 1] = down[follows]  # of two new ones in a row, both say the same
         store.write("common", grown)
-        places = entries & _LOW
-        entries += np.flatnonzero(old)[places] - places
+        places = entries & low_bits
+        entries += np.flatnonzero(old).astype(kind)[places] - places
         added = column[t, who] | at
         by_symbol = np.argsort(added)
         added, who = added[by_symbol], who[by_symbol]
         rank = np.searchsorted(entries, added) + np.arange(len(added))
         old[:] = True
         old[rank] = False
-        wider = np.empty(len(old), np.int64)
+        wider = np.empty(len(old), kind)
         wider[old], wider[rank] = entries, added
         store.write("symbols", wider)
-    entries, common = store.read("symbols", np.int64), store.read("common", np.int32)
+    entries, common = store.read("symbols", kind), store.read("common", np.int32)
     store.clear()
     symbols = np.empty(len(entries), np.uint16)
-    symbols[entries & _LOW] = entries >> 32
-    return symbols, common, repeated(entries, common, n, length, watch) if watch else []
+    symbols[entries & low_bits] = entries >> bits
+    return symbols, common, repeated(entries, common, n, length, watch, bits) if watch else []
 
 
 def least(values: np.ndarray, first: np.ndarray, end: np.ndarray, where: np.ndarray) -> np.ndarray:
@@ -117,10 +116,11 @@ def least(values: np.ndarray, first: np.ndarray, end: np.ndarray, where: np.ndar
     return out
 
 
-def repeated(entries: np.ndarray, common: np.ndarray, n: int, length: np.ndarray, watch: int) -> list[np.ndarray]:
+def repeated(entries: np.ndarray, common: np.ndarray, n: int, length: np.ndarray, watch: int, bits: int) -> list[np.ndarray]:
     """Walks each string through the finished transform, from its end to its start."""
     step = np.empty(len(entries), np.int64)
-    step[entries & _LOW] = np.arange(len(entries)) + n - np.searchsorted(entries, np.int64(1) << 32)
+    one = entries.dtype.type(1 << bits)
+    step[entries & (one - 1)] = np.arange(len(entries)) + n - np.searchsorted(entries, one)
     shared = np.append(common >= watch, False)
     shared = shared[:-1] | shared[1:]
     out = [np.zeros(max(0, int(x) - watch + 1), bool) for x in length]

@@ -91,7 +91,43 @@ def wanted_texts(docs: DataFrame, keys: DataFrame, bits: int) -> DataFrame:
     return found.join(keys, "text_key", "left_semi").groupBy("text_key").agg(F.first("deflated").alias("deflated"))
 
 
-def repeats_in_collections(rows: DataFrame, texts: DataFrame, length: int, most_group: int) -> DataFrame:
+def shared(a: bytes, b: bytes) -> int:
+    """Bytes that a and b begin with alike."""
+    n = min(len(a), len(b))
+    if a[:n] == b[:n]:
+        return n
+    return int(np.argmax(np.frombuffer(a, np.uint8, n) != np.frombuffer(b, np.uint8, n)))
+
+
+def longest_shared(parts: list[bytes]) -> list[int]:
+    """For each part the longest beginning that some other has too: a neighbour in sorted order has it."""
+    order = sorted(range(len(parts)), key=parts.__getitem__)
+    out = [0] * len(parts)
+    for i, j in zip(order, order[1:], strict=False):
+        n = shared(parts[i], parts[j])
+        out[i], out[j] = max(out[i], n), max(out[j], n)
+    return out
+
+
+def trimmed(group: list[dict], length: int, anchor: int) -> list[dict]:
+    """The segments of one anchor without the starts that can't repeat: a repeated string lies, before its anchor and
+    after it, within what some other segment has there as well. Segments without such a start are left out."""
+    at = []
+    for r in group:
+        low, high = r["last"] - r["first"], length - anchor
+        part = r["bytes"][low : high + anchor]
+        at.append(low + int(np.argmax(window_hashes(np.frombuffer(part, np.uint8), anchor).view(np.int64) == r["anchor"])))
+    left = longest_shared([r["bytes"][:a][::-1] for r, a in zip(group, at, strict=True)])
+    right = longest_shared([r["bytes"][a + anchor :] for r, a in zip(group, at, strict=True)])
+    out = []
+    for r, a, before, after in zip(group, at, left, right, strict=True):
+        first, last = max(0, a - before), min(r["last"] - r["first"], a + anchor + after - length)
+        if first <= last:
+            out.append(r | {"first": r["first"] + first, "last": r["first"] + last, "bytes": r["bytes"][first : last + length]})
+    return out
+
+
+def repeats_in_collections(rows: DataFrame, texts: DataFrame, length: int, anchor: int, most_group: int) -> DataFrame:
     """text_key, first, last: repeated starts of those segments that occur once, from one row (anchor, content, n,
     text_key, first, last) for each different segment of an anchor.
 
@@ -124,6 +160,7 @@ def repeats_in_collections(rows: DataFrame, texts: DataFrame, length: int, most_
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict] = []
+        group: list[dict] = []  # of the anchor that is being read
 
         def done(rows_: list[dict]) -> pa.RecordBatch:
             flags = build([r["bytes"] for r in rows_], watch=length)[2]
@@ -132,10 +169,14 @@ def repeats_in_collections(rows: DataFrame, texts: DataFrame, length: int, most_
 
         for batch in batches:
             for row in batch.to_pylist():
-                if len(held) >= COLLECTION and row["anchor"] != held[-1]["anchor"]:
-                    yield done(held)
-                    held = []
-                held.append(row)
+                if group and row["anchor"] != group[0]["anchor"]:
+                    held += trimmed(group, length, anchor)
+                    group = []
+                    if len(held) >= COLLECTION:
+                        yield done(held)
+                        held = []
+                group.append(row)
+        held += trimmed(group, length, anchor)
         if held:
             yield done(held)
 
@@ -180,7 +221,7 @@ def without_repeats(docs: DataFrame, length: int = 400, *, anchor: int | None =
 
     keys = open_.select("text_key").unionByName(whole.select("text_key")).distinct()
     texts = written(wanted_texts(docs, keys, bits), "substring-texts")
-    spans = whole.unionByName(repeats_in_collections(open_, texts, length, most_group))
+    spans = whole.unionByName(repeats_in_collections(open_, texts, length, anchor, most_group))
     of_text = spans.groupBy("text_key").agg(F.collect_list(F.struct("first", "last")).alias("spans"))  # a text's own spans
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
