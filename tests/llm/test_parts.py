@@ -188,6 +188,28 @@ def test_near_copies_of_one_source_form_one_component(spark):
     assert {r["doc_id"]: r["component_id"] for r in out} == group
 
 
+def test_a_link_stays_where_only_one_side_shares_a_template_with_many(spark):
+    rng = random.Random(4)
+    template, texts, group = [f"t{i}" for i in range(30)], [], {}
+    for i in range(200):  # more than `small` of these meet by the template alone
+        texts.append(" ".join(template + [f"own{i}x{k}" for k in range(26)]))
+    for f in range(8):  # in each family only the last two are near each other, and other members are their buckets' pivots
+        core = [f"c{f}x{i}" for i in range(160)]
+        for i in range(30):
+            copy = list(core)
+            for k in rng.sample(range(5, 155, 10), 9):
+                copy[k] = f"edit{f}x{i}x{k}"
+            texts.append(" ".join(copy))
+        texts += [" ".join(core), " ".join(core + template)]
+        group[len(texts) - 1] = len(texts) - 2
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in map(str.split, texts)]
+    near = {(a, b) for a, b in itertools.combinations(range(len(sets)), 2) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    assert near == {(a, b) for b, a in group.items()}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = minhash.near_classes(docs, minhash.Scheme(rows=1)).collect()
+    assert {r["doc_id"]: r["component_id"] for r in out} == {i: group.get(i, i) for i in range(len(texts))}
+
+
 def test_warc_filters_and_skips(spark, tmp_path):
     pages = spark.createDataFrame([(1, "http://a/ü", "x" * 500), (2, None, "x" * 500), (3, "http://b", "")], "page_id long, url string, html string")
     path = str(tmp_path / "w")

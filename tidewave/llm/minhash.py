@@ -158,7 +158,8 @@ def near_classes(docs: DataFrame, scheme: Scheme = Scheme()) -> DataFrame:  # no
     2. in large buckets that hold several components after that, each with the class that has the fewest shingles of
        its own, as the source of many edited copies has;
     3. in buckets that still hold several components, all pairs from different components, tested block by
-       block within the join by their packed signatures, and by how many shingles a class shares with nobody.
+       block within the join by their packed signatures, and, where both are in large buckets, by how many shingles a
+       class shares with no other class of those.
     Candidates are confirmed on full shingle sets; components follow from confirmed links. Stage 3 makes the result
     the same as if all pairs of each bucket had been compared.
 
@@ -200,19 +201,23 @@ def near_classes(docs: DataFrame, scheme: Scheme = Scheme()) -> DataFrame:  # no
     left = mixed(labels)
 
     large = left.where(F.col("members") > scheme.small)
-    rare = written(lone_shingles(large.select("node").distinct().join(texts, "node")), "minhash-lone")
+    among = large.select("node").distinct()
+    # a row for each node of `among`, also for those with no shingle of their own
+    rare = written(among.join(lone_shingles(among.join(texts, "node")), "node", "left").select("node", F.coalesce("lone", F.lit(0)).alias("lone")), "minhash-lone")
     if rare.limit(1).count():
-        best = large.join(rare, "node", "left").join(classes.select("node", "n"), "node").groupBy("key").agg(F.min_by("node", F.struct((F.coalesce("lone", F.lit(0)) / F.col("n")).alias("share"), "node")).alias("pivot"))
+        best = large.join(rare, "node").join(classes.select("node", "n"), "node").groupBy("key").agg(F.min_by("node", F.struct((F.col("lone") / F.col("n")).alias("share"), "node")).alias("pivot"))
         stars = large.join(best, "key").where("node <> pivot").select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b")).distinct()
         labels = joined(labels, written(confirmed(likely(stars), texts, scheme.percent), "minhash-links"))
         left = mixed(labels)
 
     if left.limit(1).count():
-        side = left.join(classes.select("node", "packed", "n", "bands"), "node").join(rare, "node", "left").withColumn("lone", F.coalesce("lone", F.lit(0)))
+        side = left.join(classes.select("node", "packed", "n", "bands"), "node").join(rare, "node", "left")
         blocks = F.ceil(F.col("members") / scheme.block).cast("int")
         x = side.withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).alias("x")
         y = side.withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int")).alias("y")
-        most_common = F.least(F.col("x.n") - F.col("x.lone"), F.col("y.n") - F.col("y.lone"))
+        # lone shingles are counted among nodes of large buckets: they bound what two such nodes share, and nothing else
+        counted = F.col("x.lone").isNotNull() & F.col("y.lone").isNotNull()
+        most_common = F.when(counted, F.least(F.col("x.n") - F.col("x.lone"), F.col("y.n") - F.col("y.lone"))).otherwise(F.least("x.n", "y.n"))
         test = (
             (F.col("x.key") == F.col("y.key")) & (F.col("x.block") == F.col("y.block")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.label") != F.col("y.label"))
             & (100 * most_common >= scheme.percent * (F.col("x.n") + F.col("y.n") - most_common))
