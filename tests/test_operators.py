@@ -153,3 +153,18 @@ def test_segments_share_labels(spark):
     out = combine_firing_segments(*map(list, zip(*parts, strict=True)), clip_size=5, edge=10).orderBy("time").collect()
     assert [r["label"] for r in out] == [1, 2] * 3 + [2, 1, 3] * 3
     assert out[6]["time"] == parts[0][2] + 40
+
+
+def test_a_unit_with_later_peaks_on_another_channel_is_kept_once(spark):
+    t = np.arange(40)
+    bump = lambda at, top: top * np.exp(-(((t - at) / 3.0) ** 2))
+    first = [bump(19, 10), bump(26, 8)]  # channel 2 peaks 7 samples after channel 1
+    second = [bump(12, 10), bump(19, 8)]  # the same, by the time of its peak on channel 2
+    means = spark.createDataFrame([(k, c, i, float(v)) for k, unit in ((1, first), (2, second)) for c, row in enumerate(unit, 1) for i, v in enumerate(row)], "label int, channel int, t int, v double")
+    central = spark.createDataFrame([(1, 1), (2, 2)], "label int, m int")
+    rows = firings(spark, [x for i in range(20) for x in ((100 * i, 1), (100 * i + 7, 2))])
+    assert {(r["k1"], r["k2"]): r["lag"] for r in sorting.best_lags(means, sorting.merge_candidates(means, central)).collect()} == {(1, 2): -7, (2, 1): 7}
+    kept = sorting.merge_across_channels(rows, means, central).collect()
+    assert len(kept) == 20 and {r["label"] for r in kept} == {1}
+    apart = firings(spark, [x for i in range(20) for x in ((100 * i, 1), (100 * i + 40, 2))])
+    assert sorting.merge_across_channels(apart, means, central).count() == 40

@@ -86,15 +86,28 @@ def merge_candidates(means: DataFrame, central: DataFrame, ratio: float = 0.3) -
     return pairs.where(fits("p11", "p12") & fits("p21", "p22") & fits("p11", "p21") & fits("p12", "p22")).select("k1", "k2")
 
 
+def best_lags(means: DataFrame, pairs: DataFrame, most: int = 10) -> DataFrame:
+    """k1, k2, lag: by how much, up to `most` either way, events of k2 are moved so that its template fits k1's best: the
+    lag with the largest positive product of the templates (around the ends), of equals the largest, 0 without any."""
+    size = means.agg(F.max("t") + 1).first()[0]
+    lags = pairs.withColumn("lag", F.explode(F.sequence(F.lit(-most), F.lit(most))))  # labels only
+    a = means.select(F.col("label").alias("k1"), "channel", F.col("t").alias("at"), F.col("v").alias("v1"))
+    b = means.select(F.col("label").alias("k2"), "channel", "t", F.col("v").alias("v2"))
+    moved = lags.join(b, "k2").withColumn("at", F.pmod(F.col("t") - F.col("lag"), F.lit(size)))
+    fit = moved.join(a, ["k1", "channel", "at"]).groupBy("k1", "k2", "lag").agg(F.sum(F.col("v1") * F.col("v2")).alias("fit"))
+    best = fit.groupBy("k1", "k2").agg(F.max_by("lag", F.when(F.col("fit") > 0, F.struct("fit", "lag"))).alias("lag"))
+    return pairs.join(best, ["k1", "k2"], "left").select("k1", "k2", F.coalesce("lag", F.lit(0)).alias("lag"))
+
+
 def merge_across_channels(firings: DataFrame, means: DataFrame, central: DataFrame, *, reach: float = 4, share: float = 0.3) -> DataFrame:
     """Drops clusters that repeat one seen on another channel. Clusters are taken by their own peak, largest first; one
-    goes if `share` of its events lie within `reach` of events of candidates already kept.
+    goes if `share` of its events lie within `reach` of events of candidates already kept, moved by their best lag.
 
     For each cluster Spark counts its events by the set of candidates that have one nearby; the sequence of decisions,
     over labels only, is made from these counts.
     """
-    pairs = checkpointed(merge_candidates(means, central))
-    a = firings.select("event_id", F.col("label").alias("k1"), F.col("time").alias("t1")).join(F.broadcast(pairs), "k1")
+    pairs = checkpointed(best_lags(means, merge_candidates(means, central)))
+    a = firings.select("event_id", F.col("label").alias("k1"), "time").join(F.broadcast(pairs), "k1").withColumn("t1", F.col("time") - F.col("lag"))
     b = firings.select(F.col("label").alias("kb"), F.col("time").alias("t2"))
     near = band_join(a, b, left_time="t1", right_time="t2", before=reach, after=reach, on=F.col("k2") == F.col("kb"))
     sets = near.groupBy("event_id", "k1").agg(F.sort_array(F.collect_set("k2")).alias("others")).groupBy("k1", "others").agg(F.count("*").alias("n")).collect()
