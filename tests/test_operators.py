@@ -168,3 +168,20 @@ def test_a_unit_with_later_peaks_on_another_channel_is_kept_once(spark):
     assert len(kept) == 20 and {r["label"] for r in kept} == {1}
     apart = firings(spark, [x for i in range(20) for x in ((100 * i, 1), (100 * i + 40, 2))])
     assert sorting.merge_across_channels(apart, means, central).count() == 40
+
+
+def test_peaks_come_from_all_events_and_not_from_a_sample(spark):
+    rng = np.random.default_rng(11)
+    x = series(spark, rng.normal(size=(2, 2000)))
+    rows = firings(spark, [(int(t), 1 + i % 2) for i, t in enumerate(rng.integers(0, 2000, 120))] + [(50, 3)])
+    clips = templates.extract_clips(x, rows, 8)
+    whole = {(r["label"], r["channel"], r["t"]): r for r in templates.clip_statistics(clips).collect()}
+    ours = templates.event_statistics(x, rows, 8).collect()
+    assert len(ours) == len(whole) == 3 * 2 * 8
+    for r in ours:
+        want = whole[r["label"], r["channel"], r["t"]]
+        assert r["mean"] == pytest.approx(want["mean"], abs=1e-9) and r["stdev"] == pytest.approx(want["stdev"], abs=1e-9)
+    peaks = {r["label"]: r for r in metrics.peak_metrics(templates.clip_statistics(clips)).collect()}
+    for r in sorting.isolation_metrics(x, rows, 8, length=2000, most=10).collect():
+        assert r["peak_amp"] == pytest.approx(peaks[r["label"]]["peak_amp"], abs=1e-9)
+        assert r["peak_snr"] == pytest.approx(peaks[r["label"]]["peak_snr"], abs=1e-9)

@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 
 from tidewave.functions.kernels import principal_axes, split_clusters
 from tidewave.operators.joins import band_join
-from tidewave.operators.templates import clip_statistics, extract_clips, middle, templates
+from tidewave.operators.templates import clip_statistics, event_statistics, extract_clips, middle, templates
 from tidewave.operators.timeseries import detect_events
 from tidewave.plans.storage import checkpointed
 
@@ -231,15 +231,15 @@ def noise_overlap(series: DataFrame, firings: DataFrame, clip_size: int, *, leng
 
 
 def isolation_metrics(series: DataFrame, firings: DataFrame, clip_size: int, *, length: int, most: int = 500) -> DataFrame:
-    """label, peak_amp, peak_noise, peak_snr, noise_overlap, isolation, overlap_cluster."""
+    """label, peak_amp, peak_noise, peak_snr, noise_overlap, isolation, overlap_cluster. Peaks and the templates that choose
+    pairs come from all events; only the two measures by nearest neighbours from up to `most` of each label."""
     from tidewave.operators.metrics import isolation, pair_overlap, pairs_to_compare, peak_metrics
 
     rank = Window.partitionBy("label").orderBy(F.xxhash64("event_id"), "event_id")
     some = firings.withColumn("r", F.row_number().over(rank)).where(F.col("r") <= most)
     clips = checkpointed(extract_clips(series, some.select("event_id", "time", "label"), clip_size))
-    stats = clip_statistics(clips)
-    means = stats.select("label", "channel", "t", F.col("mean").alias("v"))
-    pairs = pairs_to_compare(means).select(F.least("k1", "k2").alias("k1"), F.greatest("k1", "k2").alias("k2")).distinct()
+    stats = event_statistics(series, firings, clip_size)
+    pairs = pairs_to_compare(templates(series, firings, clip_size)).select(F.least("k1", "k2").alias("k1"), F.greatest("k1", "k2").alias("k2")).distinct()
     points = clip_features(clips).select(F.col("event_id").alias("id"), "label", "f")
     alone = isolation(pair_overlap(points, pairs, most=most), firings)
     return peak_metrics(stats).join(noise_overlap(series, firings, clip_size, length=length, most=most), "label", "left").join(alone, "label", "left")

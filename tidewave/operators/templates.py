@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidewave.plans.storage import checkpointed
+
 
 def middle(clip_size: int) -> int:
     """Which sample of a clip lies at the event."""
@@ -61,6 +63,26 @@ def clip_statistics(clips: DataFrame) -> DataFrame:
     return stats.select("label", "channel", "t", F.when(many, F.col("m")).otherwise(F.lit(0.0)).alias("mean"), F.when(many, F.col("s")).otherwise(F.lit(0.0)).alias("stdev"))
 
 
+def event_statistics(series: DataFrame, events: DataFrame, clip_size: int) -> DataFrame:
+    """clip_statistics of the clips of all events, without making the clips: events of a label at one time are one row with
+    a weight. Samples beyond the series count as 0."""
+    sizes = events.groupBy("label").agg(F.count("*").alias("n"))
+    steps = F.explode(F.sequence(F.lit(0), F.lit(clip_size - 1))).alias("t")
+    places = events.groupBy("label", F.col("time").cast("long").alias("_at")).agg(F.count("*").alias("w"))
+    asked = places.select("label", "w", "_at", steps).withColumn("_ts", F.col("_at") + F.col("t") - middle(clip_size))
+    found = asked.join(series.select("channel", F.col("t").alias("_ts"), "v"), "_ts")
+    by = ["label", "channel", "t"]
+    sums = found.groupBy(*by).agg(F.sum(F.col("v") * F.col("w")).alias("s"))
+    grid = sizes.crossJoin(F.broadcast(series.select("channel").distinct())).withColumn("t", steps)
+    means = checkpointed(grid.join(sums, by, "left").select(*by, "n", (F.coalesce("s", F.lit(0.0)) / F.col("n")).alias("mean")))
+    # squares are taken from the mean, so that equal samples have a deviation of 0
+    squares = found.join(F.broadcast(means), by).groupBy(*by).agg(F.sum(F.pow(F.col("v") - F.col("mean"), 2) * F.col("w")).alias("ss"), F.sum("w").alias("inside"))  # labels by channels by clip size
+    beyond = (F.col("n") - F.coalesce("inside", F.lit(0))) * F.col("mean") * F.col("mean")
+    many = F.col("n") >= 2
+    stdev = F.sqrt((F.coalesce("ss", F.lit(0.0)) + beyond) / F.col("n"))
+    return means.join(squares, by, "left").select(*by, F.when(many, F.col("mean")).otherwise(F.lit(0.0)).alias("mean"), F.when(many, stdev).otherwise(F.lit(0.0)).alias("stdev"))
+
+
 def view_templates(series: DataFrame, events: DataFrame, clip_size: int, *, max_events: int = 500, subtract_mean: bool = True) -> DataFrame:
     """Templates over at most max_events evenly spaced events of each label, less their mean over time if asked for."""
     from tidewave.operators.events import subsample_firings

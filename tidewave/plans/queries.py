@@ -419,7 +419,7 @@ def sort_events(spark, d):
 
 @query()
 def isolation_metrics(spark, d):
-    return so.isolation_metrics(timeseries(spark, d), minute_events(spark, d), CLIP, length=MINUTES, most=100)
+    return so.isolation_metrics(timeseries(spark, d), minute_events(spark, d), CLIP, length=MINUTES)
 
 
 @query()
