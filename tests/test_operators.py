@@ -185,3 +185,14 @@ def test_peaks_come_from_all_events_and_not_from_a_sample(spark):
     for r in sorting.isolation_metrics(x, rows, 8, length=2000, most=10).collect():
         assert r["peak_amp"] == pytest.approx(peaks[r["label"]]["peak_amp"], abs=1e-9)
         assert r["peak_snr"] == pytest.approx(peaks[r["label"]]["peak_snr"], abs=1e-9)
+
+
+def test_the_synthetic_series_is_as_long_as_the_recording(spark):
+    from tidewave.plans.queries import QUERIES
+
+    events = spark.createDataFrame([(1, 1, 2_500_000, 1, 1.0)], "event_id long, channel int, time long, label int, amplitude double")
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr("tidewave.plans.queries.firings", lambda *_: events)
+        x = QUERIES["synthesize_timeseries"](spark, None)
+    span = x.agg(F.count("*").alias("n"), F.max("t").alias("top"), F.max(F.when(F.abs(F.col("t") - 2_500_000) <= 30, F.abs("v"))).alias("peak")).first()
+    assert span["n"] == 5 * 2_592_000 and span["top"] == 2_591_999 and span["peak"] > 5.5

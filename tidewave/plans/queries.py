@@ -425,5 +425,5 @@ def isolation_metrics(spark, d):
 @query()
 def synthesize_timeseries(spark, d):
     waves = sy.random_waveforms(spark, channels=5, size=60, units=8, upsample=3)
-    events = firings(spark, d).where("time < 60000").select("event_id", "channel", F.col("time").cast("double").alias("time"), "label")
-    return rounded(sy.synthesize_timeseries(spark, waves, events, channels=5, length=60_000, size=60, upsample=3), "v")
+    events = firings(spark, d).select("event_id", "channel", F.col("time").cast("double").alias("time"), "label")
+    return rounded(sy.synthesize_timeseries(spark, waves, events, channels=5, length=60 * MINUTES, size=60, upsample=3), "v")
