@@ -175,6 +175,12 @@ def extract_clips(spark, d):
     return tp.extract_clips(timeseries(spark, d), some, CLIP, channels=[2, 3])
 
 
+@query("firings", "timeseries", oracle=f"""WITH ev AS (SELECT event_id, time // 60 AS m FROM firings)
+SELECT event_id, CAST(c AS INT) AS channel, CAST(o AS INT) AS t, coalesce(v, 0.0) AS v FROM ev CROSS JOIN range(1, 6) a(c) CROSS JOIN range({CLIP}) b(o) LEFT JOIN timeseries x ON x.channel = c AND x.t = m + o - 9""")
+def extract_all_clips(spark, d):
+    return tp.extract_clips(timeseries(spark, d), minute_events(spark, d).drop("label"), CLIP)
+
+
 STATS_SQL = "st AS (SELECT label, channel, t, CASE WHEN count(*) >= 2 THEN avg(v) ELSE 0.0 END AS m, CASE WHEN count(*) >= 2 THEN stddev_pop(v) ELSE 0.0 END AS s FROM clips GROUP BY label, channel, t)"
 
 
@@ -249,6 +255,12 @@ def concat_timeseries(spark, d):
     return ts.concat_timeseries([x, x.withColumn("v", F.col("v") * 2)], [MINUTES, MINUTES])
 
 
+@query("timeseries", oracle="SELECT channel, t, v FROM timeseries UNION ALL SELECT channel, t + 43200, v * 2 FROM timeseries")
+def concat_all_timeseries(spark, d):
+    x = timeseries(spark, d)
+    return ts.concat_timeseries([x, x.withColumn("v", F.col("v") * 2)], [MINUTES, MINUTES])
+
+
 @query("geom", oracle="SELECT CASE channel WHEN 4 THEN 1 WHEN 2 THEN 2 ELSE 3 END AS channel, x, y FROM geom WHERE channel IN (4, 2, 5)")
 def extract_geom(spark, d):
     return ts.extract_geom(geom(spark, d), [4, 2, 5])
