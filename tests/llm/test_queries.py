@@ -124,6 +124,14 @@ def test_op5(spark, folder):
     for text in (LONG * 200, "a  b \n\n c" * 9000, "x" * 50_000, "it's 'llo 12a " * 5000, "  é " * 9000):
         assert "".join(pieces(text)) == text
         assert encode(text, path, P.PATTERN) == plain.encode_ordinary(text)
+    # runs on which the library's regex would run out of stack: one match each, by the pattern
+    for run in (" " * 1_000_000, "\n" * 1_000_000, " \u3000\t" * 400_000):
+        assert encode(run, path, P.PATTERN) == plain._encode_single_piece(run)
+        assert encode("a" + run + " b", path, P.PATTERN) == [*plain.encode_ordinary("a"), *plain._encode_single_piece(run), *plain.encode_ordinary(" b")]
+        assert encode(run + "\nb", path, P.PATTERN) == [*plain._encode_single_piece(run), *plain.encode_ordinary("\nb")]
+    for run in (" " * 5000, "\n" * 5000, " \u3000\t" * 3000, "\x1c" * 5000, "x" * 1_000_000, "\u0301" * 300_000, "漢" * 300_000, "-=" * 300_000):
+        for text in (run, "a" + run, run + "b", "é" + run + "7" + run + "!", run + "\u0301", run + "'s"):
+            assert encode(text, path, P.PATTERN) == plain.encode_ordinary(text)
     want = Counter()
     for i, t in TEXTS:
         ids = plain.encode_ordinary(t or "")

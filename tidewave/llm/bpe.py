@@ -19,11 +19,15 @@ PIECE = 20_000
 #: character within a match, and no lookahead reaches back over the boundary. Only ASCII is used, on whose classes
 #: all regex engines agree.
 SAFE = re.compile(r"[A-Za-z0-9.,;:!?](?=[ \n\t])")
+#: The characters that Unicode calls white space, as the library's regex engine takes them.
+WHITE = "\t\n\v\f\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: A run of white space this long is not left to the regex, whose stack grows with it.
+LONG_RUN = re.compile(f"[{WHITE}]{{4096,}}")
 
 
 def pieces(text: str, size: int = PIECE) -> Iterator[str]:
     """Cuts a text at safe boundaries, so that the pieces' ids one after another are the text's ids.
-    A piece is longer than size where no boundary comes."""
+    A piece is longer than size where no boundary comes; the library's merges are not slowed by that."""
     start = 0
     while len(text) - start > size:
         m = SAFE.search(text, start + size - 1)
@@ -44,10 +48,24 @@ def encoding(rank_file: str, pattern: str):
     return tiktoken.Encoding("local", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
+def matches(text: str) -> Iterator[tuple[str, bool]]:
+    """(part, whether it is one match of the split pattern): a long run of white space is one match, but for its last
+    character where another character follows, which the next match may take; the parts between are cut further."""
+    upto = 0
+    for run in LONG_RUN.finditer(text):
+        end = run.end() - (run.end() < len(text))
+        yield from ((p, False) for p in pieces(text[upto : run.start()]))
+        yield text[run.start() : end], True
+        upto = end
+    yield from ((p, False) for p in pieces(text[upto:]))
+
+
 def encode(text: str | None, rank_file: str, pattern: str) -> list[int]:
+    """The library's ids of a text, however long it is. The pattern is one whose matches hold white space only before
+    other characters or alone, as public_tokenizers.PATTERN."""
     enc, ids = encoding(rank_file, pattern), []
-    for piece in pieces(text or ""):
-        ids += enc.encode_ordinary(piece)
+    for part, whole in matches(text or ""):
+        ids += enc._encode_single_piece(part) if whole else enc.encode_ordinary(part)
     return ids
 
 
@@ -62,7 +80,8 @@ def encode_documents(docs: DataFrame, rank_file: str, pattern: str, *, carry: li
     rank_file lies at the same path on every executor, as an installed package's data do. Returns the columns
     in carry, n_tokens, and ids and decoded (binary) if keep_ids, or ids_sha256 and decoded_sha256 if digests.
     A null text is an empty one: no ids. Rows that repeat give rows that repeat; an empty table gives no rows;
-    columns not carried are ignored. The work is one pass over the rows, without a shuffle.
+    columns not carried are ignored. A very long text is encoded in parts, of which the ids are joined: what a task
+    holds grows with its longest text and not with a batch. The work is one pass over the rows, without a shuffle.
     """
     fields = [f for f in docs.schema.fields if f.name in carry]
     made = "n_tokens long" + ", ids array<int>, decoded binary" * keep_ids + ", ids_sha256 string, decoded_sha256 string" * digests
