@@ -89,10 +89,56 @@ def test_viterbi_finds_the_best_labels():
 def test_field_learns_junk_lines():
     good = quality.lines_of("A plain sentence of some length stands here.\nAnd another one follows it, as it should.")
     bad = quality.lines_of("ab | cd | ef | gh | ij | kl |\n### $$$ a### b$$$ c&&&")
-    model = quality.fit([([b for b, _ in good], 1)] * 20 + [([b for b, _ in bad], 0)] * 20)
+    model = quality.fit([([b for b, _ in good], [1, 1])] * 20 + [([b for b, _ in bad], [0, 0])] * 20)
     assert model.viterbi([b for b, _ in good]) == [1, 1] and model.viterbi([b for b, _ in bad]) == [0, 0]
 
 
+def mixed_texts(rng):
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8)))
+    plain = lambda: " ".join(word() for _ in range(rng.randint(8, 14))).capitalize() + "."
+    junk = lambda: " | ".join(word() for _ in range(rng.randint(8, 14))) + " |"
+    footer = lambda: "All rights reserved, " + word() + ". Terms and privacy."
+    good = lambda: [(plain(), 1) for _ in range(rng.randint(3, 6))] + [(footer(), 0)]
+    bad = lambda: [(plain(), 1) for _ in range(rng.randint(0, 2))] + [(junk(), 0) for _ in range(rng.randint(6, 9))]
+    return good, bad
+
+
+def test_line_labels_differ_within_documents_of_one_quality(spark):
+    rng = random.Random(11)
+    good, bad = mixed_texts(rng)
+    made = [(i, good() if i % 2 else bad(), i % 2) for i in range(160)]
+    docs = spark.createDataFrame([(i, "\n".join(x for x, _ in lines)) for i, lines, _ in made], "doc_id long, text string")
+    model = quality.train(docs.where("doc_id < 120"), spark.createDataFrame([(i, q) for i, _, q in made if i < 120], "doc_id long, quality int"))
+    out = {r["doc_id"]: r for r in quality.judge(docs, model, marks=True).collect()}
+    for i, lines, q in made[120:]:
+        assert list(out[i]["content_lines"]) == [y for _, y in lines]
+        share = sum(len(x.replace(" ", "")) for x, y in lines if y) / sum(len(x.replace(" ", "")) for x, _ in lines)
+        assert abs(out[i]["content_share"] - share) < 1e-9 and (share < 1) and (q == 0 or share > 0)
+        assert out[i]["kept"] == (not out[i]["base_failed"] and share >= 0.5) and (share >= 0.5) == bool(q)
+    assert any(0 < out[i]["content_share"] < 0.5 for i, *_ in made[120:])
+
+
+def test_the_field_s_gradient_is_that_of_the_likelihood():
+    rng = np.random.default_rng(12)
+    chains = [([int(rng.integers(1, 1 << 33)) | 1 for _ in range(n)], rng.integers(0, 2, n).tolist()) for n in (1, 2, 3, 4, 3)]
+    weight = [1.0, 2.0, 1.0, 0.5, 1.0]
+
+    def loss(f):
+        total = 0.0
+        for (bits, labels), w in zip(chains, weight, strict=True):
+            value = lambda y: f.start[y[0]] + sum(f.score(b) for b, v in zip(bits, y, strict=True) if v) + sum(f.move[a, b] for a, b in itertools.pairwise(y))  # noqa: B023, E731
+            total += w * (value(labels) - math.log(sum(math.exp(value(y)) for y in itertools.product((0, 1), repeat=len(bits)))))
+        return total - sum((x**2).sum() for x in (f.emit, f.move, f.start))  # ridge of 2
+
+    best = quality.fit(chains, weight, rounds=3000, rate=0.02)
+    for part in ("emit", "move", "start"):
+        for k in range(min(6, getattr(best, part).size)):
+            for d in (-0.05, 0.05):
+                other = quality.Field(best.emit.copy(), best.move.copy(), best.start.copy())
+                getattr(other, part).reshape(-1)[k] += d
+                assert loss(other) <= loss(best) + 1e-6
+
+
 def test_trigram_queries_never_lose_a_match():
     rng = random.Random(5)
     samples = {"assign": 'PassWord" = abcdefgh', "access": "AKIA" + "Q" * 16, "hex": "0f" * 15, "private_key": "-----BEGIN RSA PRIVATE KEY-----abc-----END RSA PRIVATE KEY-----", "hub_token": "ghp_" + "a" * 36, "chat_token": "xoxb-0123456789", "pay_key": "sk_live_0123456789abcdef", "web_token": "eyJabcdefghijk.eyJabcdefghijk.abc"}

@@ -10,6 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: The bytes that separate words: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
@@ -83,9 +84,9 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20):
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: dict[int, int], where: Column | None = None) -> DataFrame:
-    """Whole texts (null: empty) with a label: of each label value at most so many rows, those with the smallest
-    hash of their id, so that the same rows are taken however the tables are split. Rows of labels without a label
-    or id are left out, and an id's texts that repeat are taken once."""
+    """Whole texts (null: empty) with a label: of each label value at most so many ids, those with the smallest hash, so
+    that the same rows are taken however the tables are split, and at most as many texts, also where an id has
+    several. Rows of labels without a label or id are left out, and an id's texts that repeat are taken once."""
     ids = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).where("doc_id IS NOT NULL")
     ids = ids if where is None else ids.where(where)
     parts = [ids.where(F.col("label") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for v, n in most.items()]
@@ -93,4 +94,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: dict[i
     for part in parts[1:]:
         chosen = chosen.unionByName(part)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.join(F.broadcast(chosen.distinct()), "doc_id").dropDuplicates(["doc_id", "label", "text"])  # bounded by `most`
+    rows = rows.join(F.broadcast(chosen.distinct()), "doc_id").dropDuplicates(["doc_id", "label", "text"])  # bounded by `most`
+    order = Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"), "text")
+    ranked = rows.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= max(most.values()))
+    allowed = F.create_map(*[F.lit(x) for pair in most.items() for x in pair])
+    return ranked.where(F.col("_r") <= allowed[F.col("label")]).drop("_r")

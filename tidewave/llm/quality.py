@@ -101,65 +101,114 @@ class Field:
         return s
 
 
-def fit(chains: list[tuple[list[int], int]], rounds: int = 150, rate: float = 0.15, ridge: float = 2.0) -> Field:
-    """Maximum likelihood with a ridge penalty: chains of (feature bits of the lines, label of all lines)."""
-    chains = sorted((c for c in chains if c[0]), key=lambda c: -len(c[0]))
-    if len({y for _, y in chains}) < 2:
+def marginals(e: np.ndarray, start: np.ndarray, trans: np.ndarray, w: np.ndarray, at: np.ndarray, alive: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """(likelihood of each label of each line, expected moves over all chains, each counting w) by the forward and
+    backward recursion; chains are sorted by length, begin at `at`, and alive[t] of them are longer than t."""
+    alpha, beta, scale, pairs = np.zeros_like(e), np.ones_like(e), np.ones(len(e)), np.zeros((2, 2))
+    for t, going in enumerate(alive):
+        i = at[:going] + t
+        a = (start[None] if t == 0 else alpha[i - 1] @ trans) * e[i]
+        scale[i] = a.sum(1)
+        alpha[i] = a / scale[i][:, None]
+    for t in range(len(alive) - 2, -1, -1):
+        i = at[: alive[t + 1]] + t
+        eb = e[i + 1] * beta[i + 1] / scale[i + 1][:, None]
+        beta[i] = eb @ trans.T
+        pairs += trans * ((alpha[i] * w[: len(i), None]).T @ eb)
+    return alpha * beta, pairs
+
+
+def fit(chains: list[tuple[list[int], list[int]]], weight: list[float] | None = None, *, rounds: int = 150, rate: float = 0.15, ridge: float = 2.0, begin: Field | None = None, moves: bool = True) -> Field:
+    """Maximum likelihood with a ridge penalty: chains of (feature bits of the lines, their labels), and how much each
+    chain counts; without moves a line's label depends on the line alone. Without lines of both labels every line is
+    content."""
+    weight = [1.0] * len(chains) if weight is None else weight
+    kept = sorted((i for i, c in enumerate(chains) if c[0]), key=lambda i: -len(chains[i][0]))
+    if len({y for i in kept for y in chains[i][1]}) < 2:
         return Field.empty()
-    length = np.array([len(b) for b, _ in chains])
-    n, most = len(chains), int(length[0])
+    length = np.array([len(chains[i][0]) for i in kept])
+    n, most = len(kept), int(length[0])
     at = np.concatenate([[0], np.cumsum(length)])
-    bits = np.array([b for c, _ in chains for b in c], np.int64)
+    bits = np.array([b for i in kept for b in chains[i][0]], np.int64)
     x = (bits[:, None] >> np.arange(N_FEATURES + 1) & 1).astype(np.float64)
-    y = np.repeat([y for _, y in chains], length).astype(np.float64)
-    label = np.array([y for _, y in chains])
+    y = np.array([v for i in kept for v in chains[i][1]])
+    w = np.array([weight[i] for i in kept], np.float64)
+    per_line = np.repeat(w, length)
     alive = [int(np.searchsorted(-length, -t, "left")) for t in range(most)]  # chains longer than t: the first ones
-    weight = np.where(label == 1, 1.0, (label == 1).sum() / max(1, (label == 0).sum()))  # both labels count alike
-    per_line = np.repeat(weight, length)
-    p = np.zeros(N_FEATURES + 1 + 6)
+    inner = np.ones(len(y), bool)  # lines with one before them
+    inner[at[:-1]] = False
+    seen, first_seen = np.zeros((2, 2)), np.zeros(2)
+    np.add.at(seen, (y[np.flatnonzero(inner) - 1], y[inner]), per_line[inner])
+    np.add.at(first_seen, y[at[:-1]], w)
+    p = np.zeros(N_FEATURES + 1 + 6) if begin is None else np.concatenate([begin.emit, begin.move.ravel(), begin.start])
     first, second = np.zeros_like(p), np.zeros_like(p)
     for step in range(1, rounds + 1):
         emit, move, start = p[: N_FEATURES + 1], p[N_FEATURES + 1 : N_FEATURES + 5].reshape(2, 2), p[N_FEATURES + 5 :]
         e = np.stack([np.zeros(len(x)), x @ emit], 1)
         top = e.max(1, keepdims=True)
         e, trans = np.exp(e - top), np.exp(move)
-        alpha, beta, scale = np.zeros_like(e), np.ones_like(e), np.ones(len(e))
-        for t in range(most):
-            i = at[: alive[t]] + t
-            a = (np.exp(start)[None] if t == 0 else alpha[i - 1] @ trans) * e[i]
-            scale[i] = a.sum(1)
-            alpha[i] = a / scale[i][:, None]
-        pairs = np.zeros((2, 2))
-        for t in range(most - 2, -1, -1):
-            i = at[: alive[t + 1]] + t
-            eb = e[i + 1] * beta[i + 1] / scale[i + 1][:, None]
-            beta[i] = eb @ trans.T
-            pairs += np.einsum("n,na,ab,nb->ab", weight[: alive[t + 1]], alpha[i], trans, eb)
-        gamma = alpha * beta
+        if moves:
+            gamma, pairs = marginals(e, np.exp(start), trans, w, at, alive)
+        else:
+            gamma = e / e.sum(1, keepdims=True)
         grad = np.zeros_like(p)
         grad[: N_FEATURES + 1] = x.T @ ((y - gamma[:, 1]) * per_line)
-        seen = np.zeros((2, 2))
-        for v in (0, 1):
-            seen[v, v] = (weight * (length - 1))[label == v].sum()
-        grad[N_FEATURES + 1 : N_FEATURES + 5] = (seen - pairs).ravel()
-        grad[N_FEATURES + 5 :] = [(weight * (label == v)).sum() - (weight[:, None] * gamma[at[:n]])[:, v].sum() for v in (0, 1)]
+        if moves:
+            grad[N_FEATURES + 1 : N_FEATURES + 5] = (seen - pairs).ravel()
+            grad[N_FEATURES + 5 :] = first_seen - w @ gamma[at[:n]]
         grad = (grad - ridge * p) / n
         first, second = 0.9 * first + 0.1 * grad, 0.999 * second + 0.001 * grad**2
         p = p + rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
     return Field(p[: N_FEATURES + 1].copy(), p[N_FEATURES + 1 : N_FEATURES + 5].reshape(2, 2).copy(), p[N_FEATURES + 5 :].copy())
 
 
-def train(docs: DataFrame, labels: DataFrame, most: int = 3000) -> Field:
-    """Fits the field on a bounded sample: at most `most` labelled documents of each quality. The lines of a document
-    have its label. Without labelled documents of both kinds every line is content."""
+#: The feature bit that marks a line of a good document as boilerplate before anything is learned: a notice.
+SEEDS = 1 << 32
+
+
+def content_share(labels: list[int], chars: list[int]) -> float:
+    """The share of characters in words that lie in content lines; 1 without lines."""
+    total = sum(chars)
+    return sum(c for c, y in zip(chars, labels, strict=True) if y) / total if total else 1.0
+
+
+def fit_documents(documents: list[tuple[list[int], list[int], int]], *, least_content: float = 0.5, passes: int = 3) -> Field:
+    """Learns line labels from documents of (feature bits of the lines, characters in words of each, quality 0 or 1).
+
+    Which lines are boilerplate isn't known, only how good the document is. At first a good document's lines are
+    content but for those that SEEDS mark, a bad one's are all boilerplate. Then, in passes, a field is fitted, first
+    without moves, so that a line is seen as such and not as one of its document, and every document is decoded by it. The
+    decoded labels are learned from next, where they agree with what is known: at least least_content of a good
+    document and less of a bad one is content. Others keep their first labels. So bad documents keep their plain lines, good
+    ones lose their junk, and moves between the two kinds are learned.
+    """
+    seeds = [([0 if b & SEEDS else 1 for b in bits] if quality else [0] * len(bits)) for bits, _, quality in documents]
+    for i, (_, chars, quality) in enumerate(documents):
+        if quality and content_share(seeds[i], chars) < least_content:
+            seeds[i] = [1] * len(chars)
+    good = sum(q for *_, q in documents)
+    weight = [1.0 if q else good / max(1, len(documents) - good) for *_, q in documents]  # both qualities count alike
+    model, labels = Field.empty(), seeds
+    for k in range(passes):
+        model = fit([(bits, y) for (bits, *_), y in zip(documents, labels, strict=True)], weight, rounds=60 if k else 100, begin=model if k else None, moves=k > 0)
+        decoded = [model.viterbi(bits) for bits, *_ in documents]
+        labels = [y if (content_share(y, chars) >= least_content) == bool(quality) else s for y, s, (_, chars, quality) in zip(decoded, seeds, documents, strict=True)]
+    return model
+
+
+def train(docs: DataFrame, labels: DataFrame, most: int = 3000, *, least_content: float = 0.5) -> Field:
+    """Fits the field on a bounded sample: at most `most` labelled documents of each quality. Without labelled documents
+    of both kinds every line is content."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            chains = [[b for b, _ in lines_of(t or "")] for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(chains, pa.list_(pa.int64())), batch.column("label")], names=["bits", "label"])
+            found = [lines_of(t or "") for t in batch.column("text").to_pylist()]
+            arrays = [pa.array([[x[k] for x in lines] for lines in found], pa.list_(pa.int64())) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*arrays, batch.column("label")], names=["bits", "chars", "label"])
 
-    rows = labelled_sample(docs, labels, "quality", {0: most, 1: most}).mapInArrow(run, "bits array<long>, label int").collect()
-    return fit(sorted((list(r["bits"]), r["label"]) for r in rows))
+    rows = labelled_sample(docs, labels, "quality", {0: most, 1: most}).mapInArrow(run, "bits array<long>, chars array<long>, label int").collect()
+    documents = sorted((list(r["bits"]), list(r["chars"]), r["label"]) for r in rows)
+    return fit_documents(documents, least_content=least_content) if len({q for *_, q in documents}) > 1 else Field.empty()
 
 
 def repeated_words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -223,8 +272,8 @@ def judge(docs: DataFrame, model: Field, *, least_content: float = 0.5, carry: l
                     lines = [x for x in text.split("\n") if x.encode().strip(SPACES)]
                     of_lines = lines_of(text)
                     labels = chain.viterbi([b for b, _ in of_lines])
-                    total = sum(c for _, c in of_lines)
-                    share = sum(c for (_, c), y in zip(of_lines, labels, strict=True) if y) / total if total else 1.0
+                    chars = [c for _, c in of_lines]
+                    total, share = sum(chars), content_share(labels, chars)
                     n, r = int(counts[i]), int(repeats[i])
                     failed = n < 20 or 100 * r > 30 * n
                     values = (n, total, len(raw) - len(raw.translate(None, SYMBOLS)), len(lines) - len(set(lines)), r, failed, not failed and share >= least_content, share)
