@@ -196,3 +196,98 @@ def test_the_synthetic_series_is_as_long_as_the_recording(spark):
         x = QUERIES["synthesize_timeseries"](spark, None)
     span = x.agg(F.count("*").alias("n"), F.max("t").alias("top"), F.max(F.when(F.abs(F.col("t") - 2_500_000) <= 30, F.abs("v"))).alias("peak")).first()
     assert span["n"] == 5 * 2_592_000 and span["top"] == 2_591_999 and span["peak"] > 5.5
+
+
+def test_fit_stage_equals_plain_passes(spark):
+    rng = np.random.default_rng(21)
+    size, length, mask = 7, 400, 0.1
+    shape = rng.normal(size=(3, 2, size)) * 3
+    shape[1, 0, :3] = 0.05  # below the mask
+    x = rng.normal(size=(2, length))
+    times, labels = np.sort(rng.integers(-3, length + 3, 160)), rng.integers(0, 3, 160)
+    for t, k in zip(times[::2], labels[::2], strict=True):
+        if 3 <= t < length - 4:
+            x[:, t - 3 : t + 4] += shape[k]
+    means = spark.createDataFrame([(k + 1, c + 1, t, float(shape[k, c, t])) for k in range(3) for c in range(2) for t in range(size)], "label int, channel int, t int, v double")
+    rows = spark.createDataFrame([(i, int(t), int(k) + 1) for i, (t, k) in enumerate(zip(times, labels, strict=True))], "event_id long, time long, label int")
+    kept, open_, y = [], [i for i, t in enumerate(times) if t - 3 >= 0 and t + 4 <= length], x.copy()
+    while open_:
+        w = {i: np.where(np.abs(shape[labels[i]]) > mask, shape[labels[i]], 0) for i in open_}
+        score = {i: float((2 * y[:, times[i] - 3 : times[i] + 4] * w[i] - w[i] ** 2).sum()) for i in open_}
+        open_ = [i for i in open_ if score[i] > 1e-9]
+        best = [i for i in open_ if all((round(score[i], 6), -times[i], -i) >= (round(score[j], 6), -times[j], -j) for j in open_ if abs(times[j] - times[i]) <= size)]
+        for i in best:
+            y[:, times[i] - 3 : times[i] + 4] -= w[i]
+        kept += best
+        open_ = [i for i in open_ if i not in best]
+    found = sorting.fit_stage(series(spark, x), rows, means, size, mask=mask)
+    assert sorted(r["event_id"] for r in found.collect()) == sorted(kept) and 20 < len(kept) < 140
+
+
+def test_many_units_of_one_channel_are_told_apart(spark):
+    rng = np.random.default_rng(22)
+    middles, truth = rng.normal(size=(18, 30)) * 6, rng.integers(0, 18, 5000)
+    x = middles[truth] + rng.normal(size=(5000, 30))
+    rows = spark.createDataFrame([(i, 1, x[i].tolist()) for i in range(5000)], "event_id long, m int, f array<double>")
+    found = {r["event_id"]: r["label"] for r in sorting.cluster_clips(rows, most=3000).collect()}
+    label = np.array([found[i] for i in range(5000)])
+    assert all(max((np.sum((label == j) & (truth == k)) / np.sum((label == j) | (truth == k))) for j in np.unique(label)) > 0.95 for k in range(18))
+
+
+def test_subsample_is_even_however_rows_are_dealt(spark):
+    rows = spark.createDataFrame([(i * 7 % 1000, 1, i, 1 + (i % 10 == 0), 1.0) for i in range(1000)], "event_id long, channel int, time long, label int, amplitude double").repartition(6)
+    out = events.subsample_firings(rows, max_per_label=30).collect()
+    for k in (1, 2):
+        ids = sorted(r["event_id"] for r in rows.where(f"label = {k}").collect())
+        assert sorted(r["event_id"] for r in out if r["label"] == k) == [ids[j * len(ids) // 30] for j in range(30)]
+
+
+def test_sessions_and_peaks_don_t_depend_on_the_parts_of_time(spark):
+    rng = np.random.default_rng(23)
+    t = np.unique(rng.integers(0, 3000, 600))
+    rows = spark.createDataFrame([(c, int(u), float(rng.random())) for c in (1, 2) for u in t], "channel int, t long, v double")
+    want, number = {}, 0
+    for a, b in zip([None, *t], t, strict=False):
+        number += a is not None and b - a > 6
+        want[int(b)] = number
+    for part in (5, 40, 10_000):
+        assert all(r["session"] == want[r["t"]] for r in timeseries.sessions(rows, 6, part=part).collect())
+
+
+def test_features_are_projections_on_the_leading_axes(spark):
+    rng = np.random.default_rng(24)
+    x = rng.normal(size=(40, 2, 5)) * np.arange(1, 6) + 3
+    rows = spark.createDataFrame([(i, c + 1, t, float(x[i, c, t])) for i in range(40) for c in range(2) for t in range(5)], "clip_id long, channel int, t int, v double").repartition(5)
+    for subtract in (False, True):
+        flat = x.reshape(40, 10) - (x.reshape(40, 10).mean(0) if subtract else 0)
+        _, _, axes = np.linalg.svd(flat, full_matrices=False)
+        got = np.array([r["features"] for r in templates.principal_features(rows, 3, subtract_mean=subtract).orderBy("clip_id").collect()])
+        assert np.allclose(np.abs(got), np.abs(flat @ axes[:3].T), atol=1e-6)
+
+
+def test_templates_of_a_band_lose_what_is_outside(spark):
+    t = np.arange(2000)
+    x = 5 + np.sin(2 * np.pi * 100 * t / 1000)
+    rows = firings(spark, [(200 + 10 * i, 1) for i in range(100)])  # a whole number of periods apart
+    out = templates.view_templates(series(spark, [x]), rows, 40, subtract_mean=False, samplerate=1000, freq_min=50, freq_max=200, freq_wid=20, padding=80)
+    v = np.array([r["v"] for r in out.orderBy("t").collect()])
+    assert len(v) == 40 and abs(v.mean()) < 0.05 and 0.6 < v.std() < 0.8
+
+
+def test_segments_are_joined_after_alignment(spark):
+    from tidewave.operators import segments
+
+    rng = np.random.default_rng(25)
+    waves, parts, fired = rng.normal(size=(2, 30)) * 5, [], []
+    for seg in range(2):
+        x = rng.normal(size=3000) * 0.1
+        events_ = []
+        for i, t in enumerate(range(50, 2900, 60)):
+            k = i % 2
+            x[t - 15 : t + 15] += waves[k]
+            events_.append((t + (3 if seg and k else 0), (k + 1 if not seg else 2 - k)))  # other names, and one seen later
+        parts.append(series(spark, [x]))
+        fired.append(firings(spark, events_))
+    out = segments.combine_firing_segments(parts, fired, [3000, 3000], clip_size=40, edge=20).collect()
+    at = {(r["segment"], r["time"]): r["label"] for r in out}
+    assert {at[0, 50], at[1, 3050]} == {at[0, 50]} and {at[0, 110], at[1, 3113]} == {at[0, 110]} and at[0, 50] != at[0, 110]

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from tidewave.sources.arrays import header, read_array, read_csv_array, read_geom, read_metrics, write_array
+from tidewave.sources.arrays import header, read_array, read_csv_array, read_geom, read_metrics, write_array, write_csv_array, write_metrics
 
 
 def put(path, array, kind):
@@ -36,9 +36,13 @@ def test_folder_and_list(spark, tmp_path):
 def test_written_file_reads_back(spark, tmp_path):
     x = np.random.default_rng(1).normal(size=(3, 50))
     rows = spark.createDataFrame([(c + 1, t, float(x[c, t])) for c in range(3) for t in range(50)], "channel int, t long, v double")
-    write_array(rows, str(tmp_path / "o.mda"), 3, "float64")
-    back = read_array(spark, str(tmp_path / "o.mda")).orderBy("channel", "t").collect()
-    assert np.array_equal(np.array([r["v"] for r in back]).reshape(3, 50), x)
+    out = str(tmp_path / "o")
+    for append, parts in ((False, 1), (False, 4), (True, 3)):
+        write_array(rows, out, 3, "float64", append=append, partitions=parts)
+        back = read_array(spark, out).orderBy("channel", "t").collect()
+        assert np.array_equal(np.array([r["v"] for r in back]).reshape(3, -1), np.concatenate([x, x], 1) if append else x)
+    assert [tuple(r) for r in read_array(spark, out).where("t = 60 AND channel = 2").select("t", "v").collect()] == [(60, x[1, 10])]
+    assert not list((tmp_path / "o").glob("*.part"))
 
 
 def test_raw_files_must_be_whole(spark, tmp_path):
@@ -55,3 +59,7 @@ def test_texts(spark, tmp_path):
     assert [tuple(r) for r in read_geom(spark, str(tmp_path / "g.csv")).orderBy("channel").collect()] == [(1, 1, 2), (2, 3, 4), (3, 5, 0)]
     (tmp_path / "m.json").write_text('{"clusters": [{"label": 2, "metrics": {"a": 1.5}, "tags": ["x"]}]}')
     assert [tuple(r) for r in read_metrics(spark, str(tmp_path / "m.json")).collect()] == [(2, "a", 1.5)]
+    write_csv_array(spark.createDataFrame([(2, [3.0, 4.5]), (1, [1.0])], "row int, values array<double>"), str(tmp_path / "t"))
+    assert [list(r["values"]) for r in read_csv_array(spark, str(tmp_path / "t")).orderBy("row").collect()] == [[1], [3, 4.5]]
+    write_metrics(spark.createDataFrame([(2, "a", 1.5), (2, "b", 2.0), (1, "a", 0.0)], "label int, name string, value double"), str(tmp_path / "j"))
+    assert sorted(tuple(r) for r in read_metrics(spark, str(tmp_path / "j")).collect()) == [(1, "a", 0.0), (2, "a", 1.5), (2, "b", 2.0)]

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidewave.operators.joins import running_total
+from tidewave.operators.joins import numbered, running_total
 
 
 def parse_int_list(text: str) -> list[int]:
@@ -61,8 +61,7 @@ def subsample_firings(firings: DataFrame, labels: list[int] | None = None, max_p
     rows = firings.where(F.col("label").isin(labels)) if labels else firings
     if max_per_label <= 0:
         return rows
-    by = Window.partitionBy("label")
-    ranked = rows.withColumn("_i", F.row_number().over(by.orderBy("event_id")) - 1).withColumn("_n", F.count("*").over(by))
+    ranked = numbered(rows, "label", "event_id")
     # the k-th kept event is number floor(k * n / most): event i is kept if a multiple of n lies in [i * most, (i + 1) * most)
     upto = lambda i: F.expr(f"({i} * {max_per_label}L + _n - 1) div _n")
     keep = (F.col("_n") <= max_per_label) | (upto("_i") < upto("(_i + 1)"))

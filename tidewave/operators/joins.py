@@ -4,6 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from tidewave.plans.storage import checkpointed
+
+
+def numbered(df: DataFrame, by: str, *order: str) -> DataFrame:
+    """df with _i, the place of each row (from 0) among those with its value of `by`, in an order that must be total, and _n,
+    their number. No task sees more than a range of the order, however many rows a value has: places go on from
+    the totals of the ranges before."""
+    dealt = df.repartitionByRange(by, *order)
+    dealt = checkpointed(dealt.withColumn("_part", F.spark_partition_id()))
+    totals = dealt.groupBy(by, "_part").agg(F.count("*").alias("_rows"))  # partitions and values
+    of = Window.partitionBy(by)
+    before = of.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select(by, "_part", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"), F.sum("_rows").over(of).alias("_n"))
+    inside = Window.partitionBy(by, "_part").orderBy(*order)
+    return dealt.withColumn("_r", F.row_number().over(inside)).join(totals, [by, "_part"]).withColumn("_i", F.col("_r") - 1 + F.col("_before")).drop("_part", "_r", "_before")
 
 
 def band_join(left: DataFrame, right: DataFrame, *, left_time: str, right_time: str, before: float, after: float, how: str = "inner", on: Column | None = None, hint: str | None = "shuffle_hash") -> DataFrame:
@@ -26,7 +43,5 @@ def band_join(left: DataFrame, right: DataFrame, *, left_time: str, right_time:
 
 def running_total(totals: DataFrame, order: str, value: str, name: str) -> DataFrame:
     """totals (one row a source, of which there are few) with the sum of value over the rows before."""
-    from pyspark.sql.window import Window
-
     before = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     return totals.withColumn(name, F.coalesce(F.sum(value).over(before), F.lit(0)))

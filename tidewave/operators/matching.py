@@ -91,16 +91,37 @@ def accuracy_counts(accuracies: DataFrame) -> DataFrame:
     return F.broadcast(levels).crossJoin(accuracies).groupBy("level").agg(F.count_if(F.col("accuracy") >= F.col("level")).alias("units"))
 
 
+def link_pairs(firings_prev: DataFrame, firings: DataFrame, tolerance: float, threshold: float) -> DataFrame:
+    """k1, k2, n of labels that are each other's best by n events at most `tolerance` apart, at least threshold of either's."""
+    counts = match_counts(near_pairs(firings_prev, firings, tolerance)).withColumn("n", F.least("n12", "n21"))
+    ranked = counts.withColumn("r1", F.row_number().over(Window.partitionBy("k1").orderBy(F.desc("n"), "k2"))).withColumn("r2", F.row_number().over(Window.partitionBy("k2").orderBy(F.desc("n"), "k1")))
+    n1 = firings_prev.where("label > 0").groupBy(F.col("label").alias("k1")).agg(F.count("*").alias("all1"))
+    n2 = firings.where("label > 0").groupBy(F.col("label").alias("k2")).agg(F.count("*").alias("all2"))
+    return ranked.where("r1 = 1 AND r2 = 1").join(n1, "k1").join(n2, "k2").where((F.col("n") >= threshold * F.col("all1")) & (F.col("n") >= threshold * F.col("all2"))).select("k1", "k2", "n")
+
+
 def link_labels(firings_prev: DataFrame, firings: DataFrame, *, tolerance: float = 10, threshold: float = 0.7) -> DataFrame:
     """label, linked_label, score for the labels of a segment that overlaps the one before: linked where two labels are
     each other's best by events at most `tolerance` apart, which are at least threshold of either's; other labels go
     on after the largest earlier one. Both tables are those of the overlap."""
-    counts = match_counts(near_pairs(firings_prev, firings, tolerance)).withColumn("n", F.least("n12", "n21"))
-    ranked = counts.withColumn("r1", F.row_number().over(Window.partitionBy("k1").orderBy(F.desc("n"), "k2"))).withColumn("r2", F.row_number().over(Window.partitionBy("k2").orderBy(F.desc("n"), "k1")))
-    n1 = firings_prev.where("label > 0").groupBy(F.col("label").alias("k1")).agg(F.count("*").alias("all1"))
+    linked = link_pairs(firings_prev, firings, tolerance, threshold)
     n2 = firings.where("label > 0").groupBy(F.col("label").alias("k2")).agg(F.count("*").alias("all2"))
-    linked = ranked.where("r1 = 1 AND r2 = 1").join(n1, "k1").join(n2, "k2").where((F.col("n") >= threshold * F.col("all1")) & (F.col("n") >= threshold * F.col("all2")))
     top = firings_prev.agg(F.coalesce(F.max("label"), F.lit(0)).alias("top"))
     out = n2.join(linked.select("k2", "k1", "n"), "k2", "left").crossJoin(F.broadcast(top))
     fresh = F.row_number().over(Window.partitionBy(F.col("k1").isNull()).orderBy("k2"))  # one row a label
     return out.select(F.col("k2").alias("label"), F.coalesce("k1", F.col("top") + fresh).cast("int").alias("linked_label"), (F.coalesce("n", F.lit(0)) / F.col("all2")).alias("score"))
+
+
+def link_segments(firings_prev: DataFrame, firings: DataFrame, *, t1_prev: float, t2_prev: float, t1: float, t2: float, kmax_prev: int = 0, tolerance: float = 10, threshold: float = 0.7) -> DataFrame:
+    """firings with the labels of the segment before, and fresh, whether an event comes after that segment's end t2_prev.
+
+    Labels are linked by the events of the time that both segments have. Others get new numbers after kmax_prev and the
+    largest earlier label, in order of their first event."""
+    both = F.col("time").between(max(t1, t1_prev), min(t2, t2_prev))
+    links = link_pairs(firings_prev.where(both), firings.where(both), tolerance, threshold).select(F.col("k2").alias("label"), "k1")
+    top = firings_prev.agg(F.greatest(F.coalesce(F.max("label"), F.lit(0)), F.lit(kmax_prev)).alias("top"))
+    labels = firings.groupBy("label").agg(F.min(F.struct("time", "event_id")).alias("first")).join(links, "label", "left").crossJoin(F.broadcast(top))
+    number = F.row_number().over(Window.partitionBy(F.col("k1").isNull()).orderBy("first"))  # one row a label
+    named = labels.select("label", F.coalesce("k1", F.col("top") + number).cast("int").alias("new"))
+    out = firings.join(F.broadcast(named), "label")
+    return out.select(*[F.col("new").alias("label") if c == "label" else c for c in firings.columns], (F.col("time") > t2_prev).alias("fresh"))

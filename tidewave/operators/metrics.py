@@ -5,11 +5,15 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidewave.functions.kernels import principal_axes
 from tidewave.operators.joins import band_join
+from tidewave.plans.storage import checkpointed
 
 
 def cluster_metrics(firings: DataFrame, samplerate: float = 0) -> DataFrame:
@@ -100,7 +104,7 @@ def pairs_to_compare(templates: DataFrame, *, nearest: int = 3, most: int = 10,
 
 def bursting_parents(firings: DataFrame, templates: DataFrame, *, window: float = 1500, min_correlation: float = 0.8, threshold: float = 8.0) -> DataFrame:
     """label, bursting_parent (0: none): another label k2 with a similar, no smaller template, whose events come before
-    the label's own more often than after, by score (after - 2 * before) / sqrt(max(15, 2 * before)) of k2's events
+    the label's own more often than after, by score (before - 2 * after) / sqrt(max(15, 2 * after)) of k2's events
     around it; of several, the largest label."""
     peaks = templates.groupBy("label").agg(F.max(F.abs("v")).alias("peak"))
     p1, p2 = peaks.select(F.col("label").alias("k1"), F.col("peak").alias("peak1")), peaks.select(F.col("label").alias("k2"), F.col("peak").alias("peak2"))
@@ -122,20 +126,38 @@ def isolation(overlaps: DataFrame, labels: DataFrame) -> DataFrame:
     return labels.select("label").distinct().join(worst, "label", "left").select("label", (1 - F.coalesce("o", F.lit(0.0))).alias("isolation"), F.when(F.coalesce("o", F.lit(0.0)) > 0, F.col("c")).otherwise(0).cast("int").alias("overlap_cluster"))
 
 
-def pair_overlap(points: DataFrame, pairs: DataFrame, *, k: int = 5, most: int = 500) -> DataFrame:
-    """k1, k2, overlap: how many of the k nearest neighbours of a pair's points belong to the other cluster, as a share.
+def drawn_order(column: str) -> list:
+    """A fixed order that has nothing to do with the values: by the digest of an id."""
+    return [F.md5(F.col(column).cast("string").cast("binary")), F.col(column)]
 
-    points: id, label, f (array). Of each cluster the `most` points with the smallest hash of their id are taken, as
-    many of either; the neighbours of a point are found among those of its pair only.
+
+def pair_overlap(points: DataFrame, pairs: DataFrame, *, k: int = 5, most: int = 500, num_features: int = 0, fewest: int = 0) -> DataFrame:
+    """k1, k2, overlap: how many of the k nearest neighbours of a pair's points belong to the other cluster, as a share. With
+    num_features a pair's points are reduced to their leading axes first; a pair of which one has fewer points than
+    fewest has no overlap.
+
+    points: id, label, f (array). Of each cluster the `most` points with the smallest digest of their id are taken, as
+    many of either; the neighbours of a point are found among those of its pair only, which one task compares. Of
+    points at one distance the smaller id is nearer.
     """
-    rank = Window.partitionBy("label").orderBy(F.xxhash64("id"), "id")
-    some = points.withColumn("r", F.row_number().over(rank)).where(F.col("r") <= most)
+    some = points.withColumn("r", F.row_number().over(Window.partitionBy("label").orderBy(*drawn_order("id")))).where(F.col("r") <= most)
+    some = checkpointed(some)
     n = some.groupBy("label").agg(F.count("*").alias("n"))
     sized = pairs.select("k1", "k2").join(n.select(F.col("label").alias("k1"), F.col("n").alias("n1")), "k1").join(n.select(F.col("label").alias("k2"), F.col("n").alias("n2")), "k2").withColumn("take", F.least("n1", "n2"))
     members = sized.withColumn("label", F.explode(F.array("k1", "k2"))).join(some, "label").where("r <= take").select("k1", "k2", "label", "id", "f")
-    a, b = members.alias("a"), members.alias("b")
-    dist = F.aggregate(F.zip_with("a.f", "b.f", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
-    both = a.join(b, (F.col("a.k1") == F.col("b.k1")) & (F.col("a.k2") == F.col("b.k2")) & (F.col("a.id") != F.col("b.id")))
-    near = both.select(F.col("a.k1").alias("k1"), F.col("a.k2").alias("k2"), F.col("a.id").alias("id"), (F.col("a.label") != F.col("b.label")).cast("int").alias("other"), dist.alias("d"), F.col("b.id").alias("id2"))
-    close = near.withColumn("rank", F.row_number().over(Window.partitionBy("k1", "k2", "id").orderBy("d", "id2"))).where(F.col("rank") <= k)
-    return close.groupBy("k1", "k2").agg(F.avg(F.col("other").cast("double")).alias("overlap"))
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        """2 * most points at most."""
+        pdf = pdf.sort_values("id")
+        x, label = np.stack(pdf["f"].to_numpy()), pdf["label"].to_numpy()
+        if num_features:
+            x = x @ principal_axes(x, min(num_features, x.shape[1]))
+        other = []
+        for i in range(len(x)):
+            d = ((x - x[i]) ** 2).sum(1)
+            d[i] = np.inf
+            near = np.argsort(d, kind="stable")[: min(k, len(x) - 1)]
+            other += (label[near] != label[i]).tolist()
+        return pd.DataFrame({"k1": pdf["k1"].iloc[:1], "k2": pdf["k2"].iloc[:1], "overlap": [float(np.mean(other)) if other and len(x) >= 2 * fewest else 0.0]})
+
+    return members.groupBy("k1", "k2").applyInPandas(compare, "k1 int, k2 int, overlap double")

@@ -8,8 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidewave.operators.sorting import clip_features
-from tidewave.operators.templates import extract_clips
+from tidewave.operators.templates import clip_features, extract_clips, sliding_correlations
 from tidewave.plans.storage import checkpointed
 
 
@@ -20,36 +19,44 @@ def edge_events(firings: DataFrame, n: int, last: bool) -> DataFrame:
     return ranked.where(F.col("_r") <= n).drop("_r")
 
 
-def label_votes(before: DataFrame, after: DataFrame) -> DataFrame:
-    """k1, k2, share: of the clips labelled k2 in after, how many have a clip labelled k1 as their nearest in before.
-    Both (event_id, label, f) hold a bounded number of clips of each label; `before` is sent to the tasks."""
-    known = before.collect()  # bounded by the number of edge events of each label
-    if not known:
-        return after.sparkSession.createDataFrame([], "k1 int, k2 int, share double")
-    labels, points = np.array([r["label"] for r in known]), np.array([r["f"] for r in known])
-    shared = after.sparkSession.sparkContext.broadcast((labels, points))
+def label_votes(before: DataFrame, after: DataFrame, lags: DataFrame | None = None) -> DataFrame:
+    """k1, k2, share: of the clips labelled k2 in after, how many have a clip labelled k1 as their nearest in before, of
+    equals the smallest label. Both are clips (event_id, label, channel, t, v), of a bounded number for each label; lags
+    (k1, k2, lag) moves those of k1 first, around the ends. A task compares the clips of one pair of labels."""
+    one, two = checkpointed(clip_features(before)), checkpointed(clip_features(after))
+    channels = before.select("channel").distinct().count()
+    pairs = one.select(F.col("label").alias("k1")).distinct().crossJoin(F.broadcast(two.select(F.col("label").alias("k2")).distinct()))  # labels only
+    pairs = pairs.join(lags, ["k1", "k2"], "left").select("k1", "k2", F.coalesce("lag", F.lit(0)).alias("lag")) if lags is not None else pairs.withColumn("lag", F.lit(0))
+    sides = pairs.join(one.select(F.col("label").alias("k1"), "event_id", "f"), "k1").select("k1", "k2", "lag", F.lit(1).alias("side"), "event_id", "f")
+    sides = sides.unionByName(pairs.join(two.select(F.col("label").alias("k2"), "event_id", "f"), "k2").select("k1", "k2", "lag", F.lit(2).alias("side"), "event_id", "f"))
 
-    @F.pandas_udf("int")
-    def nearest(f: pd.Series) -> pd.Series:
-        k, p = shared.value
-        return pd.Series([int(k[((p - x) ** 2).sum(1).argmin()]) for x in f], dtype="int32")
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = np.stack(pdf["f"].to_numpy())
+        a, b = x[pdf["side"] == 1], x[pdf["side"] == 2]
+        a = np.roll(a.reshape(len(a), channels, -1), int(pdf["lag"].iloc[0]), 2).reshape(a.shape)
+        d = [float(((a - p) ** 2).sum(1).min()) for p in b]
+        return pd.DataFrame({"k1": pdf["k1"].iloc[0], "k2": pdf["k2"].iloc[0], "event_id": pdf["event_id"][pdf["side"] == 2], "d": d})
 
-    votes = after.select(F.col("label").alias("k2"), nearest("f").alias("k1"))
+    near = sides.groupBy("k1", "k2").applyInPandas(compare, "k1 int, k2 int, event_id long, d double")
+    votes = near.groupBy("k2", "event_id").agg(F.min_by("k1", F.struct("d", "k1")).alias("k1"))
     return votes.groupBy("k1", "k2").agg(F.count("*").alias("n")).withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("k2"))).select("k1", "k2", "share")
 
 
 def combine_firing_segments(series: list[DataFrame], firings: list[DataFrame], lengths: list[int], *, clip_size: int = 60, edge: int = 1000, threshold: float = 0.6) -> DataFrame:
     """Events of all segments, times one segment after another, labels joined across segments: between neighbouring
     segments pairs of labels are matched one to one, best share of votes first, while it exceeds the threshold;
-    unmatched labels get new numbers. Votes come from the clips of each label's last and first `edge` events."""
+    unmatched labels get new numbers. Votes come from the clips of each label's last and first `edge` events, those of
+    the segment before moved by the lag at which their templates are most alike."""
     names: dict[int, int] = {}
     top, offset, out, before = 0, 0, None, None
     for i, (x, f, n) in enumerate(zip(series, firings, lengths, strict=True)):
         local = sorted(r["label"] for r in f.where("label > 0").select("label").distinct().collect())  # labels only
         mine: dict[int, int] = {}
         if before is not None:
-            first = clip_features(extract_clips(x, edge_events(f, edge, False).select("event_id", "time", "label"), clip_size))
-            votes = label_votes(before, first).where(F.col("share") > threshold).collect()
+            first = checkpointed(extract_clips(x, edge_events(f, edge, False).select("event_id", "time", "label"), clip_size))
+            means = lambda c: c.groupBy("label", "channel", "t").agg(F.avg("v").alias("v"))
+            lags = sliding_correlations(means(first), means(before)).select(F.col("k2").alias("k1"), F.col("k1").alias("k2"), (-F.col("lag")).alias("lag"))
+            votes = label_votes(before, first, lags).where(F.col("share") > threshold).collect()
             used: set[int] = set()
             for v in sorted(votes, key=lambda v: (-v["share"], v["k1"], v["k2"])):
                 if v["k2"] not in mine and v["k1"] not in used:
@@ -62,6 +69,6 @@ def combine_firing_segments(series: list[DataFrame], firings: list[DataFrame], l
         named = f.sparkSession.createDataFrame(sorted(mine.items()) or [(0, 0)], "label int, new int")
         part = f.join(F.broadcast(named), "label").select(F.lit(i).alias("segment"), "event_id", "channel", (F.col("time") + F.lit(offset)).alias("time"), F.col("new").alias("label"))
         out = part if out is None else out.unionByName(part)
-        before = checkpointed(clip_features(extract_clips(x, edge_events(f, edge, True).select("event_id", "time", "label"), clip_size)))
+        before = checkpointed(extract_clips(x, edge_events(f, edge, True).select("event_id", "time", "label"), clip_size))
         names, offset = mine, offset + n
     return out

@@ -1,20 +1,23 @@
 """From a series to labelled events: detection, clustering per channel, merging, and a final fit.
 
-What grows with the recording stays in Spark; a task holds one chunk, one session of overlapping events, or a bounded
-sample of a channel's clips.
+What grows with the recording stays in Spark; a task holds one chunk, one bucket of time, or a bounded sample of a
+channel's clips.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidewave.functions.kernels import principal_axes, split_clusters
+from tidewave.functions.kernels import branch, principal_axes
 from tidewave.operators.joins import band_join
-from tidewave.operators.templates import clip_statistics, event_statistics, extract_clips, middle, templates
+from tidewave.operators.metrics import drawn_order
+from tidewave.operators.templates import clip_features, clip_statistics, event_statistics, extract_clips, middle, templates
 from tidewave.operators.timeseries import detect_events
 from tidewave.plans.storage import checkpointed
 
@@ -28,41 +31,36 @@ def neighbourhoods(geom: DataFrame, radius: float) -> DataFrame:
     return both.select("m", "channel")
 
 
-def clip_features(clips: DataFrame) -> DataFrame:
-    """One row for each event and m: its clip as an array by channel and time."""
-    keys = [c for c in clips.columns if c not in ("channel", "t", "v")]
-    return clips.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("channel", "t", "v"))), lambda x: x["v"]).alias("f"))  # one clip
-
-
 def cluster_clips(features: DataFrame, *, num_features: int = 10, most: int = 10_000) -> DataFrame:
     """event_id, m, label (1 .. within m) for features event_id, m, f.
 
-    Principal axes and clusters come from at most `most` events of each m, those with the smallest hash of their
-    id; every event then goes to the cluster with the nearest centre.
+    Clusters come from at most `most` events of each m, those with the smallest digest of their id, split by their
+    leading axes and then each by its own until it stays one; every event then goes to the cluster with the
+    nearest middle. A unit with fewer than some ten events in the sample isn't told apart.
     """
-    rank = Window.partitionBy("m").orderBy(F.xxhash64("event_id"), "event_id")
+    rank = Window.partitionBy("m").orderBy(*drawn_order("event_id"))
     sample = features.withColumn("r", F.row_number().over(rank)).where(F.col("r") <= most)
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("event_id")
         x = np.stack(pdf["f"].to_numpy())
-        axes = principal_axes(x, min(num_features, x.shape[1]))
-        y = x @ axes
-        labels = split_clusters(y)
-        centres = np.stack([y[labels == k].mean(0) for k in range(1, labels.max() + 1)])
-        return pd.DataFrame({"m": [pdf["m"].iloc[0]], "axes": [axes.ravel().tolist()], "centres": [centres.ravel().tolist()], "k": [len(centres)]})
+        labels = branch(x, num_features)
+        return pd.DataFrame({"m": pdf["m"].iloc[0], "label": np.arange(1, labels.max() + 1), "centre": [x[labels == k].mean(0).tolist() for k in range(1, labels.max() + 1)]})
 
-    models = checkpointed(sample.select("event_id", "m", "f").groupBy("m").applyInPandas(fit, "m int, axes array<double>, centres array<double>, k int"))
+    models: dict[int, list] = {}
+    for r in sample.select("event_id", "m", "f").groupBy("m").applyInPandas(fit, "m int, label int, centre array<double>").collect():
+        models.setdefault(r["m"], []).append((r["label"], r["centre"]))  # a channel's clusters, of `most` events at most
+    shared = features.sparkSession.sparkContext.broadcast({m: np.array([c for _, c in sorted(found)]) for m, found in models.items()})
 
-    @F.pandas_udf("int")
-    def nearest(f: pd.Series, axes: pd.Series, centres: pd.Series, k: pd.Series) -> pd.Series:
-        out = []
-        for x, a, c, n in zip(f, axes, centres, k, strict=True):
-            y = x @ np.reshape(a, (len(x), -1))
-            out.append(int(((np.reshape(c, (n, -1)) - y) ** 2).sum(1).argmin()) + 1)
-        return pd.Series(out, dtype="int32")
+    def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            label = np.ones(len(pdf), np.int32)
+            for m, at in pdf.groupby("m").indices.items():
+                x, c = np.stack(pdf["f"].to_numpy()[at]), shared.value[m]
+                label[at] = ((c**2).sum(1) - 2 * (x @ c.T)).argmin(1) + 1
+            yield pd.DataFrame({"event_id": pdf["event_id"], "m": pdf["m"], "label": label})
 
-    return features.join(models, "m").select("event_id", "m", nearest("f", "axes", "centres", "k").alias("label"))
+    return features.select("event_id", "m", "f").mapInPandas(nearest, "event_id long, m int, label int")
 
 
 def consolidate(means: DataFrame, clip_size: int, factor: float = 0.9, most_offset: int = 10) -> DataFrame:
@@ -121,69 +119,63 @@ def merge_across_channels(firings: DataFrame, means: DataFrame, central: DataFra
     return firings.where(F.col("label").isin(sorted(kept)))
 
 
-def fit_stage(series: DataFrame, firings: DataFrame, means: DataFrame, clip_size: int, *, mask: float = 0.1) -> DataFrame:
+def template_products(shape: DataFrame) -> DataFrame:
+    """k1, k2, lag, c: by how much the score of an event of k2 falls, which begins `lag` after an event of k1, when that one's
+    template is subtracted. shape: label, channel, t, w."""
+    one, two = shape.select("channel", F.col("label").alias("k1"), F.col("t").alias("t1"), F.col("w").alias("w1")), shape.select("channel", F.col("label").alias("k2"), F.col("t").alias("t2"), F.col("w").alias("w2"))
+    return one.join(two, "channel").groupBy("k1", "k2", (F.col("t1") - F.col("t2")).cast("long").alias("lag")).agg((2 * F.sum(F.col("w1") * F.col("w2"))).alias("c"))
+
+
+def fit_stage(series: DataFrame, firings: DataFrame, means: DataFrame, clip_size: int, *, mask: float = 0.1, most_passes: int = 1000) -> DataFrame:
     """Events that explain the series best. In passes, an event's score is by how much subtracting its template lessens
-    the squared signal where the template is large; local maxima are accepted and subtracted, and events without a
-    positive score are dropped for good.
+    the squared signal where the template is larger than mask; events that have the best score within a clip's length,
+    of equals the first, are accepted and subtracted, and events without a positive score are dropped for good. An
+    event whose clip isn't wholly inside the series is left out.
 
-    Events with no other within a clip's length can't influence those beyond: such sessions are independent, and
-    each is fitted with its own samples in one small group.
+    The series is read once, for the first scores. What an accepted event takes from the score of another depends on
+    their labels and their distance alone, so a pass only joins events with events: no task holds more than the
+    events of some clip lengths of time, however long the series is without a gap.
     """
-    channels = sorted(r["channel"] for r in means.select("channel").distinct().collect())
-    shape = {}
-    for r in means.collect():  # labels by channels by clip size
-        shape.setdefault(r["label"], np.zeros((len(channels), clip_size)))[channels.index(r["channel"]), r["t"]] = r["v"]
-    context = firings.sparkSession.sparkContext
-    shared = context.broadcast(shape)
-    mid = middle(clip_size)
-    coarse = clip_size * 200  # sessions are numbered within coarse parts of time, so that no task sees all events
-    rows = firings.where(F.col("label").isin(sorted(shape))).withColumn("part", F.floor(F.col("time") / coarse))
-    within = Window.partitionBy("part").orderBy("time", "event_id")
-    rows = rows.withColumn("gap", F.coalesce(F.col("time") - F.lag("time").over(within), F.lit(0)) > clip_size)
-    rows = rows.withColumn("s", F.sum(F.col("gap").cast("int")).over(within.rowsBetween(Window.unboundedPreceding, 0)))
-    ends = rows.groupBy("part").agg(F.min("time").alias("t0"), F.max("time").alias("t1"), F.max("s").alias("s1"))
-    tie = Window.orderBy("part")  # one row a part
-    ends = ends.withColumn("fresh", F.coalesce((F.col("t0") - F.lag("t1").over(tie)) > clip_size, F.lit(True)).cast("int"))
-    ends = ends.withColumn("base", F.sum(F.col("fresh") + F.coalesce(F.lag("s1").over(tie), F.lit(0))).over(tie.rowsBetween(Window.unboundedPreceding, 0)))
-    sessions = checkpointed(rows.join(F.broadcast(ends.select("part", "base")), "part").select("event_id", "time", "label", (F.col("s") + F.col("base")).alias("session")))
-    spans = sessions.groupBy("session").agg((F.min("time") - clip_size).cast("long").alias("a"), (F.max("time") + clip_size).cast("long").alias("b"))
-    wanted = spans.select(F.col("session").alias("span"), F.explode(F.sequence("a", "b")).alias("t")).join(series.where(F.col("channel").isin(channels)), "t")
-
-    def run(key: tuple, events: pd.DataFrame, samples: pd.DataFrame) -> pd.DataFrame:
-        if not len(events) or not len(samples):
-            return pd.DataFrame({"event_id": pd.Series([], dtype="int64")})
-        templates_ = shared.value
-        base, top = int(samples["t"].min()), int(samples["t"].max())
-        x = np.zeros((len(channels), top - base + 1))
-        x[samples["channel"].map(channels.index), samples["t"] - base] = samples["v"]
-        events = events.sort_values(["time", "event_id"])
-        begin = np.floor(events["time"].to_numpy() - mid + 0.5).astype(int) - base
-        times, labels, ids = events["time"].to_numpy(), events["label"].to_numpy(), events["event_id"].to_numpy()
-        open_, used = [i for i in range(len(ids)) if begin[i] >= 0 and begin[i] + clip_size <= x.shape[1]], []
-        while open_:
-            scores = []
-            for i in open_:
-                w = templates_[labels[i]]
-                on = np.abs(w) > mask
-                scores.append(float((2 * x[:, begin[i] : begin[i] + clip_size] * w - w * w)[on].sum()))
-            alive = [(i, s) for i, s in zip(open_, scores, strict=True) if s > 0]
-            accepted = []
-            for n, (i, s) in enumerate(alive):
-                left = any(o >= s for j, o in alive[:n] if times[j] >= times[i] - clip_size)
-                right = any(o > s for j, o in alive[n + 1 :] if times[j] <= times[i] + clip_size)
-                if not left and not right:
-                    accepted.append(i)
-            if not accepted:
-                break
-            for i in accepted:
-                w = templates_[labels[i]]
-                x[:, begin[i] : begin[i] + clip_size] -= np.where(np.abs(w) > mask, w, 0)
-            used += accepted
-            open_ = [i for i, _ in alive if i not in accepted]
-        return pd.DataFrame({"event_id": ids[sorted(used)].astype("int64")})
-
-    kept = sessions.groupBy("session").cogroup(wanted.groupBy("span")).applyInPandas(run, "event_id long")
-    return firings.join(kept, "event_id", "left_semi")
+    ends = series.agg(F.min("t").alias("a"), F.max("t").alias("b")).first()
+    if ends["a"] is None:
+        return firings.limit(0)
+    shape = checkpointed(means.where(F.abs("v") > mask).select("label", "channel", F.col("t").cast("int").alias("t"), F.col("v").alias("w")))
+    products = checkpointed(template_products(shape))
+    begin = F.floor(F.col("time") - middle(clip_size) + 0.5).cast("long")
+    rows = firings.select("event_id", F.col("time").cast("double").alias("time"), "label", begin.alias("begin")).where((F.col("begin") >= ends["a"]) & (F.col("begin") + clip_size - 1 <= ends["b"]))
+    places = rows.select("label", "begin").distinct()
+    asked = places.join(shape, "label").select("label", "begin", "channel", (F.col("begin") + F.col("t")).alias("ts"), "w")
+    seen = asked.join(series.select("channel", F.col("t").alias("ts"), "v"), ["channel", "ts"]).groupBy("label", "begin").agg(F.sum(2 * F.col("v") * F.col("w")).alias("vw"))
+    size = shape.groupBy("label").agg(F.sum(F.col("w") * F.col("w")).alias("ww"))
+    first = seen.join(size, "label").select("label", "begin", (F.col("vw") - F.col("ww")).alias("score"))
+    least = 1e-9  # sums are taken in any order
+    open_ = checkpointed(rows.join(first, ["label", "begin"]).where(F.col("score") > least))
+
+    width = 16 * clip_size
+    reach = F.sequence(F.floor((F.col("time") - clip_size) / width), F.floor((F.col("time") + clip_size) / width))
+    around = Window.partitionBy("bucket").orderBy("time").rangeBetween(-clip_size, clip_size)
+    rank = F.struct(F.round("score", 6).alias("s"), (-F.col("time")).alias("t"), (-F.col("event_id")).alias("e"))
+    kept = []
+    for _ in range(most_passes):
+        near = open_.withColumn("bucket", F.explode(reach)).withColumn("best", F.max(rank).over(around))  # in each bucket that its neighbours lie in
+        own = near.where(F.col("bucket") == F.floor(F.col("time") / width))
+        judged = checkpointed(own.select(*open_.columns, (F.col("best") == rank).alias("top")))
+        top = judged.where("top")
+        kept.append(top.select("event_id"))
+        rest = judged.where("NOT top").drop("top")
+        a = top.select(F.col("label").alias("k1"), F.col("begin").alias("b1"))
+        hits = band_join(rest, a, left_time="begin", right_time="b1", before=clip_size - 1, after=clip_size - 1)
+        loss = hits.select("event_id", "k1", F.col("label").alias("k2"), (F.col("begin") - F.col("b1")).alias("lag")).join(products, ["k1", "k2", "lag"])
+        loss = loss.groupBy("event_id").agg(F.sum("c").alias("loss"))
+        open_ = checkpointed(rest.join(loss, "event_id", "left").withColumn("score", F.col("score") - F.coalesce("loss", F.lit(0.0))).drop("loss").where(F.col("score") > least))
+        if not open_.limit(1).count():
+            break
+    else:
+        raise RuntimeError(f"events are still left after {most_passes} passes")
+    used = kept[0]
+    for more in kept[1:]:
+        used = used.unionByName(more)
+    return firings.join(used, "event_id", "left_semi")
 
 
 def sort_events(series: DataFrame, geom: DataFrame, *, adjacency_radius: float = -1, clip_size: int = 50, detect_interval: int = 10, detect_threshold: float = 3.0, detect_sign: int = 0, consolidation_factor: float = 0.9, merge: bool = True, fit: bool = True) -> DataFrame:
@@ -205,15 +197,16 @@ def sort_events(series: DataFrame, geom: DataFrame, *, adjacency_radius: float =
     return fit_stage(series, rows, shapes, clip_size) if fit else rows
 
 
-def noise_overlap(series: DataFrame, firings: DataFrame, clip_size: int, *, length: int, most: int = 500, seed: int = 7, k: int = 5) -> DataFrame:
+def noise_overlap(series: DataFrame, firings: DataFrame, clip_size: int, *, length: int, most: int = 500, seed: int = 7, k: int = 5, num_features: int = 10, fewest: int = 100) -> DataFrame:
     """label, noise_overlap: how often nearest neighbours of a cluster's clips are clips of noise, and the other way. Up
-    to `most` events of each label are compared with as many clips at times drawn by hash; the shape that noise shares
+    to `most` events of each label are compared with as many clips at times drawn by digest; the shape that noise shares
     with the cluster's peak is taken off both."""
     from tidewave.operators.metrics import pair_overlap
 
-    rank = Window.partitionBy("label").orderBy(F.xxhash64("event_id"), "event_id")
+    rank = Window.partitionBy("label").orderBy(*drawn_order("event_id"))
     some = firings.withColumn("r", F.row_number().over(rank)).where(F.col("r") <= most).select("event_id", "time", "label", F.lit(0).alias("noise"))
-    drawn = some.select((-F.col("event_id") - 1).alias("event_id"), F.pmod(F.xxhash64("event_id", "label", F.lit(seed)), F.lit(length)).alias("time"), "label", F.lit(1).alias("noise"))
+    anywhere = F.conv(F.substring(F.md5(F.concat_ws(":", "event_id", "label", F.lit(seed)).cast("binary")), 1, 12), 16, 10).cast("long") % length
+    drawn = some.select((-F.col("event_id") - 1).alias("event_id"), anywhere.alias("time"), "label", F.lit(1).alias("noise"))
     both = some.unionByName(drawn)
     clips = checkpointed(extract_clips(series, both, clip_size).join(both.select("event_id", "noise"), "event_id"))
     peak = clip_statistics(clips.where("noise = 0")).groupBy("label").agg(F.max_by(F.struct("channel", "t"), F.struct(F.abs("mean"), -F.col("channel"), -F.col("t"))).alias("p"))
@@ -227,7 +220,7 @@ def noise_overlap(series: DataFrame, firings: DataFrame, clip_size: int, *, leng
     # a label and its noise are told apart by doubling labels
     points = points.select(F.col("event_id").alias("id"), (2 * F.col("label") + F.col("noise")).alias("label"), "f")
     pairs = firings.select("label").distinct().select((2 * F.col("label")).alias("k1"), (2 * F.col("label") + 1).alias("k2"))
-    return pair_overlap(points, pairs, k=k, most=most).select(F.expr("cast(k1 div 2 AS int)").alias("label"), F.col("overlap").alias("noise_overlap"))
+    return pair_overlap(points, pairs, k=k, most=most, num_features=num_features, fewest=fewest).select(F.expr("cast(k1 div 2 AS int)").alias("label"), F.col("overlap").alias("noise_overlap"))
 
 
 def isolation_metrics(series: DataFrame, firings: DataFrame, clip_size: int, *, length: int, most: int = 500) -> DataFrame:
@@ -235,11 +228,11 @@ def isolation_metrics(series: DataFrame, firings: DataFrame, clip_size: int, *,
     pairs come from all events; only the two measures by nearest neighbours from up to `most` of each label."""
     from tidewave.operators.metrics import isolation, pair_overlap, pairs_to_compare, peak_metrics
 
-    rank = Window.partitionBy("label").orderBy(F.xxhash64("event_id"), "event_id")
+    rank = Window.partitionBy("label").orderBy(*drawn_order("event_id"))
     some = firings.withColumn("r", F.row_number().over(rank)).where(F.col("r") <= most)
     clips = checkpointed(extract_clips(series, some.select("event_id", "time", "label"), clip_size))
     stats = event_statistics(series, firings, clip_size)
     pairs = pairs_to_compare(templates(series, firings, clip_size)).select(F.least("k1", "k2").alias("k1"), F.greatest("k1", "k2").alias("k2")).distinct()
     points = clip_features(clips).select(F.col("event_id").alias("id"), "label", "f")
-    alone = isolation(pair_overlap(points, pairs, most=most), firings)
+    alone = isolation(pair_overlap(points, pairs, most=most, num_features=10, fewest=100), firings)
     return peak_metrics(stats).join(noise_overlap(series, firings, clip_size, length=length, most=most), "label", "left").join(alone, "label", "left")

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidewave.plans.storage import checkpointed
+
 
 def uniform(*parts: Column) -> Column:
     """Between 0 and 1, neither included."""
@@ -44,12 +46,12 @@ def random_firings(spark: SparkSession, *, units: int = 20, samplerate: float =
         rows = rows.withColumn("close", close)
         first = F.col("close") & ~F.coalesce(F.lag("close").over(by), F.lit(False))
         rows = rows.withColumn("drop", first)
-        from tidewave.plans.storage import checkpointed
-
         rows = checkpointed(rows)
         if not rows.where("drop").limit(1).count():
             break
         rows = rows.where("NOT drop").drop("close", "drop")
+    else:
+        raise RuntimeError("some events still lie within another's refractory time")
     return rows.select(F.col("id").alias("event_id"), F.lit(0).alias("channel"), "time", "label")
 
 

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidewave.functions.kernels import filter_signal
 from tidewave.plans.storage import checkpointed
 
 
@@ -83,16 +89,88 @@ def event_statistics(series: DataFrame, events: DataFrame, clip_size: int) -> Da
     return means.join(squares, by, "left").select(*by, F.when(many, F.col("mean")).otherwise(F.lit(0.0)).alias("mean"), F.when(many, stdev).otherwise(F.lit(0.0)).alias("stdev"))
 
 
-def view_templates(series: DataFrame, events: DataFrame, clip_size: int, *, max_events: int = 500, subtract_mean: bool = True) -> DataFrame:
-    """Templates over at most max_events evenly spaced events of each label, less their mean over time if asked for."""
+def view_templates(series: DataFrame, events: DataFrame, clip_size: int, *, max_events: int = 500, subtract_mean: bool = True, samplerate: float = 0, freq_min: float = 0, freq_max: float = 0, freq_wid: float = 1000, padding: int = 50) -> DataFrame:
+    """Templates over at most max_events evenly spaced events of each label, less their mean over time if asked for. With
+    a samplerate and a band they are made with `padding` more samples on either side, filtered and cut."""
     from tidewave.operators.events import subsample_firings
 
-    means = templates(series, subsample_firings(events, max_per_label=max_events), clip_size)
+    band = samplerate and (freq_min or freq_max)
+    extra = padding if band else 0
+    means = templates(series, subsample_firings(events, max_per_label=max_events), clip_size + 2 * extra)
+    if band:
+
+        @F.pandas_udf("array<double>")
+        def filtered(x: pd.Series) -> pd.Series:
+            return pd.Series([filter_signal(np.asarray(v, float), samplerate, freq_min, freq_max, freq_wid)[extra : extra + clip_size].tolist() for v in x])
+
+        wave = means.groupBy("label", "channel").agg(F.transform(F.sort_array(F.collect_list(F.struct("t", "v"))), lambda x: x["v"]).alias("f"))  # one template
+        means = wave.select("label", "channel", F.posexplode(filtered("f")).alias("t", "v"))
     if not subtract_mean:
         return means
     return means.withColumn("v", F.col("v") - F.avg("v").over(Window.partitionBy("label", "channel")))
 
 
+def clip_features(clips: DataFrame) -> DataFrame:
+    """One row for each clip: its values as an array by channel and time."""
+    keys = [c for c in clips.columns if c not in ("channel", "t", "v")]
+    return clips.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("channel", "t", "v"))), lambda x: x["v"]).alias("f"))  # one clip
+
+
+def principal_features(clips: DataFrame, num_features: int = 10, *, subtract_mean: bool = False) -> DataFrame:
+    """The keys of clips and features, the projections of each clip on the leading axes of all. Products of two values of a
+    clip are summed within tasks, so that what is gathered is as large as a clip is, squared."""
+    rows = checkpointed(clip_features(clips))
+    keys = [c for c in rows.columns if c != "f"]
+    first = rows.select(F.size("f").alias("n")).first()
+    if first is None:
+        return rows.select(*keys, F.col("f").alias("features"))
+    size = first["n"]
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, total, products = 0, np.zeros(size), np.zeros((size, size))
+        for b in batches:
+            x = b.column("f").flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
+            n, total, products = n + len(x), total + x.sum(0), products + x.T @ x
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(size)), pa.array(np.full(size, n)), pa.array(total), pa.array(products.tolist())], names=["i", "n", "s", "p"])
+
+    each = rows.select("f").mapInArrow(sums, "i long, n long, s double, p array<double>").select("i", "n", "s", F.posexplode("p").alias("j", "p"))
+    n, total, products = 0, np.zeros(size), np.zeros((size, size))
+    for r in each.groupBy("i", "j").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("p").alias("p")).collect():
+        n, total[r["i"]], products[r["i"], r["j"]] = r["n"], r["s"], r["p"]
+    mean = total / max(n, 1) if subtract_mean else np.zeros(size)
+    _, vectors = np.linalg.eigh(products - n * np.outer(mean, mean))
+    axes = vectors[:, ::-1][:, : min(num_features, size)]
+    axes = axes * np.sign(axes[np.abs(axes).argmax(0), np.arange(axes.shape[1])])
+
+    @F.pandas_udf("array<double>")
+    def project(f: pd.Series) -> pd.Series:
+        return pd.Series(((np.stack(f.to_numpy()) - mean) @ axes).tolist()) if len(f) else pd.Series([], dtype=object)
+
+    return rows.select(*keys, project("f").alias("features"))
+
+
+def shift_clips(clips: DataFrame, shift: int, clip_size: int) -> DataFrame:
+    """Clips moved later by `shift` samples, around the ends."""
+    return clips.withColumn("t", F.pmod(F.col("t") + F.lit(shift), F.lit(clip_size)).cast("int"))
+
+
+def sliding_correlations(means1: DataFrame, means2: DataFrame, radius: int = 10) -> DataFrame:
+    """k1, k2, correlation, lag: how alike two tables of templates are, without taking off means, at the lag up to radius
+    by which k2's template is moved earlier to be most like k1's (samples beyond a template are 0); of equals the
+    least lag, and 0 where nothing is positive."""
+    a = means1.select(F.col("label").alias("k1"), "channel", F.col("t").alias("at"), F.col("v").alias("v1"))
+    b = means2.select(F.col("label").alias("k2"), "channel", "t", F.col("v").alias("v2"))
+    moved = b.withColumn("lag", F.explode(F.sequence(F.lit(-radius), F.lit(radius)))).withColumn("at", F.col("t") - F.col("lag"))
+    inside = moved.join(F.broadcast(means1.agg(F.max("t").alias("top"))), (F.col("at") >= 0) & (F.col("at") <= F.col("top")))
+    norm1 = a.groupBy("k1").agg(F.sum(F.col("v1") * F.col("v1")).alias("s11"))
+    norm2 = inside.groupBy("k2", "lag").agg(F.sum(F.col("v2") * F.col("v2")).alias("s22"))
+    both = inside.join(a, ["channel", "at"]).groupBy("k1", "k2", "lag").agg(F.sum(F.col("v1") * F.col("v2")).alias("s12"))
+    r = both.join(norm1, "k1").join(norm2, ["k2", "lag"]).where("s11 > 0 AND s22 > 0").withColumn("r", F.col("s12") / F.sqrt(F.col("s11") * F.col("s22"))).where("r > 0")
+    best = r.groupBy("k1", "k2").agg(F.max("r").alias("correlation"), F.max_by("lag", F.struct("r", -F.col("lag"))).alias("lag"))
+    pairs = means1.select(F.col("label").alias("k1")).distinct().crossJoin(F.broadcast(means2.select(F.col("label").alias("k2")).distinct()))  # labels only
+    return pairs.join(best, ["k1", "k2"], "left").select("k1", "k2", F.coalesce("correlation", F.lit(0.0)).alias("correlation"), F.coalesce("lag", F.lit(0)).alias("lag"))
+
+
 def amplitudes(series: DataFrame, events: DataFrame, central_channel: int = 0) -> DataFrame:
     """event_id, amplitude: the series at the event on the given channel, or where it is largest in size (of equals, on the
     lowest channel). Events beyond the series have 0."""

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidewave.functions.kernels import filter_signal, keep_peaks
+from tidewave.plans.storage import checkpointed
 
 
 def extract_timeseries(series: DataFrame, channels: list[int] | None = None, t1: int = -1, t2: int = -1) -> DataFrame:
@@ -57,23 +58,18 @@ def quantize(series: DataFrame, unit: float) -> DataFrame:
 
 def multiscale(series: DataFrame, length: int) -> DataFrame:
     """factor, stat (min or max), channel, t, v: extremes of each 3, 9, 27, ... samples, up to the first power of 3 that
-    holds the whole series; samples beyond its end count as 0. Each level is made from the one before, in whose
-    buckets the end is already counted."""
-    out, factor, level = None, 3, series.select("channel", "t", F.col("v").alias("lo"), F.col("v").alias("hi"))
-    top = 3
-    while top < length:
-        top *= 3
-    count = length
-    while factor <= top:
-        level = level.groupBy("channel", F.expr("t div 3").alias("t")).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.count("*").alias("n"))
-        beyond = F.col("n") < 3
-        level = level.select("channel", "t", F.when(beyond, F.least("lo", F.lit(0.0))).otherwise(F.col("lo")).alias("lo"), F.when(beyond, F.greatest("hi", F.lit(0.0))).otherwise(F.col("hi")).alias("hi"))
-        count = -(-count // 3)
-        both = level.select("channel", "t", F.explode(F.array(F.struct(F.lit("min").alias("stat"), F.col("lo").alias("v")), F.struct(F.lit("max").alias("stat"), F.col("hi").alias("v")))).alias("x"))
-        part = both.select(F.lit(factor).cast("long").alias("factor"), "x.stat", "channel", "t", "x.v")
-        out = part if out is None else out.unionByName(part)
-        factor *= 3
-    return out
+    holds the whole series; samples beyond its end count as 0. The first level is made once; each of its buckets
+    counts for all levels above, whose extremes are taken within tasks before the shuffle."""
+    factors = [3]
+    while factors[-1] < length:
+        factors.append(3 * factors[-1])
+    first = checkpointed(series.groupBy("channel", F.expr("t div 3").alias("u")).agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("*").alias("n")))
+    each = first.withColumn("factor", F.explode(F.array(*[F.lit(f).cast("long") for f in factors])))
+    level = each.groupBy("factor", "channel", F.expr("u div (factor div 3)").alias("t")).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n").alias("n"))
+    beyond = F.col("n") < F.col("factor")
+    lo, hi = F.when(beyond, F.least("lo", F.lit(0.0))).otherwise(F.col("lo")), F.when(beyond, F.greatest("hi", F.lit(0.0))).otherwise(F.col("hi"))
+    both = F.array(F.struct(F.lit("min").alias("stat"), lo.alias("v")), F.struct(F.lit("max").alias("stat"), hi.alias("v")))
+    return level.select("factor", "channel", "t", F.explode(both).alias("x")).select("factor", "x.stat", "channel", "t", "x.v")
 
 
 def mask_out_artifacts(series: DataFrame, length: int, *, interval: int = 2000, threshold: float = 6.0) -> DataFrame:
@@ -108,16 +104,27 @@ def threshold_candidates(series: DataFrame, *, threshold: float = 3.0, sign: int
     return series.join(F.broadcast(stats), "channel").where(size > threshold * F.col("s")).select("channel", "t", size.alias("v"))
 
 
-def sessions(candidates: DataFrame, gap: float) -> DataFrame:
-    """Adds session: candidates of a channel belong together while no gap of more than `gap` lies between them."""
-    by = Window.partitionBy("channel").orderBy("t")
-    new = F.when(F.col("t") - F.lag("t").over(by) > gap, 1).otherwise(0)
-    return candidates.withColumn("_new", new).withColumn("session", F.sum("_new").over(by.rowsBetween(Window.unboundedPreceding, 0)).cast("int")).drop("_new")
+def sessions(candidates: DataFrame, gap: float, *, part: int = 1_000_000) -> DataFrame:
+    """Adds session: candidates of a channel belong together while no gap of more than `gap` lies between them.
+
+    Sessions are numbered within parts of time, so that no task sees a whole channel; numbers go on from those of the
+    parts before, of which there is one row for each `part` units of time."""
+    rows = checkpointed(candidates.withColumn("_part", F.floor(F.col("t") / part)))
+    by = Window.partitionBy("channel", "_part").orderBy("t")
+    new = (F.coalesce(F.col("t") - F.lag("t").over(by), F.lit(0)) > gap).cast("int")
+    rows = rows.withColumn("_new", new).withColumn("_s", F.sum("_new").over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    ends = rows.groupBy("channel", "_part").agg(F.min("t").alias("_t0"), F.max("t").alias("_t1"), F.max("_s").alias("_s1"))
+    order = Window.partitionBy("channel").orderBy("_part")
+    fresh = F.coalesce((F.col("_t0") - F.lag("_t1").over(order)) > gap, F.lit(False)).cast("int")
+    ends = ends.withColumn("_step", fresh + F.coalesce(F.lag("_s1").over(order), F.lit(0)))
+    ends = ends.select("channel", "_part", F.sum("_step").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("_base"))
+    return rows.join(ends, ["channel", "_part"]).withColumn("session", (F.col("_s") + F.col("_base")).cast("int")).select(*candidates.columns, "session")
 
 
 def detect_events(series: DataFrame, *, threshold: float = 3.0, interval: int = 10, sign: int = 0) -> DataFrame:
     """channel, t, v of the candidates that no larger one suppresses (see keep_peaks). Sessions don't influence each
-    other, so each is decided for itself, wherever it is."""
+    other, so each is decided for itself, wherever it is; a task holds one session's candidates, of which there can be many
+    only where the series is above the threshold all the time."""
     @F.pandas_udf("array<boolean>")
     def kept(t: pd.Series, v: pd.Series) -> pd.Series:
         return pd.Series([keep_peaks(a, b, interval) for a, b in zip(t, v, strict=True)])
@@ -151,15 +158,29 @@ def bandpass_filter(series: DataFrame, samplerate: float, freq_min: float, freq_
     return quantize(out, quantize_unit) if quantize_unit > 0 else out
 
 
+def mixed_channels(rows: DataFrame, matrix: DataFrame, by: list[str]) -> DataFrame:
+    """by, channel, v for rows (by, channel, v): each channel m1 as the sum over channels m2 of w * v. The channels of one
+    sample are put in one row, and a row is multiplied where it is. matrix: m1, m2, w of a few channels."""
+    wide = rows.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("channel", "v"))).alias("x"))  # a sample's channels
+    weights = matrix.groupBy("m1").agg(F.sort_array(F.collect_list(F.struct("m2", "w"))).alias("ws")).agg(F.sort_array(F.collect_list(F.struct("m1", "ws"))).alias("all"))
+    each = wide.crossJoin(F.broadcast(weights)).select(*by, "x", F.explode("all").alias("m"))  # one row of channels squared
+    here = F.filter("m.ws", lambda c: F.map_contains_key(F.col("x"), c["m2"]))
+    total = F.aggregate(here, F.lit(0.0), lambda s, c: s + c["w"] * F.element_at(F.col("x"), c["m2"]))
+    return each.where(F.size(here) > 0).select(*by, F.col("m.m1").alias("channel"), total.alias("v"))
+
+
 def apply_matrix(series: DataFrame, matrix: DataFrame, unit: float = 0.0) -> DataFrame:
     """Each channel m1 as the sum over channels m2 of w * v; unit > 0 rounds to that grid. matrix: m1, m2, w of a few
     channels."""
-    out = series.join(F.broadcast(matrix), series["channel"] == F.col("m2")).groupBy(F.col("m1").alias("channel"), "t").agg(F.sum(F.col("w") * F.col("v")).alias("v"))
+    out = mixed_channels(series, matrix, ["t"]).select("channel", "t", "v")
     return out.withColumn("v", F.floor(F.col("v") / unit + 0.5) * F.lit(unit)) if unit > 0 else out
 
 
-def whitening_matrix(series: DataFrame, length: int | None = None) -> DataFrame:
-    """m1, m2, w: the inverse square root of the covariance, whose size is that of the channels only."""
+def whitening_matrix(series: DataFrame, length: int | None = None, *, channels: list[int] | None = None) -> DataFrame:
+    """m1, m2, w: the inverse square root of the covariance of all or some channels, whose size is that of the channels
+    only. With a subset, its channels are numbered from 1 in the order asked for."""
+    if channels:
+        series = extract_timeseries(series, channels)
     rows = covariance(series, length).collect()  # channels squared
     names = sorted({r["m1"] for r in rows})
     place = {c: i for i, c in enumerate(names)}
@@ -179,4 +200,4 @@ def whiten(series: DataFrame, length: int | None = None, unit: float = 1e-4) ->
 
 def whiten_clips(clips: DataFrame, matrix: DataFrame) -> DataFrame:
     """The same for clips (clip_id, channel, t, v), without a grid."""
-    return clips.join(F.broadcast(matrix), clips["channel"] == F.col("m2")).groupBy("clip_id", F.col("m1").alias("channel"), "t").agg(F.sum(F.col("w") * F.col("v")).alias("v"))
+    return mixed_channels(clips, matrix, ["clip_id", "t"]).select("clip_id", "channel", "t", "v")

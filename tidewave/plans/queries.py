@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidewave.operators import events as ev
 from tidewave.operators import matching as mt
@@ -12,7 +15,10 @@ from tidewave.operators import sorting as so
 from tidewave.operators import synthesis as sy
 from tidewave.operators import templates as tp
 from tidewave.operators import timeseries as ts
+from tidewave.operators import segments as sg
+from tidewave.plans.storage import shared_folder
 from tidewave.plans.views import MINUTES, WEEK, clips, firings, firings2, geom, sql, timeseries
+from tidewave.sources import arrays as ar
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -143,8 +149,8 @@ def apply_label_map(spark, d):
 CLIP = 20
 EVENTS_SQL = "ev AS (SELECT event_id, label, time // 60 AS m FROM firings)"
 TEMPLATE_SQL = f"""{EVENTS_SQL}, n AS (SELECT label, count(*) AS n FROM ev GROUP BY label),
-  s AS (SELECT label, channel, t.t - m + 9 AS o, sum(v) AS s FROM ev JOIN timeseries t ON t.t BETWEEN m - 9 AND m + 10 GROUP BY ALL),
-  tmpl AS (SELECT n.label, CAST(c AS INT) AS channel, CAST(b.o AS INT) AS t, coalesce(s, 0.0) / n AS v FROM n CROSS JOIN range(1, 6) a(c) CROSS JOIN range({CLIP}) b(o) LEFT JOIN s ON s.label = n.label AND s.channel = c AND s.o = b.o)"""
+  s AS (SELECT label, channel, o, sum(v * w) AS s FROM (SELECT label, m, o, m + o - 9 AS t, count(*) AS w FROM ev CROSS JOIN range(20) x(o) GROUP BY ALL) e JOIN timeseries USING (t) GROUP BY ALL),
+  tmpl AS MATERIALIZED (SELECT n.label, CAST(c AS INT) AS channel, CAST(b.o AS INT) AS t, coalesce(s, 0.0) / n AS v FROM n CROSS JOIN range(1, 6) a(c) CROSS JOIN range({CLIP}) b(o) LEFT JOIN s ON s.label = n.label AND s.channel = c AND s.o = b.o)"""
 
 
 def minute_events(spark, d):
@@ -196,7 +202,7 @@ def peak_snr(spark, d):
 
 @query("firings", "timeseries", oracle=f"""WITH r AS (SELECT label, time // 60 AS m, row_number() OVER (PARTITION BY label ORDER BY event_id) - 1 AS i, count(*) OVER (PARTITION BY label) AS n FROM firings),
   ev AS (SELECT label, m FROM r WHERE n <= 200 OR (i * 200 + n - 1) // n < ((i + 1) * 200 + n - 1) // n), n AS (SELECT label, count(*) AS n FROM ev GROUP BY label),
-  s AS (SELECT label, channel, t.t - m + 9 AS o, sum(v) AS s FROM ev JOIN timeseries t ON t.t BETWEEN m - 9 AND m + 10 GROUP BY ALL),
+  s AS (SELECT label, channel, o, sum(v) AS s FROM (SELECT label, o, m + o - 9 AS t FROM ev CROSS JOIN range(20) x(o)) e JOIN timeseries USING (t) GROUP BY ALL),
   tm AS (SELECT n.label, CAST(c AS INT) AS channel, CAST(b.o AS INT) AS t, coalesce(s, 0.0) / n AS v FROM n CROSS JOIN range(1, 6) a(c) CROSS JOIN range({CLIP}) b(o) LEFT JOIN s ON s.label = n.label AND s.channel = c AND s.o = b.o)
 SELECT label, channel, t, round(v - avg(v) OVER (PARTITION BY label, channel), 8) AS v FROM tm""")
 def view_templates(spark, d):
@@ -210,7 +216,7 @@ def compute_amplitudes(spark, d):
 
 
 @query("firings", "timeseries", oracle=f"""WITH {TEMPLATE_SQL}, p AS (SELECT label, arg_max(channel, (abs(v), -t, -channel)) AS c, arg_max(t, (abs(v), -t, -channel)) AS o FROM tmpl GROUP BY label)
-SELECT event_id, coalesce(x.v, 0.0) AS amplitude FROM ev JOIN p USING (label) LEFT JOIN timeseries x ON x.channel = c AND x.t = m + o - 9""")
+SELECT event_id, coalesce(x.v, 0.0) AS amplitude FROM (SELECT event_id, c AS channel, m + o - 9 AS t FROM ev JOIN p USING (label)) e LEFT JOIN timeseries x USING (channel, t)""")
 def peak_amplitudes(spark, d):
     return tp.peak_amplitudes(timeseries(spark, d), minute_events(spark, d), minute_templates(spark, d), CLIP)
 
@@ -290,7 +296,13 @@ def sessions(spark, d):
     return rounded(ts.sessions(ts.threshold_candidates(timeseries(spark, d), threshold=2.0), 30), "v")
 
 
-@query()
+@query("timeseries", oracle=f"""WITH RECURSIVE {CANDIDATES_SQL}, l AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY channel ORDER BY t) > 30 THEN 1 ELSE 0 END AS g FROM cand),
+  n AS (SELECT channel, t, v, sum(g) OVER (PARTITION BY channel ORDER BY t ROWS UNBOUNDED PRECEDING) AS session FROM l),
+  s AS MATERIALIZED (SELECT channel, session, list(t ORDER BY t) AS tl, list(v ORDER BY t) AS vl FROM n GROUP BY ALL),
+  r AS (SELECT channel, session, tl, vl, 1::BIGINT AS i, 0::BIGINT AS best, []::BIGINT[] AS keep FROM s UNION ALL
+    SELECT channel, session, tl, vl, i + 1, CASE WHEN b = 0 OR vl[i] > vl[b] THEN i ELSE b END, CASE WHEN b = 0 OR vl[i] > vl[b] THEN list_append(list_filter(keep, lambda k: k <> b), i) ELSE keep END
+    FROM (SELECT *, CASE WHEN best > 0 AND tl[best] < tl[i] - 30 THEN coalesce(list_max(list_transform(list_filter(range(best + 1, i), lambda j: tl[j] >= tl[i] - 30), lambda j: {{'v': vl[j], 'j': j}})).j, 0) ELSE best END AS b FROM r WHERE i <= len(tl)))
+SELECT channel, tl[k] AS t, round(vl[k], 6) AS v FROM (SELECT channel, tl, vl, unnest(keep) AS k FROM r WHERE i > len(tl))""")
 def detect_events(spark, d):
     return rounded(ts.detect_events(timeseries(spark, d), threshold=2.0, interval=30), "v")
 
@@ -337,13 +349,32 @@ def first_matches(spark, d):
     return mt.match_events(firings(spark, d), firings2(spark, d), 30, most_passes=1)
 
 
-@query()
+def matching_sql(passes):
+    """The passes of the matching one after another, and the confusion matrix c that follows."""
+    parts = [f"""{NEAR_SQL}, cc AS (SELECT k1, k2, count(DISTINCT e1) AS a, count(DISTINCT e2) AS b FROM pr GROUP BY ALL),
+  n1 AS (SELECT label, count(*) AS n FROM firings GROUP BY 1), n2 AS (SELECT label, count(*) AS n FROM firings2 GROUP BY 1),
+  s AS (SELECT k1, k2, least(a / n1.n, b / n2.n) AS sc FROM cc JOIN n1 ON n1.label = k1 JOIN n2 ON n2.label = k2), q0 AS MATERIALIZED (SELECT pr.*, sc, abs(t2 - t1) AS g FROM pr JOIN s USING (k1, k2))"""]
+    for i in range(passes):
+        parts.append(f"""m{i} AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY e1 ORDER BY sc DESC, g, t2, e2) AS r1, row_number() OVER (PARTITION BY e2 ORDER BY sc DESC, g, t1, e1) AS r2 FROM q{i}) WHERE r1 = 1 AND r2 = 1)""")
+        parts.append(f"q{i + 1} AS MATERIALIZED (SELECT * FROM q{i} WHERE e1 NOT IN (SELECT e1 FROM m{i}) AND e2 NOT IN (SELECT e2 FROM m{i}))")
+    parts.append("mm AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT e1, k1, e2, k2 FROM m{i}" for i in range(passes)) + ")")
+    parts.append("""c AS MATERIALIZED (SELECT k1, k2, count(*) AS n FROM (SELECT k1, k2 FROM mm UNION ALL SELECT label, 0 FROM firings WHERE event_id NOT IN (SELECT e1 FROM mm) UNION ALL SELECT 0, label FROM firings2 WHERE event_id NOT IN (SELECT e2 FROM mm)) GROUP BY ALL)""")
+    return ", ".join(parts)
+
+
+@query("firings", "firings2", oracle=f"WITH {matching_sql(10)} SELECT CAST(k1 AS INT) AS k1, CAST(k2 AS INT) AS k2, n FROM c")
 def confusion_matrix(spark, d):
     a, b = firings(spark, d), firings2(spark, d)
     return mt.confusion_matrix(mt.match_events(a, b, 30), a, b)
 
 
-@query()
+#: Of all one-to-one namings of the second table's labels, the one with most events that agree.
+BEST_NAMING_SQL = """g AS MATERIALIZED (SELECT a.k AS k1, b.k AS k2, coalesce(n, 0) AS n FROM (SELECT DISTINCT k1 AS k FROM c WHERE k1 > 0) a CROSS JOIN (SELECT DISTINCT k2 AS k FROM c WHERE k2 > 0) b LEFT JOIN c ON c.k1 = a.k AND c.k2 = b.k),
+  p AS (SELECT []::INT[] AS names, 0::BIGINT AS total, 0 AS i UNION ALL SELECT list_append(names, k1), total + g.n, i + 1 FROM p JOIN g ON g.k2 = i + 1 AND NOT list_contains(names, k1)),
+  best AS (SELECT arg_max(names, total) AS names FROM p WHERE i = 8)"""
+
+
+@query("firings", "firings2", oracle=f"WITH RECURSIVE {matching_sql(10)}, {BEST_NAMING_SQL} SELECT CAST(k1 AS INT) AS k1, CAST(CASE WHEN k2 = 0 THEN 0 ELSE names[k2] END AS INT) AS k2, n FROM c, best")
 def relabelled_confusion(spark, d):
     a, b = firings(spark, d), firings2(spark, d)
     c = mt.confusion_matrix(mt.match_events(a, b, 30), a, b)
@@ -402,7 +433,11 @@ def merge_candidates(spark, d):
     return so.merge_candidates(means, means.select("label", (F.col("label") % 4 + 1).cast("int").alias("m")).distinct())
 
 
-@query()
+@query("clips", oracle=f"""WITH {PAIR_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY k1 ORDER BY distance, k2) AS r FROM pr), q AS (SELECT k1, k2 FROM r WHERE (r <= 3 OR (correlation >= 0.8 AND r <= 10)) AND k1 < k2),
+  pt AS MATERIALIZED (SELECT clip_id AS id, label, f, row_number() OVER (PARTITION BY label ORDER BY md5(CAST(clip_id AS VARCHAR)), clip_id) AS r FROM (SELECT clip_id, label, list(v ORDER BY channel, t) AS f FROM clips GROUP BY ALL)), n AS (SELECT label, least(count(*), 500) AS n FROM pt GROUP BY label),
+  mb AS MATERIALIZED (SELECT k1, k2, pt.label, id, f FROM q JOIN n x ON x.label = k1 JOIN n y ON y.label = k2 JOIN pt ON pt.label IN (k1, k2) WHERE r <= least(x.n, y.n)),
+  dd AS (SELECT k1, k2, a.id, a.label <> b.label AS other, row_number() OVER (PARTITION BY k1, k2, a.id ORDER BY list_distance(a.f, b.f), b.id) AS r FROM mb a JOIN mb b USING (k1, k2) WHERE a.id <> b.id)
+SELECT k1, k2, round(avg(CASE WHEN other THEN 1.0 ELSE 0.0 END), 6) AS overlap FROM dd WHERE r <= 5 GROUP BY k1, k2""")
 def pair_overlap(spark, d):
     points = so.clip_features(clips(spark, d)).select(F.col("clip_id").alias("id"), "label", "f")
     pairs = me.pairs_to_compare(clip_templates(spark, d)).where("k1 < k2")
@@ -439,3 +474,149 @@ def synthesize_timeseries(spark, d):
     waves = sy.random_waveforms(spark, channels=5, size=60, units=8, upsample=3)
     events = firings(spark, d).select("event_id", "channel", F.col("time").cast("double").alias("time"), "label")
     return rounded(sy.synthesize_timeseries(spark, waves, events, channels=5, length=60 * MINUTES, size=60, upsample=3), "v")
+
+
+def new_folder(spark, name):
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query("timeseries", oracle="SELECT t, channel, v FROM timeseries UNION ALL SELECT t + 43200, channel, v FROM timeseries")
+def array_files(spark, d):
+    """The series as array files, and again after them, read back."""
+    folder = new_folder(spark, "arrays")
+    ar.write_array(timeseries(spark, d), folder, 5, "float64", partitions=4)
+    ar.write_array(timeseries(spark, d), folder, 5, "float64", append=True, partitions=4)
+    return ar.read_array(spark, folder)
+
+
+@query("timeseries", oracle="SELECT t, channel, v FROM timeseries WHERE t >= 20000 AND t < 20100")
+def array_range(spark, d):
+    """A range of t, which alone is read."""
+    folder = new_folder(spark, "arrays")
+    ar.write_array(timeseries(spark, d), folder, 5, "float64", partitions=4)
+    return ar.read_array(spark, folder, chunk=1000).where("t >= 20000 AND t < 20100")
+
+
+@query("firings", oracle="SELECT label, name, value FROM (SELECT label, CAST(count(*) AS DOUBLE) AS num_events, CAST(min(time) AS DOUBLE) AS tmin_sec, CAST(max(time) AS DOUBLE) AS tmax_sec, CAST(max(time) - min(time) AS DOUBLE) AS dur_sec FROM firings GROUP BY label) UNPIVOT (value FOR name IN (num_events, tmin_sec, tmax_sec, dur_sec))")
+def metric_documents(spark, d):
+    """Metrics written as a JSON document and read back."""
+    folder = new_folder(spark, "metrics")
+    ar.write_metrics(me.metrics_long(me.view_metrics(firings(spark, d))), folder)
+    return ar.read_metrics(spark, folder)
+
+
+@query("geom", oracle="SELECT channel, x, y FROM geom")
+def geom_files(spark, d):
+    """Coordinates written as lines of text and read back."""
+    folder = new_folder(spark, "geom")
+    ar.write_csv_array(geom(spark, d).select(F.col("channel").alias("row"), F.array("x", "y").alias("values")), folder)
+    return ar.read_geom(spark, folder)
+
+
+@query("clips", oracle="SELECT clip_id, a AS channel, t, round(sum(v * (CASE WHEN a = channel THEN 1.0 ELSE -0.25 END)), 6) AS v FROM clips, (SELECT unnest([1, 2, 3, 4])::INT AS a) GROUP BY ALL")
+def whiten_clips(spark, d):
+    w = spark.createDataFrame([(a, b, 1.0 if a == b else -0.25) for a in range(1, 5) for b in range(1, 5)], "m1 int, m2 int, w double")
+    return rounded(ts.whiten_clips(clips(spark, d), w), "v")
+
+
+@query("timeseries", oracle="SELECT a AS m1, b AS m2, CASE WHEN a = b THEN 1.0 ELSE 0.0 END::DOUBLE AS w FROM (SELECT unnest([1, 2, 3, 4, 5])::INT AS a), (SELECT unnest([1, 2, 3, 4, 5])::INT AS b)")
+def whitened_covariance(spark, d):
+    """Whitened channels have unit variance and no correlation, up to the grid of the values."""
+    out = ts.covariance(ts.whiten(timeseries(spark, d), MINUTES), MINUTES)
+    return out.select("m1", "m2", F.abs(F.round("w", 3)).alias("w"))
+
+
+@query("timeseries", oracle="SELECT a AS m1, b AS m2, CASE WHEN a = b THEN 1.0 ELSE 0.0 END::DOUBLE AS w FROM (SELECT unnest([1, 2])::INT AS a), (SELECT unnest([1, 2])::INT AS b)")
+def whitened_subset(spark, d):
+    """The same for channels 4 and 2."""
+    x = timeseries(spark, d)
+    part = ts.extract_timeseries(x, [4, 2])
+    out = ts.covariance(ts.apply_matrix(part, ts.whitening_matrix(x, MINUTES, channels=[4, 2])), MINUTES)
+    return out.select("m1", "m2", F.abs(F.round("w", 6)).alias("w"))
+
+
+@query("firings", oracle="SELECT event_id, channel, time, label, amplitude, is_last FROM (SELECT *, false AS is_last, row_number() OVER (PARTITION BY label ORDER BY time, event_id) AS r FROM firings UNION ALL SELECT *, true, row_number() OVER (PARTITION BY label ORDER BY time DESC, event_id) FROM firings) WHERE r <= 50")
+def edge_events(spark, d):
+    rows = firings(spark, d)
+    return sg.edge_events(rows, 50, False).withColumn("is_last", F.lit(False)).unionByName(sg.edge_events(rows, 50, True).withColumn("is_last", F.lit(True)))
+
+
+@query("firings", oracle="SELECT event_id, label FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5(CAST(event_id AS VARCHAR)), event_id) AS r FROM firings) WHERE r <= 20")
+def drawn_events(spark, d):
+    """Some events of each label, drawn without regard to anything but their id."""
+    rank = Window.partitionBy("label").orderBy(*me.drawn_order("event_id"))
+    return firings(spark, d).withColumn("r", F.row_number().over(rank)).where("r <= 20").select("event_id", "label")
+
+
+@query("firings", "firings2", oracle=f"""WITH a AS (SELECT * FROM firings WHERE time < {3 * WEEK}), b AS (SELECT * FROM firings2 WHERE time >= {WEEK}), oa AS (SELECT * FROM a WHERE time BETWEEN {WEEK} AND {3 * WEEK}), ob AS (SELECT * FROM b WHERE time BETWEEN {WEEK} AND {3 * WEEK}),
+  pr AS (SELECT x.event_id AS e1, x.label AS k1, y.event_id AS e2, y.label AS k2 FROM oa x JOIN ob y ON y.time BETWEEN x.time - 10 AND x.time + 10),
+  c AS (SELECT k1, k2, least(count(DISTINCT e1), count(DISTINCT e2)) AS n FROM pr GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY k1 ORDER BY n DESC, k2) AS r1, row_number() OVER (PARTITION BY k2 ORDER BY n DESC, k1) AS r2 FROM c),
+  n1 AS (SELECT label, count(*) AS n FROM oa GROUP BY 1), n2 AS (SELECT label, count(*) AS n FROM ob GROUP BY 1),
+  k AS (SELECT k1, k2 FROM r JOIN n1 ON n1.label = k1 JOIN n2 ON n2.label = k2 WHERE r1 = 1 AND r2 = 1 AND r.n >= 0.89 * n1.n AND r.n >= 0.89 * n2.n), f AS (SELECT label, min((time, event_id)) AS f FROM b GROUP BY label),
+  nm AS (SELECT label, CAST(coalesce(k1, (SELECT max(label) FROM a) + row_number() OVER (PARTITION BY k1 IS NULL ORDER BY f)) AS INT) AS new FROM f LEFT JOIN k ON k2 = label)
+SELECT event_id, channel, time, new AS label, time > {3 * WEEK} AS fresh FROM b JOIN nm USING (label)""")
+def link_segments(spark, d):
+    before, after = firings(spark, d).where(f"time < {3 * WEEK}"), firings2(spark, d).where(f"time >= {WEEK}")
+    return mt.link_segments(before, after, t1_prev=0, t2_prev=3 * WEEK, t1=WEEK, t2=10 * WEEK, threshold=0.89)
+
+
+@query("clips", oracle=f"""WITH m AS (SELECT label, channel, t, avg(v) AS v FROM clips GROUP BY ALL), b AS (SELECT label AS k2, channel, t, v, d FROM m, range(-5, 6) r(d)),
+  x AS (SELECT label AS k1, k2, d, sum(m.v * b.v) AS s12 FROM m JOIN b ON b.channel = m.channel AND m.t = b.t - d GROUP BY ALL), n1 AS (SELECT label AS k1, sum(v * v) AS s11 FROM m GROUP BY ALL), n2 AS (SELECT k2, d, sum(v * v) AS s22 FROM b WHERE t - d BETWEEN 0 AND 15 GROUP BY ALL),
+  r AS (SELECT k1, k2, d, s12 / sqrt(s11 * s22) AS r FROM x JOIN n1 USING (k1) JOIN n2 USING (k2, d))
+SELECT k1, k2, round(max(r), 6) AS correlation, CAST(arg_max(d, r) AS INT) AS lag FROM r GROUP BY k1, k2""")
+def sliding_correlations(spark, d):
+    means = clip_templates(spark, d)
+    return rounded(tp.sliding_correlations(means, means, 5), "correlation")
+
+
+@query("clips", oracle="SELECT clip_id, label, channel, CAST((t + 3) % 16 AS INT) AS t, v FROM clips")
+def shift_clips(spark, d):
+    return tp.shift_clips(clips(spark, d), 3, 16)
+
+
+@query("clips", oracle="SELECT clip_id, label, round(sum(v * v), 6) AS energy FROM clips GROUP BY clip_id, label")
+def principal_energy(spark, d):
+    """Along all axes the features of a clip have the clip's energy."""
+    out = tp.principal_features(clips(spark, d), 64)
+    return out.select("clip_id", "label", F.round(F.aggregate("features", F.lit(0.0), lambda s, x: s + x * x), 6).alias("energy"))
+
+
+@query("clips", oracle="""WITH a AS MATERIALIZED (SELECT clip_id, label, list(v ORDER BY channel, t) AS f FROM clips GROUP BY ALL), b AS MATERIALIZED (SELECT clip_id, label, list(v ORDER BY channel, t DESC) AS f FROM clips GROUP BY ALL),
+  n AS (SELECT b.clip_id, b.label AS k2, arg_min(a.label, (list_distance(a.f, b.f), a.label)) AS k1 FROM a, b GROUP BY ALL), c AS (SELECT k1, k2, count(*) AS n FROM n GROUP BY ALL)
+SELECT k1, k2, round(n / sum(n) OVER (PARTITION BY k2), 6) AS share FROM c""")
+def label_votes(spark, d):
+    """Whose clips are nearest to those of each label when these are turned round in time."""
+    x = clips(spark, d).withColumnRenamed("clip_id", "event_id")
+    return rounded(sg.label_votes(x, x.withColumn("t", 15 - F.col("t"))), "share")
+
+
+@query("firings", "timeseries", oracle=f"""WITH ev AS (SELECT label, time // 60 AS m, count(*) AS w FROM firings GROUP BY ALL), n AS (SELECT label, sum(w) AS n FROM ev GROUP BY label),
+  x AS MATERIALIZED (SELECT label, channel, o, v, w FROM (SELECT label, o, w, m + o - 9 AS t FROM ev CROSS JOIN range({CLIP}) r(o)) e JOIN timeseries USING (t)), s AS (SELECT label, channel, o, sum(v * w) / any_value(n) AS mean FROM x JOIN n USING (label) GROUP BY ALL),
+  q AS (SELECT label, channel, o, sum((v - mean) ** 2 * w) AS ss, sum(w) AS inside FROM x JOIN s USING (label, channel, o) GROUP BY ALL), z AS (SELECT label, mean, sqrt((ss + (n - inside) * mean * mean) / n) AS stdev FROM s JOIN q USING (label, channel, o) JOIN n USING (label))
+SELECT label, round(max(abs(mean)), 6) AS peak_amp, round(max(stdev), 6) AS peak_noise, round(max(abs(mean)) / max(stdev), 6) AS peak_snr FROM z GROUP BY label""")
+def event_peaks(spark, d):
+    """Peaks over the clips of all events, of which none is made."""
+    return rounded(me.peak_metrics(tp.event_statistics(timeseries(spark, d), minute_events(spark, d), CLIP)), "peak_amp", "peak_noise", "peak_snr")
+
+
+@query("clips", oracle="""WITH m AS (SELECT label, CAST(label % 4 + 1 AS INT) AS m, channel, t, avg(v) AS v FROM clips GROUP BY ALL),
+  p AS (SELECT label, m, max(abs(v)) AS top, max(abs(v)) FILTER (channel = m) AS own, arg_max(t, (abs(v), -t)) FILTER (channel = m) AS o FROM m GROUP BY ALL)
+SELECT m, label, CAST(row_number() OVER (PARTITION BY m ORDER BY label) AS INT) AS new_label FROM p WHERE own >= 0.5 * top AND abs(o - 7) <= 6""")
+def consolidate(spark, d):
+    means = clip_templates(spark, d).withColumn("m", (F.col("label") % 4 + 1).cast("int"))
+    return so.consolidate(means, 16, 0.5, 6)
+
+
+@query("firings", "clips", oracle="""WITH w AS (SELECT label, channel, t, avg(v) AS v FROM clips GROUP BY ALL), e AS (SELECT channel, time // 60 + t - 8 AS t, sum(v) AS s FROM (SELECT label, time FROM firings) JOIN w USING (label) GROUP BY ALL)
+SELECT CAST(c AS INT) AS channel, m AS t, round(coalesce(s, 0.0), 6) AS v FROM range(1, 5) a(c), range(43200) b(m) LEFT JOIN e ON e.channel = c AND e.t = m""")
+def superposed_waveforms(spark, d):
+    """A recording without noise: each event's waveform where it is."""
+    waves = clip_templates(spark, d)
+    return rounded(sy.synthesize_timeseries(spark, waves, minute_events(spark, d), channels=4, length=MINUTES, size=16, upsample=1, noise=0.0), "v")
+
+
+@query("firings", oracle="SELECT CAST(k AS INT) AS label, 0::BIGINT AS violations FROM range(1, 21) r(k)")
+def refractory_violations(spark, d):
+    """Random firings never follow one another within their refractory time."""
+    gap = F.col("time") - F.lag("time").over(Window.partitionBy("label").orderBy("time"))
+    return sy.random_firings(spark, rate=50, duration=10).withColumn("gap", gap).groupBy("label").agg(F.count_if(F.col("gap") < 300).alias("violations"))

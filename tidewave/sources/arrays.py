@@ -137,44 +137,51 @@ class ArrayReader(DataSourceReader):
 class Part(WriterCommitMessage):
     path: str
     first: int
-    rows: int
 
 
 class ArrayWriter(DataSourceArrowWriter):
-    """Each task writes the chunks that it gets, complete and by t, as parts; commit puts the header and the parts in
-    order into one file, by copying bytes. Needs rows (t, channel, v) dealt by chunk and sorted by t, channel."""
+    """Each task writes the range of t that it gets as an array file of its own; commit gives the files names in order of
+    t, after those that are there, and reads or copies no values. Needs rows (t, channel, v) dealt by ranges of t and
+    sorted by t, channel; a task holds its range in the type that is written."""
 
-    def __init__(self, options: dict):
-        self.path, self.kind, self.channels = options["path"], options.get("dtype", "float32"), int(options["num_channels"])
+    def __init__(self, options: dict, overwrite: bool):
+        self.path, self.kind, self.channels, self.overwrite = options["path"], options.get("dtype", "float32"), int(options["num_channels"]), overwrite
 
     def write(self, batches: Iterator[pa.RecordBatch]) -> Part:
         system, inner = file_system(self.path)
-        name, first, rows = f"{inner}.part-{uuid.uuid4().hex}", -1, 0
+        first, values = -1, []
+        for batch in batches:
+            if batch.num_rows and first < 0:
+                first = batch.column("t")[0].as_py()
+            values.append(batch.column("v").to_numpy(zero_copy_only=False).astype(self.kind).tobytes())
+        size = sum(map(len, values)) // np.dtype(self.kind).itemsize
+        if size % self.channels:
+            raise ValueError(f"{size} values aren't whole samples of {self.channels} channels")
+        if not size:
+            return Part("", -1)
+        system.create_dir(inner, recursive=True)
+        name = f"{inner}/{uuid.uuid4().hex}.part"
         with system.open_output_stream(name) as f:
-            for batch in batches:
-                if batch.num_rows and first < 0:
-                    first = batch.column("t")[0].as_py()
-                rows += batch.num_rows
-                f.write(batch.column("v").to_numpy(zero_copy_only=False).astype(self.kind).tobytes())
-        return Part(name, first, rows)
+            f.write(header(self.kind, [self.channels, size // self.channels]))
+            for v in values:
+                f.write(v)
+        return Part(name, first)
 
     def commit(self, messages: list[Part | None]) -> None:
         system, inner = file_system(self.path)
-        parts = sorted((m for m in messages if m), key=lambda m: m.first)
-        with system.open_output_stream(f"{inner}.new") as out:
-            out.write(header(self.kind, [self.channels, sum(p.rows for p in parts) // self.channels]))
-            for p in parts:
-                with system.open_input_stream(p.path) as f:
-                    while data := f.read(8 << 20):
-                        out.write(data)
-        system.move(f"{inner}.new", inner)
-        for p in parts:
-            system.delete_file(p.path)
+        system.create_dir(inner, recursive=True)
+        there = sorted(x.path for x in system.get_file_info(pafs.FileSelector(inner)) if x.path.endswith(".mda"))
+        if self.overwrite:
+            for path in there:
+                system.delete_file(path)
+        run = 0 if self.overwrite or not there else int(there[-1].rsplit("/", 1)[-1].split("-")[0]) + 1
+        for m in sorted((m for m in messages if m and m.path), key=lambda m: m.first):
+            system.move(m.path, f"{inner}/{run:06d}-{m.first:015d}.mda")
 
     def abort(self, messages: list[Part | None]) -> None:
         system, _ = file_system(self.path)
         for m in messages:
-            if m:
+            if m and m.path:
                 system.delete_file(m.path)
 
 
@@ -190,7 +197,7 @@ class MdaSource(DataSource):
         return ArrayReader(self.options, schema, False)
 
     def writer(self, schema: StructType, overwrite: bool) -> ArrayWriter:
-        return ArrayWriter(self.options)
+        return ArrayWriter(self.options, overwrite)
 
 
 class RawSource(MdaSource):
@@ -213,11 +220,26 @@ def read_array(spark: SparkSession, path: str, **options) -> DataFrame:  # type:
     return spark.read.format("rawbin" if "num_channels" in options else "mda").options(**options).load(path)
 
 
-def write_array(series: DataFrame, path: str, channels: int, dtype: str = "float32", partitions: int = 8) -> None:
-    """Writes a complete series (channel 1 .. channels at each t) as one file; ranges of t are written in parallel."""
+#: Values that one written file holds at most, about.
+FILE_VALUES = 8_000_000
+
+
+def write_array(series: DataFrame, path: str, channels: int, dtype: str = "float32", *, append: bool = False, partitions: int | None = None) -> None:
+    """Writes a complete series (channel 1 .. channels at each t) as a folder of array files, one for each range of t,
+    which read_array() reads one after another; with append they follow the files that are there. One partition
+    gives one file."""
     register(series.sparkSession)
-    rows = series.select("t", "channel", "v").repartitionByRange(partitions, "t").sortWithinPartitions("t", "channel")
-    rows.write.format("mda").option("num_channels", channels).option("dtype", dtype).mode("append").save(path)
+    n = partitions or series.count() // FILE_VALUES + 1
+    rows = series.select("t", "channel", "v").repartitionByRange(n, "t").sortWithinPartitions("t", "channel")
+    rows.write.format("mda").option("num_channels", channels).option("dtype", dtype).mode("append" if append else "overwrite").save(path)
+
+
+def write_csv_array(rows: DataFrame, path: str) -> None:
+    """Rows (row, values) as a folder of text, one line each, by row."""
+    from pyspark.sql import functions as F
+
+    lines = rows.orderBy("row").select(F.array_join(F.transform("values", lambda x: x.cast("string")), ",").alias("value"))
+    lines.write.mode("overwrite").text(path)
 
 
 def read_csv_array(spark: SparkSession, path: str) -> DataFrame:
@@ -243,3 +265,14 @@ def read_metrics(spark: SparkSession, path: str) -> DataFrame:
     schema = "clusters array<struct<label:int,metrics:map<string,double>,tags:array<string>>>"
     each = spark.read.schema(schema).json(path, multiLine=True).select(F.explode("clusters").alias("c"))
     return each.select("c.label", F.explode("c.metrics").alias("name", "value"))
+
+
+def write_metrics(long: DataFrame, path: str, tags: DataFrame | None = None) -> None:
+    """label, name, value (and label, tags) as one JSON document of the form that read_metrics() reads."""
+    from pyspark.sql import functions as F
+
+    each = long.groupBy("label").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("name", "value")))).alias("metrics"))  # a cluster's metrics
+    each = each.join(tags.select("label", "tags"), "label", "left") if tags is not None else each.withColumn("tags", F.array().cast("array<string>"))
+    each = each.withColumn("tags", F.coalesce("tags", F.array().cast("array<string>")))
+    document = each.agg(F.to_json(F.struct(F.collect_list(F.struct("label", "metrics", "tags")).alias("clusters"))).alias("value"))  # clusters only
+    document.coalesce(1).write.mode("overwrite").text(path)
