@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import numpy as np
@@ -12,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidewave.plans.storage import shared_folder
+
 #: The bytes that separate words: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
 #: Lower-cases A-Z and nothing else.
@@ -22,17 +23,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def work_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, from spark.checkpoint.dir; a local one only where that is unset."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not shared:
-        shared = "file://" + tempfile.mkdtemp(prefix="tidewave-")
-        spark.conf.set("spark.checkpoint.dir", shared)
-    return shared.rstrip("/")
+def free_name(columns: list[str], name: str) -> str:
+    """name, with as many underscores after it as keep it apart from the columns."""
+    while name.lower() in {c.lower() for c in columns}:
+        name += "_"
+    return name
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -43,6 +42,27 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def join_unique(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", *, counts: DataFrame | None = None, least: int = 4096, most_hot: int = 500_000) -> DataFrame:
+    """left joined with right, which has one row for each key at most, so that no key brings all its rows to one task.
+
+    Rows are counted by key first, within tasks before the shuffle, unless counts (keys, _n) says how many there are. Keys with more than `least` rows, and more than a
+    most_hot-th of all rows, are hot: there are at most most_hot of them, so their rows of right can be broadcast, and
+    rows of left with a hot key stay where they are. Rows with other keys are joined as usual. left is read up to four
+    times and should be a written table.
+    """
+    counts = left.groupBy(*keys).agg(F.count("*").alias("_n")) if counts is None else counts
+    large = counts.where(F.col("_n") > least)
+    top = large.agg(F.max("_n").alias("m")).first()["m"]
+    if top is None:
+        return left.join(right, keys, how)
+    floor = max(least, left.count() // most_hot)
+    if top <= floor:
+        return left.join(right, keys, how)
+    hot = written(large.where(F.col("_n") > floor).select(*keys), "hot-keys")  # most_hot rows at most
+    here = left.join(F.broadcast(hot), keys, "left_semi").join(F.broadcast(right.join(F.broadcast(hot), keys, "left_semi")), keys, how)
+    return here.unionByName(left.join(F.broadcast(hot), keys, "left_anti").join(right, keys, how))
+
+
 def fold(doc_id: str, n: int) -> Column:
     """Which of n folds a document is in: crc32 of its id as text, modulo n; fold 0 for a null id."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % n, F.lit(0))

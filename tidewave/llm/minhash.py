@@ -12,8 +12,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
-from tidewave.llm.common import LOWER, slices, table, utf8, written
+from tidewave.llm.common import LOWER, free_name, join_unique, slices, table, utf8, written
 from tidewave.llm.components import connected
 from tidewave.llm.shingles import mix, shingles
 
@@ -32,8 +33,7 @@ class Scheme:
     extra: int = 128
     #: Candidates are dropped whose estimate lies so many standard deviations under the least similarity.
     deviations: float = 5.0
-    #: Up to so many members, all pairs of a bucket that aren't known to belong together are compared at once.
-    small: int = 64
+    #: A bucket's pairs are tested in blocks of about so many members.
     block: int = 512
 
     @property
@@ -116,16 +116,23 @@ def sketch(docs: DataFrame, scheme: Scheme) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, text_key binary, bands array<long>, packed array<long>")
 
 
-def keyed_texts(docs: DataFrame) -> DataFrame:
-    """text_key and the deflated words of every row with words."""
+def class_texts(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """node and the deflated words of each of classes (node, text_key, first_doc). Only rows of docs with a class's first
+    doc_id can be the ones that are read for it, so copies of a text go to many tasks, which drop them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            forms = [f for t in batch.column("text") if (f := normal_form(t.as_py()))]
-            keys = [hashlib.blake2b(f, digest_size=16).digest() for f in forms]
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array([zlib.compress(f, 1) for f in forms], pa.binary())], names=["text_key", "deflated"])
+            found = {}  # rows that repeat are taken once
+            for i, t in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
+                if form := normal_form(t.as_py()):
+                    found[i, hashlib.blake2b(form, digest_size=16).digest()] = form
+            arrays = [pa.array([i for i, _ in found], pa.int64()), pa.array([k for _, k in found], pa.binary()), pa.array([zlib.compress(f, 1) for f in found.values()], pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "text_key", "deflated"])
 
-    return docs.select("text").mapInArrow(run, "text_key binary, deflated binary")
+    each = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, text_key binary, deflated binary")
+    wanted = classes.select("node", F.col("text_key").alias("k"), "first_doc")
+    one = each.join(wanted, (F.col("text_key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("first_doc")))
+    return one.groupBy("node").agg(F.first("deflated").alias("deflated"))
 
 
 def sets_of(deflated: pa.Array) -> list[np.ndarray]:
@@ -149,24 +156,25 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return two.select("a", "b", "za", "zb").mapInArrow(run, "a long, b long")
 
 
-def near_classes(docs: DataFrame, scheme: Scheme = Scheme()) -> DataFrame:  # noqa: B008
-    """One row for each row of docs (doc_id, text): doc_id, n_shingles, component_id, kept.
+def near_classes(docs: DataFrame, scheme: Scheme = Scheme(), *, keys: bool = False) -> DataFrame:  # noqa: B008
+    """One row for each row of docs (doc_id, text): doc_id, n_shingles, component_id, kept, and with keys text_key.
 
     Texts with the same words form a class, which counts once below. Classes that meet in a band are candidates, in
     stages, so that no bucket yields all its pairs:
     1. each with the smallest class of its bucket;
-    2. in large buckets that hold several components after that, each with the class that has the fewest shingles of
-       its own, as the source of many edited copies has;
+    2. in buckets that hold several components after that, each with the most central class, the one whose buckets have
+       the most members in all, as the source of many edited copies has; then with the most central class outside the
+       component of that one;
     3. in buckets that still hold several components, all pairs from different components, tested block by
-       block within the join by their packed signatures, and, where both are in large buckets, by how many shingles a
-       class shares with no other class of those.
+       block within the join by their packed signatures, and by how many shingles a class shares with any other class
+       of those buckets, which no pair of it can exceed.
     Candidates are confirmed on full shingle sets; components follow from confirmed links. Stage 3 makes the result
-    the same as if all pairs of each bucket had been compared.
+    the same as if all pairs of each bucket had been compared: pairs left out by then are in one component already.
 
     component_id is the smallest doc_id of a component and kept says whether a row has it. A null, empty or blank text
     has no shingles and is linked with nothing. Rows that repeat a doc_id share its fate if their texts are alike.
-    A row without doc_id has its component's id, and is kept only where there is none. An empty table gives no rows;
-    other columns are ignored.
+    A row without doc_id has its component's id, and is kept only where there is none. A very long text is hashed whole,
+    in memory that grows with it. An empty table gives no rows; other columns are ignored.
     """
     rows = written(sketch(docs, scheme), "minhash-rows")
     classes = rows.where("text_key IS NOT NULL").groupBy("text_key").agg(F.min("doc_id").alias("first_doc"), F.first("bands").alias("bands"), F.first("packed").alias("packed"), F.first("n_shingles").alias("n"))
@@ -175,24 +183,27 @@ def near_classes(docs: DataFrame, scheme: Scheme = Scheme()) -> DataFrame:  # no
 
     spread = classes.select("node", F.posexplode("bands").alias("band", "key"))
     buckets = spread.groupBy("key").agg(F.min("node").alias("pivot"), F.count("*").alias("members")).where("members > 1")
-    members = written(spread.join(buckets, "key"), "minhash-members")
+    members = written(join_unique(spread, buckets, ["key"]), "minhash-members")
     stars = members.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
+    central = written(members.groupBy("node").agg(F.sum("members").alias("meets")), "minhash-central")
 
-    met = members.select("node").distinct().join(classes.select("node", "text_key"), "node").select("node", "text_key")
-    texts = written(keyed_texts(docs).join(met, "text_key").groupBy("node").agg(F.first("deflated").alias("deflated")), "minhash-texts")
+    met = central.select("node").join(classes.select("node", "text_key", "first_doc"), "node")
+    texts = written(class_texts(docs, met), "minhash-texts")
 
     def likely(pairs: DataFrame) -> DataFrame:
         side = lambda x: packed.select(F.col("node").alias(x), F.col("packed").alias(f"p{x}"))
-        return pairs.join(side("a"), "a").join(side("b"), "b").where(matches(F.col("pa"), F.col("pb"), scheme.size) >= scheme.least_matches).select("a", "b")
+        one = join_unique(written(pairs, "minhash-pairs"), side("a"), ["a"])
+        return one.join(side("b"), "b").where(matches(F.col("pa"), F.col("pb"), scheme.size) >= scheme.least_matches).select("a", "b")
 
     def mixed(labels: DataFrame) -> DataFrame:
         """Members of buckets that hold several components."""
         named = members.select("key", "band", "node", "members").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         several = named.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1").select("key")
-        return written(named.join(several, "key"), "minhash-mixed")
+        return written(join_unique(written(named, "minhash-named"), several, ["key"], "left_semi"), "minhash-mixed")
 
     def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
         """Labels after further links: a component so far counts as the star of its label."""
+        links = written(links, "minhash-links")
         if not links.limit(1).count():
             return labels
         return written(connected(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(links)), "minhash-labels")
@@ -200,24 +211,28 @@ def near_classes(docs: DataFrame, scheme: Scheme = Scheme()) -> DataFrame:  # no
     labels = written(connected(confirmed(likely(stars), texts, scheme.percent)), "minhash-labels")
     left = mixed(labels)
 
-    large = left.where(F.col("members") > scheme.small)
-    among = large.select("node").distinct()
-    # a row for each node of `among`, also for those with no shingle of their own
-    rare = written(among.join(lone_shingles(among.join(texts, "node")), "node", "left").select("node", F.coalesce("lone", F.lit(0)).alias("lone")), "minhash-lone")
-    if rare.limit(1).count():
-        best = large.join(rare, "node").join(classes.select("node", "n"), "node").groupBy("key").agg(F.min_by("node", F.struct((F.col("lone") / F.col("n")).alias("share"), "node")).alias("pivot"))
-        stars = large.join(best, "key").where("node <> pivot").select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b")).distinct()
-        labels = joined(labels, written(confirmed(likely(stars), texts, scheme.percent), "minhash-links"))
+    for outside in (False, True):
+        if not left.limit(1).count():
+            break
+        ranked = left.join(central, "node")
+        order = F.struct("meets", -F.col("node"))
+        best = ranked.groupBy("key").agg(F.max_by(F.struct("node", "label"), order).alias("top"))
+        if outside:
+            best = join_unique(written(ranked, "minhash-ranked"), best, ["key"]).where("label <> top.label").groupBy("key").agg(F.max_by(F.struct("node", "label"), order).alias("top"))
+        to = best.select("key", F.col("top.node").alias("pivot"), F.col("top.label").alias("pivot_label"))
+        star = join_unique(left, to, ["key"]).where("label <> pivot_label")
+        star = star.select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b")).distinct()
+        labels = joined(labels, confirmed(likely(star), texts, scheme.percent))
         left = mixed(labels)
 
     if left.limit(1).count():
-        side = left.join(classes.select("node", "packed", "n", "bands"), "node").join(rare, "node", "left")
+        among = left.select("node").distinct()
+        lone = written(lone_shingles(among.join(texts, "node")), "minhash-lone")
+        side = left.join(classes.select("node", "packed", "n", "bands"), "node").join(lone, "node", "left").withColumn("shared", F.col("n") - F.coalesce("lone", F.lit(0)))
         blocks = F.ceil(F.col("members") / scheme.block).cast("int")
         x = side.withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).alias("x")
         y = side.withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int")).alias("y")
-        # lone shingles are counted among nodes of large buckets: they bound what two such nodes share, and nothing else
-        counted = F.col("x.lone").isNotNull() & F.col("y.lone").isNotNull()
-        most_common = F.when(counted, F.least(F.col("x.n") - F.col("x.lone"), F.col("y.n") - F.col("y.lone"))).otherwise(F.least("x.n", "y.n"))
+        most_common = F.least("x.shared", "y.shared")  # both are among those that shingles were counted over
         test = (
             (F.col("x.key") == F.col("y.key")) & (F.col("x.block") == F.col("y.block")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.label") != F.col("y.label"))
             & (100 * most_common >= scheme.percent * (F.col("x.n") + F.col("y.n") - most_common))
@@ -225,15 +240,34 @@ def near_classes(docs: DataFrame, scheme: Scheme = Scheme()) -> DataFrame:  # no
             & ~F.arrays_overlap(F.slice("x.bands", F.lit(1), F.col("x.band")), F.slice("y.bands", F.lit(1), F.col("y.band")))  # it meets in no earlier band
         )
         rest = x.join(y, test).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-        labels = joined(labels, written(confirmed(rest, texts, scheme.percent), "minhash-links"))
+        labels = joined(labels, confirmed(written(rest, "minhash-pairs"), texts, scheme.percent))
 
     ids = labels.join(classes.select("node", "first_doc"), "node")
     least = ids.groupBy("label").agg(F.min("first_doc").alias("component_id"))
-    fate = classes.select("text_key", "node", "first_doc").join(labels.join(least, "label").select("node", "component_id"), "node", "left")
+    fate = classes.select("text_key", "node", "first_doc").join(join_unique(labels, least, ["label"]).select("node", "component_id"), "node", "left")
     fate = fate.select("text_key", F.coalesce("component_id", "first_doc").alias("component_id"))
-    found = rows.select("doc_id", "n_shingles", "text_key").join(fate, "text_key", "left")
+    found = join_unique(rows.select("doc_id", "n_shingles", "text_key"), written(fate, "minhash-fate"), ["text_key"], "left")
     component = F.when(F.col("text_key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return found.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))
+    return found.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"), *["text_key"] * keys)
+
+
+def without_copies(docs: DataFrame, scheme: Scheme = Scheme(), *, most_broadcast: int = 1_000_000) -> DataFrame:  # noqa: B008
+    """docs with all its columns, one row of each component and those without words. A row goes by its doc_id and text, so
+    rows that share an id with a copy but not its text stay. Up to most_broadcast rows that go are sent to the tasks, which
+    then leave texts where they are; beyond that the rows are joined by id."""
+    gone = written(near_classes(docs, scheme, keys=True).where("NOT kept").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct(), "minhash-gone")
+    names = docs.columns
+    key = free_name(names, "text_key")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            forms = [normal_form(t.as_py()) for t in batch.column("text")]
+            keys = pa.array([hashlib.blake2b(f, digest_size=16).digest() if f else None for f in forms], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns, keys], names=[*names, key])
+
+    keyed = docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(key, BinaryType())]))
+    side = F.broadcast(gone) if gone.count() <= most_broadcast else gone  # 24 bytes a row
+    return keyed.join(side, (F.col("doc_id") == F.col("_id")) & (F.col(key) == F.col("_key")), "left_anti").select(*[f"`{n}`" for n in names])
 
 
 def lone_shingles(texts: DataFrame, most: int = 500_000) -> DataFrame:
