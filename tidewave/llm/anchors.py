@@ -35,19 +35,19 @@ def sliding_min(x: np.ndarray, size: int) -> np.ndarray:
     return np.minimum(down[:n], up[size - 1 : size - 1 + n])
 
 
-def runs(data: np.ndarray, at: np.ndarray, length: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text, first start, last start, hash of the anchor) of each run of strings of `length` bytes that share one
-    anchor: of the `anchor`-byte parts of a string, the first with the least hash. data, at: as of common.utf8();
-    strings don't cross from one text to the next."""
+def runs(data: np.ndarray, at: np.ndarray, length: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, first start, last start, place of the anchor, hash of the anchor, hash of all bytes) of each run of strings
+    of `length` bytes that share one anchor: of the `anchor`-byte parts of a string, the first with the least hash.
+    data, at: as of common.utf8(); strings don't cross from one text to the next."""
     none = np.zeros(0, np.int64)
     if len(data) < length:
-        return none, none, none, none
+        return none, none, none, none, none, none
     most = 1 << PLACE_BITS
     if len(data) > most:  # in parts that overlap by all but one byte of a string
         parts = []
         for b in range(0, len(data), most - length + 1):
             part = runs(data[b : b + most], np.clip(at - b, 0, min(most, len(data) - b)), length, anchor)
-            parts.append((part[0], part[1] + b, part[2] + b, part[3]))
+            parts.append((part[0], part[1] + b, part[2] + b, part[3] + b, part[4], part[5]))
         return tuple(map(np.concatenate, zip(*parts, strict=True)))
     h = window_hashes(data, anchor)
     key = (h >> np.uint64(PLACE_BITS) << np.uint64(PLACE_BITS)) | np.arange(len(h), dtype=np.uint64)
@@ -55,9 +55,12 @@ def runs(data: np.ndarray, at: np.ndarray, length: int, anchor: int) -> tuple[np
     text = np.repeat(np.arange(len(at) - 1), np.diff(at))[: len(place)]
     good = np.arange(len(place)) + length <= at[text + 1]
     start = np.flatnonzero(good)
+    if not len(start):
+        return none, none, none, none, none, none
     place, text = place[start], text[start]
     new = np.ones(len(start), bool)
     new[1:] = (place[1:] != place[:-1]) | (text[1:] != text[:-1])
     first = np.flatnonzero(new)
-    last = np.append(first[1:], len(start)) - 1 if len(first) else first
-    return text[first], start[first], start[last] if len(first) else first, h[place[first]].view(np.int64)
+    last = start[np.append(first[1:], len(start)) - 1]
+    content = span_hashes(data, start[first], last + length)
+    return text[first], start[first], last, place[first], h[place[first]].view(np.int64), content.view(np.int64)
