@@ -1,5 +1,6 @@
 """The corpus operators' parts against plain definitions."""
 
+import hashlib
 import itertools
 import math
 import random
@@ -9,9 +10,9 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from tidewave.llm import columnwise, decontaminate, hmm, minhash, quality, secrets, toxicity, warc
+from tidewave.llm import columnwise, decontaminate, hmm, minhash, quality, secrets, substrings, toxicity, warc
 from tidewave.llm.anchors import runs
-from tidewave.llm.common import LOWER, utf8
+from tidewave.llm.common import LOWER, join_unique, utf8
 from tidewave.llm.components import connected
 from tidewave.llm.shingles import shingles
 
@@ -31,9 +32,10 @@ def test_runs_share_an_anchor_only_if_strings_can_be_equal():
     rng = random.Random(1)
     texts = ["".join(rng.choice("ab") for _ in range(rng.randint(0, 60))) for _ in range(30)]
     data, at = utf8(pa.array(texts))
-    text, first, last, anchor = runs(data, at, 12, 6)
-    of = {}
-    for t, a, b, h in zip(text, first, last, anchor, strict=True):
+    text, first, last, place, anchor, content = runs(data, at, 12, 6)
+    of, whole = {}, {}
+    for t, a, b, x, h, c in zip(text, first, last, place, anchor, content, strict=True):
+        assert b <= x <= a + 6 and whole.setdefault(bytes(data[a : b + 12]), c) == c
         for p in range(a, b + 1):
             assert p - at[t] + 12 <= len(texts[t])
             assert of.setdefault(bytes(data[p : p + 12]), h) == h
@@ -55,6 +57,42 @@ def test_columnwise_construction_is_the_sorted_list_of_suffixes(tmp_path, files)
         assert [r.tolist() for r in repeated] == [[parts.count(x[k : k + 3]) > 1 for k in range(len(x) - 2)] for x in s], trial
 
 
+@pytest.mark.parametrize("most_group", [1, 3, 1000])
+def test_groups_of_segments_are_divided_without_changing_what_is_removed(spark, most_group):
+    rng = random.Random(13)
+    word = lambda n: "".join(rng.choice("abcdef ") for _ in range(n))
+    common, texts = word(60), []
+    for _ in range(60):  # a passage within many texts, cut and edited differently
+        a = list(common)
+        for k in rng.sample(range(60), rng.choice([0, 0, 1, 2])):
+            a[k] = "#"
+        texts.append(word(rng.randint(0, 15)) + "".join(a)[rng.randint(0, 15) : 60 - rng.randint(0, 15)] + word(rng.randint(0, 15)))
+    texts += [texts[0], texts[1] * 2, "z" * 90, None, ""]
+    starts = {}
+    raw = [(t or "").encode() for t in texts]
+    for b in raw:
+        for k in range(len(b) - 19):
+            starts[b[k : k + 20]] = starts.get(b[k : k + 20], 0) + 1
+    want = {}
+    for i, b in enumerate(raw):
+        gone = [False] * len(b)
+        for k in range(len(b) - 19):
+            if starts[b[k : k + 20]] > 1:
+                gone[k : k + 20] = [True] * 20
+        want[i] = (sum(gone), sum(g and not (k and gone[k - 1]) for k, g in enumerate(gone)), hashlib.sha256(bytes(x for x, g in zip(b, gone, strict=True) if not g)).hexdigest())
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = substrings.without_repeats(docs, 20, most_group=most_group).collect()
+    assert {r["doc_id"]: (r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in out} == want
+
+
+@pytest.mark.parametrize("least", [0, 3, 100])
+def test_joins_by_a_unique_key_keep_all_rows(spark, least):
+    left = spark.createDataFrame([(k % 7 if k % 5 else None, k) for k in range(90)] + [(1, k) for k in range(90, 150)], "key long, v long")
+    right = spark.createDataFrame([(k, f"r{k}") for k in (0, 1, 2, 9)], "key long, r string")
+    for how in ("inner", "left", "left_semi"):
+        assert sorted(map(str, join_unique(left, right, ["key"], how, least=least, most_hot=40).collect())) == sorted(map(str, left.join(right, "key", how).collect()))
+
+
 def test_forward_recursion_and_counts_equal_sums_over_all_state_paths():
     rng = np.random.default_rng(3)
     k, m = 3, 5
@@ -184,6 +222,136 @@ def test_edits_within_the_budget_are_found():
     assert decontaminate.original("Ab, cD-e", 3, 5) == (4, 6)
 
 
+def distance_within(passage, text):
+    """Least edits between passage and any part of text."""
+    row = [0] * (len(text) + 1)
+    for i, a in enumerate(passage, 1):
+        new = [i]
+        for j, b in enumerate(text, 1):
+            new.append(min(row[j] + 1, new[j - 1] + 1, row[j - 1] + (a != b)))
+        row = new
+    return min(row)
+
+
+@pytest.mark.parametrize("chunk", [7, 4_000_000])
+def test_leaks_are_those_of_brute_force_edit_distance(monkeypatch, chunk):
+    monkeypatch.setattr(decontaminate.Passages, "CHUNK", chunk)
+    rng = random.Random(31)
+    rule = decontaminate.Rule(q=4, edits_percent=12, least_chars=10)
+    letter = lambda: rng.choice("abcd")
+    common = "".join(letter() for _ in range(14))  # a sentence that many passages have
+    items = [(i, "".join(letter() for _ in range(rng.randint(8, 30))) + (common if i % 2 else "") + "".join(letter() for _ in range(8))) for i in range(24)]
+    texts = ["", "".join(letter() for _ in range(120)), common * 6]
+    for _, p in items:
+        for n in (0, 1, 2, 4, 6):
+            t = list(p)
+            for _ in range(n):
+                k = rng.randrange(len(t))
+                t[k : k + 1] = rng.choice([[], [letter()], [t[k], letter()]])
+            texts.append("".join(letter() for _ in range(rng.randint(0, 40))) + "".join(t) + "".join(letter() for _ in range(rng.randint(0, 40))))
+    passages = decontaminate.Passages(items, rule)
+    want = {(d, i): e for d, t in enumerate(texts) for i, p in enumerate(passages.codes) if (e := distance_within("".join(map(chr, p)), t)) <= rule.budget(len(p))}
+    found = passages.search(texts)
+    assert {(f[0], f[1]): f[4] for f in found} == want and len(want) > 60
+    for d, i, first, end, edits, _ in found:
+        assert distance_within("".join(map(chr, passages.codes[i])), texts[d][first:end]) == edits
+
+
+def test_neutral_mentions_of_a_group_raise_fewer_false_alarms(spark):
+    rng = random.Random(32)
+    plain = "morning garden window letter market bread river story music paper winter table".split()
+    insults = "vexmor drabnik squelt foulbru gristak".split()
+    groups = "women muslims immigrants gay".split()
+    rows, labels = [], []
+    for i in range(240):
+        toxic = i % 2
+        words = rng.sample(plain, 5)
+        if toxic:
+            words += [rng.choice(insults)] if rng.random() < 0.8 else []
+            words += [rng.choice(groups)] if rng.random() < 0.9 else []
+        elif rng.random() < 0.5:
+            words += ["men"]
+        rng.shuffle(words)
+        rows.append((i, " ".join(words) + "."))
+        labels.append((i, toxic))
+    docs, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    neutral = [f"{' '.join(rng.sample(plain, 5))} {g}." for g in groups for _ in range(5)]
+    bad = [f"{' '.join(rng.sample(plain, 5))} {x}." for x in insults]
+    alarms = {}
+    for weight in (0.0, 10.0, 100.0):
+        model = toxicity.train(docs, marks, counterfactual=weight)
+        alarms[weight] = sum(model.score(t) >= 0.5 for t in neutral)
+    assert all(model.score(t) >= 0.5 for t in bad)  # by the penalised one
+    assert alarms[0.0] >= 15 > alarms[10.0] and alarms[100.0] <= 3
+
+
+def test_a_text_s_score_is_its_likelihood_under_the_model(spark, monkeypatch):
+    rng = random.Random(33)
+    kinds = ["the", "a", "of", "to", "in"] + [f"w{i}" for i in range(40)]
+    texts = [" ".join(rng.choices(kinds, [20, 18, 16, 14, 12] + [1] * 40, k=rng.randint(0, 30))) for _ in range(60)] + [None, "never seen words"]
+    docs = spark.createDataFrame([(i, t, i % 5 != 0) for i, t in enumerate(texts)], "doc_id long, text string, training boolean")
+    shape, kept = hmm.Shape(states=3, own=6, classes=4, head=12), {}
+    learn, train = hmm.learn_words, hmm.train
+    monkeypatch.setattr(hmm, "learn_words", lambda *a: kept.setdefault("words", learn(*a)))
+    monkeypatch.setattr(hmm, "train", lambda *a: kept.setdefault("model", train(*a)))
+    out = {r["doc_id"]: r["score"] for r in hmm.score_documents(docs, docs["training"], shape=shape).collect()}
+    words, m = kept["words"], kept["model"]
+    counts = {}
+    for i, t in enumerate(texts):
+        for w in hmm.words_of(t) if i % 5 else []:
+            counts[w] = counts.get(w, 0) + 1
+    top = sorted(counts, key=lambda w: (-counts[w], w.decode()))[:6]
+    for i, t in enumerate(texts):
+        total, state = 0.0, m.start
+        for w in [*hmm.words_of(t), None]:
+            symbol = 0 if w is None else 1 + top.index(w) if w in top else hmm.symbol_of(shape, w)
+            state = state * m.emit[:, symbol]
+            total += math.log10(state.sum())
+            state = state / state.sum() @ m.move
+            if w is not None and w not in top:
+                k = symbol - 1 - shape.own
+                total += math.log10((counts.get(w, 0) + 0.1) / (words.class_tokens[k] + 0.1 * (words.class_kinds[k] + 1)))
+        assert abs(out[i] - total) < 1e-6
+
+
+def test_long_sequences_in_blocks_give_the_same_numbers():
+    rng = np.random.default_rng(34)
+    k, n = 3, 7
+    start, move, emit = rng.dirichlet(np.ones(k)), rng.dirichlet(np.ones(k), k), rng.dirichlet(np.ones(n), k)
+    for size in (1, 4, 5, 23):
+        text = rng.integers(0, n, size).astype(np.uint16)
+        whole = hmm.Sequences([text])
+        assert abs(hmm.long_log10(text, start, move, emit, 5) - whole.log10(whole.forward(start, move, emit)[2])[0]) < 1e-9
+        for a, b in zip(hmm.long_expected(text, start, move, emit, 5), whole.expected(start, move, emit), strict=True):
+            assert np.allclose(a, b)
+
+
+def test_long_runs_are_scanned_in_linear_time():
+    import time
+
+    began = time.perf_counter()
+    run = "eyJ" * 300_000
+    texts = [run, run + ".ey", "x.eyJ " + "AKIA" * 200_000 + " " + "token" * 100_000 + "f" * 100_000, "-----BEGIN " * 50_000 + "PRIVATE KEY-----"]
+    found = secrets.Scanner(secrets.RULES).spans(pa.array(texts))
+    assert found[0] == [] and time.perf_counter() - began < 20
+
+
+def test_carried_columns_may_have_the_operators_own_names(spark):
+    docs = spark.createDataFrame([(1, "some text of a few words", 5, 6, 7)], "doc_id long, text string, _text int, _row int, _training int")
+    names = ["doc_id", "text", "_text", "_row", "_training"]
+    assert secrets.scan(docs, carry=names).columns == [*names, "spans"]
+    assert toxicity.score(docs, toxicity.Classifier(), carry=names).first()["_text"] == 5
+    assert quality.judge(docs, quality.Field.empty(), carry=names).first()["text"] == "some text of a few words"
+    assert hmm.score_documents(docs, docs["doc_id"] > 0, carry=names).first()["_training"] == 7
+
+
+def test_rows_that_share_an_id_with_a_copy_stay(spark):
+    one, other = "a b c d e f g h", "quite another text with words of its own"
+    docs = spark.createDataFrame([(1, one, 0), (2, one, 1), (2, other, 2), (None, one, 3), (4, None, 4), (5, "", 5)], "doc_id long, text string, text_key int")
+    for limit in (0, 100):
+        assert sorted(r["text_key"] for r in minhash.without_copies(docs, most_broadcast=limit).collect()) == [0, 2, 3, 4, 5]
+
+
 def test_similarity_estimates_are_close():
     scheme = minhash.Scheme()
     hasher = minhash.Hasher(scheme)
@@ -230,7 +398,7 @@ def test_near_copies_of_one_source_form_one_component(spark):
             low, high = sorted((group[a], group[b]))
             group = {i: low if g == high else g for i, g in group.items()}
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    out = minhash.near_classes(docs, minhash.Scheme(percent=85, small=8, block=16)).collect()
+    out = minhash.near_classes(docs, minhash.Scheme(percent=85, block=16)).collect()
     assert {r["doc_id"]: r["component_id"] for r in out} == group
 
 

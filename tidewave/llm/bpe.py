@@ -11,7 +11,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tidewave.llm.common import table
+from tidewave.llm.common import free_name, table
 
 #: A text is encoded in pieces of about so many characters.
 PIECE = 20_000
@@ -84,6 +84,7 @@ def encode_documents(docs: DataFrame, rank_file: str, pattern: str, *, carry: li
     holds grows with its longest text and not with a batch. The work is one pass over the rows, without a shuffle.
     """
     fields = [f for f in docs.schema.fields if f.name in carry]
+    source = free_name(carry, "text")
     made = "n_tokens long" + ", ids array<int>, decoded binary" * keep_ids + ", ids_sha256 string, decoded_sha256 string" * digests
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), made])
     names = [f.name for f in fields]
@@ -92,7 +93,7 @@ def encode_documents(docs: DataFrame, rank_file: str, pattern: str, *, carry: li
         word = [str(i) for i in range(encoding(rank_file, pattern).n_vocab)]
         for batch in batches:
             out: dict[str, list] = {"n_tokens": []} | ({"ids": [], "decoded": []} if keep_ids else {}) | ({"ids_sha256": [], "decoded_sha256": []} if digests else {})
-            for text in batch.column("_text"):
+            for text in batch.column(source):
                 ids = encode(text.as_py(), rank_file, pattern)
                 back = decode(ids, rank_file, pattern)
                 out["n_tokens"].append(len(ids))
@@ -106,7 +107,7 @@ def encode_documents(docs: DataFrame, rank_file: str, pattern: str, *, carry: li
             arrays = {k: pa.array(v, types[k]) for k, v in out.items()}
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *arrays.values()], names=[*names, *arrays])
 
-    return docs.select(*[f"`{n}`" for n in names], docs["text"].alias("_text")).mapInArrow(run, schema)
+    return docs.select(*[f"`{n}`" for n in names], docs["text"].alias(source)).mapInArrow(run, schema)
 
 
 def op5_bpe(spark, sf_dir: str) -> DataFrame:

@@ -71,6 +71,7 @@ class Passages:
     """One block of benchmark passages, indexed by q-gram."""
 
     TABLE = 20  # bits of the table of possible hashes
+    CHUNK = 4_000_000
 
     def __init__(self, items: list[tuple[int, str]], rule: Rule):
         self.rule = rule
@@ -107,25 +108,38 @@ class Passages:
         doc = np.searchsorted(at, pos, "right") - 1
         good = (self.hashes[gram] == h[pos]) & (pos + q <= at[doc + 1])
         pos, gram, doc = pos[good], gram[good], doc[good]
-        n = self.many[gram]
-        row = np.repeat(np.arange(len(pos)), n)
-        entry = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + self.first[gram][row]
-        item, place = self.item[entry], self.place[entry]
-        pos, doc = pos[row] - at[doc[row]], doc[row]
-        # bands of diagonals: each is 2 * step wide and begins step after the one before
-        step = 2 * self.budget[item] + 1
-        band = (pos - place + self.length[item]) // step  # diagonals from -m on
-        doc, item, place = np.tile(doc, 2), np.tile(item, 2), np.tile(place, 2)
-        band = np.concatenate([band, band - 1])
-        bands = int(band.max()) + 2 if len(band) else 1
-        key = (doc * len(self.ids) + item) * bands + band + 1
-        most = int(self.length.max())
-        pairs = distinct(key * most + place)  # a passage's q-gram counts once in a band
-        key, shared = np.unique(pairs // most, return_counts=True)
-        item = key // bands % len(self.ids)
+        most, held, begin = int(self.length.max()), [], 0
+        reach = np.cumsum(self.many[gram])
+        bands = int(max((len(p) for p in parts), default=0)) + 2 * most + 2
+        while begin < len(pos):  # a q-gram that many passages have is counted for each, about CHUNK at a time
+            end = max(begin + 1, int(np.searchsorted(reach, (reach[begin - 1] if begin else 0) + self.CHUNK, "right")))
+            n = self.many[gram[begin:end]]
+            row = np.repeat(np.arange(begin, end), n)
+            entry = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + self.first[gram[row]]
+            item, place = self.item[entry], self.place[entry]
+            # bands of diagonals: each is 2 * step wide and begins step after the one before
+            step = 2 * self.budget[item] + 1
+            band = (pos[row] - at[doc[row]] - place + self.length[item]) // step + 1  # diagonals from -m on
+            pair = doc[row] * len(self.ids) + item
+            key = np.concatenate([band, band - 1]) * most + np.tile(place, 2)  # a passage's q-gram counts once in a band
+            both = np.unique(np.stack([np.tile(pair, 2), key]), axis=1) if len(self.ids) * len(parts) >= (1 << 62) // (bands * most) else None
+            if both is None:
+                both = distinct(np.tile(pair, 2) * (bands * most) + key)
+                both = np.stack([both // (bands * most), both % (bands * most)])
+            held.append(both)
+            begin = end
+        if not held:
+            return []
+        pair, key = held[0] if len(held) == 1 else np.unique(np.concatenate(held, 1), axis=1)
+        place, band = key % most, key // most
+        new = np.ones(len(pair), bool)
+        new[1:] = (pair[1:] != pair[:-1]) | (band[1:] != band[:-1])
+        first = np.flatnonzero(new)
+        shared = np.diff(np.append(first, len(pair)))
+        pair, band = pair[first], band[first] - 1
+        doc, item = pair // len(self.ids), pair % len(self.ids)
         reached = shared >= self.least[item]
-        key, shared, item = key[reached], shared[reached], item[reached]
-        doc, band = key // bands // len(self.ids), key % bands - 1
+        doc, item, band, shared = doc[reached], item[reached], band[reached], shared[reached]
         best: dict[tuple[int, int], tuple[int, int, int, int]] = {}
         order = np.argsort(self.length[item], kind="stable")
         for some in np.array_split(order, math.ceil(len(order) / 64) or 1):
@@ -198,7 +212,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rule: Rule = Rule(), *, most_ch
     Letters are compared in lower case, and whatever isn't a letter or digit as one space. Each block of the
     benchmark makes one pass over all documents, without a shuffle; a benchmark of up to most_chars characters is
     one block. Null texts match nothing, and passages that are null or too short aren't looked for. Rows of docs
-    that repeat give rows that repeat. A passage that the benchmark has twice is reported for each of its ids. Empty tables
+    that repeat give rows that repeat. A very long text is searched whole, in memory that grows with it, and of places
+    with equally few edits the first is reported. A passage that the benchmark has twice is reported for each of its ids. Empty tables
     give no rows; other columns are ignored.
     """
     out = None
@@ -222,9 +237,22 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rule: Rule = Rule(), *, most_ch
     return out
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, rule: Rule = Rule()) -> DataFrame:  # noqa: B008
-    """docs without the rows whose doc_id some leak has; rows without a doc_id stay."""
-    return docs.join(leaks(docs, benchmark, rule).select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+def clean(docs: DataFrame, benchmark: DataFrame, rule: Rule = Rule(), *, most_chars: int = 2_000_000) -> DataFrame:  # noqa: B008
+    """docs without the rows that have a leak. A row goes for its own text, also where its doc_id is null or repeats;
+    rows are judged where they are, once for each block of the benchmark, and nothing is shuffled."""
+    for items in blocks(benchmark, most_chars):
+        shared = docs.sparkSession.sparkContext.broadcast(items)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            passages = Passages(shared.value, rule)
+            for whole in batches:
+                for batch in slices(whole, "text", 1 << 20):
+                    kept = np.ones(batch.num_rows, bool)
+                    kept[[f[0] for f in passages.search([normal(t) for t in batch.column("text").to_pylist()])]] = False
+                    yield batch.filter(pa.array(kept))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
 
 
 def op4_decontamination(spark, sf_dir: str) -> DataFrame:

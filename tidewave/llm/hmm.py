@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewave.llm.common import LOWER, fold, slices, table, written
+from tidewave.llm.common import LOWER, fold, free_name, slices, table, written
 
 END = 0  # the symbol of a text's end
 ALPHA = 0.1  # what is added to each count
@@ -148,6 +148,45 @@ class Sequences:
         return gamma[: base[1]].sum(0) if self.most else np.zeros(k), moves * move, symbols
 
 
+#: A longer sequence is read in blocks of so many symbols.
+BLOCK = 400_000
+
+
+def long_log10(symbols: np.ndarray, start: np.ndarray, move: np.ndarray, emit: np.ndarray, block: int = BLOCK) -> float:
+    """log10 likelihood of one sequence; memory holds a block."""
+    state, total = start, 0.0
+    for b in range(0, len(symbols), block):
+        _, alpha, scale = Sequences([symbols[b : b + block]]).forward(state, move, emit)
+        total += float(np.log10(scale).sum())
+        state = alpha[-1] @ move
+    return total
+
+
+def long_expected(symbols: np.ndarray, start: np.ndarray, move: np.ndarray, emit: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Baum-Welch counts of one sequence, as Sequences.expected(): a first pass keeps what each block begins with, a second
+    one takes the blocks from the last to the first."""
+    k, begins, state = len(start), range(0, len(symbols), block), start
+    states = []
+    for b in begins:
+        states.append(state)
+        state = Sequences([symbols[b : b + block]]).forward(state, move, emit)[1][-1] @ move
+    first, moves, counts, eb = np.zeros(k), np.zeros((k, k)), np.zeros((k, emit.shape[1])), None
+    for b, state in zip(reversed(begins), reversed(states), strict=True):
+        part = symbols[b : b + block]
+        e, alpha, scale = Sequences([part]).forward(state, move, emit)
+        gamma = alpha.copy()
+        for t in range(len(part) - 1, -1, -1):
+            if eb is not None:
+                moves += np.outer(alpha[t], eb)
+                gamma[t] *= move @ eb
+                eb = e[t] * (move @ eb) / scale[t]
+            else:
+                eb = e[t] / scale[t]
+        counts += np.stack([np.bincount(part, gamma[:, s], minlength=emit.shape[1]) for s in range(k)])
+        first = gamma[0]
+    return first, moves * move, counts
+
+
 def symbol_of(shape: Shape, word: bytes) -> int:
     """The symbol of a word that isn't one of its own."""
     return 1 + shape.own + zlib.crc32(word) % shape.classes
@@ -186,6 +225,7 @@ def prepare(docs: DataFrame, words: Vocabulary, carry: list[str]) -> DataFrame:
     shape, shared, ends = words.shape, words.head, words.ends
     class_below = words.class_tokens + ALPHA * (words.class_kinds + 1)
     fields = [f for f in docs.schema.fields if f.name in carry]
+    source = free_name(carry, "text")
     names = [f.name for f in fields]
     made = "symbols binary, n_tokens long, head_known long, head_log double, class_log double, tail array<struct<word:string,n:int>>"
 
@@ -195,8 +235,8 @@ def prepare(docs: DataFrame, words: Vocabulary, carry: list[str]) -> DataFrame:
         missing, get, class_log = len(places), places.get, np.log10(class_below)
         tail_type = pa.list_(pa.struct([("word", pa.string()), ("n", pa.int32())]))
         for whole in batches:
-            for batch in slices(whole, "_text", 3 << 20):
-                texts = [words_of(t.as_py()) for t in batch.column("_text")]
+            for batch in slices(whole, source, 3 << 20):
+                texts = [words_of(t.as_py()) for t in batch.column(source)]
                 n = len(texts)
                 flat = [w for t in texts for w in t]
                 count = np.array([len(t) for t in texts])
@@ -224,7 +264,7 @@ def prepare(docs: DataFrame, words: Vocabulary, carry: list[str]) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *arrays], names=[*names, "symbols", "n_tokens", "head_known", "head_log", "class_log", "tail"])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), made])
-    return docs.select(*[f"`{c}`" for c in names], docs["text"].alias("_text")).mapInArrow(run, schema)
+    return docs.select(*[f"`{c}`" for c in names], docs["text"].alias(source)).mapInArrow(run, schema)
 
 
 def alike(items: Iterator[tuple[object, np.ndarray]], most: int = 400_000) -> Iterator[list[tuple[object, np.ndarray]]]:
@@ -233,6 +273,9 @@ def alike(items: Iterator[tuple[object, np.ndarray]], most: int = 400_000) -> It
     held: dict[int, list] = {}
     size: Counter = Counter()
     for item in items:
+        if len(item[1]) > BLOCK:
+            yield [item]
+            continue
         k = len(item[1]).bit_length() if len(item[1]) > 255 else 8
         held.setdefault(k, []).append(item)
         size[k] += len(item[1])
@@ -264,7 +307,7 @@ def train(rows: DataFrame, words: Vocabulary, rounds: int = 4, stay: float = 0.9
             first, moves, symbols = np.zeros(k), np.zeros((k, k)), np.zeros((k, m))
             texts = ((None, np.frombuffer(s.as_py(), np.uint16)) for b in batches for s in b.column("symbols"))
             for group in alike(texts):
-                found = Sequences([s for _, s in group]).expected(*params)
+                found = long_expected(group[0][1], *params) if len(group[0][1]) > BLOCK else Sequences([s for _, s in group]).expected(*params)
                 first, moves, symbols = first + found[0], moves + found[1], symbols + found[2]
             stacked = np.concatenate([first[:, None], moves.T, symbols], 1)  # by state: start, moves into it, symbols
             used = np.flatnonzero(stacked.any(0))
@@ -290,27 +333,33 @@ def score_documents(docs: DataFrame, training: Column, *, carry: list[str] = ["d
     probability by single tokens) and score (that by the model). A null text is an empty one, which has one
     token, the end. Rows that repeat count and are scored each for itself; without training rows every token is as
     likely as the next; an empty table gives no rows; columns not carried are ignored. Words whose counts
-    tasks don't hold are counted by text and joined with the corpus counts.
+    tasks don't hold are counted by text and joined with the corpus counts. A very long text is read in blocks, so that a
+    task holds its symbols and one block's numbers.
     """
+    row, chosen = free_name(carry, "_row"), free_name([*carry, *docs.columns], "_training")
     words = learn_words(docs.where(training).select("text"), shape)
-    rows = prepare(docs.withColumn("_training", training), words, [*carry, "_training"])
-    rows = written(rows.withColumn("_row", F.monotonically_increasing_id()), "lm-texts")
-    model = train(rows.where("_training"), words, rounds)
+    rows = prepare(docs.withColumn(chosen, training), words, [*carry, chosen])
+    rows = written(rows.withColumn(row, F.monotonically_increasing_id()), "lm-texts")
+    model = train(rows.where(F.col(chosen)), words, rounds)
     params = model.start, model.move, model.emit
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts = ((r.as_py(), np.frombuffer(s.as_py(), np.uint16)) for b in batches for r, s in zip(b.column("_row"), b.column("symbols"), strict=True))
+        texts = ((r.as_py(), np.frombuffer(s.as_py(), np.uint16)) for b in batches for r, s in zip(b.column(row), b.column("symbols"), strict=True))
         for group in alike(texts):
-            found = Sequences([s for _, s in group])
-            yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in group], pa.int64()), pa.array(found.log10(found.forward(*params)[2]))], names=["_row", "chain"])
+            if len(group[0][1]) > BLOCK:
+                logs = np.array([long_log10(s, *params) for _, s in group])
+            else:
+                found = Sequences([s for _, s in group])
+                logs = found.log10(found.forward(*params)[2])
+            yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in group], pa.int64()), pa.array(logs)], names=[row, "chain"])
 
-    chain = rows.select("_row", "symbols").mapInArrow(run, "_row long, chain double")
+    chain = rows.select(row, "symbols").mapInArrow(run, f"`{row}` long, chain double")
     # a rare word's factor is the same in both scores: its count plus ALPHA, over what is already taken off
-    tail = rows.select("_row", F.explode("tail").alias("t")).select("_row", "t.word", "t.n").join(words.counts, "word", "left")
+    tail = rows.select(row, F.explode("tail").alias("t")).select(row, "t.word", "t.n").join(words.counts, "word", "left")
     c = F.coalesce("c", F.lit(0))
-    tail = tail.groupBy("_row").agg(F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("tail_known"), F.sum(F.col("n") * F.log10(c + F.lit(ALPHA))).alias("tail_log"))
+    tail = tail.groupBy(row).agg(F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("tail_known"), F.sum(F.col("n") * F.log10(c + F.lit(ALPHA))).alias("tail_log"))
     more = lambda x: F.coalesce(x, F.lit(0))
-    return rows.drop("symbols", "tail").join(chain, "_row").join(tail, "_row", "left").select(
+    return rows.drop("symbols", "tail").join(chain, row).join(tail, row, "left").select(
         *[f"`{n}`" for n in carry],
         "n_tokens",
         (F.col("head_known") + more("tail_known")).cast("long").alias("n_known"),

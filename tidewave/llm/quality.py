@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tidewave.llm.common import SPACES, labelled_sample, slices, table, utf8
+from tidewave.llm.common import SPACES, free_name, labelled_sample, slices, table, utf8
 
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 8
@@ -253,6 +253,7 @@ def judge(docs: DataFrame, model: Field, *, least_content: float = 0.5, carry: l
     repeat; an empty table gives no rows; columns not carried are ignored. One pass over the rows, no shuffle.
     """
     fields = [f for f in docs.schema.fields if f.name in carry]
+    source = free_name(carry, "text")
     names = [f.name for f in fields]
     made = {"n_words": "long", "word_chars": "long", "n_symbols": "long", "n_dup_lines": "long", "n_repeat_words": "long", "base_failed": "boolean", "kept": "boolean", "content_share": "double"}
     types = {"long": pa.int64(), "boolean": pa.bool_(), "double": pa.float64()}
@@ -262,11 +263,11 @@ def judge(docs: DataFrame, model: Field, *, least_content: float = 0.5, carry: l
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chain = Field(np.array(emit), np.array(move), np.array(start))
         for whole in batches:
-            for batch in slices(whole, "_text"):
-                counts, repeats = repeated_words(*utf8(batch.column("_text")))
+            for batch in slices(whole, source):
+                counts, repeats = repeated_words(*utf8(batch.column(source)))
                 out: dict[str, list] = {k: [] for k in made}
                 labels_out = []
-                for i, text in enumerate(batch.column("_text").to_pylist()):
+                for i, text in enumerate(batch.column(source).to_pylist()):
                     text = text or ""
                     raw = text.encode()
                     lines = [x for x in text.split("\n") if x.encode().strip(SPACES)]
@@ -283,7 +284,7 @@ def judge(docs: DataFrame, model: Field, *, least_content: float = 0.5, carry: l
                 arrays = [pa.array(out[k], types[v]) for k, v in made.items()] + [pa.array(labels_out, pa.list_(pa.int32()))] * marks
                 yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *arrays], names=[*names, *made, *["content_lines"] * marks])
 
-    return docs.select(*[f"`{n}`" for n in names], docs["text"].alias("_text")).mapInArrow(run, schema)
+    return docs.select(*[f"`{n}`" for n in names], docs["text"].alias(source)).mapInArrow(run, schema)
 
 
 def op3_quality(spark, sf_dir: str) -> DataFrame:

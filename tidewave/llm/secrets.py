@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tidewave.llm.common import LOWER, distinct, slices, table, utf8
+from tidewave.llm.common import LOWER, distinct, free_name, slices, table, utf8
 
 
 @dataclass(frozen=True)
@@ -48,7 +48,8 @@ MORE_RULES = (
     Rule("hub_token", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("chat_token", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("pay_key", r"[rs]k_live_[A-Za-z0-9]{16,}"),
-    Rule("web_token", r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]+"),
+    # only where a token begins, so that a long run isn't searched again from each of its places
+    Rule("web_token", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]+"),
 )
 RULES = BASE_RULES + MORE_RULES
 
@@ -218,10 +219,11 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, *, carry: list[str] =
 
     Returns the columns in carry and spans, an array of (kind, start, end) in code points, end exclusive, by
     start and then by the rules' order. A null or empty text has no spans. Spans of several kinds may overlap.
-    Rows that repeat give rows that repeat; an empty table gives no rows; columns not carried are ignored. One
-    pass over the rows, no shuffle.
+    Rows that repeat give rows that repeat; an empty table gives no rows; columns not carried are ignored. Very long
+    texts are searched whole, in time that grows with their length. One pass over the rows, no shuffle.
     """
     fields = [f for f in docs.schema.fields if f.name in carry]
+    source = free_name(carry, "text")
     names = [f.name for f in fields]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "spans array<struct<kind:string,start:bigint,end:bigint>>"])
 
@@ -229,11 +231,11 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, *, carry: list[str] =
         scanner = Scanner(rules)
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
         for whole in batches:
-            for batch in slices(whole, "_text"):
-                spans = [[{"kind": rules[n].kind, "start": a, "end": b} for a, n, b in f] for f in scanner.spans(batch.column("_text"))]
+            for batch in slices(whole, source):
+                spans = [[{"kind": rules[n].kind, "start": a, "end": b} for a, n, b in f] for f in scanner.spans(batch.column(source))]
                 yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(spans, kind)], names=[*names, "spans"])
 
-    return docs.select(*[f"`{n}`" for n in names], docs["text"].alias("_text")).mapInArrow(run, schema)
+    return docs.select(*[f"`{n}`" for n in names], docs["text"].alias(source)).mapInArrow(run, schema)
 
 
 def redact(text: str, spans: list[tuple[int, int]], mark: str = "[secret]") -> str:

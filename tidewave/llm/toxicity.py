@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewave.llm.common import fold, labelled_sample, table, written
+from tidewave.llm.common import fold, free_name, labelled_sample, table, written
 
 #: Terms for groups of people, by kind; each can stand in another's place within its kind.
 IDENTITY_TERMS = {
@@ -115,7 +115,7 @@ def fit(x: np.ndarray, y: np.ndarray, pairs: np.ndarray, *, lasso: float = 0.000
     return w, b
 
 
-def train(docs: DataFrame, labels: DataFrame, *, most: int = 3000, n_features: int = 1000, least_docs: int = 4, fold_out: int = 5, counterfactual: float = 1.0, terms: dict[str, str] = IDENTITY_TERMS) -> Classifier:
+def train(docs: DataFrame, labels: DataFrame, *, most: int = 3000, n_features: int = 1000, least_docs: int = 4, fold_out: int = 5, counterfactual: float = 10.0, terms: dict[str, str] = IDENTITY_TERMS) -> Classifier:
     """Fits the classifier on a bounded sample: at most `most` labelled documents of each label, none of which is in
     fold 0 of fold_out. Of the features that least_docs of them or more have, the n_features whose counts differ
     most between the labels (chi square), and all identity terms, are weighed. Without both labels in the sample the
@@ -178,17 +178,18 @@ def score(docs: DataFrame, model: Classifier, *, carry: list[str] = ["doc_id"],
     rows; columns not carried are ignored. One pass over the rows, no shuffle.
     """
     fields = [f for f in docs.schema.fields if f.name in carry]
+    source = free_name(carry, "text")
     names = [f.name for f in fields]
     weights, bias = model.weights, model.bias
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         here = Classifier(weights, bias)
         for batch in batches:
-            scores = [here.score(t.as_py()) for t in batch.column("_text")]
+            scores = [here.score(t.as_py()) for t in batch.column(source)]
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32())], names=[*names, "score", "predicted"])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "score double, predicted int"])
-    return docs.select(*[f"`{n}`" for n in names], docs["text"].alias("_text")).mapInArrow(run, schema)
+    return docs.select(*[f"`{n}`" for n in names], docs["text"].alias(source)).mapInArrow(run, schema)
 
 
 def op2_toxicity(spark, sf_dir: str) -> DataFrame:
