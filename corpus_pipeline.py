@@ -5,7 +5,6 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tidewave.llm import bpe, decontaminate, minhash, secrets, toxicity
 from tidewave.llm.common import table, written
@@ -21,13 +20,12 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: five-word shingles, similarity of 0.8 or more."""
-    gone = minhash.near_classes(docs, minhash.Scheme(percent=80)).where("NOT kept").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(DOCUMENTS)
+    return minhash.without_copies(docs.select(DOCUMENTS), minhash.Scheme(percent=80))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark passage."""
-    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark")).select(DOCUMENTS)
+    return decontaminate.clean(docs.select(DOCUMENTS), table(spark, sf_dir, "benchmark"))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
