@@ -345,6 +345,20 @@ def test_carried_columns_may_have_the_operators_own_names(spark):
     assert hmm.score_documents(docs, docs["doc_id"] > 0, carry=names).first()["_training"] == 7
 
 
+def test_intermediate_tables_are_deleted(spark):
+    from pathlib import Path
+
+    folder = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    names = lambda: {p.name.rsplit("-", 1)[0] for p in folder.iterdir() if p.name.startswith(("minhash", "substring", "edges"))}
+    docs = spark.createDataFrame([(i, "the same words again and again " * 20 + str(i % 3)) for i in range(9)], "doc_id long, text string")
+    for p in folder.iterdir():
+        if p.name.startswith(("minhash", "substring", "edges")):
+            p.rename(folder / ("old-" + p.name))
+    assert minhash.near_classes(docs).where("kept").count() == 3
+    assert substrings.without_repeats(docs, 50).where("n_removed > 0").count() == 9
+    assert names() == {"minhash-rows", "minhash-fate", "substring-rows", "substring-made"}
+
+
 def test_rows_that_share_an_id_with_a_copy_stay(spark):
     one, other = "a b c d e f g h", "quite another text with words of its own"
     docs = spark.createDataFrame([(1, one, 0), (2, one, 1), (2, other, 2), (None, one, 3), (4, None, 4), (5, "", 5)], "doc_id long, text string, text_key int")

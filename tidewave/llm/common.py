@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -34,10 +37,30 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+_open: ContextVar[list[str] | None] = ContextVar("open", default=None)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes the tables that written() makes within, at the end, but for those that are to be kept."""
+    paths: list[str] = []
+    outer = _open.set(paths)
+    try:
+        yield
+    finally:
+        _open.reset(outer)
+        for path in paths:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def written(df: DataFrame, name: str, *, keep: bool = False) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it back: its lineage ends there, so that a lost
-    executor costs no earlier stage again, and what its rows were dealt by can't change between two uses."""
+    executor costs no earlier stage again, and what its rows were dealt by can't change between two uses. Within
+    scratch() the table goes at the end unless it is to be kept."""
     path = new_path(df.sparkSession, name)
+    if not keep and (paths := _open.get()) is not None:
+        paths.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from tidewave.llm.common import LOWER, free_name, join_unique, slices, table, utf8, written
+from tidewave.llm.common import LOWER, free_name, join_unique, scratch, slices, table, utf8, written
 from tidewave.llm.components import connected
 from tidewave.llm.shingles import mix, shingles
 
@@ -176,14 +176,24 @@ def near_classes(docs: DataFrame, scheme: Scheme = Scheme(), *, keys: bool = Fal
     A row without doc_id has its component's id, and is kept only where there is none. A very long text is hashed whole,
     in memory that grows with it. An empty table gives no rows; other columns are ignored.
     """
-    rows = written(sketch(docs, scheme), "minhash-rows")
+    with scratch(docs.sparkSession):
+        rows, fate = fates(docs, scheme)
+    found = join_unique(rows.select("doc_id", "n_shingles", "text_key"), fate, ["text_key"], "left")
+    component = F.when(F.col("text_key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    return found.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"), *["text_key"] * keys)
+
+
+def fates(docs: DataFrame, scheme: Scheme) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, text_key and so on of every row as of sketch(); text_key and component_id of every class)."""
+    rows = written(sketch(docs, scheme), "minhash-rows", keep=True)
     classes = rows.where("text_key IS NOT NULL").groupBy("text_key").agg(F.min("doc_id").alias("first_doc"), F.first("bands").alias("bands"), F.first("packed").alias("packed"), F.first("n_shingles").alias("n"))
     classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "minhash-classes")
     packed = classes.select("node", "packed", "n")
 
     spread = classes.select("node", F.posexplode("bands").alias("band", "key"))
-    buckets = spread.groupBy("key").agg(F.min("node").alias("pivot"), F.count("*").alias("members")).where("members > 1")
-    members = written(join_unique(spread, buckets, ["key"]), "minhash-members")
+    buckets = written(spread.groupBy("key").agg(F.min("node").alias("pivot"), F.count("*").alias("members")).where("members > 1"), "minhash-buckets")
+    sizes = buckets.select("key", F.col("members").alias("_n"))
+    members = written(join_unique(spread, buckets, ["key"], counts=sizes), "minhash-members")
     stars = members.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
     central = written(members.groupBy("node").agg(F.sum("members").alias("meets")), "minhash-central")
 
@@ -199,7 +209,7 @@ def near_classes(docs: DataFrame, scheme: Scheme = Scheme(), *, keys: bool = Fal
         """Members of buckets that hold several components."""
         named = members.select("key", "band", "node", "members").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         several = named.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1").select("key")
-        return written(join_unique(written(named, "minhash-named"), several, ["key"], "left_semi"), "minhash-mixed")
+        return written(join_unique(written(named, "minhash-named"), several, ["key"], "left_semi", counts=sizes), "minhash-mixed")
 
     def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
         """Labels after further links: a component so far counts as the star of its label."""
@@ -218,9 +228,9 @@ def near_classes(docs: DataFrame, scheme: Scheme = Scheme(), *, keys: bool = Fal
         order = F.struct("meets", -F.col("node"))
         best = ranked.groupBy("key").agg(F.max_by(F.struct("node", "label"), order).alias("top"))
         if outside:
-            best = join_unique(written(ranked, "minhash-ranked"), best, ["key"]).where("label <> top.label").groupBy("key").agg(F.max_by(F.struct("node", "label"), order).alias("top"))
+            best = join_unique(written(ranked, "minhash-ranked"), best, ["key"], counts=sizes).where("label <> top.label").groupBy("key").agg(F.max_by(F.struct("node", "label"), order).alias("top"))
         to = best.select("key", F.col("top.node").alias("pivot"), F.col("top.label").alias("pivot_label"))
-        star = join_unique(left, to, ["key"]).where("label <> pivot_label")
+        star = join_unique(left, to, ["key"], counts=sizes).where("label <> pivot_label")
         star = star.select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b")).distinct()
         labels = joined(labels, confirmed(likely(star), texts, scheme.percent))
         left = mixed(labels)
@@ -246,9 +256,7 @@ def near_classes(docs: DataFrame, scheme: Scheme = Scheme(), *, keys: bool = Fal
     least = ids.groupBy("label").agg(F.min("first_doc").alias("component_id"))
     fate = classes.select("text_key", "node", "first_doc").join(join_unique(labels, least, ["label"]).select("node", "component_id"), "node", "left")
     fate = fate.select("text_key", F.coalesce("component_id", "first_doc").alias("component_id"))
-    found = join_unique(rows.select("doc_id", "n_shingles", "text_key"), written(fate, "minhash-fate"), ["text_key"], "left")
-    component = F.when(F.col("text_key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return found.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"), *["text_key"] * keys)
+    return rows, written(fate, "minhash-fate", keep=True)
 
 
 def without_copies(docs: DataFrame, scheme: Scheme = Scheme(), *, most_broadcast: int = 1_000_000) -> DataFrame:  # noqa: B008

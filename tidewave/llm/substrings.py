@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from tidewave.llm.anchors import runs
 from tidewave.llm.columnwise import build
-from tidewave.llm.common import join_unique, slices, table, utf8, written
+from tidewave.llm.common import join_unique, scratch, slices, table, utf8, written
 
 #: Strings are inserted into one collection until it has so many; a group's segments stay together.
 COLLECTION = 192
@@ -259,8 +259,14 @@ def without_repeats(docs: DataFrame, length: int = 400, *, anchor: int | None =
     read in parts, and only its own segments and spans are gathered. An empty table gives no rows; other columns are
     ignored. most_group bounds the different segments that are compared at once; it doesn't change the result.
     """
-    anchor = anchor or length // 2
-    rows = written(facts(docs), "substring-rows")
+    rows = written(facts(docs), "substring-rows", keep=True)
+    with scratch(docs.sparkSession):
+        made = losses(docs, rows, length, anchor or length // 2, most_group, bits)
+    return join_unique(rows, made, ["text_key"], "left").select("doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"), F.coalesce("kept_sha256", "sha256").alias("kept_sha256"))
+
+
+def losses(docs: DataFrame, rows: DataFrame, length: int, anchor: int, most_group: int, bits: int) -> DataFrame:
+    """text_key, n_removed, n_spans, kept_sha256 of the texts that lose something. rows: facts of docs."""
     parts = written(segments(docs, length, anchor), "substring-runs")
     twice = parts.groupBy("anchor").agg(F.count("*").alias("_n"), F.min("content").alias("c0"), F.max("content").alias("c1")).where("_n > 1")
     twice = written(twice.select("anchor", "_n", (F.col("c0") == F.col("c1")).alias("alike")), "substring-anchors")
@@ -302,7 +308,7 @@ def without_repeats(docs: DataFrame, length: int = 400, *, anchor: int | None =
             yield pa.RecordBatch.from_arrays([batch.column("text_key"), pa.array(out["n_removed"], pa.int64()), pa.array(out["n_spans"], pa.int64()), pa.array(out["kept_sha256"], pa.string())], names=["text_key", *out])
 
     made = texts.join(of_text, "text_key").select("text_key", "deflated", "spans").mapInArrow(cut, "text_key binary, n_removed long, n_spans long, kept_sha256 string")
-    return join_unique(rows, written(made, "substring-made"), ["text_key"], "left").select("doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"), F.coalesce("kept_sha256", "sha256").alias("kept_sha256"))
+    return written(made, "substring-made", keep=True)
 
 
 def op9_substrings(spark, sf_dir: str) -> DataFrame:
