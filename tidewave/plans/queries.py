@@ -328,9 +328,9 @@ def pairs_to_compare(spark, d):
   pr AS (SELECT a.label AS k1, b.label AS k2 FROM tmpl a JOIN tmpl b USING (channel, t) WHERE a.label <> b.label GROUP BY ALL HAVING corr(a.v, b.v) >= 0.1),
   ok AS (SELECT k1, k2 FROM pr JOIN pk x ON x.label = k1 JOIN pk y ON y.label = k2 WHERE y.p >= x.p),
   c AS (SELECT k1, k2, count(*) FILTER (b.m < a.m) AS l, count(*) FILTER (b.m > a.m) AS r FROM ok JOIN ev a ON a.label = k1 JOIN ev b ON b.label = k2 AND b.m BETWEEN a.m - 60 AND a.m + 60 GROUP BY ALL),
-  bp AS (SELECT k1, max(k2) AS p FROM c WHERE (l - 2 * r) / sqrt(greatest(15.0, 2.0 * r)) > -1e9 GROUP BY k1) SELECT label, CAST(coalesce(bp.p, 0) AS INT) AS bursting_parent FROM pk LEFT JOIN bp ON k1 = label""")
+  bp AS (SELECT k1, max(k2) AS p FROM c WHERE (l - 2 * r) / sqrt(greatest(15.0, 2.0 * r)) > -31 GROUP BY k1) SELECT label, CAST(coalesce(bp.p, 0) AS INT) AS bursting_parent FROM pk LEFT JOIN bp ON k1 = label""")
 def bursting_parents(spark, d):
-    return me.bursting_parents(minute_events(spark, d), minute_templates(spark, d), window=60, min_correlation=0.1, threshold=-1e9)
+    return me.bursting_parents(minute_events(spark, d), minute_templates(spark, d), window=60, min_correlation=0.1, threshold=-31)
 
 
 NEAR_SQL = "pr AS (SELECT a.event_id AS e1, a.label AS k1, a.time AS t1, b.event_id AS e2, b.label AS k2, b.time AS t2 FROM firings a JOIN firings2 b ON b.time BETWEEN a.time - 30 AND a.time + 30)"
