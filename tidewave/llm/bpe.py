@@ -8,10 +8,11 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tidewave.llm.common import free_name, table
+from tidewave.llm.common import free_name, slices, table
 
 #: A text is encoded in pieces of about so many characters.
 PIECE = 20_000
@@ -91,21 +92,23 @@ def encode_documents(docs: DataFrame, rank_file: str, pattern: str, *, carry: li
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         word = [str(i) for i in range(encoding(rank_file, pattern).n_vocab)]
-        for batch in batches:
-            out: dict[str, list] = {"n_tokens": []} | ({"ids": [], "decoded": []} if keep_ids else {}) | ({"ids_sha256": [], "decoded_sha256": []} if digests else {})
-            for text in batch.column(source):
-                ids = encode(text.as_py(), rank_file, pattern)
-                back = decode(ids, rank_file, pattern)
-                out["n_tokens"].append(len(ids))
-                if keep_ids:
-                    out["ids"].append(ids)
-                    out["decoded"].append(back)
-                if digests:
-                    out["ids_sha256"].append(hashlib.sha256(",".join([word[i] for i in ids]).encode()).hexdigest())
-                    out["decoded_sha256"].append(hashlib.sha256(back).hexdigest())
-            types = {"n_tokens": pa.int64(), "ids": pa.list_(pa.int32()), "decoded": pa.binary(), "ids_sha256": pa.string(), "decoded_sha256": pa.string()}
-            arrays = {k: pa.array(v, types[k]) for k, v in out.items()}
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *arrays.values()], names=[*names, *arrays])
+        types = {"n_tokens": pa.int64(), "ids": pa.list_(pa.int32()), "decoded": pa.binary(), "ids_sha256": pa.string(), "decoded_sha256": pa.string()}
+        wanted = ["n_tokens"] + ["ids", "decoded"] * keep_ids + ["ids_sha256", "decoded_sha256"] * digests
+        for whole in batches:
+            for batch in slices(whole, source, 1 << 20):  # a text has some thirty times its bytes in ids
+                out: dict[str, list] = {k: [] for k in wanted}
+                for text in batch.column(source):
+                    ids = encode(text.as_py(), rank_file, pattern)
+                    back = decode(ids, rank_file, pattern)
+                    made = {"n_tokens": len(ids)}
+                    if keep_ids:
+                        made |= {"ids": np.array(ids, np.int32), "decoded": back}
+                    if digests:
+                        made |= {"ids_sha256": hashlib.sha256(",".join([word[i] for i in ids]).encode()).hexdigest(), "decoded_sha256": hashlib.sha256(back).hexdigest()}
+                    for k, v in made.items():
+                        out[k].append(v)
+                arrays = [pa.array(out[k], types[k]) for k in wanted]
+                yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *arrays], names=[*names, *wanted])
 
     return docs.select(*[f"`{n}`" for n in names], docs["text"].alias(source)).mapInArrow(run, schema)
 

@@ -269,7 +269,7 @@ def without_copies(docs: DataFrame, scheme: Scheme = Scheme(), *, most_broadcast
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            forms = [normal_form(t.as_py()) for t in batch.column("text")]
+            forms = (normal_form(t.as_py()) for t in batch.column("text"))
             keys = pa.array([hashlib.blake2b(f, digest_size=16).digest() if f else None for f in forms], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns, keys], names=[*names, key])
 
