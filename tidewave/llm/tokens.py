@@ -73,7 +73,7 @@ class Encoder:
     like special tokens are text like any other.
     """
 
-    def __init__(self, path: str, slots: int = 1 << 20):
+    def __init__(self, path: str, slots: int = 1 << 19):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -104,7 +104,7 @@ class Encoder:
         if known is None:
             known = self.piece(piece)
             if len(piece) <= 256:
-                if len(self.long) >= 100_000:
+                if len(self.long) >= 20_000:
                     self.long.clear()
                 self.long[piece] = known
         return known
@@ -175,7 +175,7 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def write_token_files(docs: DataFrame, folder: str, tokenizer: str, *, end_id: int = 0, tokens_per_file: int = 8 << 20, partitions: int | None = None) -> DataFrame:
+def write_token_files(docs: DataFrame, folder: str, tokenizer: str, *, end_id: int = 0, tokens_per_file: int = 2 << 20, partitions: int | None = None) -> DataFrame:
     """Encodes every text of docs (doc_id, text, ...), ends each with end_id, and writes all ids in ascending order of
     doc_id to files of wavelet matrices in a folder that all executors share.
 
