@@ -1,6 +1,8 @@
 """The corpus operators' queries against brute force over a small table."""
 
 import hashlib
+import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -217,3 +219,95 @@ def test_op10(spark, folder):
         want[(r["page_id"], len(p), hashlib.sha256(p).hexdigest(), "revisit" if revisit else "response", other if revisit else None)] += 1
     out = rows(spark, "op10_warc", folder)
     assert Counter((r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in out) == want
+
+
+def resampled(docs, target, draw=lambda h: math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296)))):
+    """doc_id, n_features, weight, score, rank of each document, by plain definitions."""
+    split = lambda t: re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", (t or "").encode().translate(LOWER).decode())
+    bucket = lambda w: zlib.crc32(w.encode()) % 10_000
+    s, t = Counter(), Counter()
+    for _, x in docs:
+        s.update(map(bucket, split(x)))
+    for x in target:
+        t.update(map(bucket, split(x)))
+    big_s, big_t = sum(s.values()), sum(t.values())
+    gain = lambda b: math.floor(1000 * math.log((t[b] + 1) * (big_s + 10_000) / ((s[b] + 1) * (big_t + 10_000))))
+    scored = []
+    for i, x in docs:
+        w = split(x)
+        weight = sum(gain(bucket(a)) for a in w) // len(w) if w else 0
+        h = int(hashlib.sha256(f"2024:{'' if i is None else i}".encode()).hexdigest()[:8], 16)
+        scored.append((i, len(w), weight, weight + draw(h)))
+    able = sorted((r for r in scored if r[1] >= 20), key=lambda r: (-r[3], r[0] is None, r[0] or 0, -r[1]))
+    drawn = Counter((*r, k + 1 if k < 10 * len(able) // 100 else None) for k, r in enumerate(able))
+    return drawn + Counter((*r, None) for r in scored if r[1] < 20)
+
+
+def test_op11(spark, folder, tmp_path):
+    target = [r["text"] for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect()]
+    got = lambda d: Counter((r["doc_id"], r["n_features"], r["weight"], r["score"], r["rank"]) for r in rows(spark, "op11_resampling", d))
+    assert got(folder) == resampled(TEXTS, target)
+    # many rows with one id and text, so that ranks are shared out among equals; a word of 100,000 bytes
+    more = TEXTS + [(1, LONG)] * 60 + [(40, "漢" * 33_333 + "a A É é " * 30)]
+    spark.createDataFrame(more, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(None,)], "text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert got(tmp_path) == resampled(more, [None])
+
+
+def test_op12(spark, folder):
+    P = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    order = sorted(TEXTS, key=lambda r: (r[0] is not None, r[0] or 0, zlib.crc32((r[1] or "").encode()) if r[1] is not None else -1))
+    want, start = Counter(), 0
+    for i, t in order:
+        ids = [*library.encode(t or "", add_special_tokens=False).ids, 0]
+        want[(i, start, len(ids), zlib.crc32(b"".join(x.to_bytes(4, "little") for x in ids)))] += 1
+        start += len(ids)
+    assert Counter((r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) for r in rows(spark, "op12_token_files", folder)) == want
+
+
+def periodic(words):
+    """All runs of smallest period, of at least max(6, 4 periods) words, by trying every period."""
+    n, out = len(words), []
+    for q in range(1, n // 4 + 1):
+        i = 0
+        while i + q < n:
+            j = i
+            while j + q < n and words[j] == words[j + q]:
+                j += 1
+            size = j - i + q
+            if j > i and size >= max(6, 4 * q) and not any(all(words[i + k] == words[i + k + d] for k in range(size - d)) for d in range(1, q)):
+                out.append((i, size, q))
+            i = max(j, i + 1)
+    return sorted(out, key=lambda r: (r[0], r[2]))
+
+
+def test_op13(spark, folder, tmp_path):
+    digest = lambda t: hashlib.sha256(t).hexdigest()
+
+    def expected(docs):
+        want = Counter()
+        for i, t in docs:
+            w = (t or "").encode().split()
+            n, h = len(w), zlib.crc32(str(i).encode())
+            if i is not None and h % 10 == 0 and n:
+                a = h // 10 % n
+                p = 1 + (n - a) // (3 + h // 10 % 8)
+                w = [w[k if k < a else a + (k - a) % p] for k in range(n)]
+            found = periodic(w)
+            best = min(found, key=lambda r: (-r[1], r[0], r[2]), default=None)
+            drop = {k for a, size, q in found for k in range(a + q, a + size)}
+            kept = b" ".join(x for k, x in enumerate(w) if k not in drop)
+            want[(i, len(found), *(best or (None,) * 3), 1000 * best[1] // best[2] if best else None, digest("".join(f"{a},{b},{c}\n" for a, b, c in found).encode()), digest(kept))] += 1
+        return want
+
+    columns = ["doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256"]
+    got = lambda d: Counter(tuple(r[c] for c in columns) for r in rows(spark, "op13_runs", d))
+    assert got(folder) == expected(TEXTS)
+    rng = random.Random(3)
+    docs = [(k, " ".join(rng.choice("abcde"[: 2 + k % 4]) for _ in range(rng.randint(0, 80)))) for k in range(400)]
+    docs += [(500, "a b c d " * 40), (501, "x " * 5), (502, "x " * 6), (503, "x y " * 3 + "x"), (504, "x y " * 4), (505, "one two three " * 3000 + "end")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert got(tmp_path) == expected(docs)
