@@ -29,9 +29,10 @@ def test_registers_of_word_runs():
 
 
 def test_draws_follow_the_target(spark):
-    words = lambda kind, k: " ".join(f"{kind}{(k * j) % 50}" for j in range(40))
-    docs = spark.createDataFrame([(k, words("good" if k % 10 == 0 else "other", k)) for k in range(1000)], "doc_id long, text string")
-    target = spark.createDataFrame([(words("good", 7),)], "text string")
+    rng = random.Random(1)
+    words = lambda kind: " ".join(f"{kind}{rng.randrange(50)}" for _ in range(40))
+    docs = spark.createDataFrame([(k, words("good" if k % 10 == 0 else "other")) for k in range(1000)], "doc_id long, text string")
+    target = spark.createDataFrame([(words("good"),) for _ in range(50)], "text string")
     drawn = [r["doc_id"] for r in importance.resample(docs, target, percent=5, buckets=100).where("rank IS NOT NULL").collect()]
     assert len(drawn) == 50 and sum(i % 10 == 0 for i in drawn) > 20  # 5 without weights
 
