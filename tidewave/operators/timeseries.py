@@ -182,15 +182,20 @@ def whitening_matrix(series: DataFrame, length: int | None = None, *, channels:
     if channels:
         series = extract_timeseries(series, channels)
     rows = covariance(series, length).collect()  # channels squared
-    names = sorted({r["m1"] for r in rows})
+    return series.sparkSession.createDataFrame(inverse_root([(r["m1"], r["m2"], r["w"]) for r in rows]), "m1 int, m2 int, w double")
+
+
+def inverse_root(entries: list[tuple[int, int, float]]) -> list[tuple[int, int, float]]:
+    """The inverse square root of a symmetric matrix of a few channels, given and returned by its entries."""
+    names = sorted({m1 for m1, _, _ in entries})
     place = {c: i for i, c in enumerate(names)}
     cov = np.zeros((len(names), len(names)))
-    for r in rows:
-        cov[place[r["m1"]], place[r["m2"]]] = r["w"]
+    for m1, m2, w in entries:
+        cov[place[m1], place[m2]] = w
     values, vectors = np.linalg.eigh(cov)
-    scale = np.where(values > 1e-12 * max(values.max(), 1e-300), 1 / np.sqrt(np.maximum(values, 1e-300)), 0)
+    scale = np.where(values > 1e-12 * max(values.max(), 1e-300), 1 / np.sqrt(np.maximum(values, 1e-300)), 0) if len(values) else values
     w = (vectors * scale) @ vectors.T
-    return series.sparkSession.createDataFrame([(a, b, float(w[place[a], place[b]])) for a in names for b in names], "m1 int, m2 int, w double")
+    return [(a, b, float(w[place[a], place[b]])) for a in names for b in names]
 
 
 def whiten(series: DataFrame, length: int | None = None, unit: float = 1e-4) -> DataFrame:

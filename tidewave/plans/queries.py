@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidewave.operators import chunks as ch
 from tidewave.operators import events as ev
 from tidewave.operators import matching as mt
 from tidewave.operators import metrics as me
@@ -17,7 +18,7 @@ from tidewave.operators import templates as tp
 from tidewave.operators import timeseries as ts
 from tidewave.operators import segments as sg
 from tidewave.plans.storage import shared_folder
-from tidewave.plans.views import MINUTES, WEEK, clips, firings, firings2, geom, sql, timeseries
+from tidewave.plans.views import MINUTES, WEEK, chunked_timeseries, clips, firings, firings2, geom, sql, timeseries
 from tidewave.sources import arrays as ar
 
 QUERIES: dict = {}
@@ -159,7 +160,7 @@ def minute_events(spark, d):
 
 
 def minute_templates(spark, d):
-    return tp.templates(timeseries(spark, d), minute_events(spark, d), CLIP)
+    return ch.chunk_templates(chunked_timeseries(spark, d), minute_events(spark, d), CLIP)
 
 
 @query("firings", "timeseries", oracle=f"WITH {TEMPLATE_SQL} SELECT label, channel, t, round(v, 8) AS v FROM tmpl")
@@ -174,17 +175,16 @@ def reorder_labels(spark, d):
     return ev.reorder_labels(minute_events(spark, d), minute_templates(spark, d))
 
 
-@query("firings", "timeseries", oracle=f"""WITH ev AS (SELECT event_id, time // 60 AS m FROM firings WHERE event_id % 10 = 0)
+@query("firings", "timeseries", oracle=f"""WITH ev AS (SELECT event_id, time // 60 AS m FROM firings)
 SELECT event_id, CAST(c AS INT) AS channel, CAST(o AS INT) AS t, coalesce(v, 0.0) AS v FROM ev CROSS JOIN range(2, 4) a(c) CROSS JOIN range({CLIP}) b(o) LEFT JOIN timeseries x ON x.channel = c AND x.t = m + o - 9""")
 def extract_clips(spark, d):
-    some = minute_events(spark, d).where("event_id % 10 = 0").drop("label")
-    return tp.extract_clips(timeseries(spark, d), some, CLIP, channels=[2, 3])
+    return ch.clip_rows(ch.chunk_clips(chunked_timeseries(spark, d), minute_events(spark, d).drop("label"), CLIP, channels=[2, 3]))
 
 
 @query("firings", "timeseries", oracle=f"""WITH ev AS (SELECT event_id, time // 60 AS m FROM firings)
 SELECT event_id, CAST(c AS INT) AS channel, CAST(o AS INT) AS t, coalesce(v, 0.0) AS v FROM ev CROSS JOIN range(1, 6) a(c) CROSS JOIN range({CLIP}) b(o) LEFT JOIN timeseries x ON x.channel = c AND x.t = m + o - 9""")
 def extract_all_clips(spark, d):
-    return tp.extract_clips(timeseries(spark, d), minute_events(spark, d).drop("label"), CLIP)
+    return ch.clip_rows(ch.chunk_clips(chunked_timeseries(spark, d), minute_events(spark, d).drop("label"), CLIP))
 
 
 STATS_SQL = "st AS (SELECT label, channel, t, CASE WHEN count(*) >= 2 THEN avg(v) ELSE 0.0 END AS m, CASE WHEN count(*) >= 2 THEN stddev_pop(v) ELSE 0.0 END AS s FROM clips GROUP BY label, channel, t)"
@@ -255,10 +255,10 @@ def extract_timeseries(spark, d):
     return ts.extract_timeseries(timeseries(spark, d), [3, 1], 1000, 5000)
 
 
-@query("timeseries", oracle="SELECT channel, t, v FROM timeseries WHERE channel <= 2 UNION ALL SELECT channel, t + 43200, v * 2 FROM timeseries WHERE channel <= 2")
+@query("timeseries", oracle="SELECT channel, t, v FROM timeseries UNION ALL SELECT channel, t + 43200, -v FROM timeseries")
 def concat_timeseries(spark, d):
-    x = timeseries(spark, d).where("channel <= 2")
-    return ts.concat_timeseries([x, x.withColumn("v", F.col("v") * 2)], [MINUTES, MINUTES])
+    x = timeseries(spark, d)
+    return ts.concat_timeseries([x, x.withColumn("v", -F.col("v"))], [MINUTES, MINUTES])
 
 
 @query("timeseries", oracle="SELECT channel, t, v FROM timeseries UNION ALL SELECT channel, t + 43200, v * 2 FROM timeseries")
@@ -274,7 +274,7 @@ def extract_geom(spark, d):
 
 @query("timeseries", oracle="SELECT a.channel AS m1, b.channel AS m2, round(sum(a.v * b.v) / (43200 - 1), 6) AS w FROM timeseries a JOIN timeseries b USING (t) GROUP BY ALL")
 def covariance_matrix(spark, d):
-    return rounded(ts.covariance(timeseries(spark, d), MINUTES), "w")
+    return rounded(ch.chunk_covariance(chunked_timeseries(spark, d)), "w")
 
 
 @query("timeseries", oracle="SELECT channel, t, CAST(trunc(v / 0.25 + 0.5) AS INT) AS v FROM timeseries")
@@ -446,12 +446,12 @@ def pair_overlap(spark, d):
 
 @query()
 def bandpass_filter(spark, d):
-    return rounded(ts.bandpass_filter(timeseries(spark, d), 1.0, 0.01, 0.2, 0.05, chunk=10_000, padding=1_000), "v")
+    return rounded(ch.unchunked(ch.chunk_bandpass(chunked_timeseries(spark, d, 10_000), 1.0, 0.01, 0.2, 0.05, padding=1_000)), "v")
 
 
 @query()
 def whiten(spark, d):
-    return rounded(ts.whiten(timeseries(spark, d), MINUTES), "v")
+    return rounded(ch.unchunked(ch.chunk_whiten(chunked_timeseries(spark, d))), "v")
 
 
 @query()
@@ -522,7 +522,7 @@ def whiten_clips(spark, d):
 @query("timeseries", oracle="SELECT a AS m1, b AS m2, CASE WHEN a = b THEN 1.0 ELSE 0.0 END::DOUBLE AS w FROM (SELECT unnest([1, 2, 3, 4, 5])::INT AS a), (SELECT unnest([1, 2, 3, 4, 5])::INT AS b)")
 def whitened_covariance(spark, d):
     """Whitened channels have unit variance and no correlation, up to the grid of the values."""
-    out = ts.covariance(ts.whiten(timeseries(spark, d), MINUTES), MINUTES)
+    out = ch.chunk_covariance(ch.chunk_whiten(chunked_timeseries(spark, d)))
     return out.select("m1", "m2", F.abs(F.round("w", 3)).alias("w"))
 
 

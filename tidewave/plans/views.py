@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewave.operators.chunks import Chunked, chunked
+
 TYPES = ["click", "error", "purchase", "signup", "view"]
 MINUTES = 43_200
 WEEK = 604_800
@@ -41,6 +43,12 @@ def timeseries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid.join(sums, ["channel", "t"], "left").select("channel", "t", F.coalesce("s", F.lit(0.0)).alias("v"))
 
 
+def chunked_timeseries(spark: SparkSession, sf_dir: str, size: int = 4096) -> Chunked:
+    """The timeseries in chunks, made from its events without a row for each of its samples."""
+    sums = firings(spark, sf_dir).groupBy("channel", F.expr("time div 60").alias("t")).agg(F.sum(F.col("amplitude").cast("decimal(18,2)")).cast("double").alias("v"))
+    return chunked(sums, MINUTES, size=size, channels=list(range(1, len(TYPES) + 1)))
+
+
 def geom(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.range(1, len(TYPES) + 1).select(F.col("id").cast("int").alias("channel"), (F.col("id") - 1).cast("double").alias("x"), F.lit(0.0).alias("y"))
 

@@ -133,6 +133,60 @@ class ArrayReader(DataSourceReader):
         yield pa.RecordBatch.from_arrays([pa.array(columns[c]) for c in names], names=names)
 
 
+@dataclass
+class Span(InputPartition):
+    """A range of t that may reach over several files, each with the t of its first sample and its number of samples."""
+
+    files: list[tuple[str, int, int]]
+    first: int
+    end: int
+
+    def __init__(self, files: list[tuple[str, int, int]], first: int, end: int):
+        super().__init__((first, end))
+        self.files, self.first, self.end = files, first, end
+
+
+class ChunkReader(ArrayReader):
+    """Rows (channel, chunk, samples) with `size` samples each, but fewer in the last chunk. A partition is a number of whole
+    chunks, wherever files begin and end, and reads their range of each file at once."""
+
+    def shapes(self) -> list[tuple[str, int, int]]:
+        out, shift = [], 0
+        for path in self.files():
+            system, inner = file_system(path)
+            with system.open_input_file(inner) as f:
+                h = self.head(f, path)
+            n = int(np.prod(h.sizes[1:])) if len(h.sizes) > 1 else 1
+            out.append((path, shift, n))
+            shift += n
+        return out
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:  # noqa: N802
+        yield from filters
+
+    def partitions(self) -> list[Span]:
+        size, files = int(self.options.get("size", 4096)), self.shapes()
+        total = files[-1][1] + files[-1][2] if files else 0
+        step = max(1, self.chunk // size) * size
+        spans = [(first, min(first + step, total)) for first in range(0, total, step)]
+        return [Span([f for f in files if f[1] < end and f[1] + f[2] > first], first, end) for first, end in spans] or [Span([], 0, 0)]
+
+    def read(self, partition: Span) -> Iterator[pa.RecordBatch]:
+        size, parts = int(self.options.get("size", 4096)), []
+        for path, shift, n in partition.files:
+            system, inner = file_system(path)
+            with system.open_input_file(inner) as f:
+                h = self.head(f, path)
+                first, end, m = max(partition.first - shift, 0), min(partition.end - shift, n), h.sizes[0]
+                f.seek(h.offset + first * m * h.dtype.itemsize)
+                parts.append(np.frombuffer(f.read((end - first) * m * h.dtype.itemsize), h.dtype).reshape(-1, m))
+        names = [x.name for x in self.schema.fields]
+        for first in range(0, partition.end - partition.first, size) if parts else ():
+            rows = (parts[0] if len(parts) == 1 else np.concatenate(parts))[first : first + size].T.astype(np.float64)
+            values = {"channel": pa.array(range(1, len(rows) + 1), pa.int32()), "chunk": pa.array([(partition.first + first) // size] * len(rows), pa.int64()), "samples": pa.array(list(rows), pa.list_(pa.float64()))}
+            yield pa.RecordBatch.from_arrays([values[c] for c in names], names=names)
+
+
 @dataclass
 class Part(WriterCommitMessage):
     path: str
@@ -209,9 +263,36 @@ class RawSource(MdaSource):
         return ArrayReader(self.options, schema, True)
 
 
+class MdaChunks(DataSource):
+    @classmethod
+    def name(cls) -> str:
+        return "mdachunks"
+
+    def schema(self) -> str:
+        return "channel int, chunk long, samples array<double>"
+
+    def reader(self, schema: StructType) -> ChunkReader:
+        return ChunkReader(self.options, schema, False)
+
+
+class RawChunks(MdaChunks):
+    @classmethod
+    def name(cls) -> str:
+        return "rawchunks"
+
+    def reader(self, schema: StructType) -> ChunkReader:
+        return ChunkReader(self.options, schema, True)
+
+
+def array_length(path: str, **options) -> int:  # type: ignore[no-untyped-def]
+    """Samples of a channel in the array files of a path, from their headers."""
+    shapes = ChunkReader({"path": path, **options}, StructType(), "num_channels" in options).shapes()
+    return shapes[-1][1] + shapes[-1][2] if shapes else 0
+
+
 def register(spark: SparkSession) -> None:
-    spark.dataSource.register(MdaSource)
-    spark.dataSource.register(RawSource)
+    for source in (MdaSource, RawSource, MdaChunks, RawChunks):
+        spark.dataSource.register(source)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
 
 
