@@ -4,7 +4,7 @@ import itertools
 
 import numpy as np
 
-from tidewave.functions.kernels import assignment, bandpass_gain, dip_cut, filter_signal, isotonic, keep_peaks, principal_axes, split_clusters, unimodal
+from tidewave.functions.kernels import assignment, bandpass_gain, dip_cut, filter_signal, isotonic, keep_peaks, principal_axes, unimodal
 
 
 def test_equal_peaks_keep_the_first_and_the_interval_is_included():
@@ -48,14 +48,6 @@ def test_dip_tells_one_mode_from_two():
     assert dip_cut(np.ones(50))[0] == 0
 
 
-def test_clusters_of_far_groups_are_not_mixed():
-    rng = np.random.default_rng(4)
-    x = np.concatenate([rng.normal(0, 1, (200, 3)), rng.normal(9, 1, (150, 3))])
-    labels = split_clusters(x)
-    assert not set(labels[:200]) & set(labels[200:])
-    assert (split_clusters(x[:12]) == 1).all()
-
-
 def test_axes_are_orthonormal_and_filter_passes_its_band():
     rng = np.random.default_rng(5)
     axes = principal_axes(rng.normal(size=(100, 6)), 3)

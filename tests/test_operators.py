@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidewave.operators import events, matching, metrics, sorting, synthesis, templates, timeseries
+from tidewave.operators import clustering, events, matching, metrics, sorting, synthesis, templates, timeseries
 from tidewave.plans import registry
 
 
@@ -229,7 +229,7 @@ def test_many_units_of_one_channel_are_told_apart(spark):
     middles, truth = rng.normal(size=(18, 30)) * 6, rng.integers(0, 18, 5000)
     x = middles[truth] + rng.normal(size=(5000, 30))
     rows = spark.createDataFrame([(i, 1, x[i].tolist()) for i in range(5000)], "event_id long, m int, f array<double>")
-    found = {r["event_id"]: r["label"] for r in sorting.cluster_clips(rows, most=3000).collect()}
+    found = {r["event_id"]: r["label"] for r in clustering.cluster_all(rows)[0].collect()}
     label = np.array([found[i] for i in range(5000)])
     assert all(max((np.sum((label == j) & (truth == k)) / np.sum((label == j) | (truth == k))) for j in np.unique(label)) > 0.95 for k in range(18))
 

@@ -72,132 +72,79 @@ def unimodal(y: np.ndarray, w: np.ndarray) -> np.ndarray:
     return np.concatenate([isotonic(y[: peak + 1], w[: peak + 1])[0], isotonic(y[peak + 1 :][::-1], w[peak + 1 :][::-1])[0][::-1]])
 
 
-def largest_gap(seen: np.ndarray, fitted: np.ndarray) -> tuple[float, int, int]:
-    """(largest scaled distance of two cumulated counts, first and end of the range that has it), over ranges from
-    either side, each half as long as the one before: a small second peak far from the bulk shows in a short range."""
-    best, n = (-1.0, 0, len(seen)), len(seen)
-    size = n
-    while size >= 4 or size == n:
-        for first in {0, n - size}:
+def largest_gap(seen: np.ndarray, fitted: np.ndarray, peak: int) -> tuple[float, int, int]:
+    """(largest scaled distance of two cumulated counts, first and end of the range that has it). Both sides of the fit's
+    peak are looked at, each in ranges from its outer end, each half as long as the one before: a small second
+    peak far from the bulk shows in a short range. The scale is the root of the mean of both counts in the range."""
+    n, best = len(seen), (-1.0, 0, len(seen))
+    for from_left, size in ((True, peak + 1), (False, n - peak)):
+        whole = size
+        while size >= 4 or size == whole:
+            first = 0 if from_left else n - size
             a, b = seen[first : first + size], fitted[first : first + size]
-            total = a.sum()
-            if total > 0 and b.sum() > 0:
-                gap = float(np.abs(np.cumsum(a) / total - np.cumsum(b) / b.sum()).max() * math.sqrt(total))
+            if a.sum() > 0 and b.sum() > 0:
+                x, y = (a, b) if from_left else (a[::-1], b[::-1])
+                gap = float(np.abs(np.cumsum(x) / x.sum() - np.cumsum(y) / y.sum()).max() * math.sqrt((a.sum() + b.sum()) / 2))
                 best = max(best, (gap, first, first + size))
-        if size < 8:
-            break
-        size //= 2
+            if size < 2:
+                break
+            size //= 2
     return max(best[0], 0.0), best[1], best[2]
 
 
-def dip_cut(values: np.ndarray) -> tuple[float, float]:
-    """(dip, cut): how far the values' density is from having one peak, and where to cut between two.
-
-    Sorted values are thinned to about the root of their number, more finely towards both ends; densities from
-    spacings are fitted by a curve with one peak, and the dip is the largest gap of counts to that curve over nested ranges. In
-    the range that has it, what the density has over the curve is fitted by a curve with one valley, and the cut
-    lies in the valley.
-    """
-    x = np.sort(values)
-    n = len(x)
-    if n < 4 or x[0] == x[-1]:
-        return 0.0, float(x[n // 2]) if n else 0.0
+def tapered(n: float) -> np.ndarray:
+    """Ranks from 0 to n - 1, about the root of their number, closer to one another towards both ends."""
     half = max(2, math.ceil(math.sqrt(n / 2) / 2))
     steps = np.concatenate([np.arange(1, half + 1), np.arange(half, 0, -1)]).astype(float)
-    picks = np.unique(np.floor(np.concatenate([[0], np.cumsum(steps * (n - 1) / steps.sum())]) + 1e-9).astype(int))
-    picks[-1] = n - 1
-    knots, inside = x[picks], np.diff(picks).astype(float)
-    spacing = np.maximum(np.diff(knots), 1e-12 * max(abs(x[0]), abs(x[-1]), 1.0))
+    return np.concatenate([[0], np.cumsum(steps * (n - 1) / steps.sum())])
+
+
+def dip_between(knots: np.ndarray, inside: np.ndarray, least: float) -> tuple[float, float]:
+    """(dip, cut) for counts between knots: densities from spacings are fitted by a curve with one peak, and the dip is the
+    largest gap of counts to that curve. From the range that has it to the peak, the density is fitted by a curve with
+    one valley, and the cut lies where the density is least in that valley."""
+    spacing = np.maximum(np.diff(knots), least)
     density = inside / spacing
     fit = unimodal(density, inside)
-    dip, first, end = largest_gap(inside, fit * spacing)
-    over, w = (density - fit)[first:end], spacing[first:end]
-    valley = -unimodal(-over, w)
-    at = first + int(np.argmin(valley))
+    peak = int(fit.argmax())
+    dip, first, end = largest_gap(inside, fit * spacing, peak)
+    first, end = min(first, peak), max(end, peak + 1)
+    valley = -unimodal(-density[first:end], spacing[first:end])
+    bottom = first + np.flatnonzero(valley <= valley.min() * (1 + 1e-12))
+    at = int(bottom[density[bottom].argmin()])
     return dip, float((knots[at] + knots[at + 1]) / 2)
 
 
-def parcels(x: np.ndarray, most: int, size: int) -> np.ndarray:
-    """Labels 0 .. of small compact groups of the rows of x: rows go to the nearest of up to `most` centres, of about
-    `size` rows each or more, which are the rows farthest from those before them and then moved to their group's middle."""
-    n = len(x)
-    centres = [x[int(np.argmin(((x - x.mean(0)) ** 2).sum(1)))]]
-    near = ((x - centres[0]) ** 2).sum(1)
-    while len(centres) < min(most, n // size):
-        centres.append(x[int(near.argmax())])
-        near = np.minimum(near, ((x - centres[-1]) ** 2).sum(1))
-    c, norm = np.stack(centres), (x**2).sum(1)
-    for _ in range(4):
-        labels = np.argmin(norm[:, None] - 2 * (x @ c.T) + (c**2).sum(1), 1)
-        used = np.unique(labels)
-        c = np.stack([x[labels == i].mean(0) for i in used])
-    labels = np.argmin(norm[:, None] - 2 * (x @ c.T) + (c**2).sum(1), 1)
-    return np.unique(labels, return_inverse=True)[1]
-
-
-def separated(x: np.ndarray, y: np.ndarray, threshold: float, min_size: int) -> np.ndarray | None:
-    """For two groups of points, which of all of them (first x, then y) belong to the second after cutting the line
-    between their middles, or None if they are one: values along the line, whitened by both groups' spread, have one
-    peak."""
-    if min(len(x), len(y)) < min_size:
-        return None
-    way = y.mean(0) - x.mean(0)
-    spread = np.atleast_2d(np.cov(x.T) + np.cov(y.T))
-    way = np.linalg.solve(spread + 1e-9 * max(np.trace(spread), 1e-300) * np.eye(x.shape[1]), way)
-    line = np.concatenate([x, y]) @ way
-    dip, cut = dip_cut(line)
-    return line > cut if dip >= threshold else None
-
-
-def split_clusters(x: np.ndarray, *, most: int = 200, threshold: float = 1.0, min_size: int = 10, passes: int = 500) -> np.ndarray:
-    """Labels 1 .. of the rows of x: many small parcels, of which in each pass those that are each other's nearest, and
-    weren't compared as they are, are merged if they can't be told apart, or else dealt anew at the cut."""
+def dip_cut(values: np.ndarray) -> tuple[float, float]:
+    """(dip, cut): how far the values' density is from having one peak, and where to cut between two. Sorted values are
+    thinned, more finely towards both ends."""
+    x = np.sort(values)
     n = len(x)
-    if n < 2 * min_size:
-        return np.ones(n, int)
-    labels = parcels(x, most, min_size)
-    tried: set[tuple[int, int]] = set()
-    for _ in range(passes):
-        ids = np.unique(labels)
-        if len(ids) < 2:
-            break
-        means = np.stack([x[labels == i].mean(0) for i in ids])
-        d = ((means[:, None] - means[None]) ** 2).sum(2)
-        np.fill_diagonal(d, np.inf)
-        place = {int(v): k for k, v in enumerate(ids)}
-        for i, j in tried:
-            if i in place and j in place:
-                d[place[i], place[j]] = d[place[j], place[i]] = np.inf
-        nearest = d.argmin(1)
-        pairs = [(a, int(b)) for a, b in enumerate(nearest) if a < b and nearest[b] == a and np.isfinite(d[a, b])]
-        if not pairs:
-            break
-        for a, b in pairs:
-            i, j = int(ids[a]), int(ids[b])
-            first, second = np.flatnonzero(labels == i), np.flatnonzero(labels == j)
-            right = separated(x[first], x[second], threshold, min_size)
-            tried = {p for p in tried if right is not None or (i not in p and j not in p)}
-            if right is None:
-                labels[second] = i
-            else:
-                labels[np.concatenate([first, second])] = np.where(right, j, i)
-                tried.add((i, j))
-    return np.unique(labels, return_inverse=True)[1] + 1
-
-
-def branch(x: np.ndarray, num_features: int, **options) -> np.ndarray:  # type: ignore[no-untyped-def]
-    """Labels 1 .. of the rows of x, clustered by their leading axes; each cluster is then clustered by its own axes, and
-    so on until it stays one."""
-    labels = split_clusters(x @ principal_axes(x, min(num_features, x.shape[1])), **options)
-    if labels.max() <= 1:
-        return labels
-    out, top = np.zeros(len(x), int), 0
-    for k in range(1, labels.max() + 1):
-        inside = labels == k
-        part = branch(x[inside], num_features, **options)
-        out[inside] = part + top
-        top += part.max()
-    return out
+    if n < 4 or x[0] == x[-1]:
+        return 0.0, float(x[n // 2]) if n else 0.0
+    picks = np.unique(np.floor(tapered(n) + 1e-9).astype(int))
+    picks[-1] = n - 1
+    return dip_between(x[picks], np.diff(picks).astype(float), 1e-12 * max(abs(x[0]), abs(x[-1]), 1.0))
+
+
+def dip_of_counts(counts: np.ndarray, edges: np.ndarray, least: int = 6, ratio: float = 1.2) -> tuple[float, float]:
+    """The same for counts in bins, within which values are taken to lie evenly. Knots are `least` values apart at both
+    ends and from there on by a fifth of the values outside of them, so that a small second peak far from the bulk
+    shows alike whatever the number of values in the bulk."""
+    n = float(counts.sum())
+    used = np.flatnonzero(counts)
+    if n < 4 or len(used) < 2:
+        return 0.0, float((edges[used[0]] + edges[used[0] + 1]) / 2) if len(used) else 0.0
+    ranks, step = [0.0], float(least)
+    while ranks[-1] + step < n / 2:
+        ranks.append(ranks[-1] + step)
+        step = max(float(least), (ratio - 1) * ranks[-1])
+    ranks = np.unique([*ranks, n / 2, *(n - r for r in ranks)])
+    first, end = int(used[0]), int(used[-1]) + 1
+    upto = np.concatenate([[0], np.cumsum(counts[first:end])])
+    # where the cumulated counts are flat there are empty bins; the small slope keeps knots on either side apart
+    knots = np.interp(ranks, upto + np.arange(len(upto)) * 1e-9, edges[first : end + 1])
+    return dip_between(knots, np.diff(ranks), 1e-12 * max(abs(edges[0]), abs(edges[-1]), 1.0))
 
 
 def assignment(gain: np.ndarray) -> list[int]:

@@ -112,14 +112,15 @@ def home(c: Chunked, clip_size: int) -> Column:
     return F.when((F.col("_begin") > -clip_size) & (F.col("_begin") < c.length), chunk)
 
 
-def chunk_clips(c: Chunked, events: DataFrame, clip_size: int, *, channels: list[int] | None = None, rounding: str = "truncate", edge: str = "pad") -> DataFrame:
-    """event_id, label (where events have one), channel, clip: `clip_size` samples around each event on each channel, as an
-    array. Samples beyond the series are 0; with edge="drop" a clip that isn't wholly inside is 0 everywhere.
+def chunk_clips(c: Chunked, events: DataFrame, clip_size: int, *, channels: list[int] | None = None, near: DataFrame | None = None, rounding: str = "truncate", edge: str = "pad") -> DataFrame:
+    """event_id, label and m (where events have them), channel, clip: `clip_size` samples around each event on each channel, as
+    an array. Samples beyond the series are 0; with edge="drop" a clip that isn't wholly inside is 0 everywhere. With
+    near (m, channel) an event has clips on the channels of its m only.
 
     Events meet the chunk in which their clip begins, and the clip is cut from its array. A chunk with very many
     events is repeated, and its events are dealt to the copies by id.
     """
-    carry = [x for x in ("event_id", "label") if x in events.columns]
+    carry = [x for x in ("event_id", "label", "m") if x in events.columns]
     part = Chunked(c.rows.where(F.col("channel").isin(channels)), c.size, c.length, tuple(channels)) if channels else c
     asked = begins(events, clip_size, rounding).select(*carry, "_begin", home(c, clip_size).alias("chunk"))
     if edge == "drop":
@@ -130,9 +131,13 @@ def chunk_clips(c: Chunked, events: DataFrame, clip_size: int, *, channels: list
     wide = with_halo(part, clip_size).join(F.broadcast(hot), "chunk", "left")
     wide = wide.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("copies", F.lit(1).cast("long")) - 1))).drop("copies")
     inside = asked.where("chunk IS NOT NULL").join(F.broadcast(hot), "chunk", "left").withColumn("copy", F.pmod(F.xxhash64("event_id"), F.coalesce("copies", F.lit(1).cast("long")))).drop("copies")
+    if near is not None:
+        inside = inside.join(F.broadcast(near), "m")  # channels squared at most
     clip = F.slice("samples", (F.col("_begin") - F.col("chunk") * c.size + clip_size + 1).cast("int"), clip_size)
-    found = inside.join(wide, ["chunk", "copy"]).select(*carry, "channel", clip.alias("clip"))
-    out = asked.where("chunk IS NULL").crossJoin(F.broadcast(part.names())).select(*carry, "channel", F.array_repeat(F.lit(0.0), clip_size).alias("clip"))  # a few channels
+    found = inside.join(wide, ["chunk", "copy"] + ["channel"] * (near is not None)).select(*carry, "channel", clip.alias("clip"))
+    out = asked.where("chunk IS NULL")
+    out = out.crossJoin(F.broadcast(part.names())) if near is None else out.join(F.broadcast(near), "m")
+    out = out.select(*carry, "channel", F.array_repeat(F.lit(0.0), clip_size).alias("clip"))  # a few channels
     return found.unionByName(out)
 
 

@@ -6,15 +6,12 @@ channel's clips.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidewave.functions.kernels import branch, principal_axes
+from tidewave.operators.chunks import Chunked, chunk_clips, chunk_templates, chunked, unchunked
+from tidewave.operators.clustering import channel_features, cluster_all
 from tidewave.operators.joins import band_join
 from tidewave.operators.metrics import drawn_order
 from tidewave.operators.templates import clip_features, clip_statistics, event_statistics, extract_clips, middle, templates
@@ -31,38 +28,6 @@ def neighbourhoods(geom: DataFrame, radius: float) -> DataFrame:
     return both.select("m", "channel")
 
 
-def cluster_clips(features: DataFrame, *, num_features: int = 10, most: int = 10_000) -> DataFrame:
-    """event_id, m, label (1 .. within m) for features event_id, m, f.
-
-    Clusters come from at most `most` events of each m, those with the smallest digest of their id, split by their
-    leading axes and then each by its own until it stays one; every event then goes to the cluster with the
-    nearest middle. A unit with fewer than some ten events in the sample isn't told apart.
-    """
-    rank = Window.partitionBy("m").orderBy(*drawn_order("event_id"))
-    sample = features.withColumn("r", F.row_number().over(rank)).where(F.col("r") <= most)
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("event_id")
-        x = np.stack(pdf["f"].to_numpy())
-        labels = branch(x, num_features)
-        return pd.DataFrame({"m": pdf["m"].iloc[0], "label": np.arange(1, labels.max() + 1), "centre": [x[labels == k].mean(0).tolist() for k in range(1, labels.max() + 1)]})
-
-    models: dict[int, list] = {}
-    for r in sample.select("event_id", "m", "f").groupBy("m").applyInPandas(fit, "m int, label int, centre array<double>").collect():
-        models.setdefault(r["m"], []).append((r["label"], r["centre"]))  # a channel's clusters, of `most` events at most
-    shared = features.sparkSession.sparkContext.broadcast({m: np.array([c for _, c in sorted(found)]) for m, found in models.items()})
-
-    def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            label = np.ones(len(pdf), np.int32)
-            for m, at in pdf.groupby("m").indices.items():
-                x, c = np.stack(pdf["f"].to_numpy()[at]), shared.value[m]
-                label[at] = ((c**2).sum(1) - 2 * (x @ c.T)).argmin(1) + 1
-            yield pd.DataFrame({"event_id": pdf["event_id"], "m": pdf["m"], "label": label})
-
-    return features.select("event_id", "m", "f").mapInPandas(nearest, "event_id long, m int, label int")
-
-
 def consolidate(means: DataFrame, clip_size: int, factor: float = 0.9, most_offset: int = 10) -> DataFrame:
     """m, label, new_label: clusters of a channel m whose own peak is at least factor of their largest and lies at most
     most_offset from the middle, numbered again. means: m, label, channel, t, v."""
@@ -178,23 +143,34 @@ def fit_stage(series: DataFrame, firings: DataFrame, means: DataFrame, clip_size
     return firings.join(used, "event_id", "left_semi")
 
 
-def sort_events(series: DataFrame, geom: DataFrame, *, adjacency_radius: float = -1, clip_size: int = 50, detect_interval: int = 10, detect_threshold: float = 3.0, detect_sign: int = 0, consolidation_factor: float = 0.9, merge: bool = True, fit: bool = True) -> DataFrame:
+def sort_events(series: DataFrame | Chunked, geom: DataFrame, *, length: int | None = None, adjacency_radius: float = -1, clip_size: int = 50, detect_interval: int = 10, detect_threshold: float = 3.0, detect_sign: int = 0, num_features: int = 10, consolidation_factor: float = 0.9, merge: bool = True, fit: bool = True) -> DataFrame:
     """event_id, channel, time, label for a filtered, whitened series: detection on each channel, clusters of the clips of
-    its neighbourhood, consolidation, merging across channels and the final fit."""
-    found = detect_events(series, threshold=detect_threshold, interval=detect_interval, sign=detect_sign)
+    its neighbourhood, consolidation, merging across channels and the final fit.
+
+    Clips are cut from chunks, on the channels of an event's neighbourhood only; each channel's clips are reduced to
+    num_features first, and all events of a channel take part in its clusters."""
+    if isinstance(series, Chunked):
+        c = series
+    else:
+        c = chunked(series, length or (series.agg(F.max("t")).first()[0] or 0) + 1)
+    c = Chunked(checkpointed(c.rows), c.size, c.length, c.channels)
+    long = unchunked(c)
+    found = detect_events(long, threshold=detect_threshold, interval=detect_interval, sign=detect_sign)
     found = checkpointed(found.select(F.col("channel").alias("m"), F.col("t").alias("time")).withColumn("event_id", F.monotonically_increasing_id()))
     near = checkpointed(neighbourhoods(geom, adjacency_radius))
-    all_clips = extract_clips(series, found.withColumn("label", F.col("m")), clip_size)
-    own = checkpointed(all_clips.withColumnRenamed("label", "m").join(F.broadcast(near), ["m", "channel"]))
-    labels = checkpointed(cluster_clips(clip_features(own)))
-    means = own.join(labels, ["event_id", "m"]).groupBy("m", "label", "channel", "t").agg(F.avg("v").alias("v"))
-    good = consolidate(means, clip_size, consolidation_factor)
-    numbered = good.select("m", "label", F.row_number().over(Window.orderBy("m", "new_label")).cast("int").alias("k"))  # one row a label
-    rows = checkpointed(found.join(labels, ["event_id", "m"]).join(F.broadcast(numbered), ["m", "label"]).select("event_id", F.col("m").alias("channel"), "time", F.col("k").alias("label")))
-    shapes = checkpointed(templates(series, rows, clip_size))
+    features = checkpointed(channel_features(checkpointed(chunk_clips(c, found, clip_size, near=near)), num_features))
+    labels = checkpointed(cluster_all(features, num_features=num_features)[0])
+    codes = checkpointed(labels.select("m", "label").distinct().withColumn("code", F.row_number().over(Window.orderBy("m", "label"))))  # one row a cluster
+    labelled = checkpointed(found.join(labels.join(F.broadcast(codes), ["m", "label"]), ["event_id", "m"]))
+    every = checkpointed(chunk_templates(c, labelled.select("time", F.col("code").alias("label")), clip_size)).withColumnRenamed("label", "code")
+    means = every.join(codes, "code").join(F.broadcast(near), ["m", "channel"]).select("m", "label", "channel", "t", "v")
+    good = consolidate(means, clip_size, consolidation_factor).join(codes, ["m", "label"])
+    numbered = checkpointed(good.select("code", F.row_number().over(Window.orderBy("m", "new_label")).cast("int").alias("k")))  # one row a label
+    rows = checkpointed(labelled.join(F.broadcast(numbered), "code").select("event_id", F.col("m").alias("channel"), "time", F.col("k").alias("label")))
+    shapes = checkpointed(every.join(F.broadcast(numbered), "code").select(F.col("k").alias("label"), "channel", "t", "v"))
     if merge:
         rows = checkpointed(merge_across_channels(rows, shapes, rows.select("label", F.col("channel").alias("m")).distinct()))
-    return fit_stage(series, rows, shapes, clip_size) if fit else rows
+    return fit_stage(long, rows, shapes, clip_size) if fit else rows
 
 
 def noise_overlap(series: DataFrame, firings: DataFrame, clip_size: int, *, length: int, most: int = 500, seed: int = 7, k: int = 5, num_features: int = 10, fewest: int = 100) -> DataFrame:

@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidewave.functions.kernels import filter_signal
+from tidewave.operators.sweeps import leading_axes, projected
 from tidewave.plans.storage import checkpointed
 
 
@@ -117,36 +115,11 @@ def clip_features(clips: DataFrame) -> DataFrame:
 
 
 def principal_features(clips: DataFrame, num_features: int = 10, *, subtract_mean: bool = False) -> DataFrame:
-    """The keys of clips and features, the projections of each clip on the leading axes of all. Products of two values of a
-    clip are summed within tasks, so that what is gathered is as large as a clip is, squared."""
-    rows = checkpointed(clip_features(clips))
-    keys = [c for c in rows.columns if c != "f"]
-    first = rows.select(F.size("f").alias("n")).first()
-    if first is None:
-        return rows.select(*keys, F.col("f").alias("features"))
-    size = first["n"]
-
-    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, total, products = 0, np.zeros(size), np.zeros((size, size))
-        for b in batches:
-            x = b.column("f").flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
-            n, total, products = n + len(x), total + x.sum(0), products + x.T @ x
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(size)), pa.array(np.full(size, n)), pa.array(total), pa.array(products.tolist())], names=["i", "n", "s", "p"])
-
-    each = rows.select("f").mapInArrow(sums, "i long, n long, s double, p array<double>").select("i", "n", "s", F.posexplode("p").alias("j", "p"))
-    n, total, products = 0, np.zeros(size), np.zeros((size, size))
-    for r in each.groupBy("i", "j").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("p").alias("p")).collect():
-        n, total[r["i"]], products[r["i"], r["j"]] = r["n"], r["s"], r["p"]
-    mean = total / max(n, 1) if subtract_mean else np.zeros(size)
-    _, vectors = np.linalg.eigh(products - n * np.outer(mean, mean))
-    axes = vectors[:, ::-1][:, : min(num_features, size)]
-    axes = axes * np.sign(axes[np.abs(axes).argmax(0), np.arange(axes.shape[1])])
-
-    @F.pandas_udf("array<double>")
-    def project(f: pd.Series) -> pd.Series:
-        return pd.Series(((np.stack(f.to_numpy()) - mean) @ axes).tolist()) if len(f) else pd.Series([], dtype=object)
-
-    return rows.select(*keys, project("f").alias("features"))
+    """The keys of clips and features, the projections of each clip on the leading axes of all, from passes over the clips
+    that hold a few arrays as long as a clip (see leading_axes)."""
+    rows = checkpointed(clip_features(clips).withColumn("_all", F.lit(0)))
+    axes = leading_axes(rows, "_all", "f", num_features, centred=subtract_mean)
+    return projected(rows, "_all", "f", axes, "features").drop("_all")
 
 
 def shift_clips(clips: DataFrame, shift: int, clip_size: int) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidewave.operators import chunks as ch
+from tidewave.operators import clustering as cl
 from tidewave.operators import events as ev
 from tidewave.operators import matching as mt
 from tidewave.operators import metrics as me
@@ -17,7 +18,7 @@ from tidewave.operators import synthesis as sy
 from tidewave.operators import templates as tp
 from tidewave.operators import timeseries as ts
 from tidewave.operators import segments as sg
-from tidewave.plans.storage import shared_folder
+from tidewave.plans.storage import checkpointed, shared_folder
 from tidewave.plans.views import MINUTES, WEEK, chunked_timeseries, clips, firings, firings2, geom, sql, timeseries
 from tidewave.sources import arrays as ar
 
@@ -461,7 +462,7 @@ def fit_stage(spark, d):
 
 @query()
 def sort_events(spark, d):
-    return so.sort_events(ts.whiten(timeseries(spark, d), MINUTES), geom(spark, d), clip_size=20, detect_threshold=3.0, detect_interval=30)
+    return so.sort_events(ch.chunk_whiten(chunked_timeseries(spark, d)), geom(spark, d), clip_size=20, detect_threshold=3.0, detect_interval=30)
 
 
 @query()
@@ -581,6 +582,48 @@ def principal_energy(spark, d):
     return out.select("clip_id", "label", F.round(F.aggregate("features", F.lit(0.0), lambda s, x: s + x * x), 6).alias("energy"))
 
 
+#: A symmetric matrix times itself, and again, until what is left is the projection on its leading axis.
+SQUARED_SQL = """p AS (SELECT k, c, 0 AS n FROM mat UNION ALL SELECT k, list_transform(s, lambda a: list_transform(a, lambda x: x / top)), n + 1 FROM
+  (SELECT k, n, s, list_sum(list_transform(range(1, len(s) + 1), lambda i: s[i][i])) AS top FROM (SELECT k, n, list_transform(c, lambda a: list_transform(c, lambda b: list_dot_product(a, b))) AS s FROM p WHERE n < 18)))"""
+
+
+@query("clips", oracle=f"""WITH RECURSIVE f AS MATERIALIZED (SELECT clip_id, label, list(v ORDER BY channel, t) AS f FROM clips GROUP BY ALL),
+  x AS (SELECT i, list(s ORDER BY j) AS r FROM (SELECT i, j, sum(f[i] * f[j]) AS s FROM f, range(1, 65) a(i), range(1, 65) b(j) GROUP BY ALL) GROUP BY i), mat AS (SELECT 0 AS k, list(r ORDER BY i) AS c FROM x), {SQUARED_SQL}
+SELECT clip_id, label, round(list_dot_product(f, list_transform(c, lambda r: list_dot_product(r, f))), 5) AS energy FROM f, p WHERE n = 18""")
+def leading_energy(spark, d):
+    """The energy of each clip along the leading axis of all."""
+    out = tp.principal_features(clips(spark, d), 1)
+    return out.select("clip_id", "label", F.round(F.col("features")[0] * F.col("features")[0], 5).alias("energy"))
+
+
+@query("clips", oracle=f"""WITH RECURSIVE f AS MATERIALIZED (SELECT clip_id, channel AS k, list(v ORDER BY t) AS f FROM clips GROUP BY ALL),
+  x AS (SELECT k, i, list(s ORDER BY j) AS r FROM (SELECT k, i, j, sum(f[i] * f[j]) AS s FROM f, range(1, 17) a(i), range(1, 17) b(j) GROUP BY ALL) GROUP BY ALL), mat AS (SELECT k, list(r ORDER BY i) AS c FROM x GROUP BY k), {SQUARED_SQL},
+  e AS (SELECT clip_id, k, list_dot_product(f, list_transform(c, lambda r: list_dot_product(r, f))) AS e FROM f JOIN p USING (k) WHERE n = 18)
+SELECT clip_id, list_transform(list(e ORDER BY k), lambda x: round(x, 5))[1] AS first_energy, round(sum(e), 5) AS energy FROM e GROUP BY clip_id""")
+def channel_energy(spark, d):
+    """Each channel's clips reduced to one feature by the channel's own leading axis."""
+    own = clips(spark, d).groupBy(F.col("clip_id").alias("event_id"), F.lit(1).alias("m"), "channel").agg(F.transform(F.sort_array(F.collect_list(F.struct("t", "v"))), lambda x: x["v"]).alias("clip"))  # one clip
+    squares = F.transform("f", lambda x: x * x)
+    out = cl.channel_features(checkpointed(own), 1).select(F.col("event_id").alias("clip_id"), squares.alias("e"))
+    return rounded(out.select("clip_id", F.col("e")[0].alias("first_energy"), F.aggregate("e", F.lit(0.0), lambda s, x: s + x).alias("energy")), "first_energy", "energy", places=5)
+
+
+@query("firings", oracle="""WITH u AS (SELECT event_id, CASE WHEN event_id % 50 < 25 THEN 1 ELSE 2 END AS m, CASE WHEN event_id % 50 = 7 THEN 3 ELSE label % 3 END AS unit FROM firings)
+SELECT event_id, m, min(event_id) OVER (PARTITION BY m, unit) AS first_event FROM u""")
+def cluster_all(spark, d):
+    """Events of three common units and a rare one, as points around the units' middles by digests of their ids: clusters of
+    all of them, each named by its first event."""
+    unit = F.when(F.expr("event_id % 50 = 7"), 3).otherwise(F.col("label") % 3)
+    middles = F.array(*[F.array(*[F.lit(float(x)) for x in row]) for row in ((0, 0, 0, 0), (15, 0, 0, 4), (0, 15, 5, 0), (-14, -12, 9, 3))])
+    digit = lambda i, j: F.pmod(F.xxhash64("event_id", F.lit(i), F.lit(j)), F.lit(1000)) / 1000.0
+    near = lambda i: 1.7 * (digit(i, 0) + digit(i, 1) + digit(i, 2) + digit(i, 3) - 2)
+    f = F.array(*[middles[unit][i] + near(i) for i in range(4)])
+    points = checkpointed(firings(spark, d).select("event_id", F.when(F.expr("event_id % 50 < 25"), 1).otherwise(2).alias("m"), f.alias("f")))
+    labels = checkpointed(cl.cluster_all(points)[0])
+    names = labels.groupBy("m", "label").agg(F.min("event_id").alias("first_event"))
+    return labels.join(F.broadcast(names), ["m", "label"]).select("event_id", "m", "first_event")  # one row a cluster
+
+
 @query("clips", oracle="""WITH a AS MATERIALIZED (SELECT clip_id, label, list(v ORDER BY channel, t) AS f FROM clips GROUP BY ALL), b AS MATERIALIZED (SELECT clip_id, label, list(v ORDER BY channel, t DESC) AS f FROM clips GROUP BY ALL),
   n AS (SELECT b.clip_id, b.label AS k2, arg_min(a.label, (list_distance(a.f, b.f), a.label)) AS k1 FROM a, b GROUP BY ALL), c AS (SELECT k1, k2, count(*) AS n FROM n GROUP BY ALL)
 SELECT k1, k2, round(n / sum(n) OVER (PARTITION BY k2), 6) AS share FROM c""")

@@ -8,11 +8,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewave.operators import events, matching, metrics, segments, sorting, synthesis, templates, timeseries
+from tidewave.operators import chunks, clustering, events, matching, metrics, segments, sorting, synthesis, templates, timeseries
 
 OPERATORS: dict[str, Callable] = {
     name: f
-    for module in (events, matching, metrics, segments, sorting, synthesis, templates, timeseries)
+    for module in (chunks, clustering, events, matching, metrics, segments, sorting, synthesis, templates, timeseries)
     for name, f in inspect.getmembers(module, inspect.isfunction)
     if f.__module__ == module.__name__ and not name.startswith("_")
 }
@@ -48,10 +48,12 @@ def sort_pipeline(series: DataFrame, geom: DataFrame, *, samplerate: float, leng
     """Filter, whiten (or normalise), sort and, if asked for, curate."""
     from tidewave.plans.storage import checkpointed
 
-    filtered = timeseries.bandpass_filter(series, samplerate, freq_min, freq_max, freq_wid)
-    ready = checkpointed(timeseries.whiten(filtered, length) if whiten else timeseries.normalize_channels(filtered))
+    filtered = chunks.chunk_bandpass(chunks.chunked(series, length, size=30_000), samplerate, freq_min, freq_max, freq_wid)
+    filtered = chunks.Chunked(checkpointed(filtered.rows), filtered.size, length)
+    ready = chunks.chunk_whiten(filtered) if whiten else chunks.chunked(timeseries.normalize_channels(chunks.unchunked(filtered)), length)
+    ready = chunks.Chunked(checkpointed(ready.rows), ready.size, length)
     found = sorting.sort_events(ready, geom, **options)
-    return curate_pipeline(ready, found, samplerate=samplerate, length=length, clip_size=options.get("clip_size", 50)) if curate else found
+    return curate_pipeline(chunks.unchunked(ready), found, samplerate=samplerate, length=length, clip_size=options.get("clip_size", 50)) if curate else found
 
 
 def curate_pipeline(series: DataFrame, firings: DataFrame, *, samplerate: float, length: int, clip_size: int = 50, **thresholds) -> DataFrame:  # type: ignore[no-untyped-def]
