@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidewave.operators.neighbours import nearest
 from tidewave.operators.templates import clip_features, extract_clips, sliding_correlations
 from tidewave.plans.storage import checkpointed
 
@@ -21,24 +22,27 @@ def edge_events(firings: DataFrame, n: int, last: bool) -> DataFrame:
 
 def label_votes(before: DataFrame, after: DataFrame, lags: DataFrame | None = None) -> DataFrame:
     """k1, k2, share: of the clips labelled k2 in after, how many have a clip labelled k1 as their nearest in before, of
-    equals the smallest label. Both are clips (event_id, label, channel, t, v), of a bounded number for each label; lags
-    (k1, k2, lag) moves those of k1 first, around the ends. A task compares the clips of one pair of labels."""
+    equals the smallest label. Both are clips (event_id, label, channel, t, v); lags (k1, k2, lag) moves those of k1
+    first, around the ends: a clip of k2 asks once for each lag that it has, moved the other way, among the labels that
+    have it."""
     one, two = checkpointed(clip_features(before)), checkpointed(clip_features(after))
     channels = before.select("channel").distinct().count()
-    pairs = one.select(F.col("label").alias("k1")).distinct().crossJoin(F.broadcast(two.select(F.col("label").alias("k2")).distinct()))  # labels only
-    pairs = pairs.join(lags, ["k1", "k2"], "left").select("k1", "k2", F.coalesce("lag", F.lit(0)).alias("lag")) if lags is not None else pairs.withColumn("lag", F.lit(0))
-    sides = pairs.join(one.select(F.col("label").alias("k1"), "event_id", "f"), "k1").select("k1", "k2", "lag", F.lit(1).alias("side"), "event_id", "f")
-    sides = sides.unionByName(pairs.join(two.select(F.col("label").alias("k2"), "event_id", "f"), "k2").select("k1", "k2", "lag", F.lit(2).alias("side"), "event_id", "f"))
+    queries = two.select("event_id", F.col("label").alias("k2"), "f")
+    if lags is None:
+        asked = queries.withColumn("lag", F.lit(0)).withColumn("wanted", F.lit(None).cast("array<int>"))
+    else:
+        pairs = one.select(F.col("label").alias("k1")).distinct().crossJoin(F.broadcast(two.select(F.col("label").alias("k2")).distinct()))  # labels only
+        pairs = pairs.join(lags, ["k1", "k2"], "left").groupBy("k2", F.coalesce("lag", F.lit(0)).alias("lag")).agg(F.sort_array(F.collect_list(F.col("k1").cast("int"))).alias("wanted"))
 
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.stack(pdf["f"].to_numpy())
-        a, b = x[pdf["side"] == 1], x[pdf["side"] == 2]
-        a = np.roll(a.reshape(len(a), channels, -1), int(pdf["lag"].iloc[0]), 2).reshape(a.shape)
-        d = [float(((a - p) ** 2).sum(1).min()) for p in b]
-        return pd.DataFrame({"k1": pdf["k1"].iloc[0], "k2": pdf["k2"].iloc[0], "event_id": pdf["event_id"][pdf["side"] == 2], "d": d})
+        @F.pandas_udf("array<double>")
+        def moved(f: pd.Series, lag: pd.Series) -> pd.Series:
+            return pd.Series([np.roll(np.asarray(x).reshape(channels, -1), -int(n), 1).reshape(-1).tolist() for x, n in zip(f, lag, strict=True)])
 
-    near = sides.groupBy("k1", "k2").applyInPandas(compare, "k1 int, k2 int, event_id long, d double")
-    votes = near.groupBy("k2", "event_id").agg(F.min_by("k1", F.struct("d", "k1")).alias("k1"))
+        asked = queries.join(F.broadcast(pairs), "k2").withColumn("f", F.when(F.col("lag") == 0, F.col("f")).otherwise(moved("f", "lag")))  # labels by lags
+    asked = asked.select(F.struct("k2", "event_id", "lag").alias("qid"), "f", "wanted")
+    # points are named by their label, so that of equals the smallest label is taken
+    near = nearest(one.select(F.col("label").alias("id"), "label", "f"), asked, 1)
+    votes = near.groupBy("qid.k2", "qid.event_id").agg(F.min_by("label", F.struct("distance", "label")).alias("k1"))
     return votes.groupBy("k1", "k2").agg(F.count("*").alias("n")).withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("k2"))).select("k1", "k2", "share")
 
 

@@ -13,6 +13,7 @@ from tidewave.operators import clustering as cl
 from tidewave.operators import events as ev
 from tidewave.operators import matching as mt
 from tidewave.operators import metrics as me
+from tidewave.operators import neighbours as nb
 from tidewave.operators import sorting as so
 from tidewave.operators import synthesis as sy
 from tidewave.operators import templates as tp
@@ -633,6 +634,16 @@ def label_votes(spark, d):
     return rounded(sg.label_votes(x, x.withColumn("t", 15 - F.col("t"))), "share")
 
 
+@query("clips", oracle="""WITH a AS MATERIALIZED (SELECT clip_id, label, list(v ORDER BY channel, t) AS f FROM clips GROUP BY ALL),
+  d AS (SELECT a.clip_id, b.clip_id AS near_id, b.label AS near_label, list_distance(a.f, b.f) AS d FROM a JOIN a b ON a.clip_id <> b.clip_id),
+  r AS (SELECT *, row_number() OVER (PARTITION BY clip_id ORDER BY d, near_id) AS r FROM d) SELECT clip_id, CAST(r AS INT) AS rank, near_id, near_label, round(d, 6) AS distance FROM r WHERE r <= 3""")
+def nearest_clips(spark, d):
+    """The three nearest other clips of each clip."""
+    x = so.clip_features(clips(spark, d)).select(F.col("clip_id").alias("id"), "label", "f")
+    out = nb.nearest(x, x.select(F.col("id").alias("qid"), "f", F.col("id").alias("but")), 3, leaf_rows=500)
+    return rounded(out.select(F.col("qid").alias("clip_id"), "rank", F.col("id").alias("near_id"), F.col("label").alias("near_label"), "distance"), "distance")
+
+
 @query("firings", "timeseries", oracle=f"""WITH ev AS (SELECT label, time // 60 AS m, count(*) AS w FROM firings GROUP BY ALL), n AS (SELECT label, sum(w) AS n FROM ev GROUP BY label),
   x AS MATERIALIZED (SELECT label, channel, o, v, w FROM (SELECT label, o, w, m + o - 9 AS t FROM ev CROSS JOIN range({CLIP}) r(o)) e JOIN timeseries USING (t)), s AS (SELECT label, channel, o, sum(v * w) / any_value(n) AS mean FROM x JOIN n USING (label) GROUP BY ALL),
   q AS (SELECT label, channel, o, sum((v - mean) ** 2 * w) AS ss, sum(w) AS inside FROM x JOIN s USING (label, channel, o) GROUP BY ALL), z AS (SELECT label, mean, sqrt((ss + (n - inside) * mean * mean) / n) AS stdev FROM s JOIN q USING (label, channel, o) JOIN n USING (label))

@@ -8,11 +8,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewave.operators import chunks, clustering, events, matching, metrics, segments, sorting, synthesis, templates, timeseries
+from tidewave.operators import chunks, clustering, events, matching, metrics, neighbours, segments, sorting, synthesis, templates, timeseries
 
 OPERATORS: dict[str, Callable] = {
     name: f
-    for module in (chunks, clustering, events, matching, metrics, segments, sorting, synthesis, templates, timeseries)
+    for module in (chunks, clustering, events, matching, metrics, neighbours, segments, sorting, synthesis, templates, timeseries)
     for name, f in inspect.getmembers(module, inspect.isfunction)
     if f.__module__ == module.__name__ and not name.startswith("_")
 }
