@@ -9,15 +9,26 @@ import numpy as np
 _erf = np.vectorize(math.erf, otypes=[float])
 
 
-def keep_peaks(t, v, interval: float) -> list[bool]:  # type: ignore[no-untyped-def]
-    """Which candidates (ascending times t, sizes v) stay. A candidate is compared with the last peak while that lies
-    within `interval` before it, else with the largest candidate there (of equals the latest), suppressed or not; it
-    stays if it is larger or nothing is there, and then what it was compared with goes."""
-    keep, best = [False] * len(t), -1
-    for i in range(len(t)):
-        if best >= 0 and t[best] < t[i] - interval:
-            near = [j for j in range(best + 1, i) if t[j] >= t[i] - interval]
-            best = max(near, key=lambda j: (v[j], j)) if near else -1
+def compared(t, v, interval: float, best: int, i: int) -> int:  # type: ignore[no-untyped-def]
+    """What candidate i is compared with: the last peak while that lies within `interval` before it, else the largest candidate
+    there (of equals the latest), suppressed or not, or -1 if there is none."""
+    if best >= 0 and t[best] >= t[i] - interval:
+        return best
+    best, j = -1, i - 1
+    while j >= 0 and t[j] >= t[i] - interval:
+        if best < 0 or v[j] > v[best]:
+            best = j
+        j -= 1
+    return best
+
+
+def keep_peaks(t, v, interval: float, first: int = 0, best: int = -1) -> list[bool]:  # type: ignore[no-untyped-def]
+    """Which candidates (ascending times t, sizes v) stay, from the first-th on, when `best` is the last peak before (-1: none
+    within the interval). A candidate stays if it is larger than what it is compared with or nothing is there, and then
+    what it was compared with goes."""
+    keep = [False] * len(t)
+    for i in range(first, len(t)):
+        best = compared(t, v, interval, best, i)
         if best < 0 or v[i] > v[best]:
             if best >= 0:
                 keep[best] = False
@@ -25,6 +36,21 @@ def keep_peaks(t, v, interval: float) -> list[bool]:  # type: ignore[no-untyped-
     return keep
 
 
+def border_states(t, v, interval: float, first: int, end: float) -> list[tuple[int, int]]:  # type: ignore[no-untyped-def]
+    """The fold of keep_peaks over a block as a function: for each last peak that there may be before the block's first
+    candidate (-1, or one of those ahead of it), the last peak at its end (-1 where that is too far back to matter), both
+    as times. Equal states are followed as one, so that a block costs little more than one fold once they have met."""
+    now: dict[int, list[int]] = {s: [s] for s in range(-1, first)}
+    for i in range(first, len(t)):
+        after: dict[int, list[int]] = {}
+        for s, starts in now.items():
+            best = compared(t, v, interval, s, i)
+            after.setdefault(i if best < 0 or v[i] > v[best] else best, []).extend(starts)
+        now = after
+    far = lambda s: -1 if s < 0 or t[s] < end - interval else int(t[s])
+    return sorted((-1 if s0 < 0 else int(t[s0]), far(s)) for s, starts in now.items() for s0 in starts)
+
+
 def bandpass_gain(n: int, samplerate: float, freq_min: float, freq_max: float, freq_wid: float) -> np.ndarray:
     """Gain at the frequencies of a real transform of n samples: smooth edges from error functions, 0 at frequency 0
     when there is a lower edge."""

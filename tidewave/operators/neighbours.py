@@ -122,7 +122,7 @@ def nearest_of(points: tuple, queries: np.ndarray, wanted: list, radius: np.ndar
     return out
 
 
-def nearest(points: DataFrame, queries: DataFrame, k: int = 1, *, leaf_rows: int = 2000, sample: int = 20_000) -> DataFrame:
+def nearest(points: DataFrame, queries: DataFrame, k: int = 1, *, leaf_rows: int = 10_000, sample: int = 20_000) -> DataFrame:
     """qid, rank (1 .. k), id, label, distance: the k points nearest to each query, of equals those with the smaller id.
 
     points: id, label, f; queries: qid, f, and `wanted` (array) with the labels whose points count, or null for all. A

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidewave.functions.kernels import filter_signal, keep_peaks
+from tidewave.functions.kernels import border_states, filter_signal, keep_peaks
 from tidewave.plans.storage import checkpointed
 
 
@@ -121,17 +121,71 @@ def sessions(candidates: DataFrame, gap: float, *, part: int = 1_000_000) -> Dat
     return rows.join(ends, ["channel", "_part"]).withColumn("session", (F.col("_s") + F.col("_base")).cast("int")).select(*candidates.columns, "session")
 
 
-def detect_events(series: DataFrame, *, threshold: float = 3.0, interval: int = 10, sign: int = 0) -> DataFrame:
-    """channel, t, v of the candidates that no larger one suppresses (see keep_peaks). Sessions don't influence each
-    other, so each is decided for itself, wherever it is; a task holds one session's candidates, of which there can be many
-    only where the series is above the threshold all the time."""
-    @F.pandas_udf("array<boolean>")
-    def kept(t: pd.Series, v: pd.Series) -> pd.Series:
-        return pd.Series([keep_peaks(a, b, interval) for a, b in zip(t, v, strict=True)])
-
-    grouped = sessions(threshold_candidates(series, threshold=threshold, sign=sign), interval).groupBy("channel", "session").agg(F.sort_array(F.collect_list(F.struct("t", "v"))).alias("c"))
-    flagged = grouped.select("channel", "c", kept(F.col("c.t"), F.col("c.v")).alias("keep"))
-    return flagged.select("channel", F.explode(F.arrays_zip("c", "keep")).alias("x")).where("x.keep").select("channel", "x.c.t", "x.c.v")
+def in_blocks(candidates: DataFrame, width: int, before: int, after: int) -> DataFrame:
+    """Candidates with the block of `width` units of time that they are in, and again for the blocks that they lie up to
+    `before` ahead of or up to `after` behind."""
+    own = F.floor(F.col("t") / width)
+    ahead = F.when(F.col("t") >= (own + 1) * width - before, own + 1)
+    behind = F.when(F.col("t") <= own * width + after, own - 1)
+    return candidates.select("channel", "t", "v", F.explode(F.array_compact(F.array(own, ahead, behind))).alias("block"))
+
+
+def entering_states(functions: DataFrame) -> DataFrame:
+    """channel, block, state: the last peak before each block, from what each block makes (m) of the peak before it.
+
+    Blocks that make the same of every peak, or have no block before them, are settled at once; each of the others is
+    put together with the block before it, and then with what that one was put together with, so that the stretch
+    of unsettled blocks that a row stands for doubles from round to round."""
+    settled = lambda m, first_of_all: F.when(first_of_all | (F.size(F.array_distinct(F.map_values(m))) == 1), F.coalesce(F.try_element_at(m, F.lit(-1).cast("long")), F.element_at(F.map_values(m), 1)))
+    there = functions.select("channel", (F.col("block") + 1).alias("block"), F.lit(True).alias("has"))
+    f = functions.join(there, ["channel", "block"], "left").select("channel", "block", F.col("block").alias("first"), "m", settled(F.col("m"), F.col("has").isNull()).alias("out"))
+    f = checkpointed(f)
+    while f.where("out IS NULL").limit(1).count():
+        one = f.where("out IS NULL").withColumn("at", F.col("first") - 1)
+        other = f.select("channel", F.col("block").alias("at"), F.col("first").alias("first0"), F.col("m").alias("m0"), F.col("out").alias("out0"))
+        of = lambda s: F.coalesce(F.try_element_at("m", s), F.try_element_at("m", F.lit(-1).cast("long")))
+        joined = one.join(other, ["channel", "at"]).select("channel", "block", F.col("first0").alias("first"), F.transform_values("m0", lambda k, s: of(s)).alias("m"), F.when(F.col("out0").isNotNull(), of(F.col("out0"))).alias("out"))
+        joined = joined.withColumn("out", F.coalesce("out", settled(F.col("m"), F.lit(False))))
+        f = checkpointed(f.where("out IS NOT NULL").unionByName(joined))
+    return f.select("channel", (F.col("block") + 1).alias("block"), F.col("out").alias("state"))
+
+
+def detect_events(series: DataFrame, *, threshold: float = 3.0, interval: int = 10, sign: int = 0, width: int = 100_000) -> DataFrame:
+    """channel, t, v of the candidates that no larger one suppresses (see keep_peaks).
+
+    Time is cut into blocks of `width`, and a task holds a block's candidates and those within the interval around it, also
+    where the series is above the threshold all the time. Each block first says what it makes of any last peak before
+    it; these functions, put together, give the peak that each block begins with, and then each decides its own
+    candidates."""
+    width = max(width, interval)
+    rows = checkpointed(threshold_candidates(series, threshold=threshold, sign=sign).withColumn("t", F.col("t").cast("long")))
+    kind = dict(rows.dtypes)["channel"]
+
+    def function(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("t")
+        block, t = int(pdf["block"].iloc[0]), pdf["t"].tolist()
+        first = sum(x < block * width for x in t)
+        if first == len(t):
+            return pd.DataFrame(columns=["channel", "block", "m"], dtype=object)
+        states = border_states(t, pdf["v"].tolist(), interval, first, (block + 1) * width)
+        return pd.DataFrame({"channel": pdf["channel"].iloc[:1], "block": [block], "m": [[{"key": a, "value": b} for a, b in states]]})
+
+    ahead = in_blocks(rows, width, interval, -1)
+    functions = ahead.groupBy("channel", "block").applyInPandas(function, f"channel {kind}, block long, m array<struct<key:long,value:long>>")
+    functions = checkpointed(functions.select("channel", "block", F.map_from_entries("m").alias("m")))
+    states = entering_states(functions)
+
+    def decide(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("t").reset_index(drop=True)
+        block, t, state = int(pdf["block"].iloc[0]), pdf["t"].to_numpy(), int(pdf["state"].iloc[0])
+        first = int(np.searchsorted(t, block * width))
+        best = int(np.searchsorted(t, state)) if state >= 0 else -1
+        keep = np.array(keep_peaks(t.tolist(), pdf["v"].tolist(), interval, first, best), bool)
+        own = (t >= block * width) & (t < (block + 1) * width)
+        return pdf.loc[keep & own, ["channel", "t", "v"]]
+
+    around = in_blocks(rows, width, interval, interval).join(states, ["channel", "block"], "left").withColumn("state", F.coalesce("state", F.lit(-1).cast("long")))
+    return around.groupBy("channel", "block").applyInPandas(decide, f"channel {kind}, t long, v double")
 
 
 def bandpass_filter(series: DataFrame, samplerate: float, freq_min: float, freq_max: float, freq_wid: float = 1000.0, *, chunk: int = 30_000, padding: int = 3_000, quantize_unit: float = 0.0, subsample: int = 1) -> DataFrame:
