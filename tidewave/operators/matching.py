@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidewave.functions.kernels import assignment
-from tidewave.operators.joins import band_join
+from tidewave.operators.joins import band_join, with_previous
 from tidewave.plans.storage import checkpointed
 
 
@@ -91,20 +91,40 @@ def accuracy_counts(accuracies: DataFrame) -> DataFrame:
     return F.broadcast(levels).crossJoin(accuracies).groupBy("level").agg(F.count_if(F.col("accuracy") >= F.col("level")).alias("units"))
 
 
-def link_pairs(firings_prev: DataFrame, firings: DataFrame, tolerance: float, threshold: float) -> DataFrame:
-    """k1, k2, n of labels that are each other's best by n events at most `tolerance` apart, at least threshold of either's."""
-    counts = match_counts(near_pairs(firings_prev, firings, tolerance)).withColumn("n", F.least("n12", "n21"))
+def loose_confusion(firings1: DataFrame, firings2: DataFrame, tolerance: float) -> DataFrame:
+    """k1, k2, n: pairs of events at most `tolerance` apart that a sweep over both tables in order of time counts.
+
+    The sweep takes the events of the first table one by one. What it has passed in the second is used up, but for what
+    isn't before the event at hand and the one just before it. So an event meets those within the tolerance that come
+    after the reach of the event before it, or not before itself, or last before itself; that needs the neighbours
+    of each event only, and no place in the sweep. Events at one time are taken by event_id.
+    """
+    a = with_previous(firings1.select(F.col("event_id").alias("e1"), F.col("label").alias("k1"), F.col("time").alias("t1")), [], "t1", "e1", 2 * tolerance, "p1")
+    b = firings2.select(F.col("event_id").alias("e2"), F.col("label").alias("k2"), F.col("time").alias("t2"))
+    near = band_join(a, b, left_time="t1", right_time="t2", before=tolerance, after=tolerance)
+    last = F.max(F.when(F.col("t2") < F.col("t1"), F.struct("t2", "e2"))).over(Window.partitionBy("e1"))  # one event's pairs
+    counted = F.col("p1").isNull() | (F.col("t2") > F.col("p1") + tolerance) | (F.col("t2") >= F.col("t1")) | F.coalesce(F.struct("t2", "e2") == last, F.lit(False))
+    return near.withColumn("_counted", counted).where("_counted").groupBy("k1", "k2").agg(F.count("*").alias("n"))
+
+
+def link_pairs(firings_prev: DataFrame, firings: DataFrame, tolerance: float, threshold: float, sweep: bool = False) -> DataFrame:
+    """k1, k2, n of labels that are each other's best by n events at most `tolerance` apart, at least threshold of either's. n is
+    the lesser number of events that have a partner, or with sweep the number of pairs that loose_confusion counts."""
+    if sweep:
+        counts = loose_confusion(firings_prev.where("label > 0"), firings.where("label > 0"), tolerance)
+    else:
+        counts = match_counts(near_pairs(firings_prev, firings, tolerance)).withColumn("n", F.least("n12", "n21"))
     ranked = counts.withColumn("r1", F.row_number().over(Window.partitionBy("k1").orderBy(F.desc("n"), "k2"))).withColumn("r2", F.row_number().over(Window.partitionBy("k2").orderBy(F.desc("n"), "k1")))
     n1 = firings_prev.where("label > 0").groupBy(F.col("label").alias("k1")).agg(F.count("*").alias("all1"))
     n2 = firings.where("label > 0").groupBy(F.col("label").alias("k2")).agg(F.count("*").alias("all2"))
     return ranked.where("r1 = 1 AND r2 = 1").join(n1, "k1").join(n2, "k2").where((F.col("n") >= threshold * F.col("all1")) & (F.col("n") >= threshold * F.col("all2"))).select("k1", "k2", "n")
 
 
-def link_labels(firings_prev: DataFrame, firings: DataFrame, *, tolerance: float = 10, threshold: float = 0.7) -> DataFrame:
+def link_labels(firings_prev: DataFrame, firings: DataFrame, *, tolerance: float = 10, threshold: float = 0.7, sweep: bool = False) -> DataFrame:
     """label, linked_label, score for the labels of a segment that overlaps the one before: linked where two labels are
     each other's best by events at most `tolerance` apart, which are at least threshold of either's; other labels go
     on after the largest earlier one. Both tables are those of the overlap."""
-    linked = link_pairs(firings_prev, firings, tolerance, threshold)
+    linked = link_pairs(firings_prev, firings, tolerance, threshold, sweep)
     n2 = firings.where("label > 0").groupBy(F.col("label").alias("k2")).agg(F.count("*").alias("all2"))
     top = firings_prev.agg(F.coalesce(F.max("label"), F.lit(0)).alias("top"))
     out = n2.join(linked.select("k2", "k1", "n"), "k2", "left").crossJoin(F.broadcast(top))
@@ -112,13 +132,13 @@ def link_labels(firings_prev: DataFrame, firings: DataFrame, *, tolerance: float
     return out.select(F.col("k2").alias("label"), F.coalesce("k1", F.col("top") + fresh).cast("int").alias("linked_label"), (F.coalesce("n", F.lit(0)) / F.col("all2")).alias("score"))
 
 
-def link_segments(firings_prev: DataFrame, firings: DataFrame, *, t1_prev: float, t2_prev: float, t1: float, t2: float, kmax_prev: int = 0, tolerance: float = 10, threshold: float = 0.7) -> DataFrame:
+def link_segments(firings_prev: DataFrame, firings: DataFrame, *, t1_prev: float, t2_prev: float, t1: float, t2: float, kmax_prev: int = 0, tolerance: float = 10, threshold: float = 0.7, sweep: bool = False) -> DataFrame:
     """firings with the labels of the segment before, and fresh, whether an event comes after that segment's end t2_prev.
 
     Labels are linked by the events of the time that both segments have. Others get new numbers after kmax_prev and the
     largest earlier label, in order of their first event."""
     both = F.col("time").between(max(t1, t1_prev), min(t2, t2_prev))
-    links = link_pairs(firings_prev.where(both), firings.where(both), tolerance, threshold).select(F.col("k2").alias("label"), "k1")
+    links = link_pairs(firings_prev.where(both), firings.where(both), tolerance, threshold, sweep).select(F.col("k2").alias("label"), "k1")
     top = firings_prev.agg(F.greatest(F.coalesce(F.max("label"), F.lit(0)), F.lit(kmax_prev)).alias("top"))
     labels = firings.groupBy("label").agg(F.min(F.struct("time", "event_id")).alias("first")).join(links, "label", "left").crossJoin(F.broadcast(top))
     number = F.row_number().over(Window.partitionBy(F.col("k1").isNull()).orderBy("first"))  # one row a label

@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 
 from tidewave.operators.chunks import Chunked, chunk_clips, chunk_templates, chunked, unchunked
 from tidewave.operators.clustering import channel_features, cluster_all
-from tidewave.operators.joins import band_join
+from tidewave.operators.joins import band_join, with_previous
 from tidewave.operators.metrics import drawn_order
 from tidewave.operators.templates import clip_features, clip_statistics, event_statistics, extract_clips, middle, templates
 from tidewave.operators.timeseries import detect_events
@@ -62,26 +62,40 @@ def best_lags(means: DataFrame, pairs: DataFrame, most: int = 10) -> DataFrame:
     return pairs.join(best, ["k1", "k2"], "left").select("k1", "k2", F.coalesce("lag", F.lit(0)).alias("lag"))
 
 
+def used_events(firings: DataFrame, pairs: DataFrame, reach: float) -> DataFrame:
+    """k1, n: how many events of k1 have an event of one of their k2 within `reach`, after moving k1 by the pair's lag, that the
+    event of k1 before them hasn't used up: one uses up all that come no later than reach after it. pairs: k1, k2, lag."""
+    before = with_previous(firings.select("event_id", F.col("label").alias("k1"), F.col("time").alias("t")), ["k1"], "t", "event_id", 2 * reach, "p")
+    a = before.join(F.broadcast(pairs), "k1").withColumn("t1", F.col("t") - F.col("lag"))  # labels squared at most
+    b = firings.select(F.col("label").alias("kb"), F.col("time").alias("t2"))
+    near = band_join(a, b, left_time="t1", right_time="t2", before=reach, after=reach, on=F.col("k2") == F.col("kb"))
+    free = near.where(F.col("p").isNull() | (F.col("t2") > F.col("p") - F.col("lag") + reach))
+    return free.groupBy("k1", "event_id").agg(F.lit(1)).groupBy("k1").agg(F.count("*").alias("n"))
+
+
 def merge_across_channels(firings: DataFrame, means: DataFrame, central: DataFrame, *, reach: float = 4, share: float = 0.3) -> DataFrame:
     """Drops clusters that repeat one seen on another channel. Clusters are taken by their own peak, largest first; one
-    goes if `share` of its events lie within `reach` of events of candidates already kept, moved by their best lag.
+    goes if `share` of its events meet events of candidates already kept that aren't used up (see used_events).
 
-    For each cluster Spark counts its events by the set of candidates that have one nearby; the sequence of decisions,
-    over labels only, is made from these counts.
+    A cluster decides as soon as all its candidates with larger peaks have, so that a round decides all clusters that
+    don't wait for one another, and counts their events against kept candidates only. What comes to the driver is a
+    row for each label, or for each pair of candidates.
     """
-    pairs = checkpointed(best_lags(means, merge_candidates(means, central)))
-    a = firings.select("event_id", F.col("label").alias("k1"), "time").join(F.broadcast(pairs), "k1").withColumn("t1", F.col("time") - F.col("lag"))
-    b = firings.select(F.col("label").alias("kb"), F.col("time").alias("t2"))
-    near = band_join(a, b, left_time="t1", right_time="t2", before=reach, after=reach, on=F.col("k2") == F.col("kb"))
-    sets = near.groupBy("event_id", "k1").agg(F.sort_array(F.collect_set("k2")).alias("others")).groupBy("k1", "others").agg(F.count("*").alias("n")).collect()
+    spark = firings.sparkSession
+    pairs = [(r["k1"], r["k2"], r["lag"]) for r in best_lags(means, merge_candidates(means, central)).collect()]  # labels squared at most
     sizes = {r["label"]: r["n"] for r in firings.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    own = means.join(central, "label").where("channel = m").groupBy("label").agg(F.max(F.abs("v")).alias("p"))
+    own = means.join(central, "label").where("channel = m").groupBy("label").agg(F.max(F.abs("v")).alias("p")).collect()
+    place = {r["label"]: i for i, r in enumerate(sorted(own, key=lambda r: (-r["p"], r["label"])))}
+    larger = {k: [(k2, lag) for k1, k2, lag in pairs if k1 == k and place[k2] < place[k]] for k in place}
     kept: set[int] = set()
-    for r in sorted(own.collect(), key=lambda r: (-r["p"], r["label"])):
-        seen = sum(s["n"] for s in sets if s["k1"] == r["label"] and kept & set(s["others"]))
-        if seen < share * sizes.get(r["label"], 0) or not seen:
-            kept.add(r["label"])
-    return firings.where(F.col("label").isin(sorted(kept)))
+    decided: set[int] = set()
+    while len(decided) < len(place):
+        ready = [k for k in place if k not in decided and all(k2 in decided for k2, _ in larger[k])]
+        asked = [(k, k2, lag) for k in ready for k2, lag in larger[k] if k2 in kept]
+        used = {r["k1"]: r["n"] for r in used_events(firings, spark.createDataFrame(asked, "k1 int, k2 int, lag int"), reach).collect()} if asked else {}
+        kept |= {k for k in ready if not used.get(k) or used[k] < share * sizes.get(k, 0)}
+        decided |= set(ready)
+    return firings.join(F.broadcast(spark.createDataFrame([(k,) for k in sorted(kept)], "label int")), "label", "left_semi")
 
 
 def template_products(shape: DataFrame) -> DataFrame:

@@ -414,6 +414,13 @@ def link_labels(spark, d):
     return mt.link_labels(firings(spark, d), firings2(spark, d))
 
 
+@query("firings", "firings2", oracle="""WITH a AS (SELECT event_id AS e1, label AS k1, time AS t1, lag(time) OVER (ORDER BY time, event_id) AS p1 FROM firings),
+  b AS (SELECT event_id AS e2, label AS k2, time AS t2 FROM firings2), pr AS (SELECT *, max((t2, e2)) FILTER (t2 < t1) OVER (PARTITION BY e1) AS last FROM a JOIN b ON t2 BETWEEN t1 - 30 AND t1 + 30)
+SELECT k1, k2, count(*) AS n FROM pr WHERE p1 IS NULL OR t2 > p1 + 30 OR t2 >= t1 OR (t2, e2) = last GROUP BY k1, k2""")
+def loose_confusion(spark, d):
+    return mt.loose_confusion(firings(spark, d), firings2(spark, d), 30)
+
+
 @query("geom", oracle="SELECT a.channel AS m, b.channel AS channel FROM geom a JOIN geom b ON (a.x - b.x) ** 2 + (a.y - b.y) ** 2 <= 4.0")
 def neighbourhoods(spark, d):
     return so.neighbourhoods(geom(spark, d), 2.0)
