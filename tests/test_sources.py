@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from tidewave.sources.arrays import header, read_array, read_csv_array, read_geom, read_metrics, write_array, write_csv_array, write_metrics
+from tidewave.sources.arrays import header, read_array, read_csv_array, read_geom, read_metrics, write_array, write_csv_array, write_metrics, write_ranges
 
 
 def put(path, array, kind):
@@ -63,3 +63,52 @@ def test_texts(spark, tmp_path):
     assert [list(r["values"]) for r in read_csv_array(spark, str(tmp_path / "t")).orderBy("row").collect()] == [[1], [3, 4.5]]
     write_metrics(spark.createDataFrame([(2, "a", 1.5), (2, "b", 2.0), (1, "a", 0.0)], "label int, name string, value double"), str(tmp_path / "j"))
     assert sorted(tuple(r) for r in read_metrics(spark, str(tmp_path / "j")).collect()) == [(1, "a", 0.0), (2, "a", 1.5), (2, "b", 2.0)]
+
+
+def test_ranges_in_any_order(spark, tmp_path):
+    path = str(tmp_path / "a.mda")
+    want = np.zeros((3, 500))
+    rng = np.random.default_rng(2)
+    rows = []
+    for first in (420, 10, 200):  # ranges of all channels, and single values of some
+        want[:, first : first + 50] = rng.normal(size=(3, 50))
+        rows += [(t, c + 1, float(want[c, t])) for t in range(first, first + 50) for c in range(3)]
+    for t in (0, 100, 499):
+        want[1, t] = t + 0.5
+        rows.append((t, 2, t + 0.5))
+    df = spark.createDataFrame([rows[i] for i in rng.permutation(len(rows))], "t long, channel int, v double").repartition(5)
+    write_ranges(df, path, 3, 500, "float64")
+    get = lambda: np.array([r["v"] for r in read_array(spark, path).orderBy("channel", "t").collect()]).reshape(3, -1)
+    assert np.array_equal(get(), want)
+    assert (tmp_path / "a.mda").stat().st_size == len(header("float64", [3, 500])) + 3 * 500 * 8
+    want[:, 300:303] = 7
+    write_ranges(spark.createDataFrame([(t, c, 7.0) for t in (302, 300, 301) for c in (1, 3, 2)], "t long, channel int, v double"), f"file://{path}", 3, 500, "float64", update=True)
+    assert np.array_equal(get(), want)
+    for bad in ([(500, 1, 1.0)], [(0, 4, 1.0)], [(-1, 1, 1.0)]):  # outside: the file stays as it is
+        with pytest.raises(Exception, match="lies outside"):
+            write_ranges(spark.createDataFrame(bad, "t long, channel int, v double"), path, 3, 500, "float64", update=True)
+    with pytest.raises(ValueError, match="another type or size"):
+        write_ranges(df, path, 3, 501, "float64", update=True)
+    with pytest.raises(ValueError, match="mounted folder"):
+        write_ranges(df, "mock://x/a.mda", 3, 500)
+    assert np.array_equal(get(), want) and not list(tmp_path.glob("*.part"))
+    write_ranges(df.limit(0), path, 2, 4)
+    assert [r["v"] for r in read_array(spark, path).collect()] == [0.0] * 8
+
+
+def test_texts_are_read_in_ranges(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    values = [[float(i), *rng.integers(0, 1000, rng.integers(0, 6)).tolist()] for i in range(1, 2001)]
+    (tmp_path / "t").mkdir()
+    for name, part in (("a", values[:700]), ("b", values[700:701]), ("c", values[701:])):
+        (tmp_path / "t" / f"{name}.csv").write_text("\n" + "".join(",".join(map(str, v)) + ("\r\n" if i % 3 else "\n\n  \n") for i, v in enumerate(part)))
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "900")
+        spark.conf.set("spark.sql.files.openCostInBytes", "10")
+        assert spark.read.text(str(tmp_path / "t")).rdd.getNumPartitions() > 20
+        rows = sorted((r["row"], list(r["values"])) for r in read_csv_array(spark, str(tmp_path / "t")).collect())
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert rows == [(i, v) for i, v in enumerate(values, 1)]

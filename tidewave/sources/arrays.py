@@ -8,7 +8,9 @@ without the rest.
 
 from __future__ import annotations
 
+import os
 import re
+import shutil
 import struct
 import uuid
 from collections.abc import Iterator
@@ -239,6 +241,50 @@ class ArrayWriter(DataSourceArrowWriter):
                 system.delete_file(m.path)
 
 
+class RangeWriter(DataSourceArrowWriter):
+    """Each task writes its values at their places of one file that is there already in full length. A value's place follows
+    from its t and channel, so a task that runs again writes the same bytes to the same places; the file gets its
+    name on commit."""
+
+    def __init__(self, options: dict):
+        self.part, self.path, self.kind, self.channels, self.length, self.offset = options["part"], options["path"], options["dtype"], int(options["num_channels"]), int(options["length"]), int(options["offset"])
+
+    def write(self, batches: Iterator[pa.RecordBatch]) -> Part:
+        size = np.dtype(self.kind).itemsize
+        with open(self.part, "r+b", buffering=0) as f:
+            for b in batches:
+                t, channel = np.asarray(b.column("t")), np.asarray(b.column("channel"))
+                if len(t) and (t.min() < 0 or t.max() >= self.length or channel.min() < 1 or channel.max() > self.channels):
+                    raise ValueError(f"a value lies outside of {self.channels} channels and {self.length} samples")
+                place = t * self.channels + channel - 1
+                order = np.argsort(place, kind="stable")
+                place, values = place[order], b.column("v").to_numpy(zero_copy_only=False)[order].astype(self.kind)
+                for run in np.split(np.arange(len(place)), np.flatnonzero(np.diff(place) != 1) + 1):  # values that lie side by side
+                    if len(run):
+                        os.pwrite(f.fileno(), values[run].tobytes(), self.offset + int(place[run[0]]) * size)
+            os.fsync(f.fileno())
+        return Part(self.part, 0)
+
+    def commit(self, messages: list[Part | None]) -> None:
+        os.replace(self.part, self.path)
+
+    def abort(self, messages: list[Part | None]) -> None:
+        if os.path.exists(self.part):
+            os.remove(self.part)
+
+
+class MdaRanges(DataSource):
+    @classmethod
+    def name(cls) -> str:
+        return "mdaranges"
+
+    def schema(self) -> str:
+        return SCHEMA
+
+    def writer(self, schema: StructType, overwrite: bool) -> RangeWriter:
+        return RangeWriter(self.options)
+
+
 class MdaSource(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -291,7 +337,7 @@ def array_length(path: str, **options) -> int:  # type: ignore[no-untyped-def]
 
 
 def register(spark: SparkSession) -> None:
-    for source in (MdaSource, RawSource, MdaChunks, RawChunks):
+    for source in (MdaSource, RawSource, MdaChunks, RawChunks, MdaRanges):
         spark.dataSource.register(source)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
 
@@ -315,6 +361,34 @@ def write_array(series: DataFrame, path: str, channels: int, dtype: str = "float
     rows.write.format("mda").option("num_channels", channels).option("dtype", dtype).mode("append" if append else "overwrite").save(path)
 
 
+def write_ranges(rows: DataFrame, path: str, channels: int, length: int, dtype: str = "float32", *, update: bool = False) -> None:
+    """Writes rows (t, channel, v) to their places of one array file of the given size. Rows may be any part of the array in any
+    order; places that none has are 0, or with update keep the values of the file that is there, which has to have
+    the same type and size. The file appears under its name when all is written. path lies in a folder that all
+    executors share and that can be written to in place; of rows of one place some one counts.
+    """
+    register(rows.sparkSession)
+    system, inner = file_system(path)
+    if not isinstance(system, pafs.LocalFileSystem):
+        raise ValueError("writing in place needs a mounted folder; write_array makes a folder of files in any store")
+    head = header(dtype, [channels, length])
+    part = f"{inner}.{uuid.uuid4().hex}.part"
+    os.makedirs(os.path.dirname(inner) or ".", exist_ok=True)
+    if update and os.path.exists(inner):
+        with open(inner, "rb") as f:
+            if f.read(len(head)) != head:
+                raise ValueError(f"{path} is of another type or size")
+        shutil.copyfile(inner, part)
+    else:
+        with open(part, "wb") as f:
+            f.write(head)
+            f.truncate(len(head) + channels * length * np.dtype(dtype).itemsize)
+    placed = rows.select(rows["t"].cast("long"), rows["channel"].cast("int"), rows["v"].cast("double"))
+    placed = placed.repartitionByRange("t").sortWithinPartitions("t", "channel")  # so that most values lie side by side
+    options = {"part": part, "path": inner, "dtype": dtype, "num_channels": channels, "length": length, "offset": len(head)}
+    placed.write.format("mdaranges").options(**options).mode("append").save()
+
+
 def write_csv_array(rows: DataFrame, path: str) -> None:
     """Rows (row, values) as a folder of text, one line each, by row."""
     from pyspark.sql import functions as F
@@ -324,11 +398,23 @@ def write_csv_array(rows: DataFrame, path: str) -> None:
 
 
 def read_csv_array(spark: SparkSession, path: str) -> DataFrame:
-    """A text array, one line for each row: row (from 1), and its values as an array."""
+    """A text array, one line for each row: row (from 1), and its values as an array; blank lines don't count.
+
+    A file is read in ranges of bytes by many tasks. A line's number is its place among the lines of its range, which are
+    read in order, and the number of lines in the ranges before, of which there is one count each; files of a folder
+    follow one another by name."""
     from pyspark.sql import functions as F
+    from pyspark.sql.window import Window
+
+    from tidewave.plans.storage import checkpointed
 
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.filter(F.split("value", "\r?\n"), lambda x: F.trim(x) != "")).alias("i", "line"))
-    return lines.select((F.col("i") + 1).alias("row"), F.transform(F.split(F.trim("line"), r"[,\s]+"), lambda x: x.cast("double")).alias("values"))
+    text = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"))
+    lines = checkpointed(text.where(F.trim("value") != "").withColumn("id", F.monotonically_increasing_id()))  # ids of a range follow one another
+    before = Window.orderBy("file", "at").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = lines.groupBy("file", "at").agg(F.min("id").alias("first"), F.count("*").alias("n"))  # one row a range
+    ranges = ranges.select("file", "at", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first") + 1).alias("shift"))
+    numbered = lines.join(F.broadcast(ranges), ["file", "at"])
+    return numbered.select((F.col("id") + F.col("shift")).alias("row"), F.transform(F.split(F.trim("value"), r"[,\s]+"), lambda x: x.cast("double")).alias("values"))
 
 
 def read_geom(spark: SparkSession, path: str) -> DataFrame:
