@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidewave.operators.joins import numbered, running_total
+from tidewave.operators.joins import join_counted, numbered, running_total
+from tidewave.plans.storage import checkpointed
 
 
 def parse_int_list(text: str) -> list[int]:
@@ -107,8 +108,6 @@ def create_label_map(metrics: DataFrame, *, min_rate: float = 0.05, min_isolatio
 def resolve_label_map(label_map: DataFrame, most_steps: int = 32) -> DataFrame:
     """Follows merge chains (3 to 2, 2 to 1: 3 to 1) by doubling the way with each join, so that 32 steps are enough
     for any map; chains that meet 0 end there, and a label on a cycle stays itself."""
-    from tidewave.plans.storage import checkpointed
-
     step = checkpointed(label_map.select(F.col("old_label").alias("a"), F.col("new_label").alias("b")).where("a <> b"))
     for _ in range(most_steps):
         nxt = step.select(F.col("a").alias("b"), F.col("b").alias("c"))
@@ -123,8 +122,8 @@ def resolve_label_map(label_map: DataFrame, most_steps: int = 32) -> DataFrame:
 
 def apply_label_map(firings: DataFrame, label_map: DataFrame) -> DataFrame:
     """Relabels events through the map's chains and drops those that end at label 0; other labels stay."""
-    final = resolve_label_map(label_map)
-    out = firings.join(final, F.col("label") == F.col("old_label"), "left").withColumn("label", F.coalesce("new_label", "label").cast("int"))
+    final = checkpointed(resolve_label_map(label_map))
+    out = join_counted(firings, final, F.col("label") == F.col("old_label"), "left").withColumn("label", F.coalesce("new_label", "label").cast("int"))
     return out.where("label <> 0").select(firings.columns)
 
 
@@ -133,5 +132,5 @@ def reorder_labels(firings: DataFrame, templates: DataFrame) -> DataFrame:
     first. templates: label, channel, t, v. Labels without a template stay."""
     peak = templates.groupBy("label").agg(F.max_by(F.struct(F.abs("v").alias("size"), "channel"), F.struct(F.abs("v"), -F.col("channel"), -F.col("t"))).alias("p"))
     order = Window.orderBy((F.col("p.size") == 0).cast("int"), "p.channel", F.col("p.size").desc(), "label")  # one row a label
-    ranks = peak.select("label", F.row_number().over(order).alias("new"))
-    return firings.join(ranks, "label", "left").withColumn("label", F.coalesce("new", "label").cast("int")).select(firings.columns)
+    ranks = checkpointed(peak.select("label", F.row_number().over(order).alias("new")))
+    return join_counted(firings, ranks, "label", "left").withColumn("label", F.coalesce("new", "label").cast("int")).select(firings.columns)

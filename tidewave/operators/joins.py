@@ -47,14 +47,20 @@ def running_total(totals: DataFrame, order: str, value: str, name: str) -> DataF
     return totals.withColumn(name, F.coalesce(F.sum(value).over(before), F.lit(0)))
 
 
-def with_previous(df: DataFrame, by: list[str], time: str, tie: str, reach: float, name: str) -> DataFrame:
-    """df with `name`, the time of the row before it among those with its values of `by` (ordered by time and tie), or null
-    where none lies within `reach`. Time is cut into buckets, of which each also sees the rows up to reach before it,
-    so that no task sees all rows of a value."""
+def with_previous(df: DataFrame, by: list[str], time: str, tie: str, reach: float, name: str, value: str | None = None) -> DataFrame:
+    """df with `name`, the time (or value) of the row before it among those with its values of `by` (ordered by time and tie),
+    or null where none lies within `reach`. Time is cut into buckets, of which each also sees the rows up to reach before
+    it, so that no task sees all rows of a value."""
     width = 64 * max(float(reach), 1e-9)
     own = F.floor(F.col(time) / F.lit(width))
     also = F.when(F.floor((F.col(time) + F.lit(reach)) / F.lit(width)) > own, own + 1)
     near = df.withColumn("_home", own).withColumn("_bucket", F.explode(F.array_compact(F.array(own, also))))
-    before = F.lag(time).over(Window.partitionBy(*by, "_bucket").orderBy(time, tie))
-    out = near.withColumn(name, before).where(F.col("_bucket") == F.col("_home")).drop("_bucket", "_home")
-    return out.withColumn(name, F.when(F.col(time) - F.col(name) <= F.lit(reach), F.col(name)))
+    before = F.lag(F.struct(F.col(time).alias("t"), F.col(value or time).alias("x"))).over(Window.partitionBy(*by, "_bucket").orderBy(time, tie))
+    out = near.withColumn("_before", before).where(F.col("_bucket") == F.col("_home")).drop("_bucket", "_home")
+    return out.withColumn(name, F.when(F.col(time) - F.col("_before.t") <= F.lit(reach), F.col("_before.x"))).drop("_before")
+
+
+def join_counted(left: DataFrame, right: DataFrame, on, how: str = "inner", most: int = 1_000_000) -> DataFrame:  # type: ignore[no-untyped-def]
+    """left joined with right, which is broadcast if it has `most` rows at most. For tables of a row a label or so, whose size
+    Spark doesn't know, so that a label's events need not come to one task."""
+    return left.join(F.broadcast(right) if right.limit(most + 1).count() <= most else right, on, how)

@@ -6,8 +6,8 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from tidewave.operators.joins import with_previous
 from tidewave.plans.storage import checkpointed
 
 
@@ -39,20 +39,25 @@ def random_firings(spark: SparkSession, *, units: int = 20, samplerate: float =
     close to the one before, every first of a group goes, until none is left."""
     per_unit = max(1, round(rate * duration))
     rows = spark.range(units * per_unit).select((F.col("id") % units + 1).cast("int").alias("label"), (uniform(F.col("id"), F.lit(seed)) * (samplerate * duration - 1)).alias("time"), F.col("id"))
-    gap = refractory_ms / 1000 * samplerate
-    by = Window.partitionBy("label").orderBy("time", "id")
-    for _ in range(64):
-        close = F.coalesce(F.col("time") - F.lag("time").over(by) < gap, F.lit(False))
-        rows = rows.withColumn("close", close)
-        first = F.col("close") & ~F.coalesce(F.lag("close").over(by), F.lit(False))
-        rows = rows.withColumn("drop", first)
-        rows = checkpointed(rows)
-        if not rows.where("drop").limit(1).count():
-            break
-        rows = rows.where("NOT drop").drop("close", "drop")
-    else:
-        raise RuntimeError("some events still lie within another's refractory time")
-    return rows.select(F.col("id").alias("event_id"), F.lit(0).alias("channel"), "time", "label")
+    kept = enforce_refractory(rows.withColumnRenamed("id", "event_id"), refractory_ms / 1000 * samplerate)
+    return kept.select("event_id", F.lit(0).alias("channel"), "time", "label")
+
+
+def enforce_refractory(firings: DataFrame, gap: float, most_rounds: int = 1000) -> DataFrame:
+    """Events of which none follows another of its label by less than gap: of events too close to the one before, every first
+    of a group goes, until none is left. Events at one time are taken by event_id. Each round sees the neighbours of
+    events within gap only."""
+    if gap <= 0:
+        return firings
+    rows = firings
+    for _ in range(most_rounds):
+        near = with_previous(rows, ["label"], "time", "event_id", gap, "_p").withColumn("_close", F.coalesce(F.col("time") - F.col("_p") < gap, F.lit(False)))
+        near = with_previous(near, ["label"], "time", "event_id", gap, "_q", "_close").withColumn("_drop", F.col("_close") & ~F.coalesce("_q", F.lit(False)))
+        near = checkpointed(near)
+        rows = near.where("NOT _drop").select(firings.columns)
+        if not near.where("_drop").limit(1).count():
+            return rows
+    raise RuntimeError("some events still lie within another's refractory time")
 
 
 def synthesize_timeseries(spark: SparkSession, waveforms: DataFrame, firings: DataFrame, *, channels: int, length: int, size: int, upsample: int = 13, noise: float = 1.0, amplitude: str | None = None, seed: int = 7) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidewave.functions.kernels import filter_signal
+from tidewave.operators.joins import join_counted
 from tidewave.operators.sweeps import leading_axes, projected
 from tidewave.plans.storage import checkpointed
 
@@ -149,6 +150,7 @@ def amplitudes(series: DataFrame, events: DataFrame, central_channel: int = 0) -
     lowest channel). Events beyond the series have 0."""
     at = events.select("event_id", F.col("time").cast("long").alias("t"))
     values = series.where(F.col("channel") == central_channel) if central_channel else series
+    values = values.join(at.select("t").distinct(), "t", "left_semi")  # of the samples at events
     top = values.groupBy("t").agg(F.max_by("v", F.struct(F.abs("v"), -F.col("channel"))).alias("v"))
     return at.join(top, "t", "left").select("event_id", F.coalesce("v", F.lit(0.0)).alias("amplitude"))
 
@@ -156,7 +158,7 @@ def amplitudes(series: DataFrame, events: DataFrame, central_channel: int = 0) -
 def peak_amplitudes(series: DataFrame, events: DataFrame, means: DataFrame, clip_size: int) -> DataFrame:
     """event_id, amplitude: the series at the place of each event's clip where its label's template is largest in size."""
     peak = means.groupBy("label").agg(F.max_by(F.struct("channel", "t"), F.struct(F.abs("v"), -F.col("t"), -F.col("channel"))).alias("p"))
-    at = events.join(peak, "label").select("event_id", F.col("p.channel").alias("channel"), (F.col("time").cast("long") + F.col("p.t") - middle(clip_size)).alias("t"))
+    at = join_counted(events, checkpointed(peak), "label").select("event_id", F.col("p.channel").alias("channel"), (F.col("time").cast("long") + F.col("p.t") - middle(clip_size)).alias("t"))
     return at.join(series, ["channel", "t"], "left").select("event_id", F.coalesce("v", F.lit(0.0)).alias("amplitude"))
 
 

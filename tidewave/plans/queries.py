@@ -676,8 +676,35 @@ def superposed_waveforms(spark, d):
     return rounded(sy.synthesize_timeseries(spark, waves, minute_events(spark, d), channels=4, length=MINUTES, size=16, upsample=1, noise=0.0), "v")
 
 
-@query("firings", oracle="SELECT CAST(k AS INT) AS label, 0::BIGINT AS violations FROM range(1, 21) r(k)")
+@query("firings", oracle="SELECT DISTINCT label, 0::BIGINT AS violations FROM firings")
 def refractory_violations(spark, d):
-    """Random firings never follow one another within their refractory time."""
+    """No event that is left follows another of its label within a minute."""
+    kept = sy.enforce_refractory(firings(spark, d), 60)
     gap = F.col("time") - F.lag("time").over(Window.partitionBy("label").orderBy("time"))
-    return sy.random_firings(spark, rate=50, duration=10).withColumn("gap", gap).groupBy("label").agg(F.count_if(F.col("gap") < 300).alias("violations"))
+    return kept.withColumn("gap", gap).groupBy("label").agg(F.count_if(F.col("gap") < 60).alias("violations"))
+
+
+@query("timeseries", oracle="SELECT t, channel, CASE WHEN t % 1000 < 700 THEN v ELSE 0.0 END AS v FROM timeseries")
+def array_places(spark, d):
+    """Ranges of the series, in no order, written to their places of one array file; between them it stays zero."""
+    path = f"{new_folder(spark, 'places')}/series.mda"
+    some = timeseries(spark, d).where("t % 1000 < 700").repartition(7)
+    ar.write_ranges(some, path, 5, MINUTES, "float64")
+    return ar.read_array(spark, path)
+
+
+@query("timeseries", oracle="SELECT channel, t, round(v, 6) AS v FROM timeseries")
+def chunk_files(spark, d):
+    """The series written as array files, which are read as chunks."""
+    folder = new_folder(spark, "arrays")
+    ar.write_array(timeseries(spark, d), folder, 5, "float64", partitions=3)
+    return rounded(ch.unchunked(ch.read_chunks(spark, folder, 5000)), "v")
+
+
+@query("clips", oracle="SELECT row_number() OVER (ORDER BY clip_id) AS row, f[1] AS first, CAST(len(f) AS INT) AS n, round(list_sum(f), 6) AS total FROM (SELECT clip_id, list(v ORDER BY channel, t) AS f FROM clips GROUP BY clip_id)")
+def text_arrays(spark, d):
+    """Clips written as lines of text and read back in ranges of bytes."""
+    folder = new_folder(spark, "lines")
+    ar.write_csv_array(so.clip_features(clips(spark, d)).select(F.col("clip_id").alias("row"), F.col("f").alias("values")), folder)
+    back = ar.read_csv_array(spark, folder)
+    return rounded(back.select("row", F.col("values")[0].alias("first"), F.size("values").alias("n"), F.aggregate("values", F.lit(0.0), lambda a, x: a + x).alias("total")), "total")

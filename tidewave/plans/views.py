@@ -50,7 +50,9 @@ def chunked_timeseries(spark: SparkSession, sf_dir: str, size: int = 4096) -> Ch
 
 
 def geom(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.range(1, len(TYPES) + 1).select(F.col("id").cast("int").alias("channel"), (F.col("id") - 1).cast("double").alias("x"), F.lit(0.0).alias("y"))
+    """The channels of the events, side by side, and a little apart by how many events they have."""
+    n = firings(spark, sf_dir).groupBy("channel").agg(F.count("*").alias("n"))
+    return n.select("channel", (F.col("channel") - 1).cast("double").alias("x"), (F.col("n") % 3).cast("double").alias("y"))
 
 
 def clips(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,7 +68,7 @@ SQL = {
       FROM firings WHERE event_id % 13 <> 0""",
     "timeseries": """SELECT CAST(c AS INT) AS channel, m AS t, coalesce(s, 0.0) AS v FROM range(1, 6) a(c), range(43200) b(m) LEFT JOIN
       (SELECT channel, time // 60 AS tt, CAST(sum(CAST(amplitude AS DECIMAL(18,2))) AS DOUBLE) AS s FROM firings GROUP BY 1, 2) x ON x.channel = c AND x.tt = m""",
-    "geom": "SELECT CAST(c AS INT) AS channel, CAST(c - 1 AS DOUBLE) AS x, 0.0::DOUBLE AS y FROM range(1, 6) a(c)",
+    "geom": "SELECT channel, CAST(channel - 1 AS DOUBLE) AS x, CAST(count(*) % 3 AS DOUBLE) AS y FROM firings GROUP BY channel",
     "clips": """SELECT vec_id AS clip_id, CAST(i // 4 AS INT) AS t, CAST(i % 4 + 1 AS INT) AS channel, CAST(embedding[i + 1] AS DOUBLE) AS v, label + 1 AS label
       FROM embeddings, range(64) r(i)""",
 }
@@ -74,7 +76,7 @@ SQL = {
 
 def sql(query: str, *views: str) -> str:
     """A query after definitions of the views that it uses."""
-    needs = {"firings2": ["firings"], "timeseries": ["firings"]}
+    needs = {"firings2": ["firings"], "timeseries": ["firings"], "geom": ["firings"]}
     names = [v for v in SQL if v in {*views, *(n for v in views for n in needs.get(v, []))}]
     head = ", ".join(f"{v} AS ({SQL[v]})" for v in names)
     query = query.strip()
