@@ -97,6 +97,13 @@ def concat_event_times(sources: list[DataFrame]) -> DataFrame:
     return concat_firings([s.select("event_id", "time") for s in sources])
 
 
+def in_time_order(events: DataFrame, *ties: str) -> DataFrame:
+    """events with position (from 0): their place in order of time, of equals by ties (by default source, where events have one,
+    and event_id), so that an order survives tables and files, which have none."""
+    ties = ties or tuple(c for c in ("source", "event_id") if c in events.columns)
+    return numbered(events.withColumn("_all", F.lit(0)), "_all", "time", *ties).withColumnRenamed("_i", "position").drop("_all", "_n")
+
+
 def create_label_map(metrics: DataFrame, *, min_rate: float = 0.05, min_isolation: float = 0.95, max_noise_overlap: float = 0.03, min_snr: float = 1.5) -> DataFrame:
     """old_label, new_label: 0 for clusters that fail a threshold, the bursting parent where there is one, else the
     label itself. metrics: label, firing_rate, isolation, noise_overlap, peak_snr, bursting_parent."""

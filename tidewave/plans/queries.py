@@ -458,6 +458,29 @@ def bandpass_filter(spark, d):
     return rounded(ch.unchunked(ch.chunk_bandpass(chunked_timeseries(spark, d, 10_000), 1.0, 0.01, 0.2, 0.05, padding=1_000)), "v")
 
 
+#: The filter as a sum over a chunk's samples around the circle. The error function is integrated by Simpson's rule.
+BAND_SQL = """WITH RECURSIVE hours AS (SELECT CAST(c AS INT) AS channel, m AS t, coalesce(s, 0.0) AS v FROM range(1, 6) a(c), range(720) b(m) LEFT JOIN (SELECT channel, time // 3600 AS tt, CAST(sum(CAST(amplitude AS DECIMAL(18,2))) AS DOUBLE) AS s FROM firings GROUP BY 1, 2) x ON x.channel = c AND x.tt = m),
+  arg AS (SELECT j, u, least(greatest(CASE WHEN u = 0 THEN 3 * (j / 360.0 - 0.02) / 0.02 ELSE (j / 360.0 - 0.2) / 0.1 END, -6.0), 6.0)::DOUBLE AS x FROM range(0, 181) r(j), range(2) q(u)),
+  er AS (SELECT j, u, 2 / sqrt(pi()) * x / 60000 * sum(CASE WHEN i IN (0, 20000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * exp(-(x * i / 20000) * (x * i / 20000))) AS e FROM arg, range(0, 20001) s(i) GROUP BY j, u, x),
+  g AS (SELECT a.j, CASE WHEN a.j = 0 THEN 0.0 ELSE sqrt(greatest(1 + a.e, 0) / 2 * greatest(1 - b.e, 0) / 2) END AS g FROM er a JOIN er b ON a.j = b.j AND a.u = 0 AND b.u = 1),
+  h AS MATERIALIZED (SELECT d, sum(CASE WHEN j IN (0, 180) THEN 1 ELSE 2 END * g * cos(2 * pi() * ((j * d) % 360) / 360)) / 360 AS h FROM g, range(360) r(d) GROUP BY d),
+  x AS MATERIALIZED (SELECT channel, k, i, v FROM range(3) a(k), range(360) b(i) JOIN hours ON t = k * 240 + i - 60)
+SELECT channel, k * 240 + o.i - 60 AS t, round(sum(v * h), 5) AS v FROM x JOIN range(60, 300) o(i) ON true JOIN h ON d = (o.i - x.i + 360) % 360 GROUP BY channel, k, o.i"""
+
+
+@query("firings", oracle=BAND_SQL)
+def bandpass_hours(spark, d):
+    """The hourly series in three chunks, each filtered with sixty samples on either side."""
+    sums = firings(spark, d).groupBy("channel", F.expr("time div 3600").alias("t")).agg(F.sum(F.col("amplitude").cast("decimal(18,2)")).cast("double").alias("v"))
+    hours = ch.chunked(sums, 720, size=240, channels=[1, 2, 3, 4, 5])
+    return rounded(ch.unchunked(ch.chunk_bandpass(hours, 1.0, 0.02, 0.2, 0.1, padding=60)), "v", places=5)
+
+
+@query("firings", "firings2", oracle="SELECT event_id, time, source, row_number() OVER (ORDER BY time, source, event_id) - 1 AS position FROM (SELECT event_id, time, 0 AS source FROM firings UNION ALL SELECT event_id, time, 1 FROM firings2)")
+def in_time_order(spark, d):
+    return ev.in_time_order(ev.concat_event_times([firings(spark, d), firings2(spark, d)])).select("event_id", "time", "source", "position")
+
+
 @query()
 def whiten(spark, d):
     return rounded(ch.unchunked(ch.chunk_whiten(chunked_timeseries(spark, d))), "v")
