@@ -33,8 +33,9 @@ class Scheme:
     extra: int = 128
     #: Candidates are dropped whose estimate lies so many standard deviations under the least similarity.
     deviations: float = 5.0
-    #: A bucket's pairs are tested in blocks of about so many members.
+    #: A bucket's pairs are tested in blocks of about so many members, and of about so many shingles.
     block: int = 512
+    block_shingles: int = 1_000_000
 
     @property
     def size(self) -> int:
@@ -140,7 +141,8 @@ def sets_of(deflated: pa.Array) -> list[np.ndarray]:
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """Those pairs (a, b) of nodes whose full shingle sets are similar enough. texts: node, deflated."""
+    """Those pairs (a, b) of nodes whose full shingle sets are similar enough. texts: node, deflated. Very many pairs may
+    have the same a."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -151,11 +153,92 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
                 good = [100 * c >= percent * (len(x) + len(y) - c) for c, x, y in zip(common, left, right, strict=True)]
                 yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    one = pairs.join(texts.select(F.col("node").alias("a"), F.col("deflated").alias("za")), "a")
+    one = join_unique(written(pairs, "minhash-likely"), texts.select(F.col("node").alias("a"), F.col("deflated").alias("za")), ["a"])
     two = one.join(texts.select(F.col("node").alias("b"), F.col("deflated").alias("zb")), "b")
     return two.select("a", "b", "za", "zb").mapInArrow(run, "a long, b long")
 
 
+CANDIDATE = "key long, i int, j int, home int, band int, node long, label long, n long, packed array<long>, bands array<long>"
+
+
+def dealt(side: DataFrame, sizes: DataFrame, scheme: Scheme) -> DataFrame:
+    """Members of buckets, as of CANDIDATE, for the comparison of all pairs in bounded groups: a bucket is cut into blocks
+    of about scheme.block members, or fewer where their sets are large, and group (i, j) holds blocks i and j."""
+    side = written(side, "minhash-side")
+    total = side.groupBy("key").agg(F.sum("n").alias("total"), F.count("*").alias("held"))
+    side = join_unique(side, total, ["key"], counts=sizes)
+    most = F.least("held", F.greatest(F.ceil(F.col("held") / scheme.block), F.ceil(F.col("total") / scheme.block_shingles))).cast("int")
+    side = side.withColumn("most", most).withColumn("home", F.pmod(F.xxhash64("node"), F.col("most")).cast("int"))
+    side = side.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("most") - 1)))
+    return side.select("key", F.least("home", "other").alias("i"), F.greatest("home", "other").alias("j"), "home", F.col("band").cast("int").alias("band"), "node", "label", "n", "packed", "bands")
+
+
+class Block:
+    """The members of a group, in order of node, and which of them may be alike."""
+
+    def __init__(self, members: pa.Table, scheme: Scheme):
+        self.members = members = members.combine_chunks().sort_by("node")
+        column = lambda name: members.column(name).to_numpy()
+        matrix = lambda name: np.stack(column(name)) if members.num_rows else np.zeros((0, 0), np.int64)
+        self.scheme, self.node, self.label, self.n, self.home = scheme, column("node"), column("label"), column("n"), column("home")
+        self.packed, self.bands = matrix("packed").view(np.uint64), matrix("bands")
+        self.band, self.across = (int(column("band")[0]), column("i")[0] != column("j")[0]) if members.num_rows else (0, False)
+        self.low = np.uint64(sum(1 << (BITS * i) for i in range(64 // BITS)))
+
+    def partners(self, x: int, label: np.ndarray) -> np.ndarray:
+        """Later members with another label that may be like member x by their sizes and packed values, and
+        that it meets in no earlier band; of the other block where the group has two."""
+        other = label[x + 1 :] != label[x]
+        if self.across:
+            other &= self.home[x + 1 :] != self.home[x]
+        y = np.flatnonzero(other) + x + 1
+        y = y[100 * np.minimum(self.n[y], self.n[x]) >= self.scheme.percent * np.maximum(self.n[y], self.n[x])]
+        bits = self.packed[y] ^ self.packed[x]
+        unequal = bits
+        for k in range(1, BITS):
+            unequal = unequal | (bits >> np.uint64(k))
+        y = y[self.scheme.size - np.bitwise_count(unequal & self.low).sum(1, dtype=np.int64) >= self.scheme.least_matches]
+        return y[~(self.bands[y, : self.band] == self.bands[x, : self.band]).any(1)]
+
+
+def candidates(scheme: Scheme):
+    """The members of a group that may be like another one, so that only their texts are read."""
+
+    def run(members: pa.Table) -> pa.Table:
+        block = Block(members, scheme)
+        wanted = np.zeros(len(block.node), bool)
+        for x in range(len(wanted)):
+            y = block.partners(x, block.label)
+            wanted[y] = True
+            wanted[x] |= len(y) > 0
+        return block.members.filter(pa.array(wanted))
+
+    return run
+
+
+def block_links(scheme: Scheme):
+    """Links (a, b) of a group's members by their full sets, as many as connect what is connected within the group."""
+
+    def run(members: pa.Table) -> pa.Table:
+        block = Block(members, scheme)
+        sets = sets_of(block.members.column("deflated"))
+        label, links = block.label.copy(), []
+        for x in range(len(sets)):
+            y = block.partners(x, label)
+            if not len(y):
+                continue
+            there = np.concatenate([sets[k] for k in y])  # none of them is empty
+            at = np.minimum(np.searchsorted(sets[x], there), len(sets[x]) - 1)
+            common = np.add.reduceat((sets[x][at] == there).astype(np.int64), np.cumsum([0, *(len(sets[k]) for k in y[:-1])]))
+            for k in y[100 * common >= scheme.percent * (block.n[x] + block.n[y] - common)]:
+                if label[k] != label[x]:
+                    links.append((block.node[x], block.node[k]))
+                    label[label == label[k]] = label[x]
+        return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
+
+    return run
+
+
 def near_classes(docs: DataFrame, scheme: Scheme = Scheme(), *, keys: bool = False) -> DataFrame:  # noqa: B008
     """One row for each row of docs (doc_id, text): doc_id, n_shingles, component_id, kept, and with keys text_key.
 
@@ -165,9 +248,9 @@ def near_classes(docs: DataFrame, scheme: Scheme = Scheme(), *, keys: bool = Fal
     2. in buckets that hold several components after that, each with the most central class, the one whose buckets have
        the most members in all, as the source of many edited copies has; then with the most central class outside the
        component of that one;
-    3. in buckets that still hold several components, all pairs from different components, tested block by
-       block within the join by their packed signatures, and by how many shingles a class shares with any other class
-       of those buckets, which no pair of it can exceed.
+    3. in buckets that still hold several components, pairs from different components, in groups of two blocks of members:
+       tested by their packed signatures first, and those that are left by their full sets. A group reads each of its texts
+       once, whatever the number of pairs, and leaves out pairs that its links so far connect.
     Candidates are confirmed on full shingle sets; components follow from confirmed links. Stage 3 makes the result
     the same as if all pairs of each bucket had been compared: pairs left out by then are in one component already.
 
@@ -206,8 +289,8 @@ def fates(docs: DataFrame, scheme: Scheme) -> tuple[DataFrame, DataFrame]:
         return one.join(side("b"), "b").where(matches(F.col("pa"), F.col("pb"), scheme.size) >= scheme.least_matches).select("a", "b")
 
     def mixed(labels: DataFrame) -> DataFrame:
-        """Members of buckets that hold several components."""
-        named = members.select("key", "band", "node", "members").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        """Members of buckets that hold several components; one of two members has its only pair in stage 1."""
+        named = members.where("members > 2").select("key", "band", "node", "members").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         several = named.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1").select("key")
         return written(join_unique(written(named, "minhash-named"), several, ["key"], "left_semi", counts=sizes), "minhash-mixed")
 
@@ -231,26 +314,15 @@ def fates(docs: DataFrame, scheme: Scheme) -> tuple[DataFrame, DataFrame]:
             best = join_unique(written(ranked, "minhash-ranked"), best, ["key"], counts=sizes).where("label <> top.label").groupBy("key").agg(F.max_by(F.struct("node", "label"), order).alias("top"))
         to = best.select("key", F.col("top.node").alias("pivot"), F.col("top.label").alias("pivot_label"))
         star = join_unique(left, to, ["key"], counts=sizes).where("label <> pivot_label")
-        star = star.select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b")).distinct()
+        star = star.select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
         labels = joined(labels, confirmed(likely(star), texts, scheme.percent))
         left = mixed(labels)
 
     if left.limit(1).count():
-        among = left.select("node").distinct()
-        lone = written(lone_shingles(among.join(texts, "node")), "minhash-lone")
-        side = left.join(classes.select("node", "packed", "n", "bands"), "node").join(lone, "node", "left").withColumn("shared", F.col("n") - F.coalesce("lone", F.lit(0)))
-        blocks = F.ceil(F.col("members") / scheme.block).cast("int")
-        x = side.withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).alias("x")
-        y = side.withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int")).alias("y")
-        most_common = F.least("x.shared", "y.shared")  # both are among those that shingles were counted over
-        test = (
-            (F.col("x.key") == F.col("y.key")) & (F.col("x.block") == F.col("y.block")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.label") != F.col("y.label"))
-            & (100 * most_common >= scheme.percent * (F.col("x.n") + F.col("y.n") - most_common))
-            & (matches(F.col("x.packed"), F.col("y.packed"), scheme.size) >= scheme.least_matches)
-            & ~F.arrays_overlap(F.slice("x.bands", F.lit(1), F.col("x.band")), F.slice("y.bands", F.lit(1), F.col("y.band")))  # it meets in no earlier band
-        )
-        rest = x.join(y, test).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-        labels = joined(labels, confirmed(written(rest, "minhash-pairs"), texts, scheme.percent))
+        side = left.join(classes.select("node", "packed", "n", "bands"), "node")
+        found = written(dealt(side, sizes, scheme).groupBy("key", "i", "j").applyInArrow(candidates(scheme), CANDIDATE), "minhash-candidates")
+        near = join_unique(found, texts, ["node"])
+        labels = joined(labels, near.groupBy("key", "i", "j").applyInArrow(block_links(scheme), "a long, b long").distinct())
 
     ids = labels.join(classes.select("node", "first_doc"), "node")
     least = ids.groupBy("label").agg(F.min("first_doc").alias("component_id"))
@@ -278,36 +350,6 @@ def without_copies(docs: DataFrame, scheme: Scheme = Scheme(), *, most_broadcast
     return keyed.join(side, (F.col("doc_id") == F.col("_id")) & (F.col(key) == F.col("_key")), "left_anti").select(*[f"`{n}`" for n in names])
 
 
-def lone_shingles(texts: DataFrame, most: int = 500_000) -> DataFrame:
-    """node, lone: how many of its shingles no other of these texts (node, deflated) has. A task counts shingles over the
-    texts that it reads, about `most` shingles at a time, before they are shuffled."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets: list[np.ndarray] = []
-        nodes: list[np.ndarray] = []
-
-        def counted() -> pa.RecordBatch:
-            shingle, first, n = np.unique(np.concatenate(sets), return_index=True, return_counts=True)
-            of = np.concatenate(nodes)[first]
-            sets.clear(), nodes.clear()
-            return pa.RecordBatch.from_arrays([pa.array(of), pa.array(shingle.view(np.int64)), pa.array(n.astype(np.int64))], names=["node", "shingle", "n"])
-
-        for whole in batches:
-            for start in range(0, whole.num_rows, 256):
-                batch = whole.slice(start, 256)
-                found = sets_of(batch.column("deflated"))
-                sets += found
-                nodes.append(np.repeat(batch.column("node").to_numpy(), [len(s) for s in found]))
-                if sum(map(len, nodes)) > most:
-                    yield counted()
-        if sets:
-            yield counted()
-
-    each = texts.select("node", "deflated").mapInArrow(run, "node long, shingle long, n long")
-    single = each.groupBy("shingle").agg(F.sum("n").alias("n"), F.min("node").alias("node")).where("n = 1")
-    return single.groupBy("node").agg(F.count("*").alias("lone"))
-
-
 def op7_minhash(spark, sf_dir: str) -> DataFrame:
     return near_classes(table(spark, sf_dir, "documents"), Scheme(percent=85))
 
