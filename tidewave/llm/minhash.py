@@ -100,7 +100,7 @@ def sketch(docs: DataFrame, scheme: Scheme) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher(scheme)
         for whole in batches:
-            for batch in slices(whole, "text", 1 << 20):
+            for batch in slices(whole, "text", 1 << 18):
                 sets = shingles(*utf8(batch.column("text")))[1]
                 texts = batch.column("text").to_pylist()
                 keys = [hashlib.blake2b(normal_form(t), digest_size=16).digest() if len(s) else None for t, s in zip(texts, sets, strict=True)]
@@ -126,8 +126,8 @@ def class_texts(docs: DataFrame, classes: DataFrame) -> DataFrame:
             found = {}  # rows that repeat are taken once
             for i, t in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
                 if form := normal_form(t.as_py()):
-                    found[i, hashlib.blake2b(form, digest_size=16).digest()] = form
-            arrays = [pa.array([i for i, _ in found], pa.int64()), pa.array([k for _, k in found], pa.binary()), pa.array([zlib.compress(f, 1) for f in found.values()], pa.binary())]
+                    found[i, hashlib.blake2b(form, digest_size=16).digest()] = zlib.compress(form, 1)
+            arrays = [pa.array([i for i, _ in found], pa.int64()), pa.array([k for _, k in found], pa.binary()), pa.array(list(found.values()), pa.binary())]
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "text_key", "deflated"])
 
     each = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, text_key binary, deflated binary")

@@ -178,8 +178,8 @@ def score(docs: DataFrame, model: Classifier, *, carry: list[str] = ["doc_id"],
     rows; columns not carried are ignored. One pass over the rows, no shuffle.
     """
     fields = [f for f in docs.schema.fields if f.name in carry]
-    source = free_name(carry, "text")
     names = [f.name for f in fields]
+    source = "text" if "text" in names else free_name(carry, "text")  # a text that is carried is sent to the task once
     weights, bias = model.weights, model.bias
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,7 +189,8 @@ def score(docs: DataFrame, model: Classifier, *, carry: list[str] = ["doc_id"],
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32())], names=[*names, "score", "predicted"])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "score double, predicted int"])
-    return docs.select(*[f"`{n}`" for n in names], docs["text"].alias(source)).mapInArrow(run, schema)
+    read = docs.select(*[f"`{n}`" for n in names], *([] if source in names else [docs["text"].alias(source)]))
+    return read.mapInArrow(run, schema)
 
 
 def op2_toxicity(spark, sf_dir: str) -> DataFrame:
