@@ -5,6 +5,7 @@ import itertools
 import math
 import random
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -438,6 +439,45 @@ def test_a_link_stays_where_only_one_side_shares_a_template_with_many(spark):
     assert {r["doc_id"]: r["component_id"] for r in out} == {i: group.get(i, i) for i in range(len(texts))}
 
 
+def test_a_group_of_two_blocks_connects_what_is_alike_across_them():
+    rng = random.Random(12)
+    texts, scheme = [], minhash.Scheme(percent=80)
+    for f in range(6):
+        core = [f"c{f % 3}x{i}" for i in range(120)]  # families share their core in pairs
+        for i in range(12):
+            copy = list(core)
+            for k in rng.sample(range(120), rng.choice([1, 3, 5, 9])):
+                copy[k] = f"edit{f}x{i}x{k}"
+            texts.append(" ".join(copy))
+    sets = [shingles(*utf8(pa.array([t])))[1][0] for t in texts]
+    hasher = minhash.Hasher(scheme)
+    low = [hasher.minima(x) for x in sets]
+    home = [i % 2 for i in range(len(texts))]
+
+    def group(i, j):
+        some = [x for x in range(len(texts)) if home[x] in (i, j)]
+        columns = {"key": [1] * len(some), "i": [i] * len(some), "j": [j] * len(some), "home": [home[x] for x in some], "band": [0] * len(some), "node": some, "label": some}
+        columns |= {"n": [len(sets[x]) for x in some], "packed": [hasher.packed(low[x]) for x in some], "bands": [hasher.bands(low[x]) for x in some]}
+        return pa.table(columns)
+
+    for i, j in ((0, 0), (0, 1)):
+        members = minhash.candidates(scheme)(group(i, j))
+        deflated = pa.array([zlib.compress(minhash.normal_form(texts[x]), 1) for x in members.column("node").to_pylist()])
+        links = minhash.block_links(scheme)(members.append_column("deflated", deflated)).to_pylist()
+        assert len({frozenset(e.values()) for e in links}) == len(links) < len(texts)  # a forest
+
+        def labels(edges):
+            label = list(range(len(texts)))
+            for a, b in edges:
+                label = [min(label[a], label[b]) if v in (label[a], label[b]) else v for v in label]
+            return label
+
+        wanted = [(a, b) for a, b in itertools.combinations(range(len(texts)), 2)
+                  if {home[a], home[b]} == {i, j} and 100 * len(np.intersect1d(sets[a], sets[b])) >= 80 * len(np.union1d(sets[a], sets[b]))]
+        assert wanted and labels((e["a"], e["b"]) for e in links) == labels(wanted)
+    assert minhash.candidates(scheme)(group(0, 0).slice(0, 0)).num_rows == 0
+
+
 def test_warc_filters_and_skips(spark, tmp_path):
     pages = spark.createDataFrame([(1, "http://a/ü", "x" * 500), (2, None, "x" * 500), (3, "http://b", "")], "page_id long, url string, html string")
     path = str(tmp_path / "w")
