@@ -4,10 +4,10 @@ deals out the work."""
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewave.operators.joins import with_previous
 from tidewave.plans.storage import checkpointed
 
 
@@ -43,21 +43,72 @@ def random_firings(spark: SparkSession, *, units: int = 20, samplerate: float =
     return kept.select("event_id", F.lit(0).alias("channel"), "time", "label")
 
 
-def enforce_refractory(firings: DataFrame, gap: float, most_rounds: int = 1000) -> DataFrame:
+def enforce_refractory(firings: DataFrame, gap: float, *, widths: int = 1024) -> DataFrame:
     """Events of which none follows another of its label by less than gap: of events too close to the one before, every first
-    of a group goes, until none is left. Events at one time are taken by event_id. Each round sees the neighbours of
-    events within gap only."""
+    of a group goes, until none is left. Events at one time are taken by event_id.
+
+    So an event stays if it comes gap or more after the last one that stays, and of a label's events at one time the first at
+    most. A block of time, `widths` times gap wide, says with which event it ends for each with which it can begin, and these
+    lie within gap of its beginning. A label's blocks are put together from what they say, and then each takes its own events.
+    """
     if gap <= 0:
         return firings
-    rows = firings
-    for _ in range(most_rounds):
-        near = with_previous(rows, ["label"], "time", "event_id", gap, "_p").withColumn("_close", F.coalesce(F.col("time") - F.col("_p") < gap, F.lit(False)))
-        near = with_previous(near, ["label"], "time", "event_id", gap, "_q", "_close").withColumn("_drop", F.col("_close") & ~F.coalesce("_q", F.lit(False)))
-        near = checkpointed(near)
-        rows = near.where("NOT _drop").select(firings.columns)
-        if not near.where("_drop").limit(1).count():
-            return rows
-    raise RuntimeError("some events still lie within another's refractory time")
+    block = F.floor(F.col("time") / F.lit(float(widths * gap)))
+    row = F.min_by(F.struct(*firings.columns), F.col("event_id")).alias("row")
+    first = checkpointed(firings.where("time IS NOT NULL").groupBy("label", "time").agg(row).withColumn("block", block))
+    kinds = dict(first.dtypes)
+    by = f"label {kinds['label']}, block long"
+
+    def says(t: pa.Table) -> pa.Table:
+        t = t.sort_by("time")
+        times = t.column("time").to_numpy()
+        end = next_kept(times, gap)
+        while (further := end[end] != end).any():
+            end[further] = end[end[further]]
+        begin = min(next_at(times, times[0], gap, 0) + 1, len(times))
+        return pa.table({"label": t.column("label")[:1], "block": t.column("block")[:1], "begins": pa.array([times[:begin]]), "ends": pa.array([times[end[:begin]]])})
+
+    def joined(t: pa.Table) -> pa.Table:
+        t, last, before = t.sort_by("block"), None, []
+        for begins, ends in zip(t.column("begins"), t.column("ends"), strict=True):
+            before.append(last)
+            times = begins.values.to_numpy()
+            i = 0 if last is None else next_at(times, last, gap, 0)
+            last = ends[i].as_py() if i < len(times) else last
+        return pa.table({"label": t.column("label"), "block": t.column("block"), "before": pa.array(before, begins.type.value_type)})
+
+    def kept(t: pa.Table) -> pa.Table:
+        t = t.sort_by("time")
+        times, last = t.column("time").to_numpy(), t.column("before")[0].as_py()
+        i, stay = 0 if last is None else next_at(times, last, gap, 0), []
+        follows = next_kept(times, gap).tolist()
+        while i < len(times):
+            stay.append(i)
+            i = follows[i] if follows[i] != i else len(times)
+        rows = t.column("row").combine_chunks().take(pa.array(stay, pa.int64()))
+        return pa.Table.from_arrays(rows.flatten(), names=[f.name for f in rows.type])
+
+    spoken = first.select("label", "block", "time").groupBy("label", "block").applyInArrow(says, f"{by}, begins array<{kinds['time']}>, ends array<{kinds['time']}>")
+    before = spoken.groupBy("label").applyInArrow(joined, f"{by}, before {kinds['time']}")  # what lies within gap of a block's first event
+    both = first.withColumnRenamed("label", "_label").join(before.withColumnRenamed("block", "_block"), F.col("_label").eqNullSafe(F.col("label")) & (F.col("block") == F.col("_block")))
+    return both.select("label", "block", "time", "before", "row").groupBy("label", "block").applyInArrow(kept, first.select("row.*").schema)
+
+
+def next_at(times: np.ndarray, last: float, gap: float, start: int) -> int:
+    """The first place from start in the sorted times that comes gap or more after last."""
+    i = max(start, int(np.searchsorted(times, last + gap)) - 1)
+    while i < len(times) and times[i] - last < gap:
+        i += 1
+    return i
+
+
+def next_kept(times: np.ndarray, gap: float) -> np.ndarray:
+    """For each of the sorted times the place of the first that comes gap or more after it, or its own without any."""
+    own = np.arange(len(times))
+    at = np.searchsorted(times, times + gap)
+    at -= (at > own + 1) & (times[np.maximum(at - 1, 0)] - times >= gap)  # sums are rounded, differences count
+    at += (at < len(times)) & (times[np.minimum(at, len(times) - 1)] - times < gap)
+    return np.where(at < len(times), at, own)
 
 
 def synthesize_timeseries(spark: SparkSession, waveforms: DataFrame, firings: DataFrame, *, channels: int, length: int, size: int, upsample: int = 13, noise: float = 1.0, amplitude: str | None = None, seed: int = 7) -> DataFrame:

@@ -19,6 +19,7 @@ from tidewave.operators import synthesis as sy
 from tidewave.operators import templates as tp
 from tidewave.operators import timeseries as ts
 from tidewave.operators import segments as sg
+from tidewave.operators.joins import with_previous
 from tidewave.plans.storage import checkpointed, shared_folder
 from tidewave.plans.views import MINUTES, WEEK, chunked_timeseries, clips, firings, firings2, geom, sql, timeseries
 from tidewave.sources import arrays as ar
@@ -703,8 +704,8 @@ def superposed_waveforms(spark, d):
 def refractory_violations(spark, d):
     """No event that is left follows another of its label within a minute."""
     kept = sy.enforce_refractory(firings(spark, d), 60)
-    gap = F.col("time") - F.lag("time").over(Window.partitionBy("label").orderBy("time"))
-    return kept.withColumn("gap", gap).groupBy("label").agg(F.count_if(F.col("gap") < 60).alias("violations"))
+    near = with_previous(kept, ["label"], "time", "event_id", 60, "before")
+    return near.groupBy("label").agg(F.count_if(F.col("time") - F.col("before") < 60).alias("violations"))
 
 
 @query("timeseries", oracle="SELECT t, channel, CASE WHEN t % 1000 < 700 THEN v ELSE 0.0 END AS v FROM timeseries")
