@@ -47,6 +47,25 @@ def passes(a, b, most, rounds):
 
 
 @pytest.mark.parametrize(("n", "span", "rounds"), [(150, 300, 10), (150, 20, 10), (120, 3000, 2), (150, 12, 1)])
+def test_matches_are_those_of_all_pairs(spark, n, span, rounds):
+    a, b = drawn(n + span, n, span), drawn(rounds, n, span)
+    out = {(r["e1"], r["e2"]) for r in matching.match_events(table(spark, a), table(spark, b), 6, most_passes=rounds).collect()}
+    assert out == passes(a, b, 6, rounds)
+
+
+def test_a_crowd_is_matched(spark):
+    a, b = crowd(spark), crowd(spark)
+    c = {(r["k1"], r["k2"]): r["n"] for r in matching.confusion_matrix(matching.match_events(a, b, 50), a, b).collect()}
+    assert c == {(1, 1): 10 * TIMES, (1, 0): CROWD - 10 * TIMES, (0, 1): CROWD - 10 * TIMES}
+
+
+def test_partners_in_a_crowd_are_counted(spark):
+    a, b = crowd(spark), crowd(spark, 2, 2, 30)
+    out = {(r["k1"], r["k2"]): (r["n12"], r["n21"]) for r in matching.match_counts(a, b, 10).collect()}
+    # times 20 .. 39 have a partner at 30 or later; those of label 2 are even, of label 3 odd, up to 49
+    assert out == {(1, 2): (CROWD // 2, CROWD // 4), (1, 3): (CROWD // 40 * 19, CROWD // 4)}
+
+
 @pytest.mark.parametrize("auto", [False, True])
 @pytest.mark.parametrize("span", [15, 200, 4000])
 @pytest.mark.parametrize(("kind", "gap", "widths"), [("long", 7, 1024), ("long", 7, 2), ("double", 3.3, 4), ("double", 0.1, 8)])

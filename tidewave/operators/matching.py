@@ -9,41 +9,30 @@ from pyspark.sql.window import Window
 
 from tidewave.functions.kernels import assignment
 from tidewave.operators.joins import band_join, with_previous
+from tidewave.operators.stretches import mutual_matches, partner_counts
 from tidewave.plans.storage import checkpointed
 
 
-def near_pairs(firings1: DataFrame, firings2: DataFrame, max_offset: float) -> DataFrame:
-    """e1, k1, t1, e2, k2, t2 of events with positive labels at most max_offset apart."""
-    a = firings1.where("label > 0").select(F.col("event_id").alias("e1"), F.col("label").alias("k1"), F.col("time").alias("t1"))
-    b = firings2.where("label > 0").select(F.col("event_id").alias("e2"), F.col("label").alias("k2"), F.col("time").alias("t2"))
-    return band_join(a, b, left_time="t1", right_time="t2", before=max_offset, after=max_offset)
-
-
-def match_counts(pairs: DataFrame) -> DataFrame:
+def match_counts(firings1: DataFrame, firings2: DataFrame, max_offset: float) -> DataFrame:
     """k1, k2, n12 (events labelled k1 that have one labelled k2 nearby), n21 (the other way)."""
-    return pairs.groupBy("k1", "k2").agg(F.countDistinct("e1").alias("n12"), F.countDistinct("e2").alias("n21"))
+    return partner_counts(firings1, firings2, max_offset)
 
 
 def match_events(firings1: DataFrame, firings2: DataFrame, max_offset: float = 30, most_passes: int = 10) -> DataFrame:
     """e1, k1, t1, e2, k2, t2 of events that choose each other, in passes: each unmatched event chooses, of the
     unmatched ones nearby, that with the best label match, then the nearest in time, then the earliest."""
-    pairs = near_pairs(firings1, firings2, max_offset)
-    counts = match_counts(pairs)
+    counts = match_counts(firings1, firings2, max_offset)
     n1 = firings1.where("label > 0").groupBy(F.col("label").alias("k1")).agg(F.count("*").alias("all1"))
     n2 = firings2.where("label > 0").groupBy(F.col("label").alias("k2")).agg(F.count("*").alias("all2"))
-    scores = counts.join(n1, "k1").join(n2, "k2").select("k1", "k2", F.least(F.col("n12") / F.col("all1"), F.col("n21") / F.col("all2")).alias("score"))
-    open_ = checkpointed(pairs.join(F.broadcast(scores), ["k1", "k2"]))  # labels only are broadcast
-    out = None
-    for _ in range(most_passes):
-        gap = F.abs(F.col("t2") - F.col("t1"))
-        by1 = Window.partitionBy("e1").orderBy(F.desc("score"), gap, "t2", "e2")
-        by2 = Window.partitionBy("e2").orderBy(F.desc("score"), gap, "t1", "e1")
-        chosen = checkpointed(open_.withColumn("r1", F.row_number().over(by1)).withColumn("r2", F.row_number().over(by2)).where("r1 = 1 AND r2 = 1").drop("r1", "r2"))
-        out = chosen if out is None else out.unionByName(chosen)
-        if not chosen.limit(1).count():
-            break
-        open_ = checkpointed(open_.join(chosen.select("e1"), "e1", "left_anti").join(chosen.select("e2"), "e2", "left_anti"))
-    return out.select("e1", "k1", "t1", "e2", "k2", "t2")
+    share = F.least(F.col("n12") / F.col("all1"), F.col("n21") / F.col("all2"))
+    scores = {(r["k1"], r["k2"]): r["score"] for r in counts.join(n1, "k1").join(n2, "k2").select("k1", "k2", share.alias("score")).collect()}  # labels only
+    sides = [f.where("label > 0").select(F.lit(i).alias("side"), "label", "time", "event_id") for i, f in ((1, firings1), (2, firings2))]
+    # of a label's events at one time a pass takes the one with the smallest id at most, so that later ones are never asked
+    first = F.row_number().over(Window.partitionBy("side", "label", "time").orderBy("event_id"))
+    rows = sides[0].unionByName(sides[1]).withColumn("_r", first).where(F.col("_r") <= most_passes).drop("_r")
+    kinds = dict(rows.dtypes)
+    schema = ", ".join(f"e{i} {kinds['event_id']}, k{i} {kinds['label']}, t{i} {kinds['time']}" for i in (1, 2))
+    return checkpointed(mutual_matches(rows, scores, max_offset, most_passes, schema))
 
 
 def confusion_matrix(matched: DataFrame, firings1: DataFrame, firings2: DataFrame) -> DataFrame:
@@ -113,7 +102,7 @@ def link_pairs(firings_prev: DataFrame, firings: DataFrame, tolerance: float, th
     if sweep:
         counts = loose_confusion(firings_prev.where("label > 0"), firings.where("label > 0"), tolerance)
     else:
-        counts = match_counts(near_pairs(firings_prev, firings, tolerance)).withColumn("n", F.least("n12", "n21"))
+        counts = match_counts(firings_prev, firings, tolerance).withColumn("n", F.least("n12", "n21"))
     ranked = counts.withColumn("r1", F.row_number().over(Window.partitionBy("k1").orderBy(F.desc("n"), "k2"))).withColumn("r2", F.row_number().over(Window.partitionBy("k2").orderBy(F.desc("n"), "k1")))
     n1 = firings_prev.where("label > 0").groupBy(F.col("label").alias("k1")).agg(F.count("*").alias("all1"))
     n2 = firings.where("label > 0").groupBy(F.col("label").alias("k2")).agg(F.count("*").alias("all2"))

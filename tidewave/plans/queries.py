@@ -341,7 +341,7 @@ NEAR_SQL = "pr AS (SELECT a.event_id AS e1, a.label AS k1, a.time AS t1, b.event
 
 @query("firings", "firings2", oracle=f"WITH {NEAR_SQL} SELECT k1, k2, count(DISTINCT e1) AS n12, count(DISTINCT e2) AS n21 FROM pr GROUP BY k1, k2")
 def match_counts(spark, d):
-    return mt.match_counts(mt.near_pairs(firings(spark, d), firings2(spark, d), 30))
+    return mt.match_counts(firings(spark, d), firings2(spark, d), 30)
 
 
 @query("firings", "firings2", oracle=f"""WITH {NEAR_SQL}, c AS (SELECT k1, k2, count(DISTINCT e1) AS a, count(DISTINCT e2) AS b FROM pr GROUP BY ALL),
