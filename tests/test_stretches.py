@@ -68,6 +68,27 @@ def test_partners_in_a_crowd_are_counted(spark):
 
 @pytest.mark.parametrize("auto", [False, True])
 @pytest.mark.parametrize("span", [15, 200, 4000])
+def test_the_sweep_counts_what_all_pairs_do(spark, span):
+    a, b = drawn(span, 200, span), drawn(5, 200, span)
+    order, want = sorted(range(200), key=lambda i: (a[i][0], i)), {}
+    for at, i in enumerate(order):
+        t, before = a[i][0], a[order[at - 1]][0] if at else -(10**9)
+        near = [j for j in range(200) if abs(b[j][0] - t) <= 10]
+        last = max(((b[j][0], j) for j in near if b[j][0] < t), default=None)
+        for j in near:
+            if b[j][0] > before + 10 or b[j][0] >= t or (b[j][0], j) == last:
+                want[a[i][1], b[j][1]] = want.get((a[i][1], b[j][1]), 0) + 1
+    out = {(r["k1"], r["k2"]): r["n"] for r in matching.loose_confusion(table(spark, a), table(spark, b), 10).collect()}
+    assert out == want
+
+
+def test_a_crowd_is_swept(spark):
+    out = matching.loose_confusion(crowd(spark), crowd(spark), 50).first()["n"]
+    each = CROWD // TIMES
+    # at each time all events meet the later ones, and the last one before; the first event of all meets no earlier one
+    assert out == sum(each * each * (TIMES - t) + (each if t else 0) for t in range(TIMES))
+
+
 @pytest.mark.parametrize(("kind", "gap", "widths"), [("long", 7, 1024), ("long", 7, 2), ("double", 3.3, 4), ("double", 0.1, 8)])
 def test_a_long_chain_keeps_its_distance(spark, kind, gap, widths):
     rng = np.random.default_rng(3)

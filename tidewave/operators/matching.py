@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidewave.functions.kernels import assignment
-from tidewave.operators.joins import band_join, with_previous
-from tidewave.operators.stretches import mutual_matches, partner_counts
+from tidewave.operators.stretches import mutual_matches, partner_counts, sweep_counts
 from tidewave.plans.storage import checkpointed
 
 
@@ -88,12 +87,7 @@ def loose_confusion(firings1: DataFrame, firings2: DataFrame, tolerance: float)
     after the reach of the event before it, or not before itself, or last before itself; that needs the neighbours
     of each event only, and no place in the sweep. Events at one time are taken by event_id.
     """
-    a = with_previous(firings1.select(F.col("event_id").alias("e1"), F.col("label").alias("k1"), F.col("time").alias("t1")), [], "t1", "e1", 2 * tolerance, "p1")
-    b = firings2.select(F.col("event_id").alias("e2"), F.col("label").alias("k2"), F.col("time").alias("t2"))
-    near = band_join(a, b, left_time="t1", right_time="t2", before=tolerance, after=tolerance)
-    last = F.max(F.when(F.col("t2") < F.col("t1"), F.struct("t2", "e2"))).over(Window.partitionBy("e1"))  # one event's pairs
-    counted = F.col("p1").isNull() | (F.col("t2") > F.col("p1") + tolerance) | (F.col("t2") >= F.col("t1")) | F.coalesce(F.struct("t2", "e2") == last, F.lit(False))
-    return near.withColumn("_counted", counted).where("_counted").groupBy("k1", "k2").agg(F.count("*").alias("n"))
+    return sweep_counts(firings1, firings2, tolerance)
 
 
 def link_pairs(firings_prev: DataFrame, firings: DataFrame, tolerance: float, threshold: float, sweep: bool = False) -> DataFrame:
