@@ -67,6 +67,26 @@ def test_partners_in_a_crowd_are_counted(spark):
 
 
 @pytest.mark.parametrize("auto", [False, True])
+def test_correlograms_are_those_of_all_pairs(spark, auto):
+    rows = drawn(4, 300, 40)
+    want = {}
+    for i, (t, k) in enumerate(rows):
+        for j, (u, m) in enumerate(rows):
+            if i != j and -9 <= u - t < 9 and (k == m or not auto):
+                want[k, m, (u - t + 9) // 3] = want.get((k, m, (u - t + 9) // 3), 0) + 1
+    out = {(r["k1"], r["k2"], r["bin"]): r["n"] for r in metrics.cross_correlograms(table(spark, rows), 9, 3, auto=auto).collect()}
+    assert {k: n for k, n in out.items() if n} == want
+
+
+def test_a_crowd_has_parents(spark):
+    later = crowd(spark, 2, 1, 45)
+    shape = [(k, 1, t, float(t == 3) * k) for k in (1, 2) for t in range(8)]
+    means = spark.createDataFrame(shape, "label int, channel int, t int, v double")
+    both = crowd(spark).unionByName(later)
+    assert {r["label"]: r["bursting_parent"] for r in metrics.bursting_parents(both, means, window=100).collect()} == {1: 0, 2: 0}
+    assert {r["label"]: r["bursting_parent"] for r in metrics.bursting_parents(both, means.withColumn("v", F.when(F.col("t") == 3, F.lit(1.0)).otherwise(F.lit(0.0))), window=100).collect()} == {1: 0, 2: 1}
+
+
 @pytest.mark.parametrize("span", [15, 200, 4000])
 def test_the_sweep_counts_what_all_pairs_do(spark, span):
     a, b = drawn(span, 200, span), drawn(5, 200, span)

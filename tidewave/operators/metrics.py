@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidewave.functions.kernels import principal_axes
-from tidewave.operators.joins import band_join
+from tidewave.operators.stretches import pair_counts
 from tidewave.plans.storage import checkpointed
 
 
@@ -59,21 +59,14 @@ def cross_correlograms(firings: DataFrame, max_dt: float, bin_size: float, *, cl
     """k1, k2, bin, n: pairs of different events with labels k1, k2 by the bin of t2 - t1, of 2 * ceil(max_dt / bin_size)
     bins from below; the upper edge isn't included. With auto only k1 = k2. Bins without pairs are there, with 0.
 
-    Events of a label at the same time count as one row with a weight before they are paired.
+    Pairs are counted by places in sorted times, and none is made.
     """
     half = math.ceil(max_dt / bin_size)
     edge = half * bin_size
     rows = firings.where("label > 0")
     if clusters:
         rows = rows.where(F.col("label").isin(clusters))
-    rows = rows.groupBy("label", "time").agg(F.count("*").alias("w"))
-    a = rows.select(F.col("label").alias("k1"), F.col("time").alias("t1"), F.col("w").alias("w1"))
-    b = rows.select(F.col("label").alias("k2"), F.col("time").alias("t2"), F.col("w").alias("w2"))
-    pairs = band_join(a, b, left_time="t1", right_time="t2", before=edge, after=edge, on=(F.col("k1") == F.col("k2")) if auto else None)
-    dt = F.col("t2") - F.col("t1")
-    same = (F.col("k1") == F.col("k2")) & (dt == 0)
-    weight = F.when(same, F.col("w1") * (F.col("w1") - 1)).otherwise(F.col("w1") * F.col("w2"))
-    counts = pairs.where(dt < edge).groupBy("k1", "k2", F.floor((dt + edge) / bin_size).cast("int").alias("bin")).agg(F.sum(weight).alias("n"))
+    counts = pair_counts(rows, edge, lambda dt: np.where(dt < edge, np.floor((dt + edge) / bin_size), 2 * half), 2 * half, auto=auto)
     k = rows.select("label").distinct()
     grid = k.select(F.col("label").alias("k1")).crossJoin(k.select(F.col("label").alias("k2")))  # labels only
     if auto:
@@ -109,10 +102,10 @@ def bursting_parents(firings: DataFrame, templates: DataFrame, *, window: float
     peaks = templates.groupBy("label").agg(F.max(F.abs("v")).alias("peak"))
     p1, p2 = peaks.select(F.col("label").alias("k1"), F.col("peak").alias("peak1")), peaks.select(F.col("label").alias("k2"), F.col("peak").alias("peak2"))
     pairs = template_correlations(templates).where(F.col("correlation") >= min_correlation).join(p1, "k1").join(p2, "k2").where("peak2 >= peak1").select("k1", "k2")
-    a = firings.select(F.col("label").alias("k1"), F.col("time").alias("t1"))
-    b = firings.select(F.col("label").alias("k2"), F.col("time").alias("t2"))
-    near = band_join(a.join(F.broadcast(pairs.withColumnRenamed("k2", "kk")), "k1"), b, left_time="t1", right_time="t2", before=window, after=window, on=F.col("kk") == F.col("k2"))
-    counts = near.groupBy("k1", "k2").agg(F.count_if(F.col("t2") < F.col("t1")).alias("left"), F.count_if(F.col("t2") > F.col("t1")).alias("right"))
+    # before, at the same time, after
+    near = pair_counts(firings, window, lambda dt: (dt >= -window).astype(int) + (dt >= 0) + (dt > 0) + (dt > window) - 1, 3)
+    of = lambda j: F.coalesce(F.sum(F.when(F.col("bin") == j, F.col("n"))), F.lit(0))
+    counts = pairs.join(near.groupBy("k1", "k2").agg(of(0).alias("left"), of(2).alias("right")), ["k1", "k2"])
     score = (F.col("left") - 2 * F.col("right")) / F.sqrt(F.greatest(F.lit(15.0), 2.0 * F.col("right")))
     best = counts.where(score > threshold).groupBy(F.col("k1").alias("label")).agg(F.max("k2").alias("p"))
     return peaks.select("label").join(best, "label", "left").select("label", F.coalesce("p", F.lit(0)).cast("int").alias("bursting_parent"))
