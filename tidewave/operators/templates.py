@@ -19,6 +19,12 @@ def middle(clip_size: int) -> int:
     return (clip_size + 1) // 2 - 1
 
 
+def sampled(series: DataFrame) -> DataFrame:
+    """channel, t, v to be joined with places by merging: places and samples compress so well that Spark would take millions of them
+    for a small table, and send them through the driver."""
+    return series.select("channel", "t", "v").hint("merge")
+
+
 def extract_clips(series: DataFrame, events: DataFrame, clip_size: int, *, channels: list[int] | None = None, rounding: str = "truncate", edge: str = "pad") -> DataFrame:
     """event_id, channel, t (0 .. clip_size - 1), v, with label where events have one.
 
@@ -32,7 +38,7 @@ def extract_clips(series: DataFrame, events: DataFrame, clip_size: int, *, chann
     wanted = series.where(F.col("channel").isin(channels)) if channels else series
     names = wanted.select("channel").distinct()
     grid = asked.crossJoin(F.broadcast(names))  # a few channels
-    out = grid.join(wanted.select(F.col("channel"), F.col("t").alias("_ts"), F.col("v")), ["channel", "_ts"], "left")
+    out = grid.join(sampled(wanted).withColumnRenamed("t", "_ts"), ["channel", "_ts"], "left")
     value = F.coalesce("v", F.lit(0.0))
     if edge == "drop":
         value = F.when(F.count("v").over(Window.partitionBy("event_id", "channel")) == clip_size, value).otherwise(F.lit(0.0))
@@ -48,7 +54,7 @@ def templates(series: DataFrame, events: DataFrame, clip_size: int, *, clusters:
     at = F.round("time") if rounding == "round" else F.col("time")
     asked = rows.select("label", at.cast("long").alias("_at"), offsets).withColumn("_ts", F.col("_at") + F.col("t") - middle(clip_size))
     asked = asked.groupBy("label", "t", "_ts").agg(F.count("*").alias("w"))  # events at one time are one row
-    sums = asked.join(series.select("channel", F.col("t").alias("_ts"), "v"), "_ts").groupBy("label", "channel", "t").agg(F.sum(F.col("v") * F.col("w")).alias("s"))
+    sums = asked.join(sampled(series).withColumnRenamed("t", "_ts"), "_ts").groupBy("label", "channel", "t").agg(F.sum(F.col("v") * F.col("w")).alias("s"))
     grid = sizes.crossJoin(F.broadcast(series.select("channel").distinct())).withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(clip_size - 1))))
     return grid.join(sums, ["label", "channel", "t"], "left").select("label", "channel", "t", (F.coalesce("s", F.lit(0.0)) / F.col("n")).alias("v"))
 
@@ -75,7 +81,7 @@ def event_statistics(series: DataFrame, events: DataFrame, clip_size: int) -> Da
     steps = F.explode(F.sequence(F.lit(0), F.lit(clip_size - 1))).alias("t")
     places = events.groupBy("label", F.col("time").cast("long").alias("_at")).agg(F.count("*").alias("w"))
     asked = places.select("label", "w", "_at", steps).withColumn("_ts", F.col("_at") + F.col("t") - middle(clip_size))
-    found = asked.join(series.select("channel", F.col("t").alias("_ts"), "v"), "_ts")
+    found = asked.join(sampled(series).withColumnRenamed("t", "_ts"), "_ts")
     by = ["label", "channel", "t"]
     sums = found.groupBy(*by).agg(F.sum(F.col("v") * F.col("w")).alias("s"))
     grid = sizes.crossJoin(F.broadcast(series.select("channel").distinct())).withColumn("t", steps)
@@ -150,16 +156,16 @@ def amplitudes(series: DataFrame, events: DataFrame, central_channel: int = 0) -
     lowest channel). Events beyond the series have 0."""
     at = events.select("event_id", F.col("time").cast("long").alias("t"))
     values = series.where(F.col("channel") == central_channel) if central_channel else series
-    values = values.join(at.select("t").distinct(), "t", "left_semi")  # of the samples at events
+    values = sampled(values).join(at.select("t").distinct(), "t", "left_semi")  # of the samples at events
     top = values.groupBy("t").agg(F.max_by("v", F.struct(F.abs("v"), -F.col("channel"))).alias("v"))
-    return at.join(top, "t", "left").select("event_id", F.coalesce("v", F.lit(0.0)).alias("amplitude"))
+    return at.join(top.hint("merge"), "t", "left").select("event_id", F.coalesce("v", F.lit(0.0)).alias("amplitude"))
 
 
 def peak_amplitudes(series: DataFrame, events: DataFrame, means: DataFrame, clip_size: int) -> DataFrame:
     """event_id, amplitude: the series at the place of each event's clip where its label's template is largest in size."""
     peak = means.groupBy("label").agg(F.max_by(F.struct("channel", "t"), F.struct(F.abs("v"), -F.col("t"), -F.col("channel"))).alias("p"))
     at = join_counted(events, checkpointed(peak), "label").select("event_id", F.col("p.channel").alias("channel"), (F.col("time").cast("long") + F.col("p.t") - middle(clip_size)).alias("t"))
-    return at.join(series, ["channel", "t"], "left").select("event_id", F.coalesce("v", F.lit(0.0)).alias("amplitude"))
+    return at.join(sampled(series), ["channel", "t"], "left").select("event_id", F.coalesce("v", F.lit(0.0)).alias("amplitude"))
 
 
 def discrimination(clips: DataFrame, labels: list[int]) -> DataFrame:

@@ -40,7 +40,7 @@ def firings2(spark: SparkSession, sf_dir: str) -> DataFrame:
 def timeseries(spark: SparkSession, sf_dir: str) -> DataFrame:
     grid = spark.range(len(TYPES) * MINUTES).select((F.col("id") % len(TYPES) + 1).cast("int").alias("channel"), F.expr(f"id div {len(TYPES)}").alias("t"))
     sums = firings(spark, sf_dir).groupBy("channel", F.expr("time div 60").alias("t")).agg(F.sum(F.col("amplitude").cast("decimal(18,2)")).cast("double").alias("s"))
-    return grid.join(sums, ["channel", "t"], "left").select("channel", "t", F.coalesce("s", F.lit(0.0)).alias("v"))
+    return grid.join(sums.hint("merge"), ["channel", "t"], "left").select("channel", "t", F.coalesce("s", F.lit(0.0)).alias("v"))
 
 
 def chunked_timeseries(spark: SparkSession, sf_dir: str, size: int = 4096) -> Chunked:
