@@ -110,3 +110,19 @@ def test_one_group_may_hold_most_rows(spark, share):
     many = {1: np.concatenate([rng.normal(size=(3000, 2)), rng.normal(size=(3000, 2)) + 12])} | {m: rng.normal(size=(30, 2)) for m in range(2, 30)}
     out = {(r["m"], r["label"]) for r in cluster_all(table(spark, many)[0])[0].collect()}
     assert {k for m, k in out if m == 1} == {1, 2} and all(k == 1 for m, k in out if m > 1)
+
+
+def test_passes_read_blocks_of_vectors(spark):
+    from tidewave.operators.clustering import BLOCK, Tree, open_nodes
+    from tidewave.operators.sweeps import group_means
+
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(BLOCK + 100, 3))
+    rows = spark.createDataFrame([(i, i % 2, v) for i, v in enumerate(x.tolist())], "event_id long, m int, f array<double>").coalesce(1)
+    tree = Tree({0: 0, 1: 1}, {}, 2)
+    out = open_nodes(rows, tree, {0, 1})
+    assert dict(out.dtypes) == {"node": "int", "ids": "binary", "f": "binary"} and out.count() == 2
+    for g, (n, mean) in group_means(out, "node", "f").items():
+        assert n == len(x[g::2]) and np.allclose(mean, x[g::2].mean(0))
+    ids = [i for r in out.collect() for i in np.frombuffer(r["ids"], np.int64).tolist()]
+    assert sorted(ids) == list(range(len(x)))

@@ -15,10 +15,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewave.functions.kernels import dip_of_counts
-from tidewave.operators.sweeps import grouped, leading_axes, projected, swept
+from tidewave.operators.sweeps import grouped, leading_axes, packed, projected, swept
+from tidewave.plans.storage import checkpointed
 
 #: Bins of the counts along a line between two middles.
 BINS = 2048
+#: Vectors of a block, and bytes of vectors that a task holds before it writes its blocks.
+BLOCK, HELD = 8192, 1 << 24
+#: Vectors of a task in each pass.
+DEALT = 500_000
 
 
 @dataclass
@@ -75,19 +80,36 @@ class Tree:
 
 
 def open_nodes(features: DataFrame, tree: Tree, active: set[int]) -> DataFrame:
-    """event_id, node, f of the vectors in the nodes that are still to be told apart."""
+    """node, ids, f: the vectors in the nodes that are still to be told apart, in blocks that passes read as they are (see
+    sweeps.packed), so that a pass costs what its sums cost."""
     shared = features.sparkSession.sparkContext.broadcast((tree, np.array(sorted(active))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t, wanted = shared.value
+        held: dict[int, list] = {}
+        size = 0
+
+        def blocks() -> Iterator[pa.RecordBatch]:
+            for n, parts in held.items():
+                ids, x = (np.concatenate(z) for z in zip(*parts, strict=True))
+                for at in range(0, len(x), BLOCK):
+                    yield pa.RecordBatch.from_arrays([pa.array([n], pa.int32()), pa.array([ids[at : at + BLOCK].tobytes()], pa.binary()), pa.array([packed(x[at : at + BLOCK])], pa.binary())], names=["node", "ids", "f"])
+
         for b in batches:
-            node = np.full(b.num_rows, -1, np.int32)
+            ids = b.column("event_id").to_numpy(zero_copy_only=False).astype(np.int64)
             for g, those, x in grouped(b, "m", "f"):
-                node[those] = t.place(g, x)
-            keep = pa.array(np.flatnonzero(np.isin(node, wanted)))
-            yield pa.RecordBatch.from_arrays([b.column("event_id").take(keep), pa.array(node).take(keep), b.column("f").take(keep)], names=["event_id", "node", "f"])
+                node = t.place(g, x)
+                for n in np.intersect1d(node, wanted).tolist():
+                    here = node == n
+                    held.setdefault(n, []).append((ids[those[here]], x[here]))
+                    size += x[here].nbytes
+            if size > HELD:
+                yield from blocks()
+                held.clear()
+                size = 0
+        yield from blocks()
 
-    return features.select("event_id", "m", "f").mapInArrow(run, "event_id long, node int, f array<double>")
+    return features.select("event_id", "m", "f").mapInArrow(run, "node int, ids binary, f binary")
 
 
 def chance(ids: pa.Array, turn: int) -> np.ndarray:
@@ -110,8 +132,9 @@ def drawn_centres(rows: DataFrame, rules: dict[int, Rules], each: dict[int, int]
             for g, those, x in grouped(b, "node", "f"):
                 r, n = shared.value[0][g], shared.value[1][g]
                 y = x @ r.axes
-                far = ((y[:, None] - r.centres[None]) ** 2).sum(2).min(1) if len(y) * r.centres.size < 1 << 24 else np.maximum((y**2).sum(1) + ((r.centres**2).sum(1) - 2 * (y @ r.centres.T)).min(1), 0)
-                ids = b.column("event_id").take(pa.array(those))
+                near = ((r.centres**2).sum(1) - 2 * (y @ r.centres.T)).argmin(1)
+                far = ((y - r.centres[near]) ** 2).sum(1)
+                ids = pa.array(np.frombuffer(b.column("ids")[int(those[0])].as_buffer(), np.int64))
                 t = -np.log(chance(ids, turn)) / np.maximum(far, 1e-300)
                 some = np.flatnonzero(far > 0)
                 some = some[np.argsort(t[some], kind="stable")[:n]]
@@ -263,8 +286,8 @@ def cluster_all(features: DataFrame, *, num_features: int = 10, parcels: int = 2
     told apart wherever it lies far enough from others, however many these have.
 
     f has the same length within m. Vectors that repeat count as often as they are there; an m with fewer than two
-    times min_size vectors is one cluster; an empty table gives no rows. features is read in each pass and should be a
-    written table.
+    times min_size vectors is one cluster; an empty table gives no rows. features is read once a level and should be a
+    written table. Each level writes the vectors that it reads.
     """
     tree = Tree()
     found = {r["m"]: r["n"] for r in features.groupBy("m").agg(F.count("*").alias("n")).collect()}  # a row for each m
@@ -276,7 +299,8 @@ def cluster_all(features: DataFrame, *, num_features: int = 10, parcels: int = 2
         active = {n: k for n, k in active.items() if k >= 2 * min_size}
         if not active:
             break
-        rows = open_nodes(features, tree, set(active))
+        tasks = max(features.sparkSession.sparkContext.defaultParallelism, int(sum(active.values())) // DEALT + 1)
+        rows = checkpointed(open_nodes(features, tree, set(active)).repartition(tasks))  # however few files they came from
         axes = {g: q for g, (_, q) in leading_axes(rows, "node", "f", num_features).items()}
         rules, sums = told_apart(rows, axes, active, parcels=parcels, threshold=threshold, min_size=min_size, rounds=rounds)
         active = {}

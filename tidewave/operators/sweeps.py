@@ -14,10 +14,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def packed(x: np.ndarray) -> bytes:
+    """A matrix as the bytes of its width and its rows, for a table of blocks: a row of such a table is a group's block."""
+    return np.concatenate([[float(x.shape[1])], x.reshape(-1)]).tobytes()
+
+
 def grouped(batch: pa.RecordBatch, key: str, value: str) -> Iterator[tuple[object, np.ndarray, np.ndarray]]:
-    """(group, rows, matrix) for each value of key: the rows that have it and their vectors, which are equally long."""
+    """(group, rows, matrix) for each value of key: the rows that have it and their vectors, which are equally long; of packed
+    vectors for each row."""
     if not batch.num_rows:
         return
+    if pa.types.is_binary(batch.schema.field(value).type):
+        for i, (name, block) in enumerate(zip(batch.column(key).to_pylist(), batch.column(value), strict=True)):
+            flat = np.frombuffer(block.as_buffer(), np.float64)
+            yield name, np.array([i]), flat[1:].reshape(-1, int(flat[0]))
+        return
     codes = batch.column(key).dictionary_encode()
     index, names = codes.indices.to_numpy(zero_copy_only=False), codes.dictionary.to_pylist()
     lists = batch.column(value)
