@@ -1,10 +1,12 @@
 """Nearest neighbours against brute force."""
 
+import tracemalloc
+
 import numpy as np
 import pytest
 
 from tidewave.operators import neighbours
-from tidewave.operators.neighbours import fitted, nearest
+from tidewave.operators.neighbours import fitted, nearest, nearest_of
 
 
 def brute(points, queries, k):
@@ -53,3 +55,28 @@ def test_neighbours_are_those_of_brute_force(spark, monkeypatch, k, leaf_rows, h
 def test_fewer_points_than_asked_for(spark):
     assert run(spark, [(1, 1, [0.0]), (2, 1, [5.0])], [(7, [4.0], None, None)], 5) == {7: [(2, 1), (1, 1)]}
     assert run(spark, [], [(7, [4.0], None, None)], 5) == {}
+
+
+def test_leaves_that_the_sample_cannot_tell_apart_are_dealt_into_cells(spark):
+    begin, cells = neighbours.cells_of(np.array([10, 95, 0, 20, 21]), 10)
+    assert begin.tolist() == [0, 1, 11, 12, 13] and cells.tolist() == [1, 10, 1, 1, 3]
+    rng = np.random.default_rng(7)
+    points = [(i, int(rng.integers(1, 5)), np.round(rng.normal(size=3) * 3)) for i in range(300)]
+    queries = [(i, f, None, i) for i, _, f in points[:60]] + [(2000 + i, points[i][2], [[1], [2, 3], None][i % 3], None) for i in range(30)]
+    want = {q: z for q, z in brute(points, queries, 3).items() if z}
+    assert run(spark, points, queries, 3, leaf_rows=10, sample=16) == want  # two leaves of 150
+
+
+def test_a_task_holds_few_distances_at_once():
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(size=(19_000, 8)), np.ones((1000, 8))])  # a thousand at one place
+    q = np.concatenate([rng.normal(size=(380, 8)), np.ones((20, 8))])
+    tracemalloc.start()
+    near = list(nearest_of((np.arange(len(x)), np.ones(len(x), int), x), q, [None] * len(q), np.full(len(q), np.inf), 2))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40 << 20  # blocks of 256 queries took 83 MB
+    row, d, ids, _ = map(np.concatenate, zip(*near, strict=True))
+    far = ((x[None] - q[:, None]) ** 2).sum(2)
+    assert row.tolist() == np.repeat(np.arange(len(q)), 2).tolist()
+    assert ids.reshape(-1, 2).tolist() == [np.lexsort((np.arange(len(x)), v))[:2].tolist() for v in far] and np.allclose(d, np.sort(far, 1)[:, :2].ravel())

@@ -15,8 +15,10 @@ from pyspark.sql import functions as F
 from tidewave.operators.metrics import drawn_order
 from tidewave.plans.storage import checkpointed
 
-#: Queries of one leaf above which they are dealt to several tasks, each with the leaf's points.
-HOT = 20_000
+#: Queries of one cell above which they are dealt to several tasks, each with the cell's points.
+HOT = 10_000
+#: Distances, and numbers of vectors, that a task holds at once.
+BLOCK = 1 << 19
 
 
 @dataclass
@@ -95,31 +97,64 @@ def fitted(x: np.ndarray, leaves: int) -> Tree:
     return Tree(np.array(dims, int), np.array(cuts, float), np.array(kids, int).reshape(-1, 2), count)
 
 
-def nearest_of(points: tuple, queries: np.ndarray, wanted: list, radius: np.ndarray, k: int) -> list[list[tuple[float, int, int]]]:
-    """For each query up to k (squared distance, id, label) within its squared radius, by distance and id. Candidates are
-    chosen by products, with some room for their rounding, and measured exactly."""
+def cells_of(held: np.ndarray, leaf_rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """(number of the first cell, count of cells) of each leaf, for leaves that hold so many points."""
+    cells = np.where(held > 2 * leaf_rows, -(-held // leaf_rows), 1)
+    return np.cumsum(cells) - cells, cells
+
+
+def matrix(f: pa.ChunkedArray) -> np.ndarray:
+    """Vectors of one length as rows."""
+    return np.asarray(f.combine_chunks().flatten(), float).reshape(len(f), -1) if len(f) else np.zeros((0, 0))
+
+
+def nullable(kind: pa.DataType) -> pa.DataType:
+    """The type with nulls allowed at every level, as in a schema written out."""
+    if pa.types.is_list(kind):
+        return pa.list_(pa.field(kind.value_field.name, nullable(kind.value_type)))
+    return pa.struct([(x.name, nullable(x.type)) for x in kind]) if pa.types.is_struct(kind) else kind
+
+
+def nearest_of(points: tuple, queries: np.ndarray, wanted: list, radius: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """(query, squared distance, id, label) of up to k points for each query within its squared radius, by query,
+    distance and id, for one stretch of queries after another. Candidates are chosen by products, with some room for
+    their rounding, and measured exactly, BLOCK distances or values at a time."""
     ids, labels, f = points
-    out: list[list[tuple[float, int, int]]] = []
+    n, width = f.shape
     norm = (f**2).sum(1)
+    top_norm = norm.max(initial=0)
     masks: dict[tuple, np.ndarray] = {}
-    for first in range(0, len(queries), 256):
-        q = queries[first : first + 256]
+    step = max(1, BLOCK // max(n, 1))
+    for first in range(0, len(queries) if n else 0, step):
+        q = queries[first : first + step]
         own = (q**2).sum(1)
-        far = own[:, None] + norm[None] - 2 * (q @ f.T)
-        room = 1e-9 * (own + norm.max(initial=0))
-        for i in range(len(q)):
-            w, d = wanted[first + i], far[i]
+        far = q @ f.T
+        far *= -2
+        far += own[:, None]
+        far += norm
+        rows_of: dict[tuple, list[int]] = {}
+        for i, w in enumerate(wanted[first : first + step]):
             if w is not None:
-                key = tuple(w)
-                if key not in masks:
-                    masks[key] = np.isin(labels, w)
-                d = np.where(masks[key], d, np.inf)
-            top = np.partition(d, k - 1)[k - 1] if k < len(d) else np.inf
-            some = np.flatnonzero((d <= min(top, radius[first + i]) + room[i]) & (d < np.inf))
-            exact = ((f[some] - q[i]) ** 2).sum(1)
-            order = np.lexsort((ids[some], exact))[:k]
-            out.append([(float(exact[j]), int(ids[some[j]]), int(labels[some[j]])) for j in order if exact[j] <= radius[first + i]])
-    return out
+                rows_of.setdefault(tuple(w), []).append(i)
+        for w, rows in rows_of.items():
+            if w not in masks:
+                masks[w] = np.flatnonzero(~np.isin(labels, w))
+            far[np.ix_(rows, masks[w])] = np.inf
+        top = np.partition(far, k - 1, 1)[:, k - 1] if k < n else np.full(len(q), np.inf)
+        limit = np.minimum(np.minimum(top, radius[first : first + step]) + 1e-9 * (own + top_norm), np.finfo(float).max)
+        row, col = np.nonzero(far <= limit[:, None])
+        exact = np.empty(len(row))
+        part = max(1, BLOCK // max(width, 1))
+        for at in range(0, len(row), part):
+            here = slice(at, at + part)
+            exact[here] = ((f[col[here]] - q[row[here]]) ** 2).sum(1)
+        good = exact <= radius[first + row]
+        row, col, exact = row[good], col[good], exact[good]
+        order = np.lexsort((ids[col], exact, row))
+        row, col, exact = row[order], col[order], exact[order]
+        rank = np.arange(len(row)) - np.searchsorted(row, row)
+        row, col, exact = row[rank < k], col[rank < k], exact[rank < k]
+        yield first + row, exact, ids[col], labels[col]
 
 
 def nearest(points: DataFrame, queries: DataFrame, k: int = 1, *, leaf_rows: int = 10_000, sample: int = 20_000) -> DataFrame:
@@ -131,8 +166,10 @@ def nearest(points: DataFrame, queries: DataFrame, k: int = 1, *, leaf_rows: int
     The tree is fitted on the `sample` points with the smallest digest of their id; leaves hold about leaf_rows points,
     or as many as the sample can tell apart. A query is first answered within its own leaf, which bounds how far its
     neighbours are, and then visits every leaf whose box comes as near as that. Points that are equal in all but
-    their id are kept k + 1 of a label only, the first ones, so that they fill no leaf; queries of a crowded leaf
-    are dealt to copies of it. Vectors are equally long; a query without any wanted point has no rows.
+    their id are kept k + 1 of a label only, the first ones, so that they fill no leaf. A leaf that holds more than twice
+    leaf_rows points, as the sample can't tell them apart, is dealt into cells of about leaf_rows; a query begins in one
+    of them and visits the others. Queries of a crowded cell are dealt to copies of it. So a task holds some leaf_rows points and
+    HOT queries, however many there are. Vectors are equally long; a query without any wanted point has no rows.
     """
     spark = points.sparkSession
     has_wanted, has_but = "wanted" in queries.columns, "but" in queries.columns
@@ -153,50 +190,68 @@ def nearest(points: DataFrame, queries: DataFrame, k: int = 1, *, leaf_rows: int
     def leaf(f: pd.Series) -> pd.Series:
         return pd.Series(tree.value.leaf(np.stack(f.to_numpy()).astype(float)) if len(f) else [], dtype="int32")
 
-    p = checkpointed(p.withColumn("leaf", leaf("f")))
-    found, columns = "array<struct<d:double,id:long,label:int>>", ["qid", "f", "wanted", "but", "radius", "leaf"]
+    sizes = {r["leaf"]: r["n"] for r in p.groupBy(leaf("f").alias("leaf")).agg(F.count("*").alias("n")).collect()}  # one row a leaf
+    dealt = spark.sparkContext.broadcast(cells_of(np.array([sizes.get(i, 0) for i in range(tree.value.leaves)]), leaf_rows))
 
-    def answer(asked: DataFrame) -> DataFrame:
-        """asked (qid, f, wanted, but, radius, leaf) with what each leaf says."""
-        crowd = checkpointed(asked.groupBy("leaf").agg(F.count("*").alias("c")).where(F.col("c") > HOT).select("leaf", F.expr(f"cast(c div {HOT} + 1 AS int)").alias("copies")))  # queries over HOT rows
-        many = F.coalesce("copies", F.lit(1))
-        a = asked.join(F.broadcast(crowd), "leaf", "left").withColumn("copy", F.pmod(F.hash("qid"), many)).drop("copies")
-        b = p.join(F.broadcast(crowd), "leaf", "left").withColumn("copy", F.explode(F.sequence(F.lit(0), many - 1))).drop("copies")
-
-        def one(mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
-            if not len(mine):
-                return pd.DataFrame(columns=[*columns, "found"], dtype=object)
-            x = np.stack(mine["f"].to_numpy()).astype(float)
-            if len(theirs):
-                own = theirs["id"].to_numpy(), theirs["label"].to_numpy(), np.stack(theirs["f"].to_numpy()).astype(float)
-                near = nearest_of(own, x, [None if w is None else list(w) for w in mine["wanted"]], mine["radius"].to_numpy(), k + has_but)
-            else:
-                near = [[] for _ in range(len(mine))]
-            if has_but:
-                near = [[z for z in those if z[1] != but][:k] for those, but in zip(near, mine["but"], strict=True)]
-            return mine.drop(columns="copy").assign(found=[[dict(zip(("d", "id", "label"), z, strict=True)) for z in those] for those in near])
+    @F.pandas_udf("int")
+    def cell(f: pd.Series, h: pd.Series) -> pd.Series:
+        begin, cells = dealt.value
+        at = tree.value.leaf(np.stack(f.to_numpy()).astype(float)) if len(f) else []
+        return pd.Series(begin[at] + h.to_numpy() % cells[at] if len(f) else [], dtype="int32")
+
+    p = checkpointed(p.withColumn("cell", cell("f", F.xxhash64("f", "id"))))
+    columns = ["qid", "f", "wanted", "but", "radius", "cell"]
+    near_type = pa.struct([("d", pa.float64()), ("id", pa.int64()), ("label", pa.int32())])
 
+    def answer(asked: DataFrame, keep: list[str]) -> DataFrame:
+        """`keep` of asked (qid, f, wanted, but, radius, cell) with what each cell says."""
+        crowd = checkpointed(asked.groupBy("cell").agg(F.count("*").alias("c")).where(F.col("c") > HOT).select("cell", F.expr(f"cast(c div {HOT} + 1 AS int)").alias("copies")))  # queries over HOT rows
+        many = F.coalesce("copies", F.lit(1))
+        a = asked.join(F.broadcast(crowd), "cell", "left").withColumn("copy", F.pmod(F.hash("qid"), many)).drop("copies")
+        b = p.join(F.broadcast(crowd), "cell", "left").withColumn("copy", F.explode(F.sequence(F.lit(0), many - 1))).drop("copies")
         kinds = dict(asked.dtypes)
-        schema = ", ".join(f"{c} {kinds[c]}" for c in columns) + f", found {found}"
-        return a.select(*columns, "copy").groupBy("leaf", "copy").cogroup(b.groupBy("leaf", "copy")).applyInPandas(one, schema)
+        schema = ", ".join(f"{c} {kinds[c]}" for c in keep) + ", found array<struct<d:double,id:long,label:int>>"
+
+        def one(mine: pa.Table, theirs: pa.Table) -> pa.Table:
+            count = np.zeros(mine.num_rows + 1, np.int32)
+            parts: list[tuple[np.ndarray, ...]] = [(np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int32))]
+            but, none = np.asarray(mine["but"].fill_null(0), np.int64), np.asarray(mine["but"].is_null())
+            points = np.asarray(theirs["id"]), np.asarray(theirs["label"]), matrix(theirs["f"])
+            for row, *near in nearest_of(points, matrix(mine["f"]), mine["wanted"].to_pylist() if has_wanted else [], np.asarray(mine["radius"]), k + has_but):
+                if has_but:  # itself, or the last of k + 1
+                    other = (near[1] != but[row]) | none[row]
+                    row, near = row[other], [x[other] for x in near]
+                    first = np.arange(len(row)) - np.searchsorted(row, row) < k
+                    row, near = row[first], [x[first] for x in near]
+                np.add.at(count, row + 1, 1)
+                parts.append(tuple(near))
+            values = [np.concatenate(x) for x in zip(*parts, strict=True)]
+            said = pa.StructArray.from_arrays([pa.array(x, t.type) for x, t in zip(values, near_type, strict=True)], fields=list(near_type))
+            said = pa.ListArray.from_arrays(pa.array(np.cumsum(count, dtype=np.int32)), said, type=pa.list_(pa.field("element", near_type)))
+            return pa.table([*(mine[c].cast(nullable(mine[c].type)) for c in keep), said], names=[*keep, "found"])
+
+        return a.select(*columns, "copy").groupBy("cell", "copy").cogroup(b.groupBy("cell", "copy")).applyInArrow(one, schema)
 
-    home = checkpointed(answer(q.withColumn("radius", F.lit(float("inf"))).withColumn("leaf", leaf("f"))))
+    q = q.withColumn("radius", F.lit(float("inf"))).withColumn("cell", cell("f", F.xxhash64("qid")))
+    home = checkpointed(answer(q, columns))
     bound = home.withColumn("radius", F.when(F.size("found") == k, F.element_at("found", -1)["d"]).otherwise(F.lit(float("inf"))))
 
     def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin, cells = dealt.value
         for whole in batches:
-            for at in range(0, whole.num_rows, 1024):
-                b = whole.slice(at, 1024)
-                x = np.stack([np.asarray(v.values, float) for v in b.column("f")])
-                rows, to = tree.value.reached(x, np.asarray(b.column("radius")))
-                other = to != np.asarray(b.column("leaf"))[rows]
-                rows, to = rows[other], to[other]
-                for part in range(0, len(rows), 4096):
-                    some = b.take(pa.array(rows[part : part + 4096]))
-                    yield some.set_column(5, "leaf", pa.array(to[part : part + 4096], pa.int32()))
+            for at in range(0, whole.num_rows, 256):
+                b = whole.slice(at, 256)
+                rows, leaves = tree.value.reached(matrix(pa.chunked_array([b.column("f")])), np.asarray(b.column("radius")))
+                mine = np.asarray(b.column("cell"))
+                for i in range(int(cells[leaves].max(initial=0))):
+                    to = begin[leaves] + i
+                    new = np.flatnonzero((i < cells[leaves]) & (to != mine[rows]))
+                    for part in range(0, len(new), 4096):
+                        z = new[part : part + 4096]
+                        yield b.take(pa.array(rows[z])).set_column(5, "cell", pa.array(to[z], pa.int32()))
 
     kinds = dict(bound.dtypes)
     away = checkpointed(bound.select(*columns).mapInArrow(visits, ", ".join(f"{c} {kinds[c]}" for c in columns)))
-    every = home.select("qid", "found").unionByName(answer(away).select("qid", "found"))
+    every = home.select("qid", "found").unionByName(answer(away, ["qid"]))
     best = every.select("qid", F.explode("found").alias("z")).groupBy("qid").agg(F.slice(F.sort_array(F.collect_list("z")), 1, k).alias("z"))  # k of each leaf visited
     return best.select("qid", F.posexplode("z").alias("r", "z")).select("qid", (F.col("r") + 1).alias("rank"), "z.id", "z.label", F.sqrt("z.d").alias("distance"))
