@@ -10,6 +10,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tidewave.llm import columnwise, decontaminate, hmm, minhash, quality, secrets, substrings, toxicity, warc
 from tidewave.llm.anchors import runs
@@ -94,6 +95,17 @@ def test_joins_by_a_unique_key_keep_all_rows(spark, least):
         assert sorted(map(str, join_unique(left, right, ["key"], how, least=least, most_hot=40).collect())) == sorted(map(str, left.join(right, "key", how).collect()))
 
 
+@pytest.mark.parametrize(("how", "semi"), [("inner", 1), ("left_semi", 3)])
+def test_rows_of_hot_keys_are_joined_once(spark, how, semi):
+    left = spark.range(200).select((F.col("id") % 3).alias("key"), "id")
+    right = spark.createDataFrame([(0, "a"), (1, "b")], "key long, r string")
+    for counts in (None, left.groupBy("key").agg(F.count("*").alias("_n"))):
+        found = join_unique(left, right, ["key"], how, counts=counts, least=10, most_hot=40)
+        # of right's few hot rows, and what was asked for: no other one makes left's rows of hot keys before
+        assert found._jdf.queryExecution().optimizedPlan().toString().count("Join LeftSemi") == semi
+        assert sorted(map(str, found.collect())) == sorted(map(str, left.join(right, "key", how).collect()))
+
+
 def test_forward_recursion_and_counts_equal_sums_over_all_state_paths():
     rng = np.random.default_rng(3)
     k, m = 3, 5
