@@ -87,6 +87,23 @@ def test_groups_of_segments_are_divided_without_changing_what_is_removed(spark,
     assert {r["doc_id"]: (r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in out} == want
 
 
+def test_passages_of_over_50_words_go_from_400_bytes_on(spark):
+    rng = random.Random(7)
+    words = lambda n, size: " ".join("".join(rng.choices("abcdefghij", k=size)) for _ in range(n))
+    docs, want = [], {}
+    for k, n in enumerate([330, 399, 400, 401, 700]):
+        passage = words(55, 5)  # 329 bytes
+        passage = (passage + " " + words(60, 6))[:n]
+        assert len(passage.split()) > 50
+        for i, (a, b) in enumerate((("#", "*"), ("+", "="))):  # what stands beside the passage differs
+            docs.append((2 * k + i, words(60, 7) + a + passage + b + words(60, 7)))
+            want[2 * k + i] = (len(docs[-1][1]), n if n >= 400 else 0, int(n >= 400))
+    docs.append((99, words(200, 7)))
+    want[99] = (len(docs[-1][1]), 0, 0)
+    out = substrings.without_repeats(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"]) for r in out} == want
+
+
 @pytest.mark.parametrize("least", [0, 3, 100])
 def test_joins_by_a_unique_key_keep_all_rows(spark, least):
     left = spark.createDataFrame([(k % 7 if k % 5 else None, k) for k in range(90)] + [(1, k) for k in range(90, 150)], "key long, v long")
