@@ -59,6 +59,36 @@ def test_columnwise_construction_is_the_sorted_list_of_suffixes(tmp_path, files)
         assert [r.tolist() for r in repeated] == [[parts.count(x[k : k + 3]) > 1 for k in range(len(x) - 2)] for x in s], trial
 
 
+@pytest.mark.parametrize("files", [False, True])
+@pytest.mark.parametrize("rounds", [1, 2, 5, 100])
+def test_columnwise_construction_is_the_same_however_many_rounds_are_merged(tmp_path, files, rounds):
+    rng = random.Random(3)
+    for letters in (b"a", b"ab", b"ab\xff", bytes(range(256))) * 5:
+        s = [bytes(rng.choices(letters, k=rng.randint(0, 30))) for _ in range(rng.randint(1, 8))]
+        s += [s[0], s[0][3:], s[-1] + s[0]]
+        suffixes = sorted((list(x[k:]) + [i - 1000], i, k) for i, x in enumerate(s) for k in range(len(x) + 1))
+        common = [0] + [next(n for n, (p, q) in enumerate(zip(a[0], b[0], strict=False)) if p != q) for a, b in itertools.pairwise(suffixes)]
+        symbols, lcp, repeated = columnwise.build(s, columnwise.Columns(str(tmp_path)) if files else None, 4, rounds)
+        assert symbols.tolist() == [s[i][k - 1] + 1 if k else 0 for _, i, k in suffixes]
+        assert lcp.tolist() == common
+        parts = [x[k : k + 4] for x in s for k in range(len(x) - 3)]
+        assert [r.tolist() for r in repeated] == [[parts.count(x[k : k + 4]) > 1 for k in range(len(x) - 3)] for x in s]
+
+
+def test_columnwise_construction_does_not_write_its_columns_in_each_round():
+    written = []
+
+    class Counted(columnwise.Columns):
+        def write(self, name, values):
+            written.append(len(values))
+            super().write(name, values)
+
+    rng = random.Random(4)
+    s = [bytes(rng.choices(b"abcd", k=600)) for _ in range(4)]
+    symbols, _, _ = columnwise.build(s, Counted(), 400)
+    assert sum(written) < 40 * len(symbols)  # in each round: 300 times both
+
+
 @pytest.mark.parametrize("most_group", [1, 3, 1000])
 def test_groups_of_segments_are_divided_without_changing_what_is_removed(spark, most_group):
     rng = random.Random(13)
